@@ -1,0 +1,48 @@
+"""Every registered query against its SQL in DuckDB: columns, types, values."""
+
+import math
+import os
+
+import pytest
+
+import oracles
+from conftest import TESTDATA, open_duckdb
+from tiffinlake.plans import registry
+
+SCALE = os.environ.get("ORACLE_SF", "sf0.01")
+FOLDER = f"{TESTDATA}/{SCALE}"
+
+TYPES = {
+    "STRING": "VARCHAR", "INT": "INTEGER", "BIGINT": "BIGINT", "FLOAT": "FLOAT",
+    "DOUBLE": "DOUBLE", "BOOLEAN": "BOOLEAN", "DATE": "DATE",
+}
+
+
+@pytest.fixture(scope="module")
+def duck():
+    return open_duckdb(FOLDER)
+
+
+def canonical(rows, order):
+    def text(value):
+        return "NaN" if isinstance(value, float) and math.isnan(value) else repr(value)
+
+    return sorted(tuple(text(row[i]) for i in order) for row in rows)
+
+
+def test_every_query_has_an_oracle():
+    assert set(oracles.SQL) == set(registry.QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_matches_oracle(spark, duck, name):
+    result = registry.QUERIES[name](spark, FOLDER)
+    expected = duck.sql(oracles.SQL[name])
+    mine = {c: TYPES[t.upper()] for c, t in result.dtypes}
+    assert mine == dict(zip(expected.columns, map(str, expected.types)))
+    columns = sorted(result.columns)
+    got = canonical(result.collect(), [result.columns.index(c) for c in columns])
+    want = canonical(expected.fetchall(), [expected.columns.index(c) for c in columns])
+    assert len(got) == len(want)
+    assert got == want
+    assert got
