@@ -105,9 +105,9 @@ REPORTS = {
         SELECT cuisine, COUNT(price) AS orders, ROUND(SUM(price) / COUNT(price), 2) AS avg_price
         FROM food_orders GROUP BY cuisine""",
     "q4_status_share": """
-        WITH everything AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n FROM food_orders)
-        SELECT status, COUNT(*) AS count, ROUND(COUNT(*) * 100 / MAX(n), 2) AS pct
-        FROM food_orders, everything GROUP BY status""",
+        SELECT status, COUNT(*) AS count,
+               ROUND(COUNT(*) * 100 / (SELECT CAST(COUNT(*) AS DOUBLE) FROM food_orders), 2) AS pct
+        FROM food_orders GROUP BY status""",
     "q5_payment_mix": """
         SELECT payment_method, COUNT(order_id) AS orders, ROUND(SUM(CAST(price AS DOUBLE)), 2) AS total_revenue
         FROM food_orders GROUP BY payment_method""",

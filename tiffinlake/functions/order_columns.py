@@ -34,7 +34,7 @@ DAYS_RANGE = (-719_162, 2_932_896)
 
 def flag(condition: Column) -> Column:
     """1 where the condition holds, else 0; unknown counts as 0."""
-    return F.coalesce(condition.cast("int"), F.lit(0))
+    return F.when(condition, 1).otherwise(0)
 
 
 def _div(value: Column, divisor: int) -> Column:

@@ -48,7 +48,8 @@ FIRST_ORDER_PERCENT = 10
 
 def spread(key: Column, n: int, multiplier: int = 7919) -> Column:
     """`key * multiplier mod n` without leaving 64 bits."""
-    return _mod(_mod(key, n) * F.lit(multiplier % n).cast("bigint"), n)
+    rest, factor = _mod(key, n), multiplier % n
+    return rest if factor == 1 else _mod(rest * F.lit(factor).cast("bigint"), n)
 
 
 def uniform_pick(key: Column, values: Sequence[str], multiplier: int = 7919) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from tiffinlake import schema
 from tiffinlake.functions import order_columns, picks
 from tiffinlake.operators import table
 from tiffinlake.operators.codec import decode, encode
-from tiffinlake.operators.enrich import enrich, with_flags, with_hour, with_peak, with_prices
+from tiffinlake.operators.enrich import NEEDS, enrich
 from tiffinlake.plans import reports
 from tiffinlake.plans.sql import run_sql
 from tiffinlake.session import scratch_dir
@@ -28,9 +28,12 @@ def register(query: Query) -> Query:
     return query
 
 
-def food_orders(spark: SparkSession, folder: str, *dimension_columns: str) -> DataFrame:
-    """Enriched orders, with the dimension columns that are asked for."""
-    return enrich(src.raw_orders(spark, folder, *dimension_columns))
+def food_orders(spark: SparkSession, folder: str, columns: Iterable[str] = schema.TABLE_COLUMNS) -> DataFrame:
+    """Enriched orders, with all the columns of the table or some of them."""
+    columns = list(columns)
+    raw = [c for c in schema.RAW_COLUMNS if c in columns or any(c in NEEDS.get(name, ()) for name in columns)]
+    computed = [c for c in columns if c in NEEDS]
+    return enrich(src.raw_orders(spark, folder, raw), only=computed).select(*columns)
 
 
 # --- the ten reports ---------------------------------------------------------
@@ -38,60 +41,61 @@ def food_orders(spark: SparkSession, folder: str, *dimension_columns: str) -> Da
 
 @register
 def q1_totals(spark, folder):
-    return reports.totals(food_orders(spark, folder))
+    return reports.totals(food_orders(spark, folder, ["price"]))
 
 
 @register
 def q2_city_revenue(spark, folder):
-    return reports.city_revenue(food_orders(spark, folder, "city"))
+    return reports.city_revenue(food_orders(spark, folder, ["city", "price"]))
 
 
 @register
 def q3_cuisine_popularity(spark, folder):
-    return reports.cuisine_popularity(food_orders(spark, folder, "cuisine"))
+    return reports.cuisine_popularity(food_orders(spark, folder, ["cuisine", "price"]))
 
 
 @register
 def q4_status_share(spark, folder):
-    return reports.status_share(food_orders(spark, folder))
+    return reports.status_share(food_orders(spark, folder, ["status"]))
 
 
 @register
 def q5_payment_mix(spark, folder):
-    return reports.payment_mix(food_orders(spark, folder))
+    return reports.payment_mix(food_orders(spark, folder, ["payment_method", "price"]))
 
 
 @register
 def q6_peak_offpeak(spark, folder):
-    return reports.peak_comparison(food_orders(spark, folder))
+    return reports.peak_comparison(food_orders(spark, folder, ["is_peak_hour", "price", "delivery_time_mins"]))
 
 
 @register
 def q7_top_restaurants(spark, folder):
-    return reports.top_restaurants(food_orders(spark, folder, "restaurant_name"))
+    return reports.top_restaurants(food_orders(spark, folder, ["restaurant_name", "status", "price", "rating"]))
 
 
 @register
 def q8_value_category(spark, folder):
-    return reports.value_categories(food_orders(spark, folder))
+    return reports.value_categories(food_orders(spark, folder, ["order_value_category", "price"]))
 
 
 @register
 def q9_hourly_volume(spark, folder):
-    return reports.hourly_volume(food_orders(spark, folder))
+    return reports.hourly_volume(food_orders(spark, folder, ["hour_of_day"]))
 
 
 @register
 def q9_last_24h(spark, folder):
-    return reports.hourly_volume_last_day(food_orders(spark, folder))
+    return reports.hourly_volume_last_day(food_orders(spark, folder, ["timestamp", "hour_of_day"]))
 
 
 @register
 def q10_high_value_orders(spark, folder):
     """Cut to the ten dearest first: the joins then see ten orders only."""
-    dearest = reports.dearest_delivered(with_prices(src.event_orders(spark, folder)))
-    named = src.with_customers(src.with_restaurants(dearest, spark, folder), spark, folder)
-    return reports.high_value_orders(named)
+    own = ["order_id", "price", "status", "rating", "restaurant_key", "customer_key"]
+    orders = enrich(src.event_orders(spark, folder, own), only=["is_high_value"])
+    dearest = src.with_restaurants(reports.dearest_delivered(orders), spark, folder)
+    return reports.high_value_orders(src.with_customers(dearest, spark, folder))
 
 
 ADHOC = """
@@ -107,7 +111,7 @@ ADHOC = """
 
 @register
 def adhoc_sql(spark, folder):
-    return run_sql(spark, ADHOC, food_orders(spark, folder, "city"))
+    return run_sql(spark, ADHOC, food_orders(spark, folder))
 
 
 # --- computed columns --------------------------------------------------------
@@ -115,43 +119,43 @@ def adhoc_sql(spark, folder):
 
 @register
 def enrich_hour(spark, folder):
-    return with_hour(src.raw_orders(spark, folder)).select("order_id", "hour_of_day")
+    return food_orders(spark, folder, ["order_id", "hour_of_day"])
 
 
 @register
 def enrich_peak(spark, folder):
-    return with_peak(with_hour(src.raw_orders(spark, folder))).select("order_id", "is_peak_hour")
+    return food_orders(spark, folder, ["order_id", "is_peak_hour"])
 
 
 @register
 def enrich_value_category(spark, folder):
-    return with_prices(src.raw_orders(spark, folder)).select("order_id", "order_value_category")
+    return food_orders(spark, folder, ["order_id", "order_value_category"])
 
 
 @register
 def enrich_price_per_item(spark, folder):
-    return with_prices(src.raw_orders(spark, folder)).select("order_id", "price_per_item")
+    return food_orders(spark, folder, ["order_id", "price_per_item"])
 
 
 @register
 def enrich_high_value(spark, folder):
-    return with_prices(src.raw_orders(spark, folder)).select("order_id", "is_high_value")
+    return food_orders(spark, folder, ["order_id", "is_high_value"])
 
 
 @register
 def enrich_flags(spark, folder):
-    return with_flags(src.raw_orders(spark, folder)).select("order_id", "discount_applied", "is_first_order")
+    return food_orders(spark, folder, ["order_id", "discount_applied", "is_first_order"])
 
 
 @register
 def enrich_full(spark, folder):
-    return enrich(src.all_raw_orders(spark, folder))
+    return food_orders(spark, folder)
 
 
 @register
 def status_label(spark, folder):
-    orders = src.raw_orders(spark, folder)
-    return orders.select("order_id", "status", order_columns.status_label(F.col("status")).alias("label"))
+    label = order_columns.status_label(F.col("status"))
+    return src.raw_orders(spark, folder, ["order_id", "status"]).withColumn("label", label)
 
 
 # --- derivation of order columns ---------------------------------------------
@@ -159,14 +163,14 @@ def status_label(spark, folder):
 
 @register
 def derive_orders(spark, folder):
-    return src.all_raw_orders(spark, folder)
+    return src.raw_orders(spark, folder)
 
 
 @register
 def derive_picks(spark, folder):
     """Every kind of pick from the fixed domains of an order."""
     key = F.col("event_id")
-    return src.events(spark, folder).select(
+    return src.read(spark, folder, "events").select(
         key,
         picks.uniform_pick(key, picks.CITIES).alias("city"),
         picks.uniform_pick(key, picks.RESTAURANTS, multiplier=31).alias("restaurant_name"),
@@ -180,10 +184,9 @@ def derive_picks(spark, folder):
 
 @register
 def derive_weighted_category(spark, folder):
-    percentile = F.get_json_object("props", "$.k").try_cast("int")
-    return src.events(spark, folder).select(
+    return src.read(spark, folder, "events").select(
         "event_id",
-        picks.weighted_pick(percentile, picks.PAYMENT_PERCENT).alias("payment_method"),
+        picks.weighted_pick(src.payment_percentile(), picks.PAYMENT_PERCENT).alias("payment_method"),
         picks.weighted_pick(picks.spread(F.col("event_id"), 100), picks.STATUS_PERCENT).alias("status"),
     )
 
@@ -192,7 +195,7 @@ def derive_weighted_category(spark, folder):
 def derive_items(spark, folder):
     key = F.col("event_id")
     cuisine = picks.uniform_pick(key, tuple(picks.MENUS))
-    dishes = src.events(spark, folder).select(key, cuisine.alias("cuisine"))
+    dishes = src.read(spark, folder, "events").select(key, cuisine.alias("cuisine"))
     return dishes.withColumn("items", picks.menu_items(key, F.col("cuisine")))
 
 
@@ -213,7 +216,7 @@ def _topic(spark: SparkSession, folder: str, name: str, messages: Callable[[], D
 
 def raw_topic(spark: SparkSession, folder: str) -> str:
     """All orders as messages; null fields are written, as a producer would."""
-    return _topic(spark, folder, "raw", lambda: encode(src.all_raw_orders(spark, folder), keep_nulls=True))
+    return _topic(spark, folder, "raw", lambda: encode(src.raw_orders(spark, folder), keep_nulls=True))
 
 
 def damaged(value: Column, event_id: Column) -> Column:
@@ -240,11 +243,9 @@ def damaged_topic(spark: SparkSession, folder: str) -> str:
     """All orders as messages, those of 'error' events damaged."""
 
     def messages() -> DataFrame:
-        orders = src.with_restaurants(
-            src.with_customers(src.event_orders(spark, folder), spark, folder), spark, folder
-        )
+        orders = src.raw_orders(spark, folder)
         event_id = F.substring("order_id", 5, 20).cast("bigint")
-        text = F.to_json(F.struct(*schema.RAW_COLUMNS))
+        text = F.to_json(F.struct("*"))
         value = F.when(F.col("status") == src.OTHER_STATUS, damaged(text, event_id)).otherwise(text)
         return orders.select(F.col("order_id").cast("binary").alias("key"), value.cast("binary").alias("value"))
 
@@ -255,7 +256,7 @@ def damaged_topic(spark: SparkSession, folder: str) -> str:
 def publish_batch(spark, folder):
     """Key and content of the published messages."""
     path = scratch_dir(spark, "publish")
-    files.publish(encode(src.all_raw_orders(spark, folder), keep_nulls=True), path)
+    files.publish(encode(src.raw_orders(spark, folder), keep_nulls=True), path)
     messages = files.read_topic(spark, path)
     content = F.from_json(F.col("value").cast("string"), schema.RAW_ORDER)
     return messages.select(F.col("key").cast("string").alias("key"), content.alias("m")).select("key", "m.*")
@@ -275,7 +276,7 @@ def decode_malformed(spark, folder):
 def encode_envelope(spark, folder):
     """Key and content of the enriched messages, read back."""
     path = scratch_dir(spark, "envelope")
-    files.publish(encode(enrich(src.all_raw_orders(spark, folder))), path)
+    files.publish(encode(food_orders(spark, folder)), path)
     messages = files.read_topic(spark, path)
     content = F.from_json(F.col("value").cast("string"), schema.FOOD_ORDERS)
     return messages.select(F.col("key").cast("string").alias("key"), content.alias("m")).select("key", "m.*")
@@ -294,14 +295,13 @@ def conform_defaults(spark, folder):
 
 @register
 def retention_1d(spark, folder):
-    orders = enrich(src.all_raw_orders(spark, folder))
-    return table.retain(orders, table.newest(src.raw_orders(spark, folder)))
+    return table.retain(food_orders(spark, folder), table.newest(src.raw_orders(spark, folder, ["timestamp"])))
 
 
 def stored_table(spark: SparkSession, folder: str) -> str:
     """The enriched orders as a partitioned table."""
     path = scratch_dir(spark, "table")
-    table.write_table(table.fill_defaults(enrich(src.all_raw_orders(spark, folder))), path)
+    table.write_table(table.fill_defaults(food_orders(spark, folder)), path)
     return path
 
 

@@ -15,6 +15,9 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Without it every Column call walks the Python stack, which takes longer
+    # than to plan and run a small query.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -1,120 +1,134 @@
 """Orders derived from the tables of a star schema.
 
 An order is one row of `events`; `customer` and `nation` say who ordered and
-where, `part` stands for the restaurant. Every column that a query does not
-read is pruned by Catalyst, but a join it could not: so the dimensions are
-joined only if one of their columns is asked for. That is exact, as the joins
+where, `part` stands for the restaurant. Callers name the columns they read.
+Catalyst would prune an unused column by itself, but not a join: a dimension
+is joined only if one of its columns is wanted. That is exact, as the joins
 are left joins on a primary key and never change the number of rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiffinlake import schema
 from tiffinlake.functions import picks
 
-# Order i comes from restaurant i mod 200, so no other key can ever match.
-RESTAURANT_KEYS = 200
-
-# `ts` is stored without a zone; reading it as an instant takes it as UTC
-# whatever the session zone is.
-EVENTS = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, props STRING"
+# What is read of the tables. `ts` is stored without a zone; reading it as an
+# instant takes it as UTC, whatever the session zone is.
+TABLES = {
+    "events": "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, props STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey BIGINT, c_mktsegment STRING",
+    "nation": "n_nationkey BIGINT, n_name STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING",
+}
 
 STATUS_OF_EVENT = {
+    "purchase": "delivered",
     "view": "placed",
     "click": "preparing",
     "signup": "out_for_delivery",
-    "purchase": "delivered",
 }
 OTHER_STATUS = "cancelled"
 
-FROM_CUSTOMER = ("customer_name", "city", "area")
-FROM_RESTAURANT = ("restaurant_name", "cuisine", "items")
+# Order i comes from restaurant i mod 200, so no other key can ever match.
+RESTAURANT_KEYS = 200
+
+
+def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(EVENTS).parquet(f"{folder}/events.parquet")
+def payment_percentile() -> Column:
+    """The number from 0 to 99 in the properties of an event."""
+    return F.get_json_object("props", "$.k").try_cast("int")
 
 
-def _phone(user_id):
-    number = picks.spread(user_id, 1_000_000).cast("string")
+def _phone() -> Column:
+    number = picks.spread(F.col("user_id"), 1_000_000).cast("string")
     return F.concat(F.lit("+91"), F.lpad(number, 10, "0"))
 
 
-def event_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """The columns that an event alone decides, and the two dimension keys."""
-    event_id, user_id, event_type = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    status = F
-    for event, name in STATUS_OF_EVENT.items():
-        status = status.when(event_type == event, name)
-    percentile = F.get_json_object("props", "$.k").try_cast("int")
-    return events(spark, folder).select(
-        F.concat(F.lit("ord-"), F.lpad(event_id.cast("string"), 10, "0")).alias("order_id"),
-        F.unix_millis("ts").alias("timestamp"),
-        _phone(user_id).alias("customer_phone"),
-        picks.bounded_int(event_id, *picks.QUANTITY).alias("quantity"),
-        picks.bounded_real(event_id, *picks.PRICE, places=2).alias("price"),
-        status.otherwise(OTHER_STATUS).alias("status"),
-        picks.weighted_pick(percentile, picks.PAYMENT_PERCENT).alias("payment_method"),
-        picks.bounded_int(event_id, *picks.DELIVERY_MINUTES).alias("delivery_time_mins"),
-        F.when(
-            event_type == "purchase", picks.bounded_real(event_id, *picks.RATING, places=1, multiplier=1)
-        ).alias("rating"),
-        picks.one_in(user_id, 2).alias("discount_applied"),
-        picks.one_in(event_id, picks.FIRST_ORDER_PERCENT).alias("is_first_order"),
-        user_id.alias("customer_key"),
-        picks.spread(event_id, RESTAURANT_KEYS, multiplier=1).alias("restaurant_key"),
-    )
+def _status() -> Column:
+    case = F
+    for event, status in STATUS_OF_EVENT.items():
+        case = case.when(F.col("event_type") == event, status)
+    return case.otherwise(OTHER_STATUS)
+
+
+def _rating() -> Column:
+    stars = picks.bounded_real(F.col("event_id"), *picks.RATING, places=1, multiplier=1)
+    return F.when(F.col("event_type") == "purchase", stars)
+
+
+# The columns that an event alone decides.
+EVENT_COLUMNS: dict[str, Callable[[], Column]] = {
+    "order_id": lambda: F.concat(F.lit("ord-"), F.lpad(F.col("event_id").cast("string"), 10, "0")),
+    "timestamp": lambda: F.unix_millis("ts"),
+    "customer_phone": _phone,
+    "quantity": lambda: picks.bounded_int(F.col("event_id"), *picks.QUANTITY),
+    "price": lambda: picks.bounded_real(F.col("event_id"), *picks.PRICE, places=2),
+    "status": _status,
+    "payment_method": lambda: picks.weighted_pick(payment_percentile(), picks.PAYMENT_PERCENT),
+    "delivery_time_mins": lambda: picks.bounded_int(F.col("event_id"), *picks.DELIVERY_MINUTES),
+    "rating": _rating,
+    "discount_applied": lambda: picks.one_in(F.col("user_id"), 2),
+    "is_first_order": lambda: picks.one_in(F.col("event_id"), picks.FIRST_ORDER_PERCENT),
+    "customer_key": lambda: F.col("user_id"),
+    "restaurant_key": lambda: picks.spread(F.col("event_id"), RESTAURANT_KEYS, multiplier=1),
+}
+CUSTOMER_COLUMNS = {"customer_name": "c_name", "area": "c_mktsegment", "nation_key": "c_nationkey"}
+RESTAURANT_COLUMNS = {"restaurant_name": "p_brand", "cuisine": "p_type", "items": "p_name"}
+
+
+def event_orders(spark: SparkSession, folder: str, columns: Iterable[str]) -> DataFrame:
+    """Orders with some of EVENT_COLUMNS."""
+    return read(spark, folder, "events").select(*(EVENT_COLUMNS[c]().alias(c) for c in columns))
+
+
+def _renamed(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*(F.col(old).alias(new) for new, old in names.items()))
 
 
 def with_customers(orders: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
-    """Adds the customer's columns by `customer_key`.
+    """Adds name, area and city by `customer_key`.
 
     The customers grow with the data, so there is no broadcast hint: Spark
-    broadcasts them while they are below its size threshold and else shuffles
-    both sides, with AQE splitting the partition of a customer (or of a null
-    key) that holds much of the orders.
+    broadcasts them while their files are below its size threshold and else
+    shuffles both sides, with AQE splitting the partition of a customer (or of
+    a null key) that holds much of the orders. They are joined before the
+    nations and not to them first, since Spark takes the size of a join for
+    the product of its sides and would no longer see how small they are.
     """
-    customer = spark.read.parquet(f"{folder}/customer.parquet")
-    nation = spark.read.parquet(f"{folder}/nation.parquet")
-    places = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("city"))
-    customers = customer.join(places, "c_nationkey", "left").select(
-        F.col("c_custkey").alias("customer_key"),
-        F.col("c_name").alias("customer_name"),
-        "city",
-        F.col("c_mktsegment").alias("area"),
-    )
-    return orders.join(customers, "customer_key", "left")
+    customer = _renamed(read(spark, folder, "customer"), {"customer_key": "c_custkey"} | CUSTOMER_COLUMNS)
+    nation = _renamed(read(spark, folder, "nation"), {"nation_key": "n_nationkey", "city": "n_name"})
+    return orders.join(customer, "customer_key", "left").join(nation, "nation_key", "left")
 
 
 def with_restaurants(orders: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
-    """Adds the restaurant's columns by `restaurant_key`.
+    """Adds name, cuisine and items by `restaurant_key`.
 
     The broadcast is bounded: `p_partkey` is unique, and only keys below
     RESTAURANT_KEYS can match, however many parts there are.
     """
-    part = spark.read.parquet(f"{folder}/part.parquet")
-    restaurants = part.where(F.col("p_partkey").between(0, RESTAURANT_KEYS - 1)).select(
-        F.col("p_partkey").alias("restaurant_key"),
-        F.col("p_brand").alias("restaurant_name"),
-        F.col("p_type").alias("cuisine"),
-        F.col("p_name").alias("items"),
-    )
+    part = read(spark, folder, "part").where(F.col("p_partkey").between(0, RESTAURANT_KEYS - 1))
+    restaurants = _renamed(part, {"restaurant_key": "p_partkey"} | RESTAURANT_COLUMNS)
     return orders.join(F.broadcast(restaurants), "restaurant_key", "left")
 
 
-def raw_orders(spark: SparkSession, folder: str, *dimension_columns: str) -> DataFrame:
-    """Orders with the columns of events and the dimension columns asked for."""
-    orders = event_orders(spark, folder)
-    if set(dimension_columns) & set(FROM_RESTAURANT):
+def raw_orders(spark: SparkSession, folder: str, columns: Iterable[str] = schema.RAW_COLUMNS) -> DataFrame:
+    """Orders with the columns of a raw order message, or some of them."""
+    columns = list(columns)
+    by_restaurant = not RESTAURANT_COLUMNS.keys().isdisjoint(columns)
+    by_customer = not {"customer_name", "area", "city"}.isdisjoint(columns)
+    own = [c for c in columns if c in EVENT_COLUMNS]
+    keys = ["restaurant_key"] * by_restaurant + ["customer_key"] * by_customer
+    orders = event_orders(spark, folder, own + keys)
+    if by_restaurant:
         orders = with_restaurants(orders, spark, folder)
-    if set(dimension_columns) & set(FROM_CUSTOMER):
+    if by_customer:
         orders = with_customers(orders, spark, folder)
-    return orders.select([c for c in schema.RAW_COLUMNS if c in orders.columns])
-
-
-def all_raw_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders with all the columns of a raw order message."""
-    return raw_orders(spark, folder, *FROM_CUSTOMER, *FROM_RESTAURANT)
+    return orders.select(*columns)
