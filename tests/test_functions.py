@@ -1,0 +1,115 @@
+"""Column functions against plain Python."""
+
+import datetime
+import random
+import zoneinfo
+
+import pytest
+from pyspark.sql import functions as F
+
+from tiffinlake.functions import order_columns as oc
+from tiffinlake.functions import picks
+
+EDGES = [0, -1, -1000, -3_599_999, -3_600_000, 253_402_300_799_999, 253_402_300_800_000, 2**63 - 1, -(2**63), None]
+
+
+@pytest.fixture(scope="module")
+def times(spark):
+    draw = random.Random(7)
+    values = [draw.randrange(0, 4_102_444_800_000) for _ in range(500)] + EDGES
+    return spark.createDataFrame([(v,) for v in values], "t BIGINT")
+
+
+def test_hour_equals_calendar_formula(spark, times):
+    """Within what a timestamp holds, the arithmetic equals the calendar."""
+    within = times.where(F.col("t").between(-377_705_116_800_000, 253_402_300_800_000))
+    rows = within.select("t", oc.hour_of_day(F.col("t")).alias("h"), F.hour(F.from_unixtime(F.col("t") / 1000)).alias("c"))
+    assert rows.where("h <> c or h is null").count() == 0
+    assert rows.count() > 500
+
+
+@pytest.mark.parametrize("session_zone", ["UTC", "America/New_York"])
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Kolkata", "Europe/Berlin"])
+def test_hour_in_a_zone(spark, settings, times, zone, session_zone):
+    settings(spark__sql__session__timeZone=session_zone)
+    rows = times.where(F.col("t").between(0, 4_102_444_800_000)).select("t", oc.hour_of_day(F.col("t"), zone).alias("h"))
+    info = zoneinfo.ZoneInfo(zone)
+    for row in rows.collect():
+        assert row["h"] == datetime.datetime.fromtimestamp(row["t"] // 1000, info).hour
+
+
+def test_no_time_fails_a_job(spark, settings, times):
+    settings(spark__sql__ansi__enabled="true")
+    columns = [oc.hour_of_day(F.col("t")), oc.hour_of_day(F.col("t"), "Asia/Kolkata"), oc.order_date(F.col("t"))]
+    rows = {row[0]: row for row in times.select("t", *(c.alias(str(i)) for i, c in enumerate(columns))).collect()}
+    assert rows[2**63 - 1][2] is None and rows[2**63 - 1][3] is None
+    assert rows[None][1] is None
+    assert rows[-1][3] == datetime.date(1969, 12, 31)
+    assert rows[253_402_300_799_999][3] == datetime.date(9999, 12, 31)
+    assert rows[253_402_300_800_000][3] is None
+
+
+def test_peak_hours(spark):
+    rows = spark.range(24).select("id", oc.is_peak_hour(F.col("id")).alias("peak")).collect()
+    assert [row["id"] for row in rows if row["peak"]] == [12, 13, 14, 19, 20, 21, 22]
+
+
+def test_bounds_of_tiers_and_high_value(spark):
+    prices = spark.createDataFrame([(p,) for p in (199.99, 200.0, 599.99, 600.0, 999.99, 1000.0, None)], "p FLOAT")
+    rows = prices.select(oc.order_value_category(F.col("p")), oc.is_high_value(F.col("p"))).collect()
+    assert [tuple(r) for r in rows] == [
+        ("Budget", 0), ("Mid-Range", 0), ("Mid-Range", 0), ("Premium", 0), ("Premium", 0), ("Premium", 1), ("Premium", 0),
+    ]
+
+
+def test_status_labels(spark):
+    rows = spark.createDataFrame([("placed",), ("lost",), (None,)], "s STRING")
+    assert [r[0] for r in rows.select(oc.status_label(F.col("s"))).collect()] == ["📥", "❓", "❓"]
+
+
+@pytest.fixture(scope="module")
+def keys(spark):
+    return spark.range(0, 4200).withColumnRenamed("id", "k")
+
+
+def test_uniform_pick_is_uniform(keys):
+    counts = keys.groupBy(picks.uniform_pick(F.col("k"), picks.CITIES).alias("c")).count().collect()
+    assert {row["c"] for row in counts} == set(picks.CITIES)
+    assert {row["count"] for row in counts} == {420}
+
+
+@pytest.mark.parametrize("percents", [picks.STATUS_PERCENT, picks.PAYMENT_PERCENT])
+def test_weighted_pick_keeps_the_weights(keys, percents):
+    assert sum(percents.values()) == 100
+    label = picks.weighted_pick(picks.spread(F.col("k"), 100), percents)
+    counts = {row[0]: row[1] for row in keys.groupBy(label).count().collect()}
+    assert counts == {name: 42 * percent for name, percent in percents.items()}
+
+
+def test_dishes_are_distinct_and_of_the_cuisine(keys):
+    cuisine = picks.uniform_pick(F.col("k"), tuple(picks.MENUS))
+    sizes = set()
+    for row in keys.select(cuisine.alias("c"), picks.menu_items(F.col("k"), cuisine).alias("i")).collect():
+        dishes = row["i"].split(", ")
+        sizes.add(len(dishes))
+        assert len(set(dishes)) == len(dishes) and set(dishes) <= set(picks.MENUS[row["c"]])
+    assert sizes == {1, 2, 3}
+
+
+def test_bounded_numbers_reach_their_bounds(spark):
+    numbers = spark.range(0, 172_001).select(
+        picks.bounded_int(F.col("id"), *picks.DELIVERY_MINUTES, multiplier=7).alias("m"),
+        picks.bounded_real(F.col("id"), *picks.PRICE, places=2).alias("p"),
+    )
+    row = numbers.agg(F.min("m"), F.max("m"), F.min("p"), F.max("p"), F.countDistinct("p")).first()
+    assert tuple(row) == (15, 65, 80.0, 1800.0, 172_001)
+
+
+def test_picks_take_any_key(spark, settings):
+    settings(spark__sql__ansi__enabled="true")
+    rows = spark.createDataFrame([(2**63 - 1,), (-(2**63),)], "k BIGINT")
+    k = F.col("k")
+    rows.select(
+        picks.uniform_pick(k, picks.RESTAURANTS), picks.bounded_real(k, *picks.PRICE, places=2),
+        picks.menu_items(k, F.lit("Italian")), picks.one_in(k, 10),
+    ).collect()

@@ -1,0 +1,42 @@
+"""Options of Kafka topics; there is no broker to try them on."""
+
+import pytest
+
+from tiffinlake import cli
+from tiffinlake.sources import kafka
+
+
+def test_source_options():
+    assert kafka.source_options("b:9092", "raw") == {
+        "kafka.bootstrap.servers": "b:9092",
+        "subscribe": "raw",
+        "startingOffsets": "latest",
+        "failOnDataLoss": "false",
+    }
+
+
+def test_source_options_of_the_table():
+    options = kafka.source_options(
+        "b:9092", "processed", starting_offsets="earliest", max_offsets_per_trigger=10**6, min_partitions=400,
+        security__protocol="SSL",
+    )
+    assert options["startingOffsets"] == "earliest"
+    assert options["maxOffsetsPerTrigger"] == "1000000"
+    assert options["minPartitions"] == "400"
+    assert options["kafka.security.protocol"] == "SSL"
+
+
+def test_sink_options():
+    assert kafka.sink_options("b:9092", "raw") == {
+        "kafka.bootstrap.servers": "b:9092",
+        "topic": "raw",
+        "kafka.acks": "all",
+        "kafka.retries": "3",
+    }
+
+
+def test_places():
+    assert cli.kafka_place("/data/raw") is None
+    assert cli.kafka_place("kafka:a:1,b:2/raw") == {"servers": "a:1,b:2", "topic": "raw"}
+    with pytest.raises(ValueError):
+        cli.kafka_place("kafka:raw")

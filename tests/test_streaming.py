@@ -1,0 +1,166 @@
+"""Streams give what a batch gives, once, whatever the batches are."""
+
+import glob
+
+import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
+
+from tiffinlake import schema
+from tiffinlake.operators import table
+from tiffinlake.operators.codec import decode, encode
+from tiffinlake.operators.enrich import enrich
+from tiffinlake.plans import registry, reports
+from tiffinlake.sources import files
+from tiffinlake.sources import orders as src
+from tiffinlake.streaming import jobs
+
+
+@pytest.fixture(scope="module")
+def raw(spark, small, tmp_path_factory):
+    """All orders as messages, in five files."""
+    path = str(tmp_path_factory.mktemp("raw") / "topic")
+    files.publish(encode(src.raw_orders(spark, small).repartition(5, "order_id"), keep_nulls=True), path)
+    assert len(glob.glob(f"{path}/*.parquet")) == 5
+    return path
+
+
+@pytest.fixture(scope="module")
+def expected(spark, small):
+    return table.fill_defaults(registry.food_orders(spark, small)).cache()
+
+
+def equal(got, expected):
+    return got.count() == expected.count() and expected.exceptAll(got.select(expected.columns)).count() == 0
+
+
+def to_files(path, **options):
+    return lambda rows: files.stream_writer(rows, path, **options)
+
+
+def test_one_file_per_batch(spark, raw, expected, tmp_path):
+    messages = files.stream_topic(spark, raw, max_files_per_trigger=1)
+    first = jobs.start_enrichment(messages, to_files(f"{tmp_path}/out"), f"{tmp_path}/c1", available_now=True)
+    jobs.run_to_end(first)
+    assert len({p.batchId for p in first.recentProgress}) == 5
+    processed = files.stream_topic(spark, f"{tmp_path}/out", max_files_per_trigger=2)
+    second = jobs.start_ingestion(
+        processed, f"{tmp_path}/table", f"{tmp_path}/c2", max_records_per_file=20, available_now=True
+    )
+    jobs.run_to_end(second)
+    stored = table.read_table(spark, f"{tmp_path}/table")
+    assert equal(stored, expected)
+    assert stored.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 20
+    assert "PartitionFilters: [isnotnull(order_date" in stored.where(
+        "order_date = date'2024-01-05'"
+    )._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bytes_per_batch(spark, raw, tmp_path):
+    messages = files.stream_topic(spark, raw, max_bytes_per_trigger=1)
+    query = jobs.start_enrichment(messages, to_files(f"{tmp_path}/out"), f"{tmp_path}/c", available_now=True)
+    jobs.run_to_end(query)
+    assert files.read_topic(spark, f"{tmp_path}/out").count() == 1000
+
+
+def test_the_stream_neither_shuffles_nor_leaves_the_jvm(spark, raw):
+    plan = jobs.enriched_messages(files.read_topic(spark, raw))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+    assert plan.count("from_json") == 1
+
+
+def test_restart_takes_only_what_is_new(spark, raw, expected, tmp_path):
+    topic = f"{tmp_path}/raw"
+    counts = []
+    for share in ("price < 600", "price >= 600 and price < 1000", "price >= 1000"):
+        part = decode(files.read_topic(spark, raw)).where(share)
+        files.publish(encode(part), topic)
+        query = jobs.start_enrichment(
+            files.stream_topic(spark, topic), to_files(f"{tmp_path}/out"), f"{tmp_path}/c", available_now=True
+        )
+        jobs.run_to_end(query)
+        assert sum(p.numInputRows for p in query.recentProgress) == part.count()
+        counts.append(files.read_topic(spark, f"{tmp_path}/out").count())
+    assert counts == sorted(set(counts)) and counts[-1] == 1000
+    assert equal(table.conform(files.read_topic(spark, f"{tmp_path}/out")), expected)
+
+
+def test_a_failed_batch_is_repeated_and_counts_once(spark, raw, expected, tmp_path):
+    """The job dies in the middle of a batch; started again, it goes on from there."""
+    checkpoint, out = f"{tmp_path}/c", f"{tmp_path}/out"
+    messages = files.stream_topic(spark, raw, max_files_per_trigger=1)
+    orders = enrich(decode(messages))
+    lost = F.raise_error(F.lit("lost")).cast("string")
+    hit = F.col("order_id") == "ord-0000000500"
+    failing = orders.withColumn("status", F.when(hit, lost).otherwise(F.col("status")))
+    query = jobs.start(files.stream_writer(encode(failing), out), checkpoint, available_now=True)
+    with pytest.raises(StreamingQueryException):
+        jobs.run_to_end(query)
+    partial = files.read_topic(spark, out).count() if glob.glob(f"{out}/_spark_metadata/*") else 0
+    assert partial < 1000
+    again = jobs.start_enrichment(messages, to_files(out), checkpoint, available_now=True)
+    jobs.run_to_end(again)
+    assert equal(table.conform(files.read_topic(spark, out)), expected)
+
+
+@pytest.mark.parametrize("mode", ["update", "complete"])
+def test_running_totals(spark, raw, expected, tmp_path, mode):
+    messages = files.stream_topic(spark, raw, max_files_per_trigger=1)
+    query = jobs.start_live(
+        reports.running_totals(decode(messages)), f"{tmp_path}/out", f"{tmp_path}/c", mode, available_now=True
+    )
+    jobs.run_to_end(query)
+    assert len(glob.glob(f"{tmp_path}/out/slot=*")) == jobs.LIVE_SLOTS
+    assert jobs.read_live(spark, f"{tmp_path}/out").collect() == reports.totals(expected).collect()
+
+
+def test_live_reports_sorted_and_limited(spark, raw, expected, tmp_path):
+    orders = decode(files.stream_topic(spark, raw, max_files_per_trigger=2))
+    query = jobs.start_live(
+        reports.city_revenue(orders), f"{tmp_path}/out", f"{tmp_path}/c", "complete", available_now=True
+    )
+    jobs.run_to_end(query)
+    got = jobs.read_live(spark, f"{tmp_path}/out").collect()
+    assert sorted(got) == sorted(reports.city_revenue(expected).collect())
+
+
+def test_odd_messages_do_not_stop_the_job(spark, tmp_path):
+    payloads = ["not json", "", None, "[1]", '{"order_id":"x","timestamp":9223372036854775807,"quantity":0,"price":1}']
+    rows = [(None, None if p is None else bytearray(p.encode())) for p in payloads]
+    files.publish(spark.createDataFrame(rows, schema.MESSAGE), f"{tmp_path}/raw")
+    registry.enrich_topic(spark, f"{tmp_path}/raw", f"{tmp_path}/out", f"{tmp_path}/c1")
+    registry.ingest_topic(spark, f"{tmp_path}/out", f"{tmp_path}/table", f"{tmp_path}/c2")
+    stored = table.read_table(spark, f"{tmp_path}/table")
+    assert stored.count() == 5
+    assert stored.where("order_date is null").count() == 5
+    assert stored.where("order_id = 'x' and price_per_item = 0 and order_value_category = 'Budget'").count() == 1
+
+
+def test_a_streamed_table_keeps_its_files(spark, raw, tmp_path):
+    registry.enrich_topic(spark, raw, f"{tmp_path}/out", f"{tmp_path}/c1")
+    registry.ingest_topic(spark, f"{tmp_path}/out", f"{tmp_path}/table", f"{tmp_path}/c2")
+    with pytest.raises(ValueError, match="stream"):
+        table.drop_expired(spark, f"{tmp_path}/table", 2**50)
+
+
+def test_retention_option_reaches_the_sink(spark, raw, tmp_path):
+    query = jobs.start_ingestion(
+        jobs.enriched_messages(files.stream_topic(spark, raw)), f"{tmp_path}/table", f"{tmp_path}/c",
+        retention="1d", available_now=True,
+    )
+    jobs.run_to_end(query)
+    assert table.read_table(spark, f"{tmp_path}/table").count() == 1000
+
+
+def test_triggers(spark, raw, tmp_path):
+    """Without `available_now` a query goes on until it is stopped."""
+    query = jobs.start_enrichment(
+        files.stream_topic(spark, raw), to_files(f"{tmp_path}/out"), f"{tmp_path}/c", interval="1 second", name="enrichment"
+    )
+    try:
+        query.processAllAvailable()
+        assert query.isActive and query.name == "enrichment"
+    finally:
+        query.stop()
+    assert not query.isActive
+    assert files.read_topic(spark, f"{tmp_path}/out").count() == 1000

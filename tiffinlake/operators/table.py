@@ -117,7 +117,8 @@ def drop_expired(spark: SparkSession, path: str, as_of_ms: int, days: int = 1) -
     its older rows. A table written by a stream lists its files in a log of
     its own; give its sink a `retention` instead.
     """
-    cutoff = datetime.date(1970, 1, 1) + datetime.timedelta(days=(as_of_ms - days * MS_PER_DAY) // MS_PER_DAY)
+    epoch = datetime.date(1970, 1, 1)
+    first_kept_day = as_of_ms // MS_PER_DAY - days
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -128,7 +129,7 @@ def drop_expired(spark: SparkSession, path: str, as_of_ms: int, days: int = 1) -
         column, _, value = status.getPath().getName().partition("=")
         if column != schema.PARTITION_COLUMN or value.startswith("__"):
             continue
-        if datetime.date.fromisoformat(value) < cutoff:
+        if (datetime.date.fromisoformat(value) - epoch).days < first_kept_day:
             fs.delete(status.getPath(), True)
             dropped.append(value)
     return sorted(dropped)

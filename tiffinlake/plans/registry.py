@@ -393,3 +393,8 @@ def live_totals(spark, folder):
 @register
 def live_city_revenue(spark, folder):
     return _live(spark, folder, "live-city", reports.by_city, "complete")
+
+
+@register
+def live_cuisine_orders(spark, folder):
+    return _live(spark, folder, "live-cuisine", reports.cuisine_popularity, "complete")

@@ -24,7 +24,7 @@ def stream_topic(
     spark: SparkSession,
     path: str,
     max_files_per_trigger: int | None = None,
-    max_bytes_per_trigger: str | None = None,
+    max_bytes_per_trigger: int | None = None,
 ) -> DataFrame:
     """Messages of the files in `path`, and of those that are added to it."""
     reader = spark.readStream.schema(schema.MESSAGE)
@@ -44,7 +44,7 @@ def stream_writer(
 ) -> DataStreamWriter:
     """A writer of Parquet files, each row exactly once.
 
-    `retention` (such as "1 day") drops files from the table that were
+    `retention` (such as "1d") drops files from the table that were
     committed longer ago than that.
     """
     writer = rows.writeStream.format("parquet").outputMode("append").option("path", path)
