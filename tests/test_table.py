@@ -23,7 +23,7 @@ def orders(spark, small):
 @pytest.fixture(scope="module")
 def path(orders, tmp_path_factory):
     place = str(tmp_path_factory.mktemp("table") / "food_orders")
-    table.write_table(orders, place)
+    table.write_table(orders.repartition(8), place, rebalance=True)
     return place
 
 
@@ -64,7 +64,7 @@ def test_a_date_with_most_rows_is_split(spark, settings, tmp_path):
     rows = spark.range(0, 300_000, numPartitions=8).select(
         F.col("id").cast("string").alias("order_id"), (day * MS_PER_DAY).alias("timestamp"), F.lit("x").alias("city")
     )
-    table.write_table(rows, str(tmp_path / "t"))
+    table.write_table(rows, str(tmp_path / "t"), rebalance=True)
     hot, every = (len(glob.glob(f"{tmp_path}/t/order_date={d}/*.parquet")) for d in ("1970-01-01", "*"))
     assert hot >= 3
     assert every < 30 * 8 / 2  # a plain write would have each of 8 tasks write each of 30 dates

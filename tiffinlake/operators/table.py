@@ -63,23 +63,24 @@ def write_table(
     rows: DataFrame,
     path: str,
     mode: str = "append",
+    rebalance: bool = False,
     max_records_per_file: int | None = None,
     bloom_columns: tuple[str, ...] = (),
 ) -> None:
     """Rows to Parquet, one directory per UTC date.
 
-    `rebalance` lets AQE size the files: small dates are merged into one task
-    and a date that holds most rows is split over many. Sorting within a task
-    gives narrow row-group statistics on the columns the table is filtered by.
+    Rows in time order need no shuffle: each task holds a few dates and writes
+    a file for each. Rows in any order would leave a file per task and date;
+    `rebalance` then lets AQE gather small dates in one task and split a date
+    that holds most rows over many. Sorting within a task gives narrow
+    row-group statistics on the columns the table is filtered by.
     """
     dated = with_partition(rows)
     indexed = [c for c in schema.INDEXED_COLUMNS if c in dated.columns]
-    writer = (
-        dated.hint("rebalance", schema.PARTITION_COLUMN)
-        .sortWithinPartitions(schema.PARTITION_COLUMN, *indexed)
-        .write.mode(mode)
-        .partitionBy(schema.PARTITION_COLUMN)
-    )
+    if rebalance:
+        dated = dated.hint("rebalance", schema.PARTITION_COLUMN)
+    ordered = dated.sortWithinPartitions(schema.PARTITION_COLUMN, *indexed)
+    writer = ordered.write.mode(mode).partitionBy(schema.PARTITION_COLUMN)
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     for column in bloom_columns:

@@ -92,10 +92,11 @@ def q9_last_24h(spark, folder):
 @register
 def q10_high_value_orders(spark, folder):
     """Cut to the ten dearest first: the joins then see ten orders only."""
-    own = ["order_id", "price", "status", "rating", "restaurant_key", "customer_key"]
-    orders = enrich(src.event_orders(spark, folder, own), only=["is_high_value"])
-    dearest = src.with_restaurants(reports.dearest_delivered(orders), spark, folder)
-    return reports.high_value_orders(src.with_customers(dearest, spark, folder))
+    own = src.computed(["order_id", "price", "status", "rating"])
+    orders = enrich(src.read(spark, folder, "events").select("event_id", "user_id", *own), only=["is_high_value"])
+    dearest = src.with_customers(reports.dearest_delivered(orders), spark, folder)
+    named = src.with_restaurants(dearest, spark, folder)
+    return reports.high_value_orders(named.select("*", *src.computed(["restaurant_name", "city", "cuisine"])))
 
 
 ADHOC = """
@@ -204,19 +205,26 @@ def derive_items(spark, folder):
 _topics: dict[tuple[str, str, str], str] = {}
 
 
-def _topic(spark: SparkSession, folder: str, name: str, messages: Callable[[], DataFrame]) -> str:
-    """Publish `messages` once per application and folder of tables."""
-    place = (spark.sparkContext.applicationId, folder, name)
-    if place not in _topics:
-        path = scratch_dir(spark, name)
-        files.publish(messages(), path)
-        _topics[place] = path
-    return _topics[place]
+def _publish(spark: SparkSession, folder: str, name: str, messages: DataFrame) -> str:
+    """Publish messages to a new topic, for later queries to find."""
+    path = scratch_dir(spark, name)
+    files.publish(messages, path)
+    _topics[spark.sparkContext.applicationId, folder, name] = path
+    return path
 
 
-def raw_topic(spark: SparkSession, folder: str) -> str:
+def _published(spark: SparkSession, folder: str, name: str) -> str | None:
+    return _topics.get((spark.sparkContext.applicationId, folder, name))
+
+
+def publish_orders(spark: SparkSession, folder: str) -> str:
     """All orders as messages; null fields are written, as a producer would."""
-    return _topic(spark, folder, "raw", lambda: encode(src.raw_orders(spark, folder), keep_nulls=True))
+    return _publish(spark, folder, "raw", encode(src.raw_orders(spark, folder), keep_nulls=True))
+
+
+def raw_topic(spark: SparkSession, folder: str) -> str:
+    """Published once per application and folder of tables."""
+    return _published(spark, folder, "raw") or publish_orders(spark, folder)
 
 
 def damaged(value: Column, event_id: Column) -> Column:
@@ -240,26 +248,29 @@ def damaged(value: Column, event_id: Column) -> Column:
 
 
 def damaged_topic(spark: SparkSession, folder: str) -> str:
-    """All orders as messages, those of 'error' events damaged."""
+    """All orders as messages, those of cancelled orders damaged."""
+    published = _published(spark, folder, "damaged")
+    if published:
+        return published
+    event_id = F.substring("order_id", 5, 20).cast("bigint")
+    text = F.to_json(F.struct("*"))
+    value = F.when(F.col("status") == src.OTHER_STATUS, damaged(text, event_id)).otherwise(text)
+    messages = src.raw_orders(spark, folder).select(
+        F.col("order_id").cast("binary").alias("key"), value.cast("binary").alias("value")
+    )
+    return _publish(spark, folder, "damaged", messages)
 
-    def messages() -> DataFrame:
-        orders = src.raw_orders(spark, folder)
-        event_id = F.substring("order_id", 5, 20).cast("bigint")
-        text = F.to_json(F.struct("*"))
-        value = F.when(F.col("status") == src.OTHER_STATUS, damaged(text, event_id)).otherwise(text)
-        return orders.select(F.col("order_id").cast("binary").alias("key"), value.cast("binary").alias("value"))
 
-    return _topic(spark, folder, "damaged", messages)
+def _with_key(messages: DataFrame, ddl: str) -> DataFrame:
+    """Key and content of messages."""
+    content = F.from_json(F.col("value").cast("string"), ddl)
+    return messages.select(F.col("key").cast("string").alias("key"), content.alias("m")).select("key", "m.*")
 
 
 @register
 def publish_batch(spark, folder):
-    """Key and content of the published messages."""
-    path = scratch_dir(spark, "publish")
-    files.publish(encode(src.raw_orders(spark, folder), keep_nulls=True), path)
-    messages = files.read_topic(spark, path)
-    content = F.from_json(F.col("value").cast("string"), schema.RAW_ORDER)
-    return messages.select(F.col("key").cast("string").alias("key"), content.alias("m")).select("key", "m.*")
+    """Publish all orders and read the messages back."""
+    return _with_key(files.read_topic(spark, publish_orders(spark, folder)), schema.RAW_ORDER)
 
 
 @register
@@ -274,12 +285,10 @@ def decode_malformed(spark, folder):
 
 @register
 def encode_envelope(spark, folder):
-    """Key and content of the enriched messages, read back."""
+    """Enriched messages, read back."""
     path = scratch_dir(spark, "envelope")
     files.publish(encode(food_orders(spark, folder)), path)
-    messages = files.read_topic(spark, path)
-    content = F.from_json(F.col("value").cast("string"), schema.FOOD_ORDERS)
-    return messages.select(F.col("key").cast("string").alias("key"), content.alias("m")).select("key", "m.*")
+    return _with_key(files.read_topic(spark, path), schema.FOOD_ORDERS)
 
 
 # --- the table ---------------------------------------------------------------
@@ -299,7 +308,7 @@ def retention_1d(spark, folder):
 
 
 def stored_table(spark: SparkSession, folder: str) -> str:
-    """The enriched orders as a partitioned table."""
+    """The enriched orders as a partitioned table; events come in time order."""
     path = scratch_dir(spark, "table")
     table.write_table(table.fill_defaults(food_orders(spark, folder)), path)
     return path
@@ -327,11 +336,19 @@ def table_expire(spark, folder):
 
 # --- streams -----------------------------------------------------------------
 
+# A micro-batch takes no more than this, so that a job that dies after hours
+# has lost one batch and not everything.
+BATCH_BYTES = 1 << 40
+
+
+def _stream(spark: SparkSession, topic: str) -> DataFrame:
+    return files.stream_topic(spark, topic, max_bytes_per_trigger=BATCH_BYTES)
+
 
 def enrich_topic(spark: SparkSession, raw: str, processed: str, checkpoint: str) -> None:
     """Stream what the raw topic holds and the checkpoint has not seen."""
     query = jobs.start_enrichment(
-        files.stream_topic(spark, raw),
+        _stream(spark, raw),
         lambda messages: files.stream_writer(messages, processed),
         checkpoint,
         available_now=True,
@@ -341,7 +358,7 @@ def enrich_topic(spark: SparkSession, raw: str, processed: str, checkpoint: str)
 
 def ingest_topic(spark: SparkSession, processed: str, path: str, checkpoint: str) -> None:
     """Stream what the processed topic holds into the table."""
-    query = jobs.start_ingestion(files.stream_topic(spark, processed), path, checkpoint, available_now=True)
+    query = jobs.start_ingestion(_stream(spark, processed), path, checkpoint, available_now=True)
     jobs.run_to_end(query)
 
 
@@ -379,7 +396,7 @@ def stream_restart(spark, folder):
 
 def _live(spark: SparkSession, folder: str, name: str, report: Callable[[DataFrame], DataFrame], mode: str):
     work = scratch_dir(spark, name)
-    orders = decode(files.stream_topic(spark, raw_topic(spark, folder)))
+    orders = decode(_stream(spark, raw_topic(spark, folder)))
     query = jobs.start_live(report(orders), f"{work}/out", f"{work}/checkpoint", mode, available_now=True)
     jobs.run_to_end(query)
     return jobs.read_live(spark, f"{work}/out")

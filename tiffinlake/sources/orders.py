@@ -64,8 +64,7 @@ def _rating() -> Column:
     return F.when(F.col("event_type") == "purchase", stars)
 
 
-# The columns that an event alone decides.
-EVENT_COLUMNS: dict[str, Callable[[], Column]] = {
+FROM_EVENT: dict[str, Callable[[], Column]] = {
     "order_id": lambda: F.concat(F.lit("ord-"), F.lpad(F.col("event_id").cast("string"), 10, "0")),
     "timestamp": lambda: F.unix_millis("ts"),
     "customer_phone": _phone,
@@ -77,24 +76,27 @@ EVENT_COLUMNS: dict[str, Callable[[], Column]] = {
     "rating": _rating,
     "discount_applied": lambda: picks.one_in(F.col("user_id"), 2),
     "is_first_order": lambda: picks.one_in(F.col("event_id"), picks.FIRST_ORDER_PERCENT),
-    "customer_key": lambda: F.col("user_id"),
-    "restaurant_key": lambda: picks.spread(F.col("event_id"), RESTAURANT_KEYS, multiplier=1),
 }
-CUSTOMER_COLUMNS = {"customer_name": "c_name", "area": "c_mktsegment", "nation_key": "c_nationkey"}
-RESTAURANT_COLUMNS = {"restaurant_name": "p_brand", "cuisine": "p_type", "items": "p_name"}
-
-
-def event_orders(spark: SparkSession, folder: str, columns: Iterable[str]) -> DataFrame:
-    """Orders with some of EVENT_COLUMNS."""
-    return read(spark, folder, "events").select(*(EVENT_COLUMNS[c]().alias(c) for c in columns))
+FROM_CUSTOMER: dict[str, Callable[[], Column]] = {
+    "customer_name": lambda: F.col("c_name"),
+    "city": lambda: F.col("n_name"),
+    "area": lambda: F.col("c_mktsegment"),
+}
+FROM_RESTAURANT: dict[str, Callable[[], Column]] = {
+    "restaurant_name": lambda: F.col("p_brand"),
+    "cuisine": lambda: F.col("p_type"),
+    "items": lambda: F.col("p_name"),
+}
+COLUMNS = FROM_EVENT | FROM_CUSTOMER | FROM_RESTAURANT
 
 
-def _renamed(rows: DataFrame, names: dict[str, str]) -> DataFrame:
-    return rows.select(*(F.col(old).alias(new) for new, old in names.items()))
+def computed(columns: Iterable[str]) -> list[Column]:
+    """Expressions of order columns over events and the joined dimensions."""
+    return [COLUMNS[name]().alias(name) for name in columns]
 
 
-def with_customers(orders: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
-    """Adds name, area and city by `customer_key`.
+def with_customers(events: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Adds the customer and nation of `user_id`.
 
     The customers grow with the data, so there is no broadcast hint: Spark
     broadcasts them while their files are below its size threshold and else
@@ -103,32 +105,32 @@ def with_customers(orders: DataFrame, spark: SparkSession, folder: str) -> DataF
     nations and not to them first, since Spark takes the size of a join for
     the product of its sides and would no longer see how small they are.
     """
-    customer = _renamed(read(spark, folder, "customer"), {"customer_key": "c_custkey"} | CUSTOMER_COLUMNS)
-    nation = _renamed(read(spark, folder, "nation"), {"nation_key": "n_nationkey", "city": "n_name"})
-    return orders.join(customer, "customer_key", "left").join(nation, "nation_key", "left")
+    customer, nation = read(spark, folder, "customer"), read(spark, folder, "nation")
+    placed = events.join(customer, F.col("user_id") == F.col("c_custkey"), "left")
+    return placed.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
 
 
-def with_restaurants(orders: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
-    """Adds name, cuisine and items by `restaurant_key`.
+def with_restaurants(events: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Adds the restaurant of `event_id`.
 
     The broadcast is bounded: `p_partkey` is unique, and only keys below
     RESTAURANT_KEYS can match, however many parts there are.
     """
     part = read(spark, folder, "part").where(F.col("p_partkey").between(0, RESTAURANT_KEYS - 1))
-    restaurants = _renamed(part, {"restaurant_key": "p_partkey"} | RESTAURANT_COLUMNS)
-    return orders.join(F.broadcast(restaurants), "restaurant_key", "left")
+    key = picks.spread(F.col("event_id"), RESTAURANT_KEYS, multiplier=1)
+    return events.join(F.broadcast(part), key == F.col("p_partkey"), "left")
 
 
 def raw_orders(spark: SparkSession, folder: str, columns: Iterable[str] = schema.RAW_COLUMNS) -> DataFrame:
-    """Orders with the columns of a raw order message, or some of them."""
+    """Orders with the columns of a raw order message, or some of them.
+
+    The columns are computed after the joins: if the customers take a shuffle,
+    it moves the short columns of the events and not the long ones of orders.
+    """
     columns = list(columns)
-    by_restaurant = not RESTAURANT_COLUMNS.keys().isdisjoint(columns)
-    by_customer = not {"customer_name", "area", "city"}.isdisjoint(columns)
-    own = [c for c in columns if c in EVENT_COLUMNS]
-    keys = ["restaurant_key"] * by_restaurant + ["customer_key"] * by_customer
-    orders = event_orders(spark, folder, own + keys)
-    if by_restaurant:
-        orders = with_restaurants(orders, spark, folder)
-    if by_customer:
-        orders = with_customers(orders, spark, folder)
-    return orders.select(*columns)
+    rows = read(spark, folder, "events")
+    if not FROM_CUSTOMER.keys().isdisjoint(columns):
+        rows = with_customers(rows, spark, folder)
+    if not FROM_RESTAURANT.keys().isdisjoint(columns):
+        rows = with_restaurants(rows, spark, folder)
+    return rows.select(computed(columns))
