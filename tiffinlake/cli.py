@@ -98,8 +98,8 @@ def ingest(spark: SparkSession, args: argparse.Namespace) -> None:
         args.table,
         args.checkpoint,
         args.dimension_default,
+        args.rebalance,
         args.max_records_per_file,
-        args.retention,
         **_trigger(args),
     )
     jobs.run_to_end(query)
@@ -156,7 +156,7 @@ def parser() -> argparse.ArgumentParser:
     sub = stream(ingest, "table")
     sub.add_argument("--dimension-default", help="what a null dimension is stored as")
     sub.add_argument("--max-records-per-file", type=int)
-    sub.add_argument("--retention", help="drop files committed longer ago, such as 1d")
+    sub.add_argument("--rebalance", action="store_true", help="for messages that are not in time order")
     stream(live, "output").add_argument("name", choices=LIVE)
     command(report, "table").add_argument("name", choices=[*REPORTS, "all"])
     command(sql, "table").add_argument("text")

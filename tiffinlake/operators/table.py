@@ -35,8 +35,8 @@ def conform(messages: DataFrame, dimension_default: str | None = None) -> DataFr
     return fill_defaults(decode(messages, schema.FOOD_ORDERS), dimension_default)
 
 
-def with_partition(rows: DataFrame) -> DataFrame:
-    return rows.withColumn(schema.PARTITION_COLUMN, order_date(F.col(schema.TIME_COLUMN)))
+def with_date(rows: DataFrame) -> DataFrame:
+    return rows.withColumn(schema.DATE_COLUMN, order_date(F.col(schema.TIME_COLUMN)))
 
 
 def newest(rows: DataFrame) -> Column:
@@ -53,8 +53,8 @@ def retain(rows: DataFrame, as_of_ms: int | Column, days: int = 1) -> DataFrame:
     as_of = F.lit(as_of_ms) if isinstance(as_of_ms, int) else as_of_ms
     cutoff = as_of - days * MS_PER_DAY
     kept = rows.where(F.col(schema.TIME_COLUMN) >= cutoff)
-    if schema.PARTITION_COLUMN in rows.columns:
-        date = F.col(schema.PARTITION_COLUMN)
+    if schema.DATE_COLUMN in rows.columns:
+        date = F.col(schema.DATE_COLUMN)
         kept = kept.where(date.isNull() | (date >= order_date(cutoff)))
     return kept
 
@@ -62,12 +62,15 @@ def retain(rows: DataFrame, as_of_ms: int | Column, days: int = 1) -> DataFrame:
 def write_table(
     rows: DataFrame,
     path: str,
-    mode: str = "append",
+    batch: int,
     rebalance: bool = False,
     max_records_per_file: int | None = None,
     bloom_columns: tuple[str, ...] = (),
 ) -> None:
-    """Rows to Parquet, one directory per UTC date.
+    """Add a batch of rows to the table at `path`, as Parquet files by UTC date.
+
+    A batch has a folder of its own, so that writing it again, after a failure
+    or by mistake, replaces it and doubles nothing.
 
     Rows in time order need no shuffle: each task holds a few dates and writes
     a file for each. Rows in any order would leave a file per task and date;
@@ -75,22 +78,23 @@ def write_table(
     that holds most rows over many. Sorting within a task gives narrow
     row-group statistics on the columns the table is filtered by.
     """
-    dated = with_partition(rows)
+    dated = with_date(rows)
     indexed = [c for c in schema.INDEXED_COLUMNS if c in dated.columns]
     if rebalance:
-        dated = dated.hint("rebalance", schema.PARTITION_COLUMN)
-    ordered = dated.sortWithinPartitions(schema.PARTITION_COLUMN, *indexed)
-    writer = ordered.write.mode(mode).partitionBy(schema.PARTITION_COLUMN)
+        dated = dated.hint("rebalance", schema.DATE_COLUMN)
+    ordered = dated.sortWithinPartitions(schema.DATE_COLUMN, *indexed)
+    writer = ordered.write.mode("overwrite").partitionBy(schema.DATE_COLUMN)
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     for column in bloom_columns:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-    writer.parquet(path)
+    writer.parquet(f"{path}/{schema.BATCH_COLUMN}={batch}")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The table at `path`, with its partition column last."""
-    return spark.read.schema(schema.FOOD_ORDERS_ON_DISK).parquet(path)
+    """The table at `path`, with the date of its partitions last."""
+    rows = spark.read.schema(schema.FOOD_ORDERS_ON_DISK).parquet(path)
+    return rows.drop(schema.BATCH_COLUMN)
 
 
 def register_view(rows: DataFrame, name: str = "food_orders") -> None:
@@ -104,33 +108,29 @@ def create_table(spark: SparkSession, path: str, name: str = "food_orders") -> b
         return False
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {name} ({schema.FOOD_ORDERS_ON_DISK}) USING parquet "
-        f"PARTITIONED BY ({schema.PARTITION_COLUMN}) LOCATION '{path}'"
+        f"PARTITIONED BY ({schema.BATCH_COLUMN}, {schema.DATE_COLUMN}) LOCATION '{path}'"
     )
     spark.catalog.recoverPartitions(name)
     return True
 
 
 def drop_expired(spark: SparkSession, path: str, as_of_ms: int, days: int = 1) -> list[str]:
-    """Delete the date directories that lie wholly before the retention period.
+    """Delete the date folders that lie wholly before the retention period.
 
-    For tables written by `write_table`. Only directory names are listed, at
-    most one per day. The day that the cutoff falls into stays: `retain` hides
-    its older rows. A table written by a stream lists its files in a log of
-    its own; give its sink a `retention` instead.
+    Only folder names are listed, those of the batches and dates that are
+    still kept. The day that the cutoff falls into stays: `retain` hides its
+    older rows.
     """
-    epoch = datetime.date(1970, 1, 1)
     first_kept_day = as_of_ms // MS_PER_DAY - days
+    epoch = datetime.date(1970, 1, 1)
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(jvm.org.apache.hadoop.fs.Path(root, "_spark_metadata")):
-        raise ValueError(f"{path} is written by a stream: set the retention of its sink")
-    dropped = []
-    for status in fs.listStatus(root):
-        column, _, value = status.getPath().getName().partition("=")
-        if column != schema.PARTITION_COLUMN or value.startswith("__"):
-            continue
-        if (datetime.date.fromisoformat(value) - epoch).days < first_kept_day:
+    folders = jvm.org.apache.hadoop.fs.Path(path, f"{schema.BATCH_COLUMN}=*/{schema.DATE_COLUMN}=*")
+    fs = folders.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    dropped = set()
+    for status in fs.globStatus(folders):
+        value = status.getPath().getName().removeprefix(f"{schema.DATE_COLUMN}=")
+        undated = value.startswith("__")
+        if not undated and (datetime.date.fromisoformat(value) - epoch).days < first_kept_day:
             fs.delete(status.getPath(), True)
-            dropped.append(value)
+            dropped.add(value)
     return sorted(dropped)

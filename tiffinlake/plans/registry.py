@@ -185,9 +185,9 @@ def derive_picks(spark, folder):
 
 @register
 def derive_weighted_category(spark, folder):
-    return src.read(spark, folder, "events").select(
+    return src.with_percentile(src.read(spark, folder, "events")).select(
         "event_id",
-        picks.weighted_pick(src.payment_percentile(), picks.PAYMENT_PERCENT).alias("payment_method"),
+        picks.weighted_pick(F.col("percentile"), picks.PAYMENT_PERCENT).alias("payment_method"),
         picks.weighted_pick(picks.spread(F.col("event_id"), 100), picks.STATUS_PERCENT).alias("status"),
     )
 
@@ -310,7 +310,7 @@ def retention_1d(spark, folder):
 def stored_table(spark: SparkSession, folder: str) -> str:
     """The enriched orders as a partitioned table; events come in time order."""
     path = scratch_dir(spark, "table")
-    table.write_table(table.fill_defaults(food_orders(spark, folder)), path)
+    table.write_table(table.fill_defaults(food_orders(spark, folder)), path, batch=0)
     return path
 
 
@@ -363,7 +363,7 @@ def ingest_topic(spark: SparkSession, processed: str, path: str, checkpoint: str
 
 
 def _table_rows(spark: SparkSession, path: str) -> DataFrame:
-    return table.read_table(spark, path).drop(schema.PARTITION_COLUMN)
+    return table.read_table(spark, path).drop(schema.DATE_COLUMN)
 
 
 @register

@@ -46,9 +46,11 @@ TIME_COLUMN = "timestamp"  # epoch milliseconds
 # The columns the table is meant to be filtered by.
 INDEXED_COLUMNS = ("city", "cuisine", "status", "payment_method", "order_value_category")
 
-# The partition column of the table on disk: UTC date of TIME_COLUMN.
-PARTITION_COLUMN = "order_date"
-FOOD_ORDERS_ON_DISK = f"{FOOD_ORDERS}, {PARTITION_COLUMN} DATE"
+# The partition columns of the table on disk: the batch that wrote a row, and
+# the UTC date of its time.
+BATCH_COLUMN = "batch"
+DATE_COLUMN = "order_date"
+FOOD_ORDERS_ON_DISK = f"{FOOD_ORDERS}, {BATCH_COLUMN} BIGINT, {DATE_COLUMN} DATE"
 
 # A topic: what a message log holds, whether it is Kafka or a directory.
 MESSAGE = "key BINARY, value BINARY"

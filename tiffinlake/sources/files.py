@@ -35,23 +35,11 @@ def stream_topic(
     return reader.parquet(path)
 
 
-def stream_writer(
-    rows: DataFrame,
-    path: str,
-    partition_by: str | None = None,
-    max_records_per_file: int | None = None,
-    retention: str | None = None,
-) -> DataStreamWriter:
-    """A writer of Parquet files, each row exactly once.
-
-    `retention` (such as "1d") drops files from the table that were
-    committed longer ago than that.
+def stream_writer(messages: DataFrame, path: str, retention: str | None = None) -> DataStreamWriter:
+    """A writer that adds a stream of messages to a topic, each exactly once.
+
+    `retention` (such as "2h") hides files from readers that were committed
+    longer ago than that.
     """
-    writer = rows.writeStream.format("parquet").outputMode("append").option("path", path)
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    if max_records_per_file:
-        writer = writer.option("maxRecordsPerFile", max_records_per_file)
-    if retention:
-        writer = writer.option("retention", retention)
-    return writer
+    writer = messages.writeStream.format("parquet").outputMode("append").option("path", path)
+    return writer.option("retention", retention) if retention else writer

@@ -42,9 +42,13 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def payment_percentile() -> Column:
-    """The number from 0 to 99 in the properties of an event."""
-    return F.get_json_object("props", "$.k").try_cast("int")
+def with_percentile(events: DataFrame) -> DataFrame:
+    """Adds the number from 0 to 99 in the properties of an event.
+
+    As a column of its own it is parsed once, and not by every branch of a
+    case that compares it.
+    """
+    return events.withColumn("percentile", F.get_json_object("props", "$.k").try_cast("int"))
 
 
 def _phone() -> Column:
@@ -71,7 +75,7 @@ FROM_EVENT: dict[str, Callable[[], Column]] = {
     "quantity": lambda: picks.bounded_int(F.col("event_id"), *picks.QUANTITY),
     "price": lambda: picks.bounded_real(F.col("event_id"), *picks.PRICE, places=2),
     "status": _status,
-    "payment_method": lambda: picks.weighted_pick(payment_percentile(), picks.PAYMENT_PERCENT),
+    "payment_method": lambda: picks.weighted_pick(F.col("percentile"), picks.PAYMENT_PERCENT),
     "delivery_time_mins": lambda: picks.bounded_int(F.col("event_id"), *picks.DELIVERY_MINUTES),
     "rating": _rating,
     "discount_applied": lambda: picks.one_in(F.col("user_id"), 2),
@@ -129,6 +133,8 @@ def raw_orders(spark: SparkSession, folder: str, columns: Iterable[str] = schema
     """
     columns = list(columns)
     rows = read(spark, folder, "events")
+    if "payment_method" in columns:
+        rows = with_percentile(rows)
     if not FROM_CUSTOMER.keys().isdisjoint(columns):
         rows = with_customers(rows, spark, folder)
     if not FROM_RESTAURANT.keys().isdisjoint(columns):

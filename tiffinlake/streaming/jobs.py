@@ -12,11 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from tiffinlake import schema
 from tiffinlake.operators.codec import decode, encode
 from tiffinlake.operators.enrich import enrich
-from tiffinlake.operators.table import conform, with_partition
-from tiffinlake.sources import files
+from tiffinlake.operators.table import conform, write_table
 
 
 def enriched_messages(raw: DataFrame, tz: str = "UTC") -> DataFrame:
@@ -63,18 +61,22 @@ def start_ingestion(
     path: str,
     checkpoint: str,
     dimension_default: str | None = None,
+    rebalance: bool = False,
     max_records_per_file: int | None = None,
-    retention: str | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Processed topic to the table at `path`, one directory per UTC date.
+    """Processed topic to the table at `path`.
 
-    Each batch ends a set of files, so `interval` and `max_records_per_file`
-    are the time and row thresholds of a flush.
+    Each batch is a batch of the table, which a repetition replaces: rows
+    arrive exactly once, without a log of files that grows for ever, and
+    expired days can be deleted while the stream goes on. `interval` and
+    `max_records_per_file` are the time and row thresholds of a flush.
     """
-    rows = with_partition(conform(processed, dimension_default))
-    writer = files.stream_writer(rows, path, schema.PARTITION_COLUMN, max_records_per_file, retention)
-    return start(writer, checkpoint, **trigger)
+
+    def save(rows: DataFrame, batch: int) -> None:
+        write_table(rows, path, batch, rebalance, max_records_per_file)
+
+    return start(conform(processed, dimension_default).writeStream.foreachBatch(save), checkpoint, **trigger)
 
 
 LIVE_SLOTS = 4
