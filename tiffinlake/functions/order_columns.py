@@ -37,12 +37,12 @@ def flag(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
 
-def _div(value: Column, divisor: int) -> Column:
+def div64(value: Column, divisor: int) -> Column:
     """64-bit quotient, cut off toward zero."""
     return F.call_function("div", value, F.lit(divisor).cast("bigint"))
 
 
-def _mod(value: Column, divisor: int) -> Column:
+def mod64(value: Column, divisor: int) -> Column:
     """64-bit remainder, never negative."""
     return F.pmod(value, F.lit(divisor).cast("bigint"))
 
@@ -54,11 +54,11 @@ def hour_of_day(epoch_ms: Column, tz: str = "UTC") -> Column:
     hour is plain integer arithmetic; another zone takes the way over a local
     timestamp and gives null beyond the timestamp range.
     """
-    seconds = _div(epoch_ms, 1000)
-    second_of_day = _mod(seconds, SECONDS_PER_DAY)
+    seconds = div64(epoch_ms, 1000)
+    second_of_day = mod64(seconds, SECONDS_PER_DAY)
     if tz == "UTC":
-        return _div(second_of_day, 3600).cast("int")
-    day = _div(seconds - second_of_day, SECONDS_PER_DAY)
+        return div64(second_of_day, 3600).cast("int")
+    day = div64(seconds - second_of_day, SECONDS_PER_DAY)
     utc = F.date_from_unix_date(day.cast("int")).cast("timestamp_ntz") + F.make_dt_interval(
         secs=second_of_day
     )
@@ -68,7 +68,7 @@ def hour_of_day(epoch_ms: Column, tz: str = "UTC") -> Column:
 
 def order_date(epoch_ms: Column) -> Column:
     """UTC date of an instant; null outside the years 1 to 9999."""
-    day = _div(epoch_ms, MS_PER_DAY) - flag(F.signum(epoch_ms % MS_PER_DAY) < 0)
+    day = div64(epoch_ms, MS_PER_DAY) - flag(F.signum(epoch_ms % MS_PER_DAY) < 0)
     return F.when(day.between(*DAYS_RANGE), F.date_from_unix_date(day.cast("int")))
 
 

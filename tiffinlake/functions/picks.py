@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tiffinlake.functions.order_columns import _div, _mod
+from tiffinlake.functions.order_columns import div64, mod64
 
 # What an order may hold.
 CITIES = (
@@ -48,8 +48,8 @@ FIRST_ORDER_PERCENT = 10
 
 def spread(key: Column, n: int, multiplier: int = 7919) -> Column:
     """`key * multiplier mod n` without leaving 64 bits."""
-    rest, factor = _mod(key, n), multiplier % n
-    return rest if factor == 1 else _mod(rest * F.lit(factor).cast("bigint"), n)
+    rest, factor = mod64(key, n), multiplier % n
+    return rest if factor == 1 else mod64(rest * F.lit(factor).cast("bigint"), n)
 
 
 def uniform_pick(key: Column, values: Sequence[str], multiplier: int = 7919) -> Column:
@@ -70,8 +70,8 @@ def weighted_pick(percentile: Column, percents: dict[str, int]) -> Column:
 
 def sample_joined(key: Column, values: Column, size: int, most: int) -> Column:
     """1 to `most` distinct entries of an array of `size`, as one string."""
-    start = _mod(key, size).cast("int") + 1
-    count = _mod(_div(key, 7), most).cast("int") + 1
+    start = mod64(key, size).cast("int") + 1
+    count = mod64(div64(key, 7), most).cast("int") + 1
     return F.concat_ws(", ", F.slice(F.concat(values, values), start, count))
 
 
@@ -102,4 +102,4 @@ def bounded_real(key: Column, low: float, high: float, places: int, multiplier:
 
 def one_in(key: Column, n: int) -> Column:
     """True for one key in `n`."""
-    return _mod(key, n) == 0
+    return mod64(key, n) == 0

@@ -99,6 +99,7 @@ def q10_high_value_orders(spark, folder):
     return reports.high_value_orders(named.select("*", *src.computed(["restaurant_name", "city", "cuisine"])))
 
 
+# The total in the window is over at most a group per nation and status.
 ADHOC = """
     SELECT city, status, COUNT(*) AS orders,
            ROUND(CAST(COUNT(*) AS DOUBLE) * 100 / SUM(COUNT(*)) OVER (), 2) AS pct,
@@ -394,9 +395,17 @@ def stream_restart(spark, folder):
     return _table_rows(spark, f"{work}/table")
 
 
+# Cities and cuisines are few, and each task sends one partial row of each: a
+# state store per shuffle partition of a large job would be far too many.
+STATE_PARTITIONS = 8
+
+
 def _live(spark: SparkSession, folder: str, name: str, report: Callable[[DataFrame], DataFrame], mode: str):
     work = scratch_dir(spark, name)
-    orders = decode(_stream(spark, raw_topic(spark, folder)))
+    topic = raw_topic(spark, folder)
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", STATE_PARTITIONS)
+    orders = decode(_stream(own, topic))
     query = jobs.start_live(report(orders), f"{work}/out", f"{work}/checkpoint", mode, available_now=True)
     jobs.run_to_end(query)
     return jobs.read_live(spark, f"{work}/out")
