@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tiffinlake.functions import order_columns as oc
 from tiffinlake.functions import picks
+from tiffinlake.sources import orders
 
 EDGES = [0, -1, -1000, -3_599_999, -3_600_000, 253_402_300_799_999, 253_402_300_800_000, 2**63 - 1, -(2**63), None]
 
@@ -113,3 +114,11 @@ def test_picks_take_any_key(spark, settings):
         picks.uniform_pick(k, picks.RESTAURANTS), picks.bounded_real(k, *picks.PRICE, places=2),
         picks.menu_items(k, F.lit("Italian")), picks.one_in(k, 10),
     ).collect()
+
+
+def test_percentile_of_any_properties(spark):
+    texts = ['{"k": 7}', '{"k":99}', '{"a": {"k": 1}, "k": 42}', '{"s": "\\"k\\": 5", "k": 6}', '{ "k" : 8 }',
+             '{"k": "9"}', '{"k": 12345678901}', '{"j": 1}', "no json", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "props STRING")
+    found = [row["percentile"] for row in orders.with_percentile(rows).collect()]
+    assert found == [7, 99, 42, 6, 8, 9, None, None, None, None, None]

@@ -83,7 +83,7 @@ def write_table(
     if rebalance:
         dated = dated.hint("rebalance", schema.DATE_COLUMN)
     ordered = dated.sortWithinPartitions(schema.DATE_COLUMN, *indexed)
-    writer = ordered.write.mode("overwrite").partitionBy(schema.DATE_COLUMN)
+    writer = ordered.write.mode("overwrite").partitionBy(schema.DATE_COLUMN).option("compression", "zstd")
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     for column in bloom_columns:

@@ -309,9 +309,13 @@ def retention_1d(spark, folder):
 
 
 def stored_table(spark: SparkSession, folder: str) -> str:
-    """The enriched orders as a partitioned table; events come in time order."""
+    """The enriched orders as a partitioned table.
+
+    Events come in time order, but joining customers that are too many to
+    broadcast scatters them: so the dates are gathered again.
+    """
     path = scratch_dir(spark, "table")
-    table.write_table(table.fill_defaults(food_orders(spark, folder)), path, batch=0)
+    table.write_table(table.fill_defaults(food_orders(spark, folder)), path, batch=0, rebalance=True)
     return path
 
 
@@ -358,8 +362,8 @@ def enrich_topic(spark: SparkSession, raw: str, processed: str, checkpoint: str)
 
 
 def ingest_topic(spark: SparkSession, processed: str, path: str, checkpoint: str) -> None:
-    """Stream what the processed topic holds into the table."""
-    query = jobs.start_ingestion(_stream(spark, processed), path, checkpoint, available_now=True)
+    """Stream what the processed topic holds into the table, in whatever order it comes."""
+    query = jobs.start_ingestion(_stream(spark, processed), path, checkpoint, rebalance=True, available_now=True)
     jobs.run_to_end(query)
 
 

@@ -12,8 +12,11 @@ from pyspark.sql.streaming import DataStreamWriter
 from tiffinlake import schema
 
 
+COMPRESSION = "zstd"  # JSON text takes half the room that it takes with snappy
+
+
 def publish(messages: DataFrame, path: str, mode: str = "append") -> None:
-    messages.write.mode(mode).parquet(path)
+    messages.write.mode(mode).option("compression", COMPRESSION).parquet(path)
 
 
 def read_topic(spark: SparkSession, path: str) -> DataFrame:
@@ -41,5 +44,6 @@ def stream_writer(messages: DataFrame, path: str, retention: str | None = None)
     `retention` (such as "2h") hides files from readers that were committed
     longer ago than that.
     """
-    writer = messages.writeStream.format("parquet").outputMode("append").option("path", path)
+    writer = messages.writeStream.format("parquet").outputMode("append")
+    writer = writer.option("path", path).option("compression", COMPRESSION)
     return writer.option("retention", retention) if retention else writer
