@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-import oracles
+import tiffinlake_oracles as oracles
 from conftest import TESTDATA, open_duckdb
 from tiffinlake.plans import registry
 

@@ -76,6 +76,17 @@ def test_session_zone_does_not_matter(spark, small, settings):
     assert registry.QUERIES["enrich_full"](spark, small).collect() == expected
 
 
+def test_a_shuffle_moves_events_and_not_orders(spark, small, settings):
+    """What is computed of an event is computed after the customers are joined."""
+    settings(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false")
+    lines = planned(registry.QUERIES["derive_orders"](spark, small)).splitlines()
+    top = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning(user_id" in line)
+    moved = "\n".join(lines[top : top + 3])
+    assert "percentile" in moved and "event_type" in moved
+    for late in ("ord-", "+91", "delivered", "UPI"):
+        assert late not in moved
+
+
 @pytest.fixture(scope="module")
 def skewed(spark, tmp_path_factory):
     """A third of all events belong to one customer, and as many to none."""

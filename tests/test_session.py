@@ -5,7 +5,7 @@ import importlib
 import pytest
 
 import __spark_entry__
-import oracles
+import tiffinlake_oracles as oracles
 from tiffinlake import cli, session
 
 

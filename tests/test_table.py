@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import oracles
+import tiffinlake_oracles as oracles
 from tiffinlake import schema
 from tiffinlake.functions.order_columns import MS_PER_DAY
 from tiffinlake.operators import table

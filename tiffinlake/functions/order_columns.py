@@ -68,7 +68,7 @@ def hour_of_day(epoch_ms: Column, tz: str = "UTC") -> Column:
 
 def order_date(epoch_ms: Column) -> Column:
     """UTC date of an instant; null outside the years 1 to 9999."""
-    day = div64(epoch_ms, MS_PER_DAY) - flag(F.signum(epoch_ms % MS_PER_DAY) < 0)
+    day = div64(epoch_ms, MS_PER_DAY) - flag(epoch_ms % MS_PER_DAY < 0)
     return F.when(day.between(*DAYS_RANGE), F.date_from_unix_date(day.cast("int")))
 
 
