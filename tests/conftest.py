@@ -22,11 +22,13 @@ def spark(tmp_path_factory) -> SparkSession:
     session = build_session(
         "tests",
         "local[8]",
-        spark__ui__enabled="false",
-        spark__sql__shuffle__partitions="8",
-        spark__driver__memory="8g",
-        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
-        spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
+        {
+            "spark.ui.enabled": "false",
+            "spark.sql.shuffle.partitions": "8",
+            "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
@@ -50,9 +52,8 @@ def settings(spark):
     """Change session settings within a test."""
     before = {}
 
-    def change(**conf):
+    def change(conf):
         for key, value in conf.items():
-            key = key.replace("__", ".")
             before.setdefault(key, spark.conf.get(key, None))
             spark.conf.set(key, value)
 

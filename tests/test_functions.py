@@ -32,7 +32,7 @@ def test_hour_equals_calendar_formula(spark, times):
 @pytest.mark.parametrize("session_zone", ["UTC", "America/New_York"])
 @pytest.mark.parametrize("zone", ["UTC", "Asia/Kolkata", "Europe/Berlin"])
 def test_hour_in_a_zone(spark, settings, times, zone, session_zone):
-    settings(spark__sql__session__timeZone=session_zone)
+    settings({"spark.sql.session.timeZone": session_zone})
     rows = times.where(F.col("t").between(0, 4_102_444_800_000)).select("t", oc.hour_of_day(F.col("t"), zone).alias("h"))
     info = zoneinfo.ZoneInfo(zone)
     for row in rows.collect():
@@ -40,7 +40,7 @@ def test_hour_in_a_zone(spark, settings, times, zone, session_zone):
 
 
 def test_no_time_fails_a_job(spark, settings, times):
-    settings(spark__sql__ansi__enabled="true")
+    settings({"spark.sql.ansi.enabled": "true"})
     columns = [oc.hour_of_day(F.col("t")), oc.hour_of_day(F.col("t"), "Asia/Kolkata"), oc.order_date(F.col("t"))]
     rows = {row[0]: row for row in times.select("t", *(c.alias(str(i)) for i, c in enumerate(columns))).collect()}
     assert rows[2**63 - 1][2] is None and rows[2**63 - 1][3] is None
@@ -107,7 +107,7 @@ def test_bounded_numbers_reach_their_bounds(spark):
 
 
 def test_picks_take_any_key(spark, settings):
-    settings(spark__sql__ansi__enabled="true")
+    settings({"spark.sql.ansi.enabled": "true"})
     rows = spark.createDataFrame([(2**63 - 1,), (-(2**63),)], "k BIGINT")
     k = F.col("k")
     rows.select(

@@ -18,7 +18,7 @@ def test_source_options():
 def test_source_options_of_the_table():
     options = kafka.source_options(
         "b:9092", "processed", starting_offsets="earliest", max_offsets_per_trigger=10**6, min_partitions=400,
-        security__protocol="SSL",
+        more={"kafka.security.protocol": "SSL"},
     )
     assert options["startingOffsets"] == "earliest"
     assert options["maxOffsetsPerTrigger"] == "1000000"

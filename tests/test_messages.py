@@ -85,7 +85,7 @@ def messages(spark, *payloads):
 
 @pytest.mark.parametrize("ansi", ["true", "false"])
 def test_decode_and_enrich(spark, settings, ansi):
-    settings(spark__sql__ansi__enabled=ansi)
+    settings({"spark.sql.ansi.enabled": ansi})
     rows = enrich(decode(messages(spark, *(payload for payload, _ in CASES.values())))).collect()
     assert len(rows) == len(CASES)
     for row, (_, expected) in zip(rows, CASES.values()):
@@ -143,7 +143,7 @@ def test_envelope(spark):
 
 
 def test_envelope_does_not_depend_on_the_session(spark, settings):
-    settings(spark__sql__jsonGenerator__ignoreNullFields="false")
+    settings({"spark.sql.jsonGenerator.ignoreNullFields": "false"})
     body = json.loads(bytes(encode(enrich(decode(messages(spark, "{}")))).first()["value"]))
     assert body == ALWAYS
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tiffinlake.plans import registry
+from tiffinlake.sources import orders as src
 
 BATCH = [name for name in registry.QUERIES if re.match(r"q\d|enrich_|derive_|adhoc|status_label|retention", name)]
 
@@ -19,6 +20,12 @@ def planned(rows):
     return rows._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name, key", [("customer", "c_custkey"), ("nation", "n_nationkey"), ("part", "p_partkey")])
+def test_dimension_keys_are_unique(spark, small, name, key):
+    rows = src.read(spark, small, name)
+    assert rows.select(key).distinct().count() == rows.count()
+
+
 @pytest.mark.parametrize("name", BATCH)
 def test_no_product_no_python(spark, small, name):
     plan = planned(registry.QUERIES[name](spark, small))
@@ -72,13 +79,13 @@ def test_top_k_comes_before_the_joins(spark, small):
 
 def test_session_zone_does_not_matter(spark, small, settings):
     expected = registry.QUERIES["enrich_full"](spark, small).collect()
-    settings(spark__sql__session__timeZone="Asia/Kolkata")
+    settings({"spark.sql.session.timeZone": "Asia/Kolkata"})
     assert registry.QUERIES["enrich_full"](spark, small).collect() == expected
 
 
 def test_a_shuffle_moves_events_and_not_orders(spark, small, settings):
     """What is computed of an event is computed after the customers are joined."""
-    settings(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false")
+    settings({"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"})
     lines = planned(registry.QUERIES["derive_orders"](spark, small)).splitlines()
     top = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning(user_id" in line)
     moved = "\n".join(lines[top : top + 3])
@@ -116,11 +123,13 @@ def test_hot_customer_without_broadcast(spark, skewed, settings):
     """Customers too large to broadcast: the hot partition is split, and no row is lost."""
     broadcast = registry.QUERIES["q2_city_revenue"](spark, skewed).collect()
     settings(
-        spark__sql__autoBroadcastJoinThreshold="-1",
-        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
-        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="10KB",
-        spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
-        spark__sql__adaptive__advisoryPartitionSizeInBytes="50KB",
+        {
+            "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+        }
     )
     report = registry.QUERIES["q2_city_revenue"](spark, skewed)
     plan = executed(report)

@@ -60,7 +60,7 @@ def test_one_file_per_small_date(path):
 
 def test_a_date_with_most_rows_is_split(spark, settings, tmp_path):
     """A third of all rows on one date go to several tasks and files."""
-    settings(spark__sql__adaptive__advisoryPartitionSizeInBytes="64KB")
+    settings({"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB"})
     day = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 30)
     rows = spark.range(0, 300_000, numPartitions=8).select(
         F.col("id").cast("string").alias("order_id"), (day * MS_PER_DAY).alias("timestamp"), F.lit("x").alias("city")
@@ -129,14 +129,24 @@ def test_expired_days_are_dropped(spark, orders, tmp_path):
     assert table.drop_expired(spark, place, 1706657176220) == []
 
 
-def test_catalog_table(spark, path):
-    spark.sql("DROP TABLE IF EXISTS stored_orders")
-    assert table.create_table(spark, path, "stored_orders")
-    assert not table.create_table(spark, path, "stored_orders")
+def test_catalog_table(spark, orders, tmp_path):
+    place = str(tmp_path / "t")
+    table.write_table(orders.where("price < 600"), place, 0)
+    assert table.create_table(spark, place, "stored_orders")
+    assert spark.table("stored_orders").count() == orders.where("price < 600").count()
+    table.write_table(orders.where("price >= 600"), place, 1)
+    assert not table.create_table(spark, place, "stored_orders")
     assert spark.table("stored_orders").count() == 1000
     assert spark.sql("SELECT COUNT(*) FROM stored_orders WHERE order_date = '2024-01-05'").first()[0] > 0
     spark.sql("DROP TABLE stored_orders")
-    assert os.path.exists(path)
+    assert os.path.exists(place)
+
+
+def test_a_taken_name_is_left_alone(spark, path):
+    spark.sql("CREATE TABLE taken (a INT) USING parquet")
+    assert not table.create_table(spark, path, "taken")
+    assert spark.table("taken").columns == ["a"]
+    spark.sql("DROP TABLE taken")
 
 
 REPORTS = {

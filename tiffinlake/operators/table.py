@@ -103,15 +103,18 @@ def register_view(rows: DataFrame, name: str = "food_orders") -> None:
 
 
 def create_table(spark: SparkSession, path: str, name: str = "food_orders") -> bool:
-    """Enter the table at `path` in the catalog; False if the name is taken."""
-    if spark.catalog.tableExists(name):
-        return False
+    """Enter the table at `path` in the catalog; False if the name was taken.
+
+    Called again it makes the batches known that were written since.
+    """
+    created = not spark.catalog.tableExists(name)
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {name} ({schema.FOOD_ORDERS_ON_DISK}) USING parquet "
         f"PARTITIONED BY ({schema.BATCH_COLUMN}, {schema.DATE_COLUMN}) LOCATION '{path}'"
     )
-    spark.catalog.recoverPartitions(name)
-    return True
+    if any(column.isPartition for column in spark.catalog.listColumns(name)):
+        spark.catalog.recoverPartitions(name)
+    return created
 
 
 def drop_expired(spark: SparkSession, path: str, as_of_ms: int, days: int = 1) -> list[str]:

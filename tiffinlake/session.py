@@ -21,13 +21,14 @@ DEFAULTS = {
 }
 
 
-def build_session(app_name: str = "tiffinlake", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the library's settings; `conf` keys use `__` for a dot."""
+def build_session(
+    app_name: str = "tiffinlake", master: str | None = None, conf: dict[str, str] | None = None
+) -> SparkSession:
+    """A session with the library's settings and those of `conf`."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    settings = DEFAULTS | {key.replace("__", "."): value for key, value in conf.items()}
-    for key, value in settings.items():
+    for key, value in (DEFAULTS | (conf or {})).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

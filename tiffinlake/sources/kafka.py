@@ -17,9 +17,9 @@ def source_options(
     fail_on_data_loss: bool = False,
     max_offsets_per_trigger: int | None = None,
     min_partitions: int | None = None,
-    **kafka: str,
+    more: dict[str, str] | None = None,
 ) -> dict[str, str]:
-    """Reader options; further keywords become `kafka.*`, `__` read as a dot.
+    """Reader options; `more` holds any others, such as `kafka.security.protocol`.
 
     `max_offsets_per_trigger` bounds a micro-batch after a long pause, and
     `min_partitions` splits a topic partition that holds most of the messages.
@@ -32,18 +32,18 @@ def source_options(
         "maxOffsetsPerTrigger": max_offsets_per_trigger,
         "minPartitions": min_partitions,
     }
-    return _texts(options, kafka)
+    return _texts(options | (more or {}))
 
 
-def sink_options(servers: str, topic: str, acks: str = "all", retries: int = 3, **kafka: str) -> dict[str, str]:
+def sink_options(
+    servers: str, topic: str, acks: str = "all", retries: int = 3, more: dict[str, str] | None = None
+) -> dict[str, str]:
     """Writer options, with acknowledgement by every replica."""
-    return _texts(
-        {"kafka.bootstrap.servers": servers, "topic": topic, "kafka.acks": acks, "kafka.retries": retries}, kafka
-    )
+    options = {"kafka.bootstrap.servers": servers, "topic": topic, "kafka.acks": acks, "kafka.retries": retries}
+    return _texts(options | (more or {}))
 
 
-def _texts(options: dict, kafka: dict) -> dict[str, str]:
-    options = options | {f"kafka.{name.replace('__', '.')}": value for name, value in kafka.items()}
+def _texts(options: dict) -> dict[str, str]:
     return {name: str(value) for name, value in options.items() if value is not None}
 
 
