@@ -40,3 +40,55 @@ def test_places():
     assert cli.kafka_place("kafka:a:1,b:2/raw") == {"servers": "a:1,b:2", "topic": "raw"}
     with pytest.raises(ValueError):
         cli.kafka_place("kafka:raw")
+
+
+class Recorder:
+    """Stands in for a session, a reader or a writer, and notes what it is told."""
+
+    def __init__(self):
+        self.told = {}
+
+    def __getattr__(self, name):
+        if name in ("readStream", "read", "writeStream", "write"):
+            self.told["way"] = name
+            return self
+
+        def call(*args, **kwargs):
+            self.told[name] = kwargs or (args[0] if args else True)
+            return self
+
+        return call
+
+
+PLACE = {"servers": "b:9092", "topic": "t"}
+
+
+@pytest.mark.parametrize(
+    "step, way, options, done",
+    [
+        (kafka.stream_topic, "readStream", kafka.source_options(**PLACE), "load"),
+        (kafka.read_topic, "read", kafka.source_options(**PLACE, starting_offsets="earliest"), "load"),
+        (kafka.publish, "write", kafka.sink_options(**PLACE), "save"),
+        (kafka.stream_writer, "writeStream", kafka.sink_options(**PLACE), "outputMode"),
+    ],
+)
+def test_options_reach_reader_and_writer(step, way, options, done):
+    recorder = Recorder()
+    step(recorder, **PLACE)
+    assert recorder.told["way"] == way and recorder.told["format"] == "kafka"
+    assert recorder.told["options"] == options and done in recorder.told
+
+
+@pytest.mark.parametrize("command, offsets", [("enrich", "latest"), ("ingest", "earliest")])
+def test_jobs_start_where_they_should(monkeypatch, command, offsets):
+    """The enrichment takes what is new, the table everything there is."""
+    seen = {}
+
+    def stream_topic(spark, **options):
+        seen.update(options)
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(kafka, "stream_topic", stream_topic)
+    target = ["--output", "kafka:b:9092/out"] if command == "enrich" else ["--table", "/t"]
+    cli.main([command, "--input", "kafka:b:9092/in", "--checkpoint", "/c", *target], Recorder())
+    assert seen == {"servers": "b:9092", "topic": "in", "starting_offsets": offsets}

@@ -129,6 +129,14 @@ def enrich_peak(spark, folder):
     return food_orders(spark, folder, ["order_id", "is_peak_hour"])
 
 
+@register
+def enrich_local_hours(spark, folder):
+    """The hour, and with it the peak, where the orders are placed and not in UTC."""
+    orders = src.raw_orders(spark, folder, ["order_id", "timestamp"])
+    local = enrich(orders, tz="Asia/Kolkata", only=["hour_of_day", "is_peak_hour"])
+    return local.select("order_id", "hour_of_day", "is_peak_hour")
+
+
 @register
 def enrich_value_category(spark, folder):
     return food_orders(spark, folder, ["order_id", "order_value_category"])

@@ -172,6 +172,9 @@ SQL = {name: f"{ORDERS} SELECT * FROM ({text})" for name, text in REPORTS.items(
     "live_cuisine_orders": f"{ORDERS} SELECT * FROM ({REPORTS['q3_cuisine_popularity']})",
     "enrich_hour": _column("hour_of_day"),
     "enrich_peak": _column("is_peak_hour"),
+    "enrich_local_hours": f"""
+        WITH {RAW}, {enriched('raw', 'food_orders', 'hour(ts + INTERVAL 330 MINUTE)')}
+        SELECT order_id, hour_of_day, is_peak_hour FROM food_orders""",
     "enrich_value_category": _column("order_value_category"),
     "enrich_price_per_item": _column("price_per_item"),
     "enrich_high_value": _column("is_high_value"),
