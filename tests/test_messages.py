@@ -151,6 +151,9 @@ def test_envelope_does_not_depend_on_the_session(spark, settings):
 def test_only_the_columns_read_are_parsed(spark, tmp_path):
     path = str(tmp_path / "raw")
     files.publish(messages(spark, CASES["plain"][0]), path)
+    some = decode(files.read_topic(spark, path), columns=["price", "city"])
+    assert some.columns == ["city", "price"]
+    assert "customer_name" not in some._jdf.queryExecution().optimizedPlan().toString()
     plan = decode(files.read_topic(spark, path)).select("price")._jdf.queryExecution().optimizedPlan().toString()
     assert "StructField(price,FloatType" in plan
     assert "customer_name" not in plan

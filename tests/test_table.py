@@ -174,6 +174,11 @@ def stored_source():
     return f"{TESTDATA}/sf0.001"
 
 
+@pytest.mark.parametrize("report", reports.READS)
+def test_reports_read_what_they_say(stored, report):
+    assert report(stored.select(*reports.READS[report])).columns == report(stored).columns
+
+
 def test_share_as_a_window_in_sql(spark, stored):
     text = """SELECT status, COUNT(*) AS count,
                      ROUND(CAST(COUNT(*) AS DOUBLE) * 100 / SUM(COUNT(*)) OVER (), 2) AS pct

@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 from tiffinlake.operators import table
-from tiffinlake.operators.codec import decode, encode
-from tiffinlake.operators.enrich import enrich as enriched
+from tiffinlake.operators.codec import encode
 from tiffinlake.plans import reports
 from tiffinlake.plans.sql import run_sql
 from tiffinlake.session import build_session
@@ -109,8 +108,8 @@ def live(spark: SparkSession, args: argparse.Namespace) -> None:
     """A report kept up to date over the raw topic."""
     report, mode = LIVE[args.name]
     raw = stream_from(spark, args.input, args.offsets or "latest")
-    stream = enriched(decode(raw), args.tz)
-    jobs.run_to_end(jobs.start_live(report(stream), args.output, args.checkpoint, mode, **_trigger(args)))
+    orders_now = jobs.live_orders(raw, reports.READS[report], args.tz)
+    jobs.run_to_end(jobs.start_live(report(orders_now), args.output, args.checkpoint, mode, **_trigger(args)))
 
 
 def report(spark: SparkSession, args: argparse.Namespace) -> None:

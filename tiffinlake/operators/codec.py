@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiffinlake import schema
 
 
-def decode(messages: DataFrame, ddl: str = schema.RAW_ORDER) -> DataFrame:
-    """One row per message, with the columns of `ddl`.
+def decode(messages: DataFrame, ddl: str = schema.RAW_ORDER, columns: Collection[str] | None = None) -> DataFrame:
+    """One row per message, with the columns of `ddl` or some of them.
+
+    Who reads two columns should name them: the parser then skips the rest,
+    which Catalyst brings about for a single column only.
 
     Nothing is dropped: a value that is no JSON object gives a row of nulls, a
     field of the wrong type a null in that column, and unknown fields are
     left out.
     """
+    if columns is not None:
+        ddl = schema.subset(ddl, columns)
     text = F.col("value").cast("string")
     return messages.select(F.from_json(text, ddl).alias("message")).select("message.*")
 

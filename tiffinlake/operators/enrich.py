@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiffinlake.functions import order_columns as oc
+from tiffinlake.schema import RAW_COLUMNS
 
 # Computed column -> the raw columns it needs.
 NEEDS = {
@@ -19,6 +20,13 @@ NEEDS = {
 }
 FLAGS = ("discount_applied", "is_first_order")
 
+
+def raw_columns(columns: Collection[str]) -> list[str]:
+    """The raw columns that some columns of the table are made of."""
+    needed = {need for name in columns for need in NEEDS.get(name, (name,))}
+    return [name for name in RAW_COLUMNS if name in needed]
+
+
 _COMPUTED: dict[str, Callable[[], Column]] = {
     "is_peak_hour": lambda: oc.is_peak_hour(F.col("hour_of_day")),
     "order_value_category": lambda: oc.order_value_category(F.col("price")),
@@ -31,10 +39,10 @@ def enrich(orders: DataFrame, tz: str = "UTC", only: Collection[str] | None = No
     """Raw orders to the columns of the table; row by row, no shuffle.
 
     The hour is a step of its own, so that the columns on top of it do not
-    repeat it. The two booleans become 0/1 in place. `only` names the computed
-    columns to add, for orders that lack what the others need.
+    repeat it. The two booleans become 0/1 in place. `only` names the columns
+    that are wanted, for orders that lack what others need.
     """
-    wanted = set(NEEDS if only is None else only)
+    wanted = set(NEEDS) if only is None else NEEDS.keys() & set(only)
     if wanted & {"hour_of_day", "is_peak_hour"}:
         orders = orders.withColumn("hour_of_day", oc.hour_of_day(F.col("timestamp"), tz))
     computed = {name: column() for name, column in _COMPUTED.items() if name in wanted}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from tiffinlake import schema
 from tiffinlake.functions import order_columns, picks
 from tiffinlake.operators import table
 from tiffinlake.operators.codec import decode, encode
-from tiffinlake.operators.enrich import NEEDS, enrich
+from tiffinlake.operators.enrich import enrich, raw_columns
 from tiffinlake.plans import reports
 from tiffinlake.plans.sql import run_sql
 from tiffinlake.session import scratch_dir
@@ -28,65 +28,66 @@ def register(query: Query) -> Query:
     return query
 
 
-def food_orders(spark: SparkSession, folder: str, columns: Iterable[str] = schema.TABLE_COLUMNS) -> DataFrame:
+def food_orders(spark: SparkSession, folder: str, columns: Collection[str] = schema.TABLE_COLUMNS) -> DataFrame:
     """Enriched orders, with all the columns of the table or some of them."""
-    columns = list(columns)
-    raw = [c for c in schema.RAW_COLUMNS if c in columns or any(c in NEEDS.get(name, ()) for name in columns)]
-    computed = [c for c in columns if c in NEEDS]
-    return enrich(src.raw_orders(spark, folder, raw), only=computed).select(*columns)
+    return enrich(src.raw_orders(spark, folder, raw_columns(columns)), only=columns).select(*columns)
 
 
 # --- the ten reports ---------------------------------------------------------
 
 
+def _report(spark: SparkSession, folder: str, report: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return report(food_orders(spark, folder, reports.READS[report]))
+
+
 @register
 def q1_totals(spark, folder):
-    return reports.totals(food_orders(spark, folder, ["price"]))
+    return _report(spark, folder, reports.totals)
 
 
 @register
 def q2_city_revenue(spark, folder):
-    return reports.city_revenue(food_orders(spark, folder, ["city", "price"]))
+    return _report(spark, folder, reports.city_revenue)
 
 
 @register
 def q3_cuisine_popularity(spark, folder):
-    return reports.cuisine_popularity(food_orders(spark, folder, ["cuisine", "price"]))
+    return _report(spark, folder, reports.cuisine_popularity)
 
 
 @register
 def q4_status_share(spark, folder):
-    return reports.status_share(food_orders(spark, folder, ["status"]))
+    return _report(spark, folder, reports.status_share)
 
 
 @register
 def q5_payment_mix(spark, folder):
-    return reports.payment_mix(food_orders(spark, folder, ["payment_method", "price"]))
+    return _report(spark, folder, reports.payment_mix)
 
 
 @register
 def q6_peak_offpeak(spark, folder):
-    return reports.peak_comparison(food_orders(spark, folder, ["is_peak_hour", "price", "delivery_time_mins"]))
+    return _report(spark, folder, reports.peak_comparison)
 
 
 @register
 def q7_top_restaurants(spark, folder):
-    return reports.top_restaurants(food_orders(spark, folder, ["restaurant_name", "status", "price", "rating"]))
+    return _report(spark, folder, reports.top_restaurants)
 
 
 @register
 def q8_value_category(spark, folder):
-    return reports.value_categories(food_orders(spark, folder, ["order_value_category", "price"]))
+    return _report(spark, folder, reports.value_categories)
 
 
 @register
 def q9_hourly_volume(spark, folder):
-    return reports.hourly_volume(food_orders(spark, folder, ["hour_of_day"]))
+    return _report(spark, folder, reports.hourly_volume)
 
 
 @register
 def q9_last_24h(spark, folder):
-    return reports.hourly_volume_last_day(food_orders(spark, folder, ["timestamp", "hour_of_day"]))
+    return _report(spark, folder, reports.hourly_volume_last_day)
 
 
 @register
@@ -412,12 +413,12 @@ def stream_restart(spark, folder):
 STATE_PARTITIONS = 8
 
 
-def _live(spark: SparkSession, folder: str, name: str, report: Callable[[DataFrame], DataFrame], mode: str):
-    work = scratch_dir(spark, name)
+def _live(spark: SparkSession, folder: str, report: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    work = scratch_dir(spark, "live")
     topic = raw_topic(spark, folder)
     own = spark.newSession()
     own.conf.set("spark.sql.shuffle.partitions", STATE_PARTITIONS)
-    orders = decode(_stream(own, topic))
+    orders = jobs.live_orders(_stream(own, topic), reports.READS[report])
     query = jobs.start_live(report(orders), f"{work}/out", f"{work}/checkpoint", mode, available_now=True)
     jobs.run_to_end(query)
     return jobs.read_live(spark, f"{work}/out")
@@ -425,14 +426,19 @@ def _live(spark: SparkSession, folder: str, name: str, report: Callable[[DataFra
 
 @register
 def live_totals(spark, folder):
-    return _live(spark, folder, "live-totals", reports.running_totals, "update")
+    return _live(spark, folder, reports.running_totals, "update")
 
 
 @register
 def live_city_revenue(spark, folder):
-    return _live(spark, folder, "live-city", reports.by_city, "complete")
+    return _live(spark, folder, reports.by_city, "complete")
 
 
 @register
 def live_cuisine_orders(spark, folder):
-    return _live(spark, folder, "live-cuisine", reports.cuisine_popularity, "complete")
+    return _live(spark, folder, reports.cuisine_popularity, "complete")
+
+
+@register
+def live_peak_offpeak(spark, folder):
+    return _live(spark, folder, reports.peak_comparison, "complete")

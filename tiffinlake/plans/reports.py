@@ -124,3 +124,21 @@ HIGH_VALUE_COLUMNS = ("restaurant_name", "city", "cuisine", "price", "rating")
 def high_value_orders(orders: DataFrame, limit: int = TOP) -> DataFrame:
     """The highest-priced delivered orders with their ratings."""
     return dearest_delivered(orders, limit).select(*HIGH_VALUE_COLUMNS)
+
+
+# The columns that each report reads.
+READS = {
+    running_totals: ("price",),
+    totals: ("price",),
+    by_city: ("city", "price"),
+    city_revenue: ("city", "price"),
+    cuisine_popularity: ("cuisine", "price"),
+    status_share: ("status",),
+    payment_mix: ("payment_method", "price"),
+    peak_comparison: ("is_peak_hour", "price", "delivery_time_mins"),
+    top_restaurants: ("restaurant_name", "status", "price", "rating"),
+    value_categories: ("order_value_category", "price"),
+    hourly_volume: ("hour_of_day",),
+    hourly_volume_last_day: ("timestamp", "hour_of_day"),
+    high_value_orders: (*HIGH_VALUE_COLUMNS, "order_id", "status", "is_high_value"),
+}

@@ -6,6 +6,8 @@ Schemas are DDL strings: `from_json`, `spark.read.schema` and
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 # Names, types and order are the wire format of an order message.
 RAW_ORDER = """
     order_id STRING, `timestamp` BIGINT, customer_name STRING,
@@ -61,6 +63,11 @@ def column_names(ddl: str) -> list[str]:
     return [field.split()[0].strip("`") for field in ddl.split(",")]
 
 
+def subset(ddl: str, columns: Collection[str]) -> str:
+    """The part of a flat DDL string that declares `columns`."""
+    return ", ".join(field.strip() for field in ddl.split(",") if field.split()[0].strip("`") in columns)
+
+
 RAW_COLUMNS = column_names(RAW_ORDER)
 TABLE_COLUMNS = column_names(FOOD_ORDERS)
 DIMENSIONS = [c for c in TABLE_COLUMNS if c not in METRIC_DEFAULTS and c != TIME_COLUMN]

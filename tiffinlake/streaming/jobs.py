@@ -6,14 +6,14 @@ so that the same job runs on Kafka and on directories of files.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tiffinlake.operators.codec import decode, encode
-from tiffinlake.operators.enrich import enrich
+from tiffinlake.operators.enrich import enrich, raw_columns
 from tiffinlake.operators.table import conform, write_table
 
 
@@ -82,6 +82,11 @@ def start_ingestion(
 LIVE_SLOTS = 4
 
 
+def live_orders(raw: DataFrame, columns: Collection[str], tz: str = "UTC") -> DataFrame:
+    """Some columns of enriched orders out of raw messages."""
+    return enrich(decode(raw, columns=raw_columns(columns)), tz, only=columns)
+
+
 def start_live(report: DataFrame, path: str, checkpoint: str, mode: str = "update", **trigger) -> StreamingQuery:
     """Keep an aggregate over a stream; each batch writes its result.
 

@@ -169,6 +169,7 @@ SQL = {name: f"{ORDERS} SELECT * FROM ({text})" for name, text in REPORTS.items(
     "live_totals": f"{ORDERS} {REPORTS['q1_totals']}",
     "live_city_revenue": f"""{ORDERS} SELECT city, COUNT(*) AS orders, ROUND(SUM(price), 2) AS revenue,
         ROUND(AVG(price), 2) AS avg_order_value FROM food_orders GROUP BY city""",
+    "live_peak_offpeak": f"{ORDERS} SELECT * FROM ({REPORTS['q6_peak_offpeak']})",
     "live_cuisine_orders": f"{ORDERS} SELECT * FROM ({REPORTS['q3_cuisine_popularity']})",
     "enrich_hour": _column("hour_of_day"),
     "enrich_peak": _column("is_peak_hour"),
