@@ -159,21 +159,15 @@ REPORTS = {
 
 
 @pytest.mark.parametrize("name", REPORTS)
-def test_reports_over_the_table_equal_sql(spark, stored, name):
+def test_reports_over_the_table_equal_sql(spark, small, stored, name):
     """DataFrame over files = DataFrame over the derivation = SQL over the view."""
     rows = sorted(map(tuple, REPORTS[name](stored).collect()), key=repr)
-    assert rows == sorted(map(tuple, registry.QUERIES[name](spark, stored_source()).collect()), key=repr)
+    assert rows == sorted(map(tuple, registry.QUERIES[name](spark, small).collect()), key=repr)
     by_sql = run_sql(spark, oracles.REPORTS[name], stored)
     assert by_sql.columns == REPORTS[name](stored).columns
     assert rows == sorted(map(tuple, by_sql.collect()), key=repr)
 
 
-def stored_source():
-    from conftest import TESTDATA
-
-    return f"{TESTDATA}/sf0.001"
-
-
 @pytest.mark.parametrize("report", reports.READS)
 def test_reports_read_what_they_say(stored, report):
     assert report(stored.select(*reports.READS[report])).columns == report(stored).columns
