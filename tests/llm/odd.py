@@ -1,0 +1,55 @@
+"""Tables with everything that may be odd about rows."""
+
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from tiffinlake.llm.common import table
+
+SCHEMA = StructType(
+    [
+        StructField("doc_id", LongType()),
+        StructField("text", StringType()),
+        StructField("lang", StringType()),
+        StructField("source", StringType()),
+        StructField("n_chars", LongType()),
+        # Names that operators use themselves.
+        StructField("_k1", StringType()),
+        StructField("score", StringType()),
+        StructField("lang_pred", LongType()),
+        StructField("size", StringType()),
+        StructField("group", StringType()),
+    ]
+)
+PROSE = "the quick brown fox jumps over the lazy dog and then it rests in the shade of the old tree"
+LONG = " ".join(f"word{i % 977} and{i}" for i in range(60_000))
+TEXTS = [
+    (1, PROSE, "en", "a"),
+    (2, PROSE, "en", "a"),
+    (2, PROSE, "en", "a"),
+    (3, None, "en", "b"),
+    (4, "", None, None),
+    (None, PROSE + "!", "en", None),
+    (None, None, None, None),
+    (5, "1234 5678 !!", "en", "b"),
+    (6, LONG, "en", "c"),
+    (7, "der schnelle braune fuchs springt über den faulen hund und ruht im schatten", "de", "c"),
+    (8, "a\n\n  A \n\x0b", "de", "c"),
+    (9, "   \t\n ", None, "c"),
+    (10, "日本語 \U0001f600 é́", None, "d"),
+]
+
+
+def rows(texts=TEXTS):
+    return [(i, t, lang, s, None if t is None else len(t), "x", "y", 1, "z", "g") for i, t, lang, s in texts]
+
+
+def odd(spark, texts=TEXTS):
+    return spark.createDataFrame(rows(texts), SCHEMA)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def documents(spark, folder):
+    docs = table(spark, folder, "documents")
+    return docs, [(r.doc_id, r.text or "") for r in docs.collect()]

@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -224,7 +225,7 @@ def digests(docs: DataFrame, **options) -> DataFrame:
                 [
                     batch.column("doc_id"),
                     pa.array([t.count(b"\n") + 1 for t in whole], pa.int64()),
-                    pa.compute.fill_null(batch.column("_n_dropped"), 0),
+                    pc.fill_null(batch.column("_n_dropped"), 0),
                     pa.array([hashlib.sha256(b"\n".join(lines)).hexdigest() for lines in kept], pa.string()),
                 ],
                 ["doc_id", "n_lines", "n_dropped", "kept_sha256"],

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiffinlake.llm import langid, linededup, mixing
+from tiffinlake.llm import decontaminate, langid, linededup, mixing, ngramjoin
 from tiffinlake.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.digests(table(spark, folder, "documents"))
 
@@ -22,8 +26,14 @@ def op9_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngramjoin.near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
+    "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
     "op9_mix": op9_mix,
+    "op10_ngram_join": op10_ngram_join,
 }
