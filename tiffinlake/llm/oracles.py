@@ -71,4 +71,25 @@ SELECT doc_id, source, size, source_size, target,
             + greatest(0, least(fin, (start + extra - blocks) * {mixing.BLOCK_WORDS}) - (fin - size)) AS BIGINT) AS taken
 FROM laid JOIN dealt USING (source_key, shard) JOIN aimed USING (source_key)"""
 
-SQL: dict[str, str] = {"op4_line_dedup": _LINE_DEDUP, "op9_mix": _MIX}
+_SUBSTRINGS = r"""
+WITH split AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+    SELECT doc_id, s, array_to_string(words[s:s + 19], ' ') AS seq
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS s FROM split)
+), repeated AS (
+    SELECT doc_id, s FROM (
+        SELECT *, row_number() OVER (PARTITION BY seq ORDER BY doc_id, s) AS nth FROM windows)
+    WHERE nth > 1
+), covered AS (
+    SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS pos FROM repeated
+), placed AS (
+    SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM split
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE c.pos IS NULL) AS text, count(c.pos) AS n_removed
+    FROM placed p LEFT JOIN covered c USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)"""
+
+SQL: dict[str, str] = {"op4_line_dedup": _LINE_DEDUP, "op6_substring_dedup": _SUBSTRINGS, "op9_mix": _MIX}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiffinlake.llm import decontaminate, langid, linededup, mixing, ngramjoin
+from tiffinlake.llm import decontaminate, langid, linededup, mixing, ngramjoin, substrings
 from tiffinlake.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.digests(table(spark, folder, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.digests(table(spark, folder, "documents"))
+
+
 def op9_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
     "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op9_mix": op9_mix,
     "op10_ngram_join": op10_ngram_join,
 }
