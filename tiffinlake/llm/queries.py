@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiffinlake.llm import decontaminate, langid, linededup, mixing, ngramjoin, substrings
+from tiffinlake.llm import decontaminate, langid, linededup, mixing, ngramjoin, quality, substrings
 from tiffinlake.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.digests(table(spark, folder, "documents"))
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_quality": op8_quality,
     "op9_mix": op9_mix,
     "op10_ngram_join": op10_ngram_join,
 }

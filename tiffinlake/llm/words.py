@@ -41,20 +41,24 @@ def _power(factor: int, size: int) -> np.ndarray:
     return _powers(factor, 1 << max(16, (size - 1).bit_length()))[:size]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, text after text, and where each text's words begin (one entry more than texts)."""
-    buffer = b" ".join([*texts, b""])
+def hashes_between(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of pieces of a buffer; equal pieces have equal ones wherever they stand."""
     codes = np.frombuffer(buffer, np.uint8)
-    space = _SPACE[codes]
-    edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
-    starts, ends = edges[::2], edges[1::2]
     running = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(_BYTES[codes] * _power(_FACTOR, len(codes)), out=running[1:])
     inverse = _power(pow(_FACTOR, -1, 1 << 64), len(codes))
-    hashes = mixed((running[ends] - running[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return mixed((running[ends] - running[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, text after text, and where each text's words begin (one entry more than texts)."""
+    buffer = b" ".join([*texts, b""])
+    space = _SPACE[np.frombuffer(buffer, np.uint8)]
+    edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    starts = edges[::2]
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     offsets = np.concatenate(([0], np.cumsum(lengths)))
-    return hashes, np.searchsorted(starts, offsets)
+    return hashes_between(buffer, starts, edges[1::2]), np.searchsorted(starts, offsets)
 
 
 def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
