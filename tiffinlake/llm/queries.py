@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiffinlake.llm import decontaminate, langid, linededup, mixing, ngramjoin, quality, substrings
+from tiffinlake.llm import decontaminate, langid, linededup, mixing, ngramjoin, pii, quality, substrings
 from tiffinlake.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.digests(table(spark, folder, "documents"))
 
 
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digests(table(spark, folder, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.digests(table(spark, folder, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
     "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
+    "op5_pii": op5_pii,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_quality": op8_quality,
     "op9_mix": op9_mix,
