@@ -1,0 +1,93 @@
+import math
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tiffinlake.llm import graphann as g
+
+
+def brute_force(rows, every=20, most=20):
+    """{query: [(score, id) best first]} over (id, vector) rows, repeated rows once."""
+    rows = {(i, tuple(v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    sizes = defaultdict(int)
+    for _, v in rows:
+        sizes[len(v)] += 1
+    size = max(sizes, key=lambda s: (sizes[s], s), default=0)
+    rows = [(i, np.array(v, float)) for i, v in rows if len(v) == size]
+    out = {}
+    for q, v in rows:
+        if q % every == 0:
+            scored = sorted((-float(v @ w), i) for i, w in rows if i != q)
+            out[q] = [(-s, i) for s, i in scored[:most]]
+    return out
+
+
+def found(df):
+    out = defaultdict(list)
+    for r in df.orderBy("query_id", "rank").collect():
+        out[r.query_id].append((r.score, r.vec_id, r.rank))
+    return out
+
+
+def check(got, expected, least):
+    assert set(got) == {q for q, best in expected.items() if best}
+    right = total = 0
+    for q, best in expected.items():
+        assert [r for _, _, r in got.get(q, [])] == list(range(1, len(best) + 1))
+        order = [(-s, i) for s, i, _ in got.get(q, [])]
+        assert order == sorted(order)
+        mine = {i: s for s, i, _ in got.get(q, [])}
+        assert all(mine[i] == pytest.approx(s, abs=1e-12) for s, i in best if i in mine)
+        right += len(mine.keys() & {i for _, i in best})
+        total += len(best)
+    assert right >= least * total
+
+
+def rows_of(df):
+    return [(r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect()]
+
+
+def test_recall_over_shards_and_blocks(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    expected = brute_force(rows_of(vectors))
+    check(found(g.nearest(vectors, shard_points=700, block_queries=40)), expected, 0.95)
+    check(found(g.nearest(vectors)), expected, 0.95)
+
+
+def test_copies_near_copies_and_ties(spark):
+    random = np.random.default_rng(1)
+    base, other = random.normal(size=16), random.normal(size=16)
+    rows = [(i, (base + random.normal(size=16) * 1e-4).astype(np.float32).tolist()) for i in range(300)]
+    rows += [(300 + i, base.astype(np.float32).tolist()) for i in range(200)]
+    rows += [(500 + i, (other * (1 + i % 7)).astype(np.float32).tolist()) for i in range(90)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    expected = brute_force(rows)
+    check(found(g.nearest(vectors)), expected, 0.9)
+    # Equal vectors: which ids are found is exact.
+    exact = found(g.nearest(vectors.where("vec_id between 300 and 499")))
+    for q, best in brute_force(rows[300:500]).items():
+        assert [i for _, i, _ in exact[q]] == [i for _, i in best]
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (0, [1.0, 0.0]), (0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, [0.0, 1.0]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]),
+        (5, [inf, 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (40, []), (60, [1.0]), (7, [1.0, 0.0]), (-20, [-1.0, -0.0]),
+    ]
+    vectors = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, point string").withColumn("query", F.lit(1))
+    got = found(g.nearest(vectors))
+    check(got, brute_force(rows), 1.0)
+    assert [i for _, i, _ in got[0]] == [7, 20, 1, -20]
+    assert g.nearest(vectors.limit(0)).collect() == []
+    assert g.nearest(vectors.where("vec_id = 0")).collect() == []
+
+
+def test_edges_are_diverse():
+    random = np.random.default_rng(3)
+    graph = g.Graph(random.normal(size=(600, 8)), degree=12)
+    assert ((graph.edges >= 0).sum(axis=1) > 0).all()
+    assert all(i not in row for i, row in enumerate(graph.edges))
+    assert all(len(set(row[row >= 0])) == (row >= 0).sum() for row in graph.edges)

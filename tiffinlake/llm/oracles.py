@@ -92,4 +92,18 @@ WITH split AS (
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM split LEFT JOIN kept USING (doc_id)"""
 
-SQL: dict[str, str] = {"op4_line_dedup": _LINE_DEDUP, "op6_substring_dedup": _SUBSTRINGS, "op9_mix": _MIX}
+_WARC = """
+WITH named AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), digests AS (
+    SELECT page_id, octet_length(payload) AS payload_bytes, max(page_id) OVER (PARTITION BY payload) AS last,
+           array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               CAST((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER) + 1, 1)), '')
+           AS payload_digest
+    FROM named
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM digests"""
+
+SQL: dict[str, str] = {"op4_line_dedup": _LINE_DEDUP, "op6_substring_dedup": _SUBSTRINGS, "op7_warc": _WARC, "op9_mix": _MIX}

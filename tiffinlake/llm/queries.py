@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiffinlake.llm import decontaminate, langid, linededup, mixing, ngramjoin, pii, quality, substrings
+from tiffinlake.llm import decontaminate, graphann, langid, linededup, mixing, ngramjoin, pii, quality, substrings, warc
 from tiffinlake.llm.common import table
 
 
+def op1_graph_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return graphann.nearest(table(spark, folder, "embeddings"))
+
+
 def op2_langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "documents"))
 
@@ -30,6 +34,10 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.digests(table(spark, folder, "documents"))
 
 
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -43,11 +51,13 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_graph_ann": op1_graph_ann,
     "op2_langid": op2_langid,
     "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
     "op5_pii": op5_pii,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_warc": op7_warc,
     "op8_quality": op8_quality,
     "op9_mix": op9_mix,
     "op10_ngram_join": op10_ngram_join,
