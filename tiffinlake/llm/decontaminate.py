@@ -3,16 +3,19 @@
 An item's terms weigh what BM25 gives them, as shares of the item's own total,
 so that a passage with all its terms scores 1 and one threshold fits all items.
 The postings of a term are cut into blocks of items, each with the largest
-weight in it. A passage adds up the block maxima of its terms, for all passages
-of a batch at once; blocks that cannot reach the threshold are never opened. In
-the others, pivoting over the postings scores the items that can. What comes
-out is verified on the words themselves, question and answer each.
+weight in it. The light terms of a passage, which together stay below the
+threshold, open no block; blocks with a heavy one add up the maxima of all
+terms, for all passages of a batch at once, and those that cannot reach the
+threshold are never opened. In the others, pivoting over the postings scores
+the items that can. What comes out is verified on the words themselves,
+question and answer each.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -23,11 +26,11 @@ from pyspark.sql import functions as F
 from tiffinlake.llm.common import boxed, slices, with_fields
 
 #: Share of an item's BM25 weight that a passage must hold.
-THRESHOLD = 0.5
+THRESHOLD = 0.6
 #: Share of the words of the question, and of the answer, that runs of 5 equal words must cover.
 OVERLAP = 0.8
 RUN = 5
-BLOCK_ITEMS = 16
+BLOCK_ITEMS = 4
 K1, B = 1.2, 0.75
 #: Words of items in one index, which goes to every executor; more items take more passes over the documents.
 INDEX_WORDS = 4_000_000
@@ -62,9 +65,7 @@ class Index:
 
     def __init__(self, items: list[Item], frequent: dict[str, int], total: int, mean_words: float):
         self.items = items
-        terms = sorted({w for item in items for w in item.words})
-        self.ids = {t: i for i, t in enumerate(terms)}
-        rows = []
+        weighed: dict[str, list[tuple[int, float]]] = {}
         for place, item in enumerate(items):
             counts: dict[str, int] = {}
             for word in item.words:
@@ -74,28 +75,66 @@ class Index:
                 idf = np.log1p((total - frequent[term] + 0.5) / (frequent[term] + 0.5))
                 weights[term] = idf * n * (K1 + 1) / (n + K1 * (1 - B + B * len(item.words) / mean_words))
             whole = sum(weights.values())
-            rows.extend((self.ids[term], place, weight / whole) for term, weight in weights.items())
-        rows.sort()
+            for term, weight in weights.items():
+                weighed.setdefault(term, []).append((place, weight / whole))
+        # Light terms have low numbers.
+        terms = sorted(weighed, key=lambda t: (max(w for _, w in weighed[t]), t))
+        self.ids = {t: i for i, t in enumerate(terms)}
+        rows = [(i, place, weight) for i, t in enumerate(terms) for place, weight in weighed[t]]
         self.term = np.array([r[0] for r in rows], np.int64)
         self.item = np.array([r[1] for r in rows], np.int64)
         self.weight = np.array([r[2] for r in rows])
-        self.begins = np.searchsorted(self.term, np.arange(len(terms) + 1))
         self.blocks = -(-len(items) // BLOCK_ITEMS)
-        # Block maxima: for each term the blocks it is in.
+        # Block maxima, by term and block, and where the block's postings begin.
         block = self.item // BLOCK_ITEMS
-        heads = np.flatnonzero(np.concatenate(([True], (self.term[1:] != self.term[:-1]) | (block[1:] != block[:-1])))) if rows else np.empty(0, np.int64)
-        self.block = block[heads] if rows else np.empty(0, np.int64)
-        self.block_max = np.maximum.reduceat(self.weight, heads) if rows else np.empty(0)
-        self.block_begins = np.searchsorted(self.term[heads] if rows else heads, np.arange(len(terms) + 1))
+        fresh = (np.diff(self.term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0)
+        self.heads = np.append(np.flatnonzero(fresh), len(self.term))
+        self.block = block[fresh]
+        self.key = self.term[fresh] * self.blocks + self.block
+        self.block_max = np.maximum.reduceat(self.weight, self.heads[:-1])
+        self.block_begins = np.searchsorted(self.term[fresh], np.arange(len(terms) + 1))
+        self.term_max = np.maximum.reduceat(self.block_max, self.block_begins[:-1])
+
+    def _find(self, term: np.ndarray, block: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """For pairs of term and block whether there are postings, and the place of their maximum."""
+        key = term * self.blocks + block
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return self.key[at] == key, at
 
     def open_blocks(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """The (passage, block) whose block maxima add up to the threshold, from distinct (passage, term)."""
-        counts = self.block_begins[term + 1] - self.block_begins[term]
-        at = np.arange(counts.sum()) + np.repeat(self.block_begins[term] - np.concatenate(([0], np.cumsum(counts[:-1]))), counts)
-        keys = np.repeat(passage, counts) * self.blocks + self.block[at]
-        sums = np.bincount(keys, weights=self.block_max[at])
-        found = np.flatnonzero(sums >= threshold - 1e-9)
-        return found // self.blocks, found % self.blocks
+        """The (passage, block) whose block maxima add up to the threshold, from distinct (passage, term) in order."""
+        threshold -= 1e-9
+        found = [], []
+        # So many passages at a time that their sums by block are a small matrix.
+        most = max(1, (1 << 20) // self.blocks)
+        ends = np.searchsorted(passage, np.arange(passage[0], passage[-1] + 1 + most, most))
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            if lo < hi:
+                first = passage[lo]
+                p, block = self._open(passage[lo:hi] - first, term[lo:hi], threshold)
+                found[0].append(p + first)
+                found[1].append(block)
+        return np.concatenate(found[0]), np.concatenate(found[1])
+
+    def _open(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        count = int(passage[-1]) + 1
+        running = np.concatenate(([0.0], np.cumsum(self.term_max[term])))
+        begins = np.searchsorted(passage, np.arange(count + 1))
+        heavy = running[1:] - running[begins[passage]] >= threshold
+        light_ends = begins[:-1] + np.bincount(passage[~heavy], minlength=count)
+        light = running[light_ends] - running[begins[:-1]]
+        own, at = _expanded(self.block_begins, term[heavy])
+        sums = np.bincount(passage[heavy][own] * self.blocks + self.block[at], weights=self.block_max[at], minlength=count * self.blocks)
+        keys = np.flatnonzero(sums.reshape(count, -1) >= np.where(light < threshold, threshold - light, threshold)[:, None])
+        sums = sums[keys]
+        # What the light terms really have in these blocks.
+        lo, lights = begins[keys // self.blocks], (light_ends - begins[:-1])[keys // self.blocks]
+        own = np.repeat(np.arange(len(keys)), lights)
+        at = np.arange(lights.sum()) + np.repeat(lo - np.cumsum(lights) + lights, lights)
+        there, at = self._find(term[at], (keys % self.blocks)[own])
+        sums += np.bincount(own[there], weights=self.block_max[at[there]], minlength=len(keys))
+        keys = keys[sums >= threshold]
+        return keys // self.blocks, keys % self.blocks
 
     def search_block(self, terms: np.ndarray, block: int, threshold: float) -> list[tuple[int, float]]:
         """WAND within a block: (item, score) of at least the threshold.
@@ -105,13 +144,12 @@ class Index:
         before the pivot's can, so the terms skip to it; once all terms up to
         the pivot stand on its item, it is scored.
         """
-        lists = []
-        for term in terms:
-            lo, hi = self.begins[term], self.begins[term + 1]
-            lo, hi = lo + np.searchsorted(self.item[lo:hi], [block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS])
-            if lo < hi:
-                weights = self.weight[lo:hi]
-                lists.append([0, self.item[lo:hi].tolist(), weights.tolist(), float(weights.max())])
+        there, at = self._find(terms, block)
+        at = at[there]
+        lists = [
+            [0, self.item[lo:hi].tolist(), self.weight[lo:hi].tolist(), most]
+            for lo, hi, most in zip(self.heads[at], self.heads[at + 1], self.block_max[at].tolist(), strict=True)
+        ]
         found = []
         while lists:
             lists.sort(key=lambda x: x[1][x[0]])
@@ -140,6 +178,13 @@ class Index:
         return found
 
 
+def _expanded(begins: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the lists `of`, that begin at `begins`, and which list each is from."""
+    counts = begins[of + 1] - begins[of]
+    own = np.repeat(np.arange(len(of)), counts)
+    return own, np.arange(counts.sum()) + np.repeat(begins[of] - np.cumsum(counts) + counts, counts)
+
+
 def covered(item: Item, passage: list[str], run: int = RUN) -> tuple[float, float]:
     """Shares of the words of question and answer that runs of `run` words of the passage cover."""
     run = min(run, len(item.words))
@@ -164,7 +209,7 @@ def find(index: Index, documents: list[str | None], threshold: float, overlap: f
     for text in documents:
         own = words_of(text)
         words.append(own)
-        ids = np.fromiter((get(w, -1) for w in own), np.int64, len(own))
+        ids = np.fromiter(map(get, own, repeat(-1)), np.int64, len(own))
         places = np.flatnonzero(ids >= 0)
         # A passage is two steps long; a word is in the one its step begins and in the one before.
         at = firsts[-1] + 1 + places // step
