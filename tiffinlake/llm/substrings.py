@@ -32,9 +32,11 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Entries that a task packs at a time.
 PACK = 2_000_000
 
-_PACKED = "bucket int, k1 long, k2 long, docs binary, counts binary, hashes binary, seen binary, places binary"
-_FLAGS = "_k1 long, _k2 long, places binary"
+_PACKED = "bucket int, origin long, direct boolean, docs binary, counts binary, hashes binary, seen binary, places binary"
 _NAMES = [part.split()[0] for part in _PACKED.split(", ")]
+_RETURNED = "origin long, docs binary, counts binary, places binary"
+_BACK = [part.split()[0] for part in _RETURNED.split(", ")]
+_FLAGS = "_k1 long, _k2 long, places binary"
 Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -52,11 +54,15 @@ def _runs_of(values: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]))
 
 
-def _packed(docs: np.ndarray, doc: np.ndarray, place: np.ndarray, hashes: np.ndarray, seen: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _packed(
+    docs: np.ndarray, doc: np.ndarray, place: np.ndarray, hashes: np.ndarray, seen: np.ndarray, buckets: int, bits: int
+) -> pa.RecordBatch:
     """Entries, in order of doc and place, as a row for each bucket.
 
     docs: (documents, columns) of what is known of each document, sent with
-    the entries that name it. seen: hashes without a place.
+    the entries that name it; the key of the first one names the pack. seen:
+    hashes without a place. bits: how many of a hash are sent, as the bucket
+    stands for others.
     """
     bucket = (hashes % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
@@ -70,47 +76,68 @@ def _packed(docs: np.ndarray, doc: np.ndarray, place: np.ndarray, hashes: np.nda
     runs = _runs_of(bucket.astype(np.int64) * (len(docs) + 1) + doc)
     run_begins = np.searchsorted(runs[:-1], begins)
     rows = len(all_buckets)
+    sent = lambda values: (values >> np.uint64(64 - bits)).astype(f"u{bits // 8}")
     return pa.RecordBatch.from_arrays(
         [
             pa.array(all_buckets, pa.int32()),
-            pa.nulls(rows, pa.int64()),
-            pa.nulls(rows, pa.int64()),
+            pa.array([int(docs[0, 0])] * rows, pa.int64()),
+            pa.array([False] * rows),
             _binary(docs[doc[runs[:-1]]].view(f"V{docs.shape[1] * 8}").ravel(), run_begins),
             _binary(np.diff(runs).astype(np.int32), run_begins),
-            _binary(hashes[order], begins),
-            _binary(seen, seen_begins),
+            _binary(sent(hashes[order]), begins),
+            _binary(sent(seen), seen_begins),
             _binary(place[order], begins),
         ],
         _NAMES,
     )
 
 
-def _flagged(docs: np.ndarray, doc: np.ndarray, place: np.ndarray, buckets: int | None = None) -> pa.RecordBatch:
-    """Places by document: packed rows for a bucket of the document, or flags."""
-    order = np.argsort(doc, kind="stable")
-    doc, place = doc[order], place[order]
+def _places(origin: int, docs: np.ndarray, doc: np.ndarray, place: np.ndarray) -> list[pa.Array]:
+    """Places by document, as one row that goes back to where they come from."""
     begins = _runs_of(doc)
-    keys = docs[doc[begins[:-1]]]
-    k1, k2 = pa.array(keys[:, 0]), pa.array(keys[:, -1])
-    places = _binary(place, begins)
-    if buckets is None:
-        return pa.RecordBatch.from_arrays([k1, k2, places], ["_k1", "_k2", "places"])
-    empty = pa.nulls(len(keys), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array((keys[:, 0] % buckets).astype(np.int32)), k1, k2, *[empty] * 4, places], _NAMES)
+    whole = lambda values: pa.array([np.ascontiguousarray(values).tobytes()], pa.binary())
+    return [pa.array([origin], pa.int64()), whole(docs[doc[begins[:-1]]]), whole(np.diff(begins).astype(np.int32)), whole(place)]
 
 
-def _unpacked(group: pa.Table, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """docs, doc, place, hashes, seen of all packed rows of a bucket."""
-    join = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
-    docs = join("docs", np.int64).reshape(-1, columns)
-    return docs, np.repeat(np.arange(len(docs)), join("counts", np.int32)), join("places", np.int32), join("hashes", np.uint64), join("seen", np.uint64)
+def _direct(docs: np.ndarray, doc: np.ndarray, place: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Places that need no bucket to decide on them, in order of doc."""
+    origin, keys, counts, places = _places(int(docs[0, 0]), docs, doc, place)
+    empty = pa.nulls(1, pa.binary())
+    bucket = pa.array([int(docs[0, 0]) % buckets], pa.int32())
+    return pa.RecordBatch.from_arrays([bucket, origin, pa.array([True]), keys, counts, empty, empty, places], _NAMES)
 
 
-def _passed(group: pa.Table) -> tuple[pa.Table, pa.Table]:
-    """The packed rows, and the flags that pass through."""
-    direct = pc.is_valid(group.column("k1"))
-    flags = group.filter(direct).select(["k1", "k2", "places"]).rename_columns(["_k1", "_k2", "places"])
-    return group.filter(pc.invert(direct)), flags
+def _unpacked(group: pa.Table, columns: int, kind: type) -> tuple[np.ndarray, ...]:
+    """docs, doc, place, origin, hashes, seen of the packed rows of a bucket."""
+    join = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
+    docs = join("docs", np.int64).reshape(-1, columns)
+    place = join("places", np.int32)
+    sizes = [len(p) // 4 for p in group.column("places").to_pylist()]
+    origin = np.repeat(group.column("origin").to_numpy(), sizes)
+    return docs, np.repeat(np.arange(len(docs)), join("counts", np.int32)), place, origin, join("hashes", kind), join("seen", kind)
+
+
+def _returned(group: pa.Table, docs: np.ndarray, doc: np.ndarray, place: np.ndarray, origin: np.ndarray, hit: np.ndarray) -> pa.Table:
+    """What passes through a bucket, and the entries found, in a row for each pack they came in."""
+    hit = np.sort(hit)
+    rows = [batch for batch in group.filter(group.column("direct")).select(_BACK).to_batches() if batch.num_rows]
+    begins = _runs_of(origin[hit])
+    for start, end in zip(begins[:-1], begins[1:], strict=True):
+        own = hit[start:end]
+        rows.append(pa.RecordBatch.from_arrays(_places(int(origin[own[0]]), docs, doc[own], place[own]), _BACK))
+    return pa.Table.from_batches(rows, schema=pa.schema(zip(_BACK, [pa.int64(), *[pa.binary()] * 3], strict=True)))
+
+
+def _by_document(group: pa.Table) -> pa.Table:
+    """Rows that came back to a pack -> a row for each of its documents."""
+    counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.int32)
+    docs = np.frombuffer(b"".join(group.column("docs").to_pylist()), np.int64).reshape(len(counts), -1)
+    place = np.frombuffer(b"".join(group.column("places").to_pylist()), np.int32)
+    keys, doc = np.unique(docs[:, [0, -1]], axis=0, return_inverse=True)
+    doc = np.repeat(doc.ravel(), counts)
+    order = np.argsort(doc, kind="stable")
+    places = _binary(place[order], np.searchsorted(doc[order], np.arange(len(keys) + 1)))
+    return pa.table([pa.array(keys[:, 0]), pa.array(keys[:, 1]), places], ["_k1", "_k2", "places"])
 
 
 class _Pack:
@@ -149,10 +176,10 @@ def _anchors(window: int, buckets: int) -> Step:
         later, repeated = np.concatenate(([False], same)), np.concatenate((same, [False]))
         repeated |= later
         single = np.sort(order[~repeated])
-        yield _packed(docs, doc[single], place[single], hashes[single], hashes[order[repeated & ~later]], buckets)
+        yield _packed(docs, doc[single], place[single], hashes[single], hashes[order[repeated & ~later]], buckets, 32)
         if repeated.any():
             local = np.sort(order[repeated])
-            yield _flagged(docs, doc[local], place[local], buckets)
+            yield _direct(docs, doc[local], place[local], buckets)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = _Pack(settle)
@@ -170,15 +197,12 @@ def _anchors(window: int, buckets: int) -> Step:
 
 def _repeated_anchors(group: pa.Table) -> pa.Table:
     """The entries of a bucket whose hash occurs twice."""
-    packed, flags = _passed(group)
-    docs, doc, place, hashes, seen = _unpacked(packed, 1)
+    docs, doc, place, origin, hashes, seen = _unpacked(group.filter(pc.invert(group.column("direct"))), 1, np.uint32)
     values, counts = np.unique(np.concatenate((hashes, seen, seen)), return_counts=True)
     repeated = values[counts > 1]
-    at = np.searchsorted(repeated, hashes)
-    hit = np.flatnonzero(repeated[np.minimum(at, len(repeated) - 1)] == hashes) if len(repeated) else np.empty(0, np.int64)
-    if not len(hit):
-        return flags
-    return pa.concat_tables([flags, pa.Table.from_batches([_flagged(docs, doc[hit], place[hit])])])
+    at = np.minimum(np.searchsorted(repeated, hashes), max(0, len(repeated) - 1))
+    hit = np.flatnonzero(repeated[at] == hashes) if len(repeated) else np.empty(0, np.int64)
+    return _returned(group, docs, doc, place, origin, hit)
 
 
 def _later(docs: np.ndarray, doc: np.ndarray, place: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,10 +222,10 @@ def _windows(window: int, buckets: int) -> Step:
     def settle(docs, doc, place, hashes):
         first, after = _later(docs, doc, place, hashes)
         first = np.sort(first)
-        yield _packed(docs, doc[first], place[first], hashes[first], np.empty(0, np.uint64), buckets)
+        yield _packed(docs, doc[first], place[first], hashes[first], np.empty(0, np.uint64), buckets, 64)
         if len(after):
             after = np.sort(after)
-            yield _flagged(docs, doc[after], place[after], buckets)
+            yield _direct(docs, doc[after], place[after], buckets)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = _Pack(settle)
@@ -218,7 +242,7 @@ def _windows(window: int, buckets: int) -> Step:
                     np.add.at(near, start + np.minimum(at + 1, np.maximum(0, end - start - window + 1)), -1)
                 doc, place, length = _positions(begins)
                 at = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (place + window <= length))
-                ids = part.column("_id").to_numpy(zero_copy_only=False)
+                ids = pc.fill_null(part.column("doc_id").cast(pa.int64()), (1 << 63) - 1).to_numpy()
                 docs = np.stack([part.column("_k1").to_numpy(), ids, part.column("_k2").to_numpy()], axis=1)
                 yield from pack.add(docs, doc[at], place[at], run_hashes(words, window)[at])
         yield from pack.flush()
@@ -228,49 +252,42 @@ def _windows(window: int, buckets: int) -> Step:
 
 def _repeated_windows(group: pa.Table) -> pa.Table:
     """The entries of a bucket that are not the first of their hash."""
-    packed, flags = _passed(group)
-    if not packed.num_rows:
-        return flags
-    docs, doc, place, hashes, _ = _unpacked(packed, 3)
-    _, after = _later(docs, doc, place, hashes)
-    if not len(after):
-        return flags
-    return pa.concat_tables([flags, pa.Table.from_batches([_flagged(docs, doc[after], place[after])])])
+    docs, doc, place, origin, hashes, _ = _unpacked(group.filter(pc.invert(group.column("direct"))), 3, np.uint64)
+    after = _later(docs, doc, place, hashes)[1] if len(hashes) else np.empty(0, np.int64)
+    return _returned(group, docs, doc, place, origin, after)
 
 
-def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(_k1, _k2, starts): where the repeated windows of each document begin.
+def with_repeats(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
+    """`keyed` with `starts`, where the repeated windows of each document begin: arrays of (_k2, places).
 
-    `starts` are arrays of 32-bit numbers of words. A window is a repeat if
+    `keyed` has doc_id, the key of the row and text. A window is a repeat if
     the same words start earlier, by doc_id and place; a null id comes last.
     Rows equal in id and text are one document, and rows that share an id only
     are compared by place. Windows are compared by 64 bits of hash and the
-    bucket. `docs` should be read from a table: a task that is run again has
-    to see the rows in the same order.
+    bucket. The rows should be read from a table: a task that is run again has
+    to see them in the same order.
     """
     if window < PERIOD:
         raise ValueError(f"a window has {PERIOD} words or more")
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"), *row_key("doc_id", "text"), "text")
-    anchors = (
-        docs.select(row_key("doc_id", "text")[0], "text")
-        .mapInArrow(_anchors(window, buckets), _PACKED)
-        .groupBy("bucket")
-        .applyInArrow(_repeated_anchors, _FLAGS)
-        .groupBy("_k1")
-        .agg(F.collect_list("places").alias("anchors"))
-    )
-    return (
-        keyed.join(anchors.hint("merge"), "_k1")
-        .mapInArrow(_windows(window, buckets), _PACKED)
-        .groupBy("bucket")
-        .applyInArrow(_repeated_windows, _FLAGS)
-        .groupBy("_k1", "_k2")
-        .agg(F.collect_list("places").alias("starts"))
-    )
+    buckets = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def settled(packed: DataFrame, name: str, settle: Callable[[pa.Table], pa.Table]) -> DataFrame:
+        found = packed.groupBy("bucket").applyInArrow(settle, _RETURNED)
+        by_document = found.groupBy("origin").applyInArrow(_by_document, _FLAGS)
+        return by_document.groupBy("_k1").agg(F.collect_list(F.struct("_k2", "places")).alias(name))
+
+    anchors = settled(keyed.select("_k1", "text").mapInArrow(_anchors(window, buckets), _PACKED), "anchors", _repeated_anchors)
+    # The same columns by the same key in both joins: the texts are shuffled once.
+    around = keyed.join(anchors.hint("merge"), "_k1").select("doc_id", "_k1", "_k2", "text", F.col("anchors.places").alias("anchors"))
+    starts = settled(around.mapInArrow(_windows(window, buckets), _PACKED), "starts", _repeated_windows)
+    return keyed.join(starts.hint("merge"), "_k1", "left")
+
+
+def _own(starts: list[dict] | None, k2: int) -> list[bytes]:
+    return [s["places"] for s in starts or () if s["_k2"] == k2]
 
 
-def kept_words(text: bytes, starts: list[bytes] | None, window: int = WINDOW) -> tuple[list[bytes], int]:
+def kept_words(text: bytes, starts: list[bytes], window: int = WINDOW) -> tuple[list[bytes], int]:
     """The words that no repeated window covers, and how many there are in all."""
     words = text.split()
     if not starts:
@@ -288,14 +305,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     All rows and columns stay. Null texts stay null.
     """
-    found = repeats(docs, window)
-    joined = boxed(docs, *row_key("doc_id", "text"), "text").join(found, ["_k1", "_k2"], "left").select("_row", "text", "starts")
+    joined = with_repeats(boxed(docs, "doc_id", *row_key("doc_id", "text"), "text"), window)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            columns = [texts(batch.column("text")), batch.column("starts").to_pylist(), batch.column("_k2").to_pylist()]
             cut = [
-                b" ".join(kept_words(text, starts, window)[0]).decode() if starts else None
-                for text, starts in zip(texts(batch.column("text")), batch.column("starts").to_pylist(), strict=True)
+                b" ".join(kept_words(text, own, window)[0]).decode() if (own := _own(starts, k2)) else None
+                for text, starts, k2 in zip(*columns, strict=True)
             ]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(cut, pa.string())], ["_row", "_cut"])
 
@@ -309,12 +326,12 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A null text has no words. An empty table gives an empty one.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = repeats(docs, window)
-    joined = docs.select("doc_id", *row_key("doc_id", "text"), "text").join(found, ["_k1", "_k2"], "left").select("doc_id", "text", "starts")
+    joined = with_repeats(docs.select("doc_id", *row_key("doc_id", "text"), "text"), window)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [kept_words(t, s, window) for t, s in zip(texts(batch.column("text")), batch.column("starts").to_pylist(), strict=True)]
+            columns = [texts(batch.column("text")), batch.column("starts").to_pylist(), batch.column("_k2").to_pylist()]
+            kept = [kept_words(text, _own(starts, k2), window) for text, starts, k2 in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
