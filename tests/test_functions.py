@@ -73,12 +73,6 @@ def keys(spark):
     return spark.range(0, 4200).withColumnRenamed("id", "k")
 
 
-def test_uniform_pick_is_uniform(keys):
-    counts = keys.groupBy(picks.uniform_pick(F.col("k"), picks.CITIES).alias("c")).count().collect()
-    assert {row["c"] for row in counts} == set(picks.CITIES)
-    assert {row["count"] for row in counts} == {420}
-
-
 @pytest.mark.parametrize("percents", [picks.STATUS_PERCENT, picks.PAYMENT_PERCENT])
 def test_weighted_pick_keeps_the_weights(keys, percents):
     assert sum(percents.values()) == 100
@@ -87,14 +81,9 @@ def test_weighted_pick_keeps_the_weights(keys, percents):
     assert counts == {name: 42 * percent for name, percent in percents.items()}
 
 
-def test_dishes_are_distinct_and_of_the_cuisine(keys):
-    cuisine = picks.uniform_pick(F.col("k"), tuple(picks.MENUS))
-    sizes = set()
-    for row in keys.select(cuisine.alias("c"), picks.menu_items(F.col("k"), cuisine).alias("i")).collect():
-        dishes = row["i"].split(", ")
-        sizes.add(len(dishes))
-        assert len(set(dishes)) == len(dishes) and set(dishes) <= set(picks.MENUS[row["c"]])
-    assert sizes == {1, 2, 3}
+def test_joined_words(spark):
+    rows = spark.createDataFrame([("red green blue",), ("one",), ("",), (None,)], "t STRING")
+    assert [r[0] for r in rows.select(oc.joined_words(F.col("t"))).collect()] == ["red, green, blue", "one", "", ""]
 
 
 def test_bounded_numbers_reach_their_bounds(spark):
@@ -111,8 +100,7 @@ def test_picks_take_any_key(spark, settings):
     rows = spark.createDataFrame([(2**63 - 1,), (-(2**63),)], "k BIGINT")
     k = F.col("k")
     rows.select(
-        picks.uniform_pick(k, picks.RESTAURANTS), picks.bounded_real(k, *picks.PRICE, places=2),
-        picks.menu_items(k, F.lit("Italian")), picks.one_in(k, 10),
+        picks.bounded_real(k, *picks.PRICE, places=2), picks.bounded_int(k, *picks.QUANTITY), picks.one_in(k, 10)
     ).collect()
 
 
@@ -122,3 +110,9 @@ def test_percentile_of_any_properties(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "props STRING")
     found = [row["percentile"] for row in orders.with_percentile(rows).collect()]
     assert found == [7, 99, 42, 6, 8, 9, None, None, None, None, None]
+
+
+def test_a_number_reads_alike_whatever_stands_beside_it(spark):
+    rows = spark.createDataFrame([('{"k": 007}',), ('{"k": 007, "z": 1}',)], "props STRING")
+    alone, beside = (row["percentile"] for row in orders.with_percentile(rows).collect())
+    assert alone == beside

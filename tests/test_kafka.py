@@ -90,5 +90,9 @@ def test_jobs_start_where_they_should(monkeypatch, command, offsets):
 
     monkeypatch.setattr(kafka, "stream_topic", stream_topic)
     target = ["--output", "kafka:b:9092/out"] if command == "enrich" else ["--table", "/t"]
-    cli.main([command, "--input", "kafka:b:9092/in", "--checkpoint", "/c", *target], Recorder())
-    assert seen == {"servers": "b:9092", "topic": "in", "starting_offsets": offsets}
+    more = ["--max-offsets", "9", "--kafka-option", "kafka.security.protocol=SSL"]
+    cli.main([command, "--input", "kafka:b:9092/in", "--checkpoint", "/c", *target, *more], Recorder())
+    assert kafka.source_options(**seen) == {
+        "kafka.bootstrap.servers": "b:9092", "subscribe": "in", "startingOffsets": offsets, "failOnDataLoss": "false",
+        "maxOffsetsPerTrigger": "9", "kafka.security.protocol": "SSL",
+    }

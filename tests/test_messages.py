@@ -59,7 +59,7 @@ CASES = {
     "quoted numbers": ('{"order_id":"g","quantity":"3","price":"250.5","discount_applied":"true"}', {"order_id": "g"}),
     "time at the end of 64 bits": (
         '{"order_id":"h","timestamp":9223372036854775807}',
-        {"order_id": "h", "timestamp": 2**63 - 1, "hour_of_day": (2**63 - 1) // 1000 % 86400 // 3600},
+        {"order_id": "h", "timestamp": 2**63 - 1},
     ),
 }
 ALWAYS = {"is_peak_hour": 0, "order_value_category": "Premium", "is_high_value": 0, "discount_applied": 0,

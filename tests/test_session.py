@@ -7,15 +7,14 @@ import pytest
 import __spark_entry__
 import tiffinlake_oracles as oracles
 from tiffinlake import cli, session
+from tiffinlake.plans import registry
 
 
 class Fake:
     """As much of a session as scratch_root looks at."""
 
-    def __init__(self, master, **conf):
+    def __init__(self, **conf):
         self.conf = conf
-        self.sparkContext = self
-        self.master = master
 
 
 def test_shared_folder_comes_from_the_session(spark):
@@ -24,17 +23,25 @@ def test_shared_folder_comes_from_the_session(spark):
     assert session.scratch_dir(spark, "x") != session.scratch_dir(spark, "x")
 
 
-def test_no_temporary_folder_on_a_cluster():
-    assert session.scratch_root(Fake("yarn", **{"spark.checkpoint.dir": "s3a://shared/"})) == "s3a://shared"
-    assert session.scratch_root(Fake("local[2]"))
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        session.scratch_root(Fake("yarn"))
+def test_scratch_is_below_shared_places_only():
+    warehouse = {"spark.sql.warehouse.dir": "hdfs://w/"}
+    assert session.scratch_root(Fake(**{"spark.checkpoint.dir": "s3a://shared/"}, **warehouse)) == "s3a://shared"
+    assert session.scratch_root(Fake(**warehouse)) == "hdfs://w/_scratch"
+    assert not hasattr(session, "tempfile")
+
+
+def test_a_topic_that_has_gone_is_published_again(spark, small):
+    path = registry.raw_topic(spark, small)
+    assert registry.raw_topic(spark, small) == path
+    session.remove(spark, path)
+    again = registry.raw_topic(spark, small)
+    assert again != path and session.exists(spark, again)
 
 
 def test_driver_contract(spark):
     importlib.reload(__spark_entry__)
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    assert set(sql) == set(queries) == set(oracles.SQL)
+    assert set(registry.QUERIES) == set(oracles.SQL) <= set(sql) <= set(queries)
     rows = __spark_entry__.entry(spark)
     assert rows.columns == ["city", "orders", "revenue", "avg_order_value"]
     assert rows.count() == 10
@@ -57,6 +64,28 @@ def test_jobs_from_end_to_end(spark, small, tmp_path, capsys):
     assert "182057.98" in everything
     assert "284" in run("sql", "SELECT SUM(is_peak_hour) AS n FROM food_orders", "--table", stored)
     assert spark.read.parquet(f"{tmp_path}/live").where("is_peak_hour = 1").first()["orders"] == 284
+    # All rows go to a folder; the screen says that it holds some of them only.
+    text = "SELECT order_id FROM food_orders"
+    assert "more than these 20 rows" in run("sql", text, "--table", stored)
+    run("sql", text, "--table", stored, "--output", f"{tmp_path}/ids")
+    assert spark.read.parquet(f"{tmp_path}/ids").distinct().count() == 1000
+    run("report", "all", "--table", stored, "--output", f"{tmp_path}/reports", "--as-of-ms", "1706657176220")
+    assert spark.read.parquet(f"{tmp_path}/reports/hours-last-day").groupBy().sum("orders").first()[0] == 41
+    assert "created" in run("register", "--table", stored, "--name", "by_command")
+    assert "up to date" in run("register", "--table", stored, "--name", "by_command")
+    assert spark.table("by_command").count() == 1000
+    spark.sql("DROP TABLE by_command")
+    assert run("compact", "--table", stored).strip() == "0"
+    assert "2024-01-28" in run("expire", "--table", stored, "--as-of-ms", "1706657176220")
+
+
+def test_options_of_the_streams():
+    args = cli.parser().parse_args(
+        ["enrich", "--input", "kafka:h:1/t", "--output", "o", "--checkpoint", "c", "--max-offsets", "5",
+         "--kafka-option", "kafka.security.protocol=SSL", "--kafka-option", "a=b=c", "--max-bytes", "7"]
+    )
+    assert cli.kafka_options(args) == {"kafka.security.protocol": "SSL", "a": "b=c"}
+    assert (args.max_offsets, args.max_bytes) == (5, 7)
 
 
 def test_streams_run_until_stopped(spark, monkeypatch):

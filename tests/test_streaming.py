@@ -51,7 +51,8 @@ def test_one_file_per_batch(spark, raw, expected, tmp_path):
     stored = table.read_table(spark, f"{tmp_path}/table")
     assert equal(stored, expected)
     assert stored.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 20
-    assert len(glob.glob(f"{tmp_path}/table/batch=*")) == len({p.batchId for p in second.recentProgress})
+    batches = {path.rsplit("=", 1)[1] for path in glob.glob(f"{tmp_path}/table/*/*/batch=*")}
+    assert batches == {str(p.batchId) for p in second.recentProgress}
 
 
 def test_bytes_per_batch(spark, raw, tmp_path):
@@ -101,27 +102,87 @@ def test_a_failed_batch_is_repeated_and_counts_once(spark, raw, expected, tmp_pa
     assert equal(table.conform(files.read_topic(spark, out)), expected)
 
 
-@pytest.mark.parametrize("mode", ["update", "complete"])
-def test_running_totals(spark, raw, expected, tmp_path, mode):
+def test_running_totals(spark, raw, expected, tmp_path):
     messages = files.stream_topic(spark, raw, max_files_per_trigger=1)
-    query = jobs.start_live(
-        reports.running_totals(decode(messages)), f"{tmp_path}/out", f"{tmp_path}/c", mode, available_now=True
-    )
-    jobs.run_to_end(query)
+    report = reports.running_totals(decode(messages))
+    jobs.run_to_end(jobs.start_live(report, f"{tmp_path}/out", f"{tmp_path}/c", available_now=True))
     assert len(glob.glob(f"{tmp_path}/out/slot=*")) == jobs.LIVE_SLOTS
-    assert jobs.read_live(spark, f"{tmp_path}/out").collect() == reports.totals(expected).collect()
+    assert jobs.read_live(spark, f"{tmp_path}/out", report.schema).collect() == reports.totals(expected).collect()
 
 
 def test_live_reports_sorted_and_limited(spark, raw, expected, tmp_path):
     orders = decode(files.stream_topic(spark, raw, max_files_per_trigger=2))
-    query = jobs.start_live(
-        reports.city_revenue(orders), f"{tmp_path}/out", f"{tmp_path}/c", "complete", available_now=True
-    )
-    jobs.run_to_end(query)
-    got = jobs.read_live(spark, f"{tmp_path}/out").collect()
+    report = reports.city_revenue(orders)
+    jobs.run_to_end(jobs.start_live(report, f"{tmp_path}/out", f"{tmp_path}/c", available_now=True))
+    got = jobs.read_live(spark, f"{tmp_path}/out", report.schema).collect()
     assert sorted(got) == sorted(reports.city_revenue(expected).collect())
 
 
+def test_live_results_hold_the_groups_of_all_batches(spark, raw, expected, tmp_path):
+    """A city that is in the first batch only is in the last result."""
+    topic = f"{tmp_path}/raw"
+    for only in (True, False):
+        part = decode(files.read_topic(spark, raw)).where((F.col("city") == "NATION_2") == only)
+        files.publish(encode(part), topic)
+        report = reports.by_city(decode(files.stream_topic(spark, topic)))
+        jobs.run_to_end(jobs.start_live(report, f"{tmp_path}/out", f"{tmp_path}/c", available_now=True))
+    got = jobs.read_live(spark, f"{tmp_path}/out", report.schema).collect()
+    assert sorted(got) == sorted(reports.by_city(expected).collect())
+
+
+def test_an_old_live_result_does_not_hide_a_new_one(spark, raw, tmp_path):
+    """Five batches under one checkpoint, then one under a new one: batch 0 is the newest."""
+    report = reports.running_totals(decode(files.stream_topic(spark, raw, max_files_per_trigger=1)))
+    jobs.run_to_end(jobs.start_live(report, f"{tmp_path}/out", f"{tmp_path}/c1", available_now=True))
+    files.publish(decode(files.read_topic(spark, raw)).limit(7).transform(encode), f"{tmp_path}/few")
+    report = reports.running_totals(decode(files.stream_topic(spark, f"{tmp_path}/few")))
+    jobs.run_to_end(jobs.start_live(report, f"{tmp_path}/out", f"{tmp_path}/c2", available_now=True))
+    assert jobs.read_live(spark, f"{tmp_path}/out", report.schema).first()["total_orders"] == 7
+
+
+def test_shares_are_taken_of_each_result(spark, raw, expected, tmp_path):
+    report = reports.status_counts(decode(files.stream_topic(spark, raw, max_files_per_trigger=2)))
+    query = jobs.start_live(report, f"{tmp_path}/out", f"{tmp_path}/c", reports.share_of_counts, available_now=True)
+    jobs.run_to_end(query)
+    got = jobs.read_live(spark, f"{tmp_path}/out", "status STRING, count BIGINT, pct DOUBLE").collect()
+    assert sorted(got) == sorted(reports.status_share(expected).collect())
+
+
+def test_a_second_stream_and_a_new_checkpoint_lose_no_rows(spark, raw, expected, tmp_path):
+    topics = []
+    for number, share in enumerate(("price < 600", "price >= 600")):
+        topics.append(f"{tmp_path}/topic-{number}")
+        files.publish(jobs.enriched_messages(encode(decode(files.read_topic(spark, raw)).where(share))), topics[-1])
+        registry.ingest_topic(spark, topics[-1], f"{tmp_path}/table", f"{tmp_path}/c-{number}")
+    assert equal(table.read_table(spark, f"{tmp_path}/table"), expected)
+    # What the lost checkpoint had seen is there twice: added, and nothing gone.
+    registry.ingest_topic(spark, topics[0], f"{tmp_path}/table", f"{tmp_path}/c-new")
+    stored = table.read_table(spark, f"{tmp_path}/table").drop("order_date")
+    assert expected.exceptAll(stored).count() == 0
+    assert stored.count() == 1000 + expected.where("price < 600").count()
+
+
+def test_publishing_into_a_topic_of_a_stream_is_refused(spark, raw, tmp_path):
+    registry.enrich_topic(spark, raw, f"{tmp_path}/out", f"{tmp_path}/c1")
+    with pytest.raises(ValueError, match="stream"):
+        files.publish(files.read_topic(spark, raw), f"{tmp_path}/out")
+
+
+def test_an_interrupt_ends_the_query(spark, raw, tmp_path, monkeypatch):
+    query = jobs.start_enrichment(files.stream_topic(spark, raw), to_files(f"{tmp_path}/out"), f"{tmp_path}/c")
+
+    class Interrupted:
+        isActive = property(lambda self: query.isActive)
+        stop = staticmethod(query.stop)
+
+        def awaitTermination(self):
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        jobs.run_to_end(Interrupted())
+    assert not query.isActive
+
+
 def test_odd_messages_do_not_stop_the_job(spark, tmp_path):
     payloads = ["not json", "", None, "[1]", '{"order_id":"x","timestamp":9223372036854775807,"quantity":0,"price":1}']
     rows = [(None, None if p is None else bytearray(p.encode())) for p in payloads]

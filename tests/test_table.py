@@ -24,7 +24,7 @@ def orders(spark, small):
 @pytest.fixture(scope="module")
 def path(orders, tmp_path_factory):
     place = str(tmp_path_factory.mktemp("table") / "food_orders")
-    table.write_table(orders.repartition(8), place, 0, rebalance=True)
+    table.write_table(orders.repartition(8), place, 0, "w", rebalance=True)
     return place
 
 
@@ -53,9 +53,9 @@ def test_filters_reach_the_files(stored):
 
 
 def test_one_file_per_small_date(path):
-    dates = glob.glob(f"{path}/batch=0/order_date=*")
+    dates = glob.glob(f"{path}/order_date=*")
     assert len(dates) == 30
-    assert all(len(glob.glob(f"{date}/*.parquet")) == 1 for date in dates)
+    assert all(len(glob.glob(f"{date}/writer=w/batch=0/*.parquet")) == 1 for date in dates)
 
 
 def test_a_date_with_most_rows_is_split(spark, settings, tmp_path):
@@ -65,16 +65,16 @@ def test_a_date_with_most_rows_is_split(spark, settings, tmp_path):
     rows = spark.range(0, 300_000, numPartitions=8).select(
         F.col("id").cast("string").alias("order_id"), (day * MS_PER_DAY).alias("timestamp"), F.lit("x").alias("city")
     )
-    table.write_table(rows, str(tmp_path / "t"), 0, rebalance=True)
-    hot, every = (len(glob.glob(f"{tmp_path}/t/batch=0/order_date={d}/*.parquet")) for d in ("1970-01-01", "*"))
+    table.write_table(rows, str(tmp_path / "t"), 0, "w", rebalance=True)
+    hot, every = (len(glob.glob(f"{tmp_path}/t/order_date={d}/*/*/*.parquet")) for d in ("1970-01-01", "*"))
     assert hot >= 3
     assert every < 30 * 8 / 2  # a plain write would have each of 8 tasks write each of 30 dates
     assert spark.read.parquet(str(tmp_path / "t")).select(F.countDistinct("order_id")).first()[0] == 300_000
 
 
-def test_rows_per_file_and_blooms(orders, spark, tmp_path):
+def test_rows_per_file(orders, spark, tmp_path):
     place = str(tmp_path / "t")
-    table.write_table(orders, place, 0, max_records_per_file=10, bloom_columns=("city",))
+    table.write_table(orders, place, 0, "w", max_records_per_file=10)
     counts = spark.read.parquet(place).groupBy(F.input_file_name()).count()
     assert counts.agg(F.max("count")).first()[0] == 10
     assert table.read_table(spark, place).where("city = 'NATION_2'").count() == orders.where("city = 'NATION_2'").count()
@@ -82,7 +82,7 @@ def test_rows_per_file_and_blooms(orders, spark, tmp_path):
 
 def test_undated_rows_are_kept(spark, tmp_path):
     rows = spark.createDataFrame([("a", None), ("b", 2**62), ("c", 0)], "order_id STRING, `timestamp` BIGINT")
-    table.write_table(rows, str(tmp_path / "t"), 0)
+    table.write_table(rows, str(tmp_path / "t"), 0, "w")
     back = spark.read.parquet(str(tmp_path / "t"))
     assert {(r["order_id"], r["order_date"]) for r in back.collect()} == {
         ("a", None), ("b", None), ("c", datetime.date(1970, 1, 1)),
@@ -105,24 +105,23 @@ def test_retention_skips_partitions(stored):
     assert recent.count() == 41
     plan = plan_of(recent)
     assert "PartitionFilters: [(isnull(order_date" in plan and "GreaterThanOrEqual(timestamp," in plan
-    assert table.retain(stored, table.newest(stored)).count() == 41
 
 
 def test_a_batch_written_again_replaces_itself(spark, orders, tmp_path):
     place = str(tmp_path / "t")
-    table.write_table(orders.where("price < 600"), place, 0)
-    table.write_table(orders.where("price >= 600"), place, 1)
-    table.write_table(orders.where("price >= 600"), place, 1)
+    table.write_table(orders.where("price < 600"), place, 0, "w")
+    table.write_table(orders.where("price >= 600"), place, 1, "w")
+    table.write_table(orders.where("price >= 600"), place, 1, "w")
     back = table.read_table(spark, place).drop("order_date")
     assert back.count() == 1000 and orders.exceptAll(back).count() == 0
 
 
 def test_expired_days_are_dropped(spark, orders, tmp_path):
     place = str(tmp_path / "t")
-    table.write_table(orders, place, 0)
-    before = {os.path.basename(d)[-10:] for d in glob.glob(f"{place}/batch=0/order_date=*")}
+    table.write_table(orders, place, 0, "w")
+    before = {os.path.basename(d)[-10:] for d in glob.glob(f"{place}/order_date=*")}
     dropped = table.drop_expired(spark, place, 1706657176220)
-    left = {os.path.basename(d)[-10:] for d in glob.glob(f"{place}/batch=0/order_date=*")}
+    left = {os.path.basename(d)[-10:] for d in glob.glob(f"{place}/order_date=*")}
     assert left == {"2024-01-29", "2024-01-30"}
     assert set(dropped) == before - left
     assert table.retain(table.read_table(spark, place), 1706657176220).count() == 41
@@ -131,10 +130,10 @@ def test_expired_days_are_dropped(spark, orders, tmp_path):
 
 def test_catalog_table(spark, orders, tmp_path):
     place = str(tmp_path / "t")
-    table.write_table(orders.where("price < 600"), place, 0)
+    table.write_table(orders.where("price < 600"), place, 0, "w")
     assert table.create_table(spark, place, "stored_orders")
     assert spark.table("stored_orders").count() == orders.where("price < 600").count()
-    table.write_table(orders.where("price >= 600"), place, 1)
+    table.write_table(orders.where("price >= 600"), place, 1, "w")
     assert not table.create_table(spark, place, "stored_orders")
     assert spark.table("stored_orders").count() == 1000
     assert spark.sql("SELECT COUNT(*) FROM stored_orders WHERE order_date = '2024-01-05'").first()[0] > 0
@@ -142,13 +141,124 @@ def test_catalog_table(spark, orders, tmp_path):
     assert os.path.exists(place)
 
 
-def test_a_taken_name_is_left_alone(spark, path):
-    spark.sql("CREATE TABLE taken (a INT) USING parquet")
-    assert not table.create_table(spark, path, "taken")
-    assert spark.table("taken").columns == ["a"]
+def test_a_taken_name_is_an_error(spark, path):
+    spark.sql("CREATE TABLE taken (a INT, b INT) USING parquet PARTITIONED BY (b)")
+    with pytest.raises(ValueError, match="taken"):
+        table.create_table(spark, path, "taken")
+    assert spark.table("taken").columns == ["a", "b"]
     spark.sql("DROP TABLE taken")
 
 
+def test_a_quote_in_the_path(spark, orders, tmp_path):
+    place = str(tmp_path / "o'clock")
+    table.write_table(orders, place, 0, "w")
+    assert table.create_table(spark, place, "quoted") and spark.table("quoted").count() == 1000
+    spark.sql("DROP TABLE quoted")
+
+
+def test_writers_do_not_replace_each_other(spark, orders, tmp_path):
+    place = str(tmp_path / "t")
+    table.write_table(orders.where("price < 600"), place, 0, "one")
+    table.write_table(orders.where("price >= 600"), place, 0, "two")
+    assert table.read_table(spark, place).count() == 1000
+    with pytest.raises(ValueError):
+        table.write_table(orders, place, 0, "a/b")
+
+
+def test_batches_are_merged_and_no_row_changes(spark, orders, tmp_path):
+    place = str(tmp_path / "t")
+    odd = orders.withColumn("timestamp", F.when(F.col("is_first_order") == 1, F.lit(None)).otherwise(F.col("timestamp")))
+    for batch in range(5):
+        table.write_table(odd.where(F.pmod(F.xxhash64("order_id"), F.lit(5)) == batch), place, batch, "w", rebalance=True)
+    before = len(glob.glob(f"{place}/*/*/*/*.parquet"))
+    merged = table.compact(spark, place)
+    assert merged > 60 and len(glob.glob(f"{place}/*/*/*/*.parquet")) < before / 2
+    back = table.read_table(spark, place).drop("order_date")
+    assert back.count() == 1000 and odd.exceptAll(back).count() == 0
+    # The stream may repeat its last batch, and a second run finds little to do.
+    table.write_table(odd.where(F.pmod(F.xxhash64("order_id"), F.lit(5)) == 4), place, 4, "w", rebalance=True)
+    assert table.compact(spark, place) == 0
+    assert table.read_table(spark, place).count() == 1000
+    assert not os.path.exists(f"{place}/_compact")
+
+
+def test_a_merge_that_died_is_completed(spark, orders, tmp_path, monkeypatch):
+    place = str(tmp_path / "t")
+    for batch in range(4):
+        table.write_table(orders.where(F.pmod(F.xxhash64("order_id"), F.lit(4)) == batch), place, batch, "w", rebalance=True)
+    finish = table._finish
+    calls = []
+
+    def dies(spark, path):
+        calls.append(path)
+        if len(calls) == 2:
+            raise OSError("lost")
+        finish(spark, path)
+
+    monkeypatch.setattr(table, "_finish", dies)
+    with pytest.raises(OSError):
+        table.compact(spark, place)
+    assert table.read_table(spark, place).count() == 1000
+    monkeypatch.setattr(table, "_finish", finish)
+    table.compact(spark, place)
+    back = table.read_table(spark, place).drop("order_date")
+    assert back.count() == 1000 and orders.exceptAll(back).count() == 0
+
+
+def test_undated_batches_expire_by_when_they_were_written(spark, tmp_path):
+    place = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", None)], "order_id STRING, `timestamp` BIGINT")
+    table.write_table(rows, place, 0, "w")
+    table.drop_expired(spark, place, 0)
+    assert spark.read.parquet(place).count() == 1
+    table.drop_expired(spark, place, 2**43)
+    assert glob.glob(f"{place}/*/*/batch=*") == []
+
+
+def test_the_status_prunes_row_groups(spark, tmp_path):
+    """Row groups of one date whose range of status holds 'delivered': well under half."""
+    import pyarrow.parquet as pq
+
+    i = F.col("id")
+    labels = ("placed", "preparing", "out_for_delivery", "delivered", "cancelled")
+    status = F.element_at(F.array(*map(F.lit, labels)), (i % 5 + 1).cast("int"))
+    rows = spark.range(0, 400_000, numPartitions=2).select(
+        F.md5(i.cast("string")).alias("order_id"), F.lit(0).cast("bigint").alias("timestamp"),
+        F.concat(F.lit("city"), i % 25).alias("city"), status.alias("status"),
+    )
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size", str(1 << 18))
+    try:
+        table.write_table(rows, str(tmp_path / "t"), 0, "w")
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size")
+    groups = []
+    for name in glob.glob(f"{tmp_path}/t/*/*/*/*.parquet"):
+        meta = pq.ParquetFile(name).metadata
+        at = meta.schema.names.index("status")
+        groups += [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
+    read = sum(s.min <= "delivered" <= s.max for s in groups)
+    assert len(groups) >= 10 and read < 0.45 * len(groups)
+
+
+def test_one_order_of_the_future_moves_nothing(spark, orders, stored, tmp_path):
+    place = str(tmp_path / "t")
+    table.write_table(orders, place, 0, "w")
+    future = orders.limit(1).withColumn("timestamp", F.lit(253_370_764_800_000)).withColumn("order_id", F.lit("late"))
+    table.write_table(future, place, 1, "w")
+    with_future = table.read_table(spark, place)
+    as_of = 1706657176220
+    assert reports.hourly_volume_last_day(with_future, as_of).collect() == reports.hourly_volume_last_day(stored, as_of).collect()
+    table.drop_expired(spark, place, as_of)
+    assert table.read_table(spark, place).where("order_date < '2025-01-01'").select("order_date").distinct().count() == 2
+
+
+def test_revenue_is_exact_and_takes_odd_prices(spark):
+    prices = [0.1] * 1000 + [float("nan"), float("inf"), 1e30, None]
+    rows = spark.createDataFrame([(p,) for p in prices], "price FLOAT")
+    row = reports.totals(rows).first()
+    assert tuple(row) == (1004, 100.0)
+
+
 REPORTS = {
     "q1_totals": reports.totals, "q2_city_revenue": reports.city_revenue,
     "q3_cuisine_popularity": reports.cuisine_popularity, "q4_status_share": reports.status_share,
@@ -160,7 +270,7 @@ REPORTS = {
 
 @pytest.mark.parametrize("name", REPORTS)
 def test_reports_over_the_table_equal_sql(spark, small, stored, name):
-    """DataFrame over files = DataFrame over the derivation = SQL over the view."""
+    """DataFrame over files = registered query = SQL over the view."""
     rows = sorted(map(tuple, REPORTS[name](stored).collect()), key=repr)
     assert rows == sorted(map(tuple, registry.QUERIES[name](spark, small).collect()), key=repr)
     by_sql = run_sql(spark, oracles.REPORTS[name], stored)
@@ -170,7 +280,8 @@ def test_reports_over_the_table_equal_sql(spark, small, stored, name):
 
 @pytest.mark.parametrize("report", reports.READS)
 def test_reports_read_what_they_say(stored, report):
-    assert report(stored.select(*reports.READS[report])).columns == report(stored).columns
+    options = {"as_of_ms": 0} if report is reports.hourly_volume_last_day else {}
+    assert report(stored.select(*reports.READS[report]), **options).columns == report(stored, **options).columns
 
 
 def test_share_as_a_window_in_sql(spark, stored):

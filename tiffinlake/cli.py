@@ -6,6 +6,7 @@ A topic is given as `kafka:host:port[,host:port]/topic` or as a directory.
 from __future__ import annotations
 
 import argparse
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,16 +33,18 @@ REPORTS = {
     "hours-last-day": reports.hourly_volume_last_day,
     "high-value": reports.high_value_orders,
 }
+# A report, and what is left to do in each batch's result.
 LIVE = {
-    "totals": (reports.running_totals, "update"),
-    "city-revenue": (reports.by_city, "complete"),
-    "cuisines": (reports.cuisine_popularity, "complete"),
-    "payments": (reports.payment_mix, "complete"),
-    "peak": (reports.peak_comparison, "complete"),
-    "values": (reports.value_categories, "complete"),
-    "hours": (reports.hourly_volume, "complete"),
+    "totals": (reports.running_totals, None),
+    "city-revenue": (reports.by_city, None),
+    "cuisines": (reports.cuisine_popularity, None),
+    "status": (reports.status_counts, reports.share_of_counts),
+    "payments": (reports.payment_mix, None),
+    "peak": (reports.peak_comparison, None),
+    "restaurants": (reports.top_restaurants, None),
+    "values": (reports.value_categories, None),
+    "hours": (reports.hourly_volume, None),
 }
-SHOWN_ROWS = 60
 
 
 def kafka_place(topic: str) -> dict[str, str] | None:
@@ -54,16 +57,30 @@ def kafka_place(topic: str) -> dict[str, str] | None:
     return {"servers": servers, "topic": name}
 
 
-def stream_from(spark: SparkSession, topic: str, starting_offsets: str) -> DataFrame:
-    place = kafka_place(topic)
-    if place:
-        return kafka.stream_topic(spark, **place, starting_offsets=starting_offsets)
-    return files.stream_topic(spark, topic)
+def kafka_options(args: argparse.Namespace) -> dict[str, str]:
+    """Further options of the connector, given as key=value: security, for one."""
+    return dict(option.split("=", 1) for option in args.kafka_option or ())
 
 
-def stream_to(messages: DataFrame, topic: str) -> DataStreamWriter:
-    place = kafka_place(topic)
-    return kafka.stream_writer(messages, **place) if place else files.stream_writer(messages, topic)
+def stream_from(spark: SparkSession, args: argparse.Namespace, starting_offsets: str) -> DataFrame:
+    place = kafka_place(args.input)
+    if place:
+        return kafka.stream_topic(
+            spark,
+            **place,
+            starting_offsets=args.offsets or starting_offsets,
+            max_offsets_per_trigger=args.max_offsets,
+            min_partitions=args.min_partitions,
+            more=kafka_options(args),
+        )
+    return files.stream_topic(spark, args.input, max_bytes_per_trigger=args.max_bytes)
+
+
+def stream_to(messages: DataFrame, args: argparse.Namespace) -> DataStreamWriter:
+    place = kafka_place(args.output)
+    if place:
+        return kafka.stream_writer(messages, **place, more=kafka_options(args))
+    return files.stream_writer(messages, args.output)
 
 
 def publish(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -82,16 +99,16 @@ def _trigger(args: argparse.Namespace) -> dict:
 
 def enrich(spark: SparkSession, args: argparse.Namespace) -> None:
     """Raw topic to processed topic."""
-    raw = stream_from(spark, args.input, args.offsets or "latest")
+    raw = stream_from(spark, args, "latest")
     query = jobs.start_enrichment(
-        raw, lambda m: stream_to(m, args.output), args.checkpoint, args.tz, **_trigger(args)
+        raw, lambda m: stream_to(m, args), args.checkpoint, args.tz, **_trigger(args)
     )
     jobs.run_to_end(query)
 
 
 def ingest(spark: SparkSession, args: argparse.Namespace) -> None:
     """Processed topic to the table."""
-    processed = stream_from(spark, args.input, args.offsets or "earliest")
+    processed = stream_from(spark, args, "earliest")
     query = jobs.start_ingestion(
         processed,
         args.table,
@@ -106,28 +123,54 @@ def ingest(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def live(spark: SparkSession, args: argparse.Namespace) -> None:
     """A report kept up to date over the raw topic."""
-    report, mode = LIVE[args.name]
-    raw = stream_from(spark, args.input, args.offsets or "latest")
+    report, finish = LIVE[args.name]
+    raw = stream_from(jobs.live_session(spark, args.state_partitions), args, "latest")
     orders_now = jobs.live_orders(raw, reports.READS[report], args.tz)
-    jobs.run_to_end(jobs.start_live(report(orders_now), args.output, args.checkpoint, mode, **_trigger(args)))
+    more = {"finish": finish} if finish else {}
+    jobs.run_to_end(jobs.start_live(report(orders_now), args.output, args.checkpoint, **more, **_trigger(args)))
+
+
+def give(result: DataFrame, args: argparse.Namespace, folder: str = "") -> None:
+    """The whole result to --output, written by the executors; else the first --rows rows to the screen."""
+    if args.output:
+        result.write.mode("overwrite").parquet(args.output + folder)
+        return
+    shown = result.limit(args.rows + 1).collect()
+    spark = result.sparkSession
+    spark.createDataFrame(shown[: args.rows], result.schema).show(max(1, args.rows), truncate=False)
+    if len(shown) > args.rows:
+        print(f"There are more than these {args.rows} rows: --output FOLDER writes them all.")
 
 
 def report(spark: SparkSession, args: argparse.Namespace) -> None:
     """One or all of the reports over the table."""
     stored = table.read_table(spark, args.table)
+    as_of_ms = time.time_ns() // 1_000_000 if args.as_of_ms is None else args.as_of_ms
     for name in [args.name] if args.name != "all" else REPORTS:
         print(name)
-        REPORTS[name](stored).show(SHOWN_ROWS, truncate=False)
+        options = {"as_of_ms": as_of_ms} if name == "hours-last-day" else {}
+        give(REPORTS[name](stored, **options), args, f"/{name}" if args.name == "all" else "")
 
 
 def sql(spark: SparkSession, args: argparse.Namespace) -> None:
     """Any SQL over the table, as the view food_orders."""
-    run_sql(spark, args.text, table.read_table(spark, args.table)).show(SHOWN_ROWS, truncate=False)
+    give(run_sql(spark, args.text, table.read_table(spark, args.table)), args)
+
+
+def register(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Enter the table in the catalog, or make its new batches known there."""
+    print("created" if table.create_table(spark, args.table, args.name) else "brought up to date")
+
+
+def compact(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Merge the small batches of each date."""
+    print(table.compact(spark, args.table, args.least))
 
 
 def expire(spark: SparkSession, args: argparse.Namespace) -> None:
     """Delete days before the retention period."""
-    for day in table.drop_expired(spark, args.table, args.as_of_ms, args.days):
+    as_of_ms = time.time_ns() // 1_000_000 if args.as_of_ms is None else args.as_of_ms
+    for day in table.drop_expired(spark, args.table, as_of_ms, args.days):
         print(day)
 
 
@@ -148,6 +191,16 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--once", action="store_true", help="take what is there and end")
         sub.add_argument("--interval", help="time between two batches, such as '1 hour'")
         sub.add_argument("--tz", default="UTC", help="zone of the hour of the day")
+        sub.add_argument("--max-offsets", type=int, help="Kafka messages in a batch at most")
+        sub.add_argument("--max-bytes", type=int, default=1 << 40, help="bytes of files in a batch at most")
+        sub.add_argument("--min-partitions", type=int, help="tasks that read Kafka at least")
+        sub.add_argument("--kafka-option", action="append", metavar="KEY=VALUE", help="more options of the connector")
+        return sub
+
+    def result(run, *required: str) -> argparse.ArgumentParser:
+        sub = command(run, *required)
+        sub.add_argument("--output", help="folder for the whole result, as Parquet")
+        sub.add_argument("--rows", type=int, default=20, help="rows to show without --output")
         return sub
 
     command(publish, "tables", "output")
@@ -156,11 +209,18 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--dimension-default", help="what a null dimension is stored as")
     sub.add_argument("--max-records-per-file", type=int)
     sub.add_argument("--rebalance", action="store_true", help="for messages that are not in time order")
-    stream(live, "output").add_argument("name", choices=LIVE)
-    command(report, "table").add_argument("name", choices=[*REPORTS, "all"])
-    command(sql, "table").add_argument("text")
+    sub = stream(live, "output")
+    sub.add_argument("name", choices=LIVE)
+    sub.add_argument("--state-partitions", type=int, default=jobs.STATE_PARTITIONS)
+    now = "what to take for now, in epoch milliseconds; the clock without it"
+    sub = result(report, "table")
+    sub.add_argument("name", choices=[*REPORTS, "all"])
+    sub.add_argument("--as-of-ms", type=int, help=now)
+    result(sql, "table").add_argument("text")
+    command(register, "table").add_argument("--name", default="food_orders")
+    command(compact, "table").add_argument("--least", type=int, default=2, help="batches of a date worth merging")
     sub = command(expire, "table")
-    sub.add_argument("--as-of-ms", type=int, required=True)
+    sub.add_argument("--as-of-ms", type=int, help=now)
     sub.add_argument("--days", type=int, default=1)
     return top
 

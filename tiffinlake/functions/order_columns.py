@@ -52,18 +52,19 @@ def hour_of_day(epoch_ms: Column, tz: str = "UTC") -> Column:
 
     Milliseconds are cut off toward zero, so that -1 ms is hour 0. In UTC the
     hour is plain integer arithmetic; another zone takes the way over a local
-    timestamp and gives null beyond the timestamp range.
+    timestamp. Beyond the timestamp range the hour is null in any zone.
     """
     seconds = div64(epoch_ms, 1000)
     second_of_day = mod64(seconds, SECONDS_PER_DAY)
+    known = seconds.between(*SECONDS_RANGE)
     if tz == "UTC":
-        return div64(second_of_day, 3600).cast("int")
+        return F.when(known, div64(second_of_day, 3600).cast("int"))
     day = div64(seconds - second_of_day, SECONDS_PER_DAY)
     utc = F.date_from_unix_date(day.cast("int")).cast("timestamp_ntz") + F.make_dt_interval(
         secs=second_of_day
     )
     local = F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
-    return F.when(seconds.between(*SECONDS_RANGE), F.hour(local))
+    return F.when(known, F.hour(local))
 
 
 def order_date(epoch_ms: Column) -> Column:
@@ -94,6 +95,11 @@ def is_high_value(price: Column) -> Column:
     return flag(price >= HIGH_VALUE_FROM)
 
 
+def joined_words(text: Column) -> Column:
+    """The words of a text as a list in one string, as the dishes of an order are given."""
+    return F.concat_ws(", ", F.split(text, " "))
+
+
 def status_label(status: Column) -> Column:
     """The sign a status is shown with."""
     signs = F.create_map(*(F.lit(part) for pair in STATUS_LABELS.items() for part in pair))

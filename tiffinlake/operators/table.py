@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import re
+import uuid
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from tiffinlake import schema
 from tiffinlake.functions.order_columns import MS_PER_DAY, order_date
 from tiffinlake.operators.codec import decode
+from tiffinlake.session import exists, file_system, remove
 
 
 def fill_defaults(rows: DataFrame, dimension_default: str | None = None) -> DataFrame:
@@ -63,38 +67,44 @@ def write_table(
     rows: DataFrame,
     path: str,
     batch: int,
+    writer: str,
     rebalance: bool = False,
     max_records_per_file: int | None = None,
-    bloom_columns: tuple[str, ...] = (),
 ) -> None:
-    """Add a batch of rows to the table at `path`, as Parquet files by UTC date.
+    """Add a batch of rows to the table at `path`, as Parquet files by UTC date, writer and batch.
 
-    A batch has a folder of its own, so that writing it again, after a failure
-    or by mistake, replaces it and doubles nothing.
+    A batch is known by its writer and number. Writing it again, after a
+    failure or by mistake, replaces it and doubles nothing; batches of other
+    writers are left alone, whatever their numbers.
 
     Rows in time order need no shuffle: each task holds a few dates and writes
     a file for each. Rows in any order would leave a file per task and date;
     `rebalance` then lets AQE gather small dates in one task and split a date
     that holds most rows over many. Sorting within a task gives narrow
-    row-group statistics on the columns the table is filtered by.
+    row-group statistics on the columns the table is filtered by, the status
+    before all.
     """
-    dated = with_date(rows)
-    indexed = [c for c in schema.INDEXED_COLUMNS if c in dated.columns]
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", writer):
+        raise ValueError(f"a writer's name is part of a path: {writer!r}")
+    placed = with_date(rows).withColumns({schema.WRITER_COLUMN: F.lit(writer), schema.BATCH_COLUMN: F.lit(batch).cast("bigint")})
+    _write(placed, path, rebalance, max_records_per_file)
+
+
+def _write(placed: DataFrame, path: str, rebalance: bool, max_records_per_file: int | None = None) -> None:
     if rebalance:
-        dated = dated.hint("rebalance", schema.DATE_COLUMN)
-    ordered = dated.sortWithinPartitions(schema.DATE_COLUMN, *indexed)
-    writer = ordered.write.mode("overwrite").partitionBy(schema.DATE_COLUMN).option("compression", "zstd")
+        placed = placed.hint("rebalance", schema.DATE_COLUMN)
+    sort = [*schema.PARTITION_COLUMNS, *(c for c in schema.SORT_COLUMNS if c in placed.columns)]
+    writer = placed.sortWithinPartitions(*sort).write.mode("overwrite").partitionBy(*schema.PARTITION_COLUMNS)
+    writer = writer.option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
-    for column in bloom_columns:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-    writer.parquet(f"{path}/{schema.BATCH_COLUMN}={batch}")
+    writer.parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """The table at `path`, with the date of its partitions last."""
     rows = spark.read.schema(schema.FOOD_ORDERS_ON_DISK).parquet(path)
-    return rows.drop(schema.BATCH_COLUMN)
+    return rows.drop(schema.WRITER_COLUMN, schema.BATCH_COLUMN)
 
 
 def register_view(rows: DataFrame, name: str = "food_orders") -> None:
@@ -103,37 +113,112 @@ def register_view(rows: DataFrame, name: str = "food_orders") -> None:
 
 
 def create_table(spark: SparkSession, path: str, name: str = "food_orders") -> bool:
-    """Enter the table at `path` in the catalog; False if the name was taken.
+    """Enter the table at `path` in the catalog; False if it is there already.
 
-    Called again it makes the batches known that were written since.
+    Called again it makes the dates and batches known that were written since.
+    A name that stands for another place or other columns is an error.
     """
     created = not spark.catalog.tableExists(name)
-    spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} ({schema.FOOD_ORDERS_ON_DISK}) USING parquet "
-        f"PARTITIONED BY ({schema.BATCH_COLUMN}, {schema.DATE_COLUMN}) LOCATION '{path}'"
-    )
-    if any(column.isPartition for column in spark.catalog.listColumns(name)):
-        spark.catalog.recoverPartitions(name)
+    if created:
+        place = path.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(
+            f"CREATE TABLE {name} ({schema.FOOD_ORDERS_ON_DISK}) USING parquet "
+            f"PARTITIONED BY ({', '.join(schema.PARTITION_COLUMNS)}) LOCATION '{place}'"
+        )
+    else:
+        known = spark.table(name)
+        location = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").select("data_type").first()
+        fs, wanted = file_system(spark, path)
+        there = None if location is None else file_system(spark, location[0])[1]
+        if there is None or fs.makeQualified(there).toUri() != fs.makeQualified(wanted).toUri():
+            raise ValueError(f"{name} is a table at {location and location[0]}, not at {path}")
+        if known.columns != schema.column_names(schema.FOOD_ORDERS_ON_DISK):
+            raise ValueError(f"{name} has other columns: {known.columns}")
+    spark.catalog.recoverPartitions(name)
     return created
 
 
+def _folders(spark: SparkSession, path: str, pattern: str) -> list:
+    """What lies below `path`, of folders that fit; none if there is no such path."""
+    fs, place = file_system(spark, f"{path}/{pattern}")
+    return [s for s in fs.globStatus(place) or [] if s.isDirectory()]
+
+
 def drop_expired(spark: SparkSession, path: str, as_of_ms: int, days: int = 1) -> list[str]:
-    """Delete the date folders that lie wholly before the retention period.
+    """Delete the dates that lie wholly before the retention period, each with one call.
 
-    Only folder names are listed, those of the batches and dates that are
-    still kept. The day that the cutoff falls into stays: `retain` hides its
-    older rows.
+    Only the folders of dates are listed, those that are still kept. The day
+    that the cutoff falls into stays: `retain` hides its older rows. Rows
+    without a usable time have no date; their batches go once they were written
+    before the retention period.
     """
-    first_kept_day = as_of_ms // MS_PER_DAY - days
+    cutoff = as_of_ms - days * MS_PER_DAY
     epoch = datetime.date(1970, 1, 1)
-    jvm = spark.sparkContext._jvm
-    folders = jvm.org.apache.hadoop.fs.Path(path, f"{schema.BATCH_COLUMN}=*/{schema.DATE_COLUMN}=*")
-    fs = folders.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     dropped = set()
-    for status in fs.globStatus(folders):
+    for status in _folders(spark, path, f"{schema.DATE_COLUMN}=*"):
         value = status.getPath().getName().removeprefix(f"{schema.DATE_COLUMN}=")
-        undated = value.startswith("__")
-        if not undated and (datetime.date.fromisoformat(value) - epoch).days < first_kept_day:
-            fs.delete(status.getPath(), True)
+        if value.startswith("__"):
+            for batch in _folders(spark, status.getPath().toString(), "*/*"):
+                if batch.getModificationTime() < cutoff:
+                    remove(spark, batch.getPath().toString())
+        elif (datetime.date.fromisoformat(value) - epoch).days < cutoff // MS_PER_DAY:
+            remove(spark, status.getPath().toString())
             dropped.add(value)
     return sorted(dropped)
+
+
+STAGE = "_compact"
+
+
+def compact(spark: SparkSession, path: str, least: int = 2) -> int:
+    """Merge the batches of each date that has `least` or more of them; returns how many were merged.
+
+    No row changes. The last batch of each writer stays as it is, since a
+    stream may still repeat it. Merged files are first written aside, with the
+    list of what they replace; a run that finds a finished list left by one
+    that died completes it before all else. Readers and writers of the dates
+    concerned should wait meanwhile.
+    """
+    _finish(spark, path)
+    rows = spark.read.schema(schema.FOOD_ORDERS_ON_DISK).parquet(path)
+    batches = [
+        (p.getParent().getParent().getName(), p.getParent().getName(), p.getName())
+        for p in (s.getPath() for s in _folders(spark, path, f"{schema.DATE_COLUMN}=*/{schema.WRITER_COLUMN}=*/{schema.BATCH_COLUMN}=*"))
+    ]
+    number = lambda b: int(b[2].partition("=")[2])
+    last = {}
+    for b in batches:
+        last[b[1]] = max(last.get(b[1], 0), number(b))
+    old = [b for b in batches if number(b) < last[b[1]] or b[1].startswith(f"{schema.WRITER_COLUMN}=compact-")]
+    counts = Counter(b[0] for b in old)
+    old = [b for b in old if counts[b[0]] >= least]
+    if not old:
+        return 0
+    name = f"compact-{uuid.uuid4().hex}"
+    replaced = spark.createDataFrame([(*b, "/".join(b)) for b in old], "d STRING, w STRING, b STRING, folder STRING")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    folder = F.concat_ws("/", *(F.concat(F.lit(f"{c}="), text(c)) for c in schema.PARTITION_COLUMNS))
+    dates = {b[0].partition("=")[2] for b in old}
+    date = F.col(schema.DATE_COLUMN)
+    dated = date.isin([datetime.date.fromisoformat(d) for d in dates if not d.startswith("__")])
+    rows = rows.where(dated | date.isNull() if any(d.startswith("__") for d in dates) else dated)
+    merged = rows.join(replaced, folder == F.col("folder"), "left_semi")
+    merged = merged.withColumns({schema.WRITER_COLUMN: F.lit(name), schema.BATCH_COLUMN: F.lit(0).cast("bigint")})
+    _write(merged, f"{path}/{STAGE}/rows", rebalance=True)
+    replaced.select("folder").coalesce(1).write.mode("overwrite").text(f"{path}/{STAGE}/replaced")
+    _finish(spark, path)
+    return len(old)
+
+
+def _finish(spark: SparkSession, path: str) -> None:
+    """Put staged files in the place of what they replace, if their list is complete."""
+    if exists(spark, f"{path}/{STAGE}/replaced/_SUCCESS"):
+        for row in spark.read.text(f"{path}/{STAGE}/replaced").collect():
+            remove(spark, f"{path}/{row.value}")
+        fs, _ = file_system(spark, path)
+        for status in _folders(spark, f"{path}/{STAGE}/rows", f"{schema.DATE_COLUMN}=*/{schema.WRITER_COLUMN}=*"):
+            date = status.getPath().getParent().getName()
+            _, target = file_system(spark, f"{path}/{date}")
+            fs.mkdirs(target)
+            fs.rename(status.getPath(), target)
+    remove(spark, f"{path}/{STAGE}")

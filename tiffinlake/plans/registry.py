@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from tiffinlake.operators.codec import decode, encode
 from tiffinlake.operators.enrich import enrich, raw_columns
 from tiffinlake.plans import reports
 from tiffinlake.plans.sql import run_sql
-from tiffinlake.session import scratch_dir
+from tiffinlake.session import exists, remove, scratch_dir
 from tiffinlake.sources import files
 from tiffinlake.sources import orders as src
 from tiffinlake.streaming import jobs
@@ -36,8 +37,39 @@ def food_orders(spark: SparkSession, folder: str, columns: Collection[str] = sch
 # --- the ten reports ---------------------------------------------------------
 
 
-def _report(spark: SparkSession, folder: str, report: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    return report(food_orders(spark, folder, reports.READS[report]))
+_tables: dict[tuple[str, str], str] = {}
+
+
+def write_stored(spark: SparkSession, folder: str) -> str:
+    """The enriched orders as a table: conformed, by date, sorted.
+
+    Events come in time order, but joining customers that are too many to
+    broadcast scatters them: so the dates are gathered again.
+    """
+    path = scratch_dir(spark, "table")
+    table.write_table(table.fill_defaults(food_orders(spark, folder)), path, 0, "derived", rebalance=True)
+    return path
+
+
+def stored_path(spark: SparkSession, folder: str) -> str:
+    """Written once per application and folder of tables, and again if it has gone."""
+    key = spark.sparkContext.applicationId, folder
+    if key not in _tables or not exists(spark, _tables[key]):
+        _tables[key] = write_stored(spark, folder)
+    return _tables[key]
+
+
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    return table.read_table(spark, stored_path(spark, folder))
+
+
+def newest_ms(spark: SparkSession, folder: str) -> int:
+    """The time of the last event: what a report on given tables takes for now."""
+    return src.read(spark, folder, "events").agg(F.max(F.unix_millis("ts"))).first()[0] or 0
+
+
+def _report(spark: SparkSession, folder: str, report: Callable[[DataFrame], DataFrame], **options) -> DataFrame:
+    return report(stored(spark, folder), **options)
 
 
 @register
@@ -87,19 +119,17 @@ def q9_hourly_volume(spark, folder):
 
 @register
 def q9_last_24h(spark, folder):
-    return _report(spark, folder, reports.hourly_volume_last_day)
+    return _report(spark, folder, reports.hourly_volume_last_day, as_of_ms=newest_ms(spark, folder))
 
 
 @register
 def q10_high_value_orders(spark, folder):
-    """Cut to the ten dearest first: the joins then see ten orders only."""
-    own = src.computed(["order_id", "price", "status", "rating"])
-    orders = enrich(src.read(spark, folder, "events").select("event_id", "user_id", *own), only=["is_high_value"])
-    dearest = src.with_customers(reports.dearest_delivered(orders), spark, folder)
-    named = src.with_restaurants(dearest, spark, folder)
-    return reports.high_value_orders(named.select("*", *src.computed(["restaurant_name", "city", "cuisine"])))
+    return _report(spark, folder, reports.high_value_orders)
 
 
+# A name of their own: the caller may have a view food_orders.
+VIEW = "tiffinlake_registered_orders"
+
 # The total in the window is over at most a group per nation and status.
 ADHOC = """
     SELECT city, status, COUNT(*) AS orders,
@@ -114,7 +144,7 @@ ADHOC = """
 
 @register
 def adhoc_sql(spark, folder):
-    return run_sql(spark, ADHOC, food_orders(spark, folder))
+    return run_sql(spark, ADHOC.replace("food_orders", VIEW), stored(spark, folder), VIEW)
 
 
 # --- computed columns --------------------------------------------------------
@@ -179,16 +209,14 @@ def derive_orders(spark, folder):
 
 @register
 def derive_picks(spark, folder):
-    """Every kind of pick from the fixed domains of an order."""
+    """The numbers of an order, from the key and the properties of its event."""
     key = F.col("event_id")
-    return src.read(spark, folder, "events").select(
+    return src.with_percentile(src.read(spark, folder, "events")).select(
         key,
-        picks.uniform_pick(key, picks.CITIES).alias("city"),
-        picks.uniform_pick(key, picks.RESTAURANTS, multiplier=31).alias("restaurant_name"),
         picks.bounded_int(key, *picks.QUANTITY, multiplier=5).alias("quantity"),
         picks.bounded_real(key, *picks.PRICE, places=2).alias("price"),
-        picks.bounded_int(key, *picks.DELIVERY_MINUTES, multiplier=7).alias("delivery_time_mins"),
-        picks.bounded_real(key, *picks.RATING, places=1).alias("rating"),
+        picks.bounded_int(F.col("percentile"), *picks.DELIVERY_MINUTES, multiplier=7).alias("delivery_time_mins"),
+        picks.bounded_real(F.col("user_id"), *picks.RATING, places=1).alias("rating"),
         picks.one_in(key, picks.FIRST_ORDER_PERCENT).alias("is_first_order"),
     )
 
@@ -204,10 +232,8 @@ def derive_weighted_category(spark, folder):
 
 @register
 def derive_items(spark, folder):
-    key = F.col("event_id")
-    cuisine = picks.uniform_pick(key, tuple(picks.MENUS))
-    dishes = src.read(spark, folder, "events").select(key, cuisine.alias("cuisine"))
-    return dishes.withColumn("items", picks.menu_items(key, F.col("cuisine")))
+    """The words of each part's name as the list that an order gives of its dishes."""
+    return src.read(spark, folder, "part").select("p_partkey", order_columns.joined_words(F.col("p_name")).alias("items"))
 
 
 # --- messages ----------------------------------------------------------------
@@ -224,7 +250,9 @@ def _publish(spark: SparkSession, folder: str, name: str, messages: DataFrame) -
 
 
 def _published(spark: SparkSession, folder: str, name: str) -> str | None:
-    return _topics.get((spark.sparkContext.applicationId, folder, name))
+    """Where a topic was published, unless it has gone."""
+    path = _topics.get((spark.sparkContext.applicationId, folder, name))
+    return path if path and exists(spark, path) else None
 
 
 def publish_orders(spark: SparkSession, folder: str) -> str:
@@ -314,44 +342,50 @@ def conform_defaults(spark, folder):
 
 @register
 def retention_1d(spark, folder):
-    return table.retain(food_orders(spark, folder), table.newest(src.raw_orders(spark, folder, ["timestamp"])))
-
-
-def stored_table(spark: SparkSession, folder: str) -> str:
-    """The enriched orders as a partitioned table.
-
-    Events come in time order, but joining customers that are too many to
-    broadcast scatters them: so the dates are gathered again.
-    """
-    path = scratch_dir(spark, "table")
-    table.write_table(table.fill_defaults(food_orders(spark, folder)), path, batch=0, rebalance=True)
-    return path
+    return table.retain(stored(spark, folder), newest_ms(spark, folder)).drop(schema.DATE_COLUMN)
 
 
 @register
 def table_scan(spark, folder):
-    """Write the table, register it, and filter it by its indexed columns."""
-    table.register_view(table.read_table(spark, stored_table(spark, folder)), "food_orders_stored")
-    return run_sql(
-        spark,
-        "SELECT * FROM food_orders_stored WHERE status = 'delivered' AND order_value_category <> 'Budget'",
-    )
+    """The table, filtered by its indexed columns in SQL."""
+    text = f"SELECT * FROM {VIEW} WHERE status = 'delivered' AND order_value_category <> 'Budget'"
+    return run_sql(spark, text, stored(spark, folder), VIEW)
 
 
 @register
 def table_expire(spark, folder):
     """Write the table and delete the days before the retention period."""
-    path = stored_table(spark, folder)
-    stored = table.read_table(spark, path)
-    newest_ms = stored.agg(F.max(schema.TIME_COLUMN)).first()[0]
-    table.drop_expired(spark, path, newest_ms)
+    path = write_stored(spark, folder)
+    table.drop_expired(spark, path, newest_ms(spark, folder))
     return table.read_table(spark, path)
 
 
+@register
+def table_compact(spark, folder):
+    """A table in many small batches, merged: the same rows."""
+    path = scratch_dir(spark, "table")
+    rows = table.fill_defaults(food_orders(spark, folder))
+    for batch in range(4):
+        part = rows.where(F.pmod(F.xxhash64("order_id"), F.lit(4)) == batch)
+        table.write_table(part, path, batch, "parts", rebalance=True)
+    table.compact(spark, path)
+    return _table_rows(spark, path)
+
+
+@register
+def catalog_table(spark, folder):
+    """The table by its name in the catalog."""
+    path = stored_path(spark, folder)
+    name = f"food_orders_{zlib.crc32(path.encode()):08x}"
+    table.create_table(spark, path, name)
+    counts = spark.table(name).groupBy(schema.DATE_COLUMN, "status")
+    return counts.agg(F.count(F.lit(1)).alias("orders"), F.sum("is_high_value").alias("high_value"))
+
+
 # --- streams -----------------------------------------------------------------
 
 # A micro-batch takes no more than this, so that a job that dies after hours
-# has lost one batch and not everything.
+# has lost one batch and not everything. The commands have it as an option.
 BATCH_BYTES = 1 << 40
 
 
@@ -370,9 +404,11 @@ def enrich_topic(spark: SparkSession, raw: str, processed: str, checkpoint: str)
     jobs.run_to_end(query)
 
 
-def ingest_topic(spark: SparkSession, processed: str, path: str, checkpoint: str) -> None:
+def ingest_topic(spark: SparkSession, processed: str, path: str, checkpoint: str, **options) -> None:
     """Stream what the processed topic holds into the table, in whatever order it comes."""
-    query = jobs.start_ingestion(_stream(spark, processed), path, checkpoint, rebalance=True, available_now=True)
+    query = jobs.start_ingestion(
+        _stream(spark, processed), path, checkpoint, rebalance=True, available_now=True, **options
+    )
     jobs.run_to_end(query)
 
 
@@ -389,9 +425,24 @@ def stream_enrich_append(spark, folder):
 
 @register
 def stream_ingest_table(spark, folder):
+    """Both hops, with the thresholds of a flush."""
     work = scratch_dir(spark, "ingest-stream")
     enrich_topic(spark, raw_topic(spark, folder), f"{work}/processed", f"{work}/checkpoint-1")
-    ingest_topic(spark, f"{work}/processed", f"{work}/table", f"{work}/checkpoint-2")
+    ingest_topic(spark, f"{work}/processed", f"{work}/table", f"{work}/checkpoint-2", max_records_per_file=1_000_000)
+    remove(spark, f"{work}/processed")
+    return _table_rows(spark, f"{work}/table")
+
+
+@register
+def ingest_two_topics(spark, folder):
+    """Two topics, each with a stream and a checkpoint of its own, into one table."""
+    work = scratch_dir(spark, "two-streams")
+    raw = files.read_topic(spark, raw_topic(spark, folder))
+    peak = F.coalesce(F.get_json_object(F.col("value").cast("string"), "$.payment_method") == "UPI", F.lit(False))
+    for number, part in enumerate((raw.where(peak), raw.where(~peak))):
+        files.publish(jobs.enriched_messages(part), f"{work}/topic-{number}")
+        ingest_topic(spark, f"{work}/topic-{number}", f"{work}/table", f"{work}/checkpoint-{number}")
+        remove(spark, f"{work}/topic-{number}")
     return _table_rows(spark, f"{work}/table")
 
 
@@ -408,37 +459,48 @@ def stream_restart(spark, folder):
     return _table_rows(spark, f"{work}/table")
 
 
-# Cities and cuisines are few, and each task sends one partial row of each: a
-# state store per shuffle partition of a large job would be far too many.
-STATE_PARTITIONS = 8
-
-
-def _live(spark: SparkSession, folder: str, report: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+def _live(
+    spark: SparkSession,
+    folder: str,
+    report: Callable[[DataFrame], DataFrame],
+    finish: Callable[[DataFrame], DataFrame] = lambda result: result,
+) -> DataFrame:
     work = scratch_dir(spark, "live")
     topic = raw_topic(spark, folder)
-    own = spark.newSession()
-    own.conf.set("spark.sql.shuffle.partitions", STATE_PARTITIONS)
-    orders = jobs.live_orders(_stream(own, topic), reports.READS[report])
-    query = jobs.start_live(report(orders), f"{work}/out", f"{work}/checkpoint", mode, available_now=True)
+    orders = jobs.live_orders(_stream(jobs.live_session(spark), topic), reports.READS[report])
+    result = report(orders)
+    query = jobs.start_live(result, f"{work}/out", f"{work}/checkpoint", finish, available_now=True)
     jobs.run_to_end(query)
-    return jobs.read_live(spark, f"{work}/out")
+    remove(spark, f"{work}/checkpoint")
+    return jobs.read_live(spark, f"{work}/out", finish(report(food_orders(spark, folder, reports.READS[report]))).schema)
 
 
 @register
 def live_totals(spark, folder):
-    return _live(spark, folder, reports.running_totals, "update")
+    return _live(spark, folder, reports.running_totals)
 
 
 @register
 def live_city_revenue(spark, folder):
-    return _live(spark, folder, reports.by_city, "complete")
+    return _live(spark, folder, reports.by_city)
 
 
 @register
 def live_cuisine_orders(spark, folder):
-    return _live(spark, folder, reports.cuisine_popularity, "complete")
+    return _live(spark, folder, reports.cuisine_popularity)
 
 
 @register
 def live_peak_offpeak(spark, folder):
-    return _live(spark, folder, reports.peak_comparison, "complete")
+    return _live(spark, folder, reports.peak_comparison)
+
+
+@register
+def live_status_share(spark, folder):
+    """Counts on the stream, their shares of the total in each batch's result."""
+    return _live(spark, folder, reports.status_counts, reports.share_of_counts)
+
+
+@register
+def live_top_restaurants(spark, folder):
+    return _live(spark, folder, reports.top_restaurants)

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiffinlake.operators.table import newest, retain
+from tiffinlake import schema
+from tiffinlake.operators.table import retain
 
 TOP = 10
 
@@ -22,7 +23,12 @@ def count() -> Column:
 
 
 def total(column: str = "price") -> Column:
-    return F.round(F.sum(column), 2)
+    """A sum to the cent, whatever the order it is summed in.
+
+    It is one of decimals: a double would step in eighths beyond 10^15. A price
+    that is not a number, or of more than 16 digits, adds nothing.
+    """
+    return F.sum(F.col(column).try_cast("decimal(18,2)")).cast("double")
 
 
 def mean(column: str = "price", places: int = 2) -> Column:
@@ -57,15 +63,24 @@ def cuisine_popularity(orders: DataFrame) -> DataFrame:
     return report.orderBy(F.desc("orders"))
 
 
+def status_counts(orders: DataFrame) -> DataFrame:
+    """Orders per status; also on a stream."""
+    return orders.groupBy("status").agg(count().alias("count"))
+
+
 def status_share(orders: DataFrame) -> DataFrame:
-    """Orders per status and their percentage of all orders.
+    """Orders per status and their percentage of all orders."""
+    return share_of_counts(status_counts(orders))
+
+
+def share_of_counts(counts: DataFrame) -> DataFrame:
+    """The percentage of each count.
 
     The grand total is a scalar subquery over the grouped counts, for which
     Spark reuses the shuffle of the groups. A window without partitions says
     the same but would move all groups into one task, and statuses come from
     messages, so nothing bounds their number.
     """
-    counts = orders.groupBy("status").agg(count().alias("count"))
     everything = counts.agg(F.sum("count")).scalar()
     share = F.round(F.col("count").cast("double") * 100 / everything, 2)
     return counts.select("status", "count", share.alias("pct")).orderBy(F.desc("count"))
@@ -107,9 +122,9 @@ def hourly_volume(orders: DataFrame) -> DataFrame:
     return orders.groupBy("hour_of_day").agg(count().alias("orders")).orderBy("hour_of_day")
 
 
-def hourly_volume_last_day(orders: DataFrame) -> DataFrame:
-    """Orders per hour of the day, over the 24 hours up to the newest order."""
-    return hourly_volume(retain(orders, newest(orders)))
+def hourly_volume_last_day(orders: DataFrame, as_of_ms: int | Column) -> DataFrame:
+    """Orders per hour of the day, over the 24 hours up to `as_of_ms`; later ones do not count."""
+    return hourly_volume(retain(orders, as_of_ms).where(F.col(schema.TIME_COLUMN) <= as_of_ms))
 
 
 def dearest_delivered(orders: DataFrame, limit: int = TOP) -> DataFrame:
@@ -134,6 +149,7 @@ READS = {
     city_revenue: ("city", "price"),
     cuisine_popularity: ("cuisine", "price"),
     status_share: ("status",),
+    status_counts: ("status",),
     payment_mix: ("payment_method", "price"),
     peak_comparison: ("is_peak_hour", "price", "delivery_time_mins"),
     top_restaurants: ("restaurant_name", "status", "price", "rating"),

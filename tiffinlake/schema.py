@@ -48,11 +48,17 @@ TIME_COLUMN = "timestamp"  # epoch milliseconds
 # The columns the table is meant to be filtered by.
 INDEXED_COLUMNS = ("city", "cuisine", "status", "payment_method", "order_value_category")
 
-# The partition columns of the table on disk: the batch that wrote a row, and
-# the UTC date of its time.
-BATCH_COLUMN = "batch"
+# How rows are sorted within a file. The reports filter by status, so that its
+# values stand together first.
+SORT_COLUMNS = ("status", "city", "cuisine", "payment_method", "order_value_category")
+
+# The partition columns of the table on disk: the UTC date of a row's time, and
+# who wrote it in which batch.
 DATE_COLUMN = "order_date"
-FOOD_ORDERS_ON_DISK = f"{FOOD_ORDERS}, {BATCH_COLUMN} BIGINT, {DATE_COLUMN} DATE"
+WRITER_COLUMN = "writer"
+BATCH_COLUMN = "batch"
+PARTITION_COLUMNS = (DATE_COLUMN, WRITER_COLUMN, BATCH_COLUMN)
+FOOD_ORDERS_ON_DISK = f"{FOOD_ORDERS}, {DATE_COLUMN} DATE, {WRITER_COLUMN} STRING, {BATCH_COLUMN} BIGINT"
 
 # A topic: what a message log holds, whether it is Kafka or a directory.
 MESSAGE = "key BINARY, value BINARY"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -33,25 +31,40 @@ def build_session(
     return builder.getOrCreate()
 
 
-@functools.cache
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="tiffinlake-")
-
-
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by `spark.checkpoint.dir`.
+    """The shared folder named by `spark.checkpoint.dir`, or else one below the warehouse.
 
-    Only a local session may do without it and gets a temporary folder: on a
-    cluster such a folder would be a different one on every machine.
+    Both are places that every executor reaches, and the same on a cluster and
+    on one machine.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return _local_scratch()
-    raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; nothing exists there yet."""
     return f"{scratch_root(spark)}/tiffinlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it; PySpark has no public call for these."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = file_system(spark, path)
+    return fs.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is no longer needed; no error if there is none."""
+    fs, place = file_system(spark, path)
+    fs.delete(place, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application has put into the shared folder."""
+    remove(spark, f"{scratch_root(spark)}/tiffinlake/{spark.sparkContext.applicationId}")

@@ -10,12 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 from tiffinlake import schema
+from tiffinlake.session import exists
 
 
 COMPRESSION = "zstd"  # JSON text takes half the room that it takes with snappy
 
 
 def publish(messages: DataFrame, path: str, mode: str = "append") -> None:
+    """Add messages to a topic.
+
+    Not to one that a stream writes: readers take the files that the stream's
+    log names, and would never see these.
+    """
+    if exists(messages.sparkSession, f"{path}/_spark_metadata"):
+        raise ValueError(f"{path} is written by a stream; publish to a topic of its own")
     messages.write.mode(mode).option("compression", COMPRESSION).parquet(path)
 
 

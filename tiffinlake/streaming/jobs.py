@@ -6,15 +6,19 @@ so that the same job runs on Kafka and on directories of files.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.types import StructType
 
 from tiffinlake.operators.codec import decode, encode
 from tiffinlake.operators.enrich import enrich, raw_columns
 from tiffinlake.operators.table import conform, write_table
+from tiffinlake.session import exists
 
 
 def enriched_messages(raw: DataFrame, tz: str = "UTC") -> DataFrame:
@@ -56,6 +60,14 @@ def start_enrichment(
     return start(sink(enriched_messages(raw, tz)), checkpoint, **trigger)
 
 
+def stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """A name that lives as long as the checkpoint does, kept beside its own files."""
+    place = f"{checkpoint}/stream_name"
+    if not exists(spark, f"{place}/_SUCCESS"):
+        spark.createDataFrame([(f"stream-{uuid.uuid4().hex}",)], "value STRING").coalesce(1).write.mode("overwrite").text(place)
+    return spark.read.text(place).first()[0]
+
+
 def start_ingestion(
     processed: DataFrame,
     path: str,
@@ -67,19 +79,23 @@ def start_ingestion(
 ) -> StreamingQuery:
     """Processed topic to the table at `path`.
 
-    Each batch is a batch of the table, which a repetition replaces: rows
-    arrive exactly once, without a log of files that grows for ever, and
-    expired days can be deleted while the stream goes on. `interval` and
+    Each batch is a batch of the table, by the name of the stream that the
+    checkpoint keeps, and a repetition replaces it: rows arrive exactly once,
+    without a log of files that grows for ever, and expired days can be deleted
+    while the stream goes on. Another stream, or the same with a new
+    checkpoint, is another writer and replaces nothing. `interval` and
     `max_records_per_file` are the time and row thresholds of a flush.
     """
+    writer = stream_name(processed.sparkSession, checkpoint)
 
     def save(rows: DataFrame, batch: int) -> None:
-        write_table(rows, path, batch, rebalance, max_records_per_file)
+        write_table(rows, path, batch, writer, rebalance, max_records_per_file)
 
     return start(conform(processed, dimension_default).writeStream.foreachBatch(save), checkpoint, **trigger)
 
 
 LIVE_SLOTS = 4
+STATE_PARTITIONS = 8
 
 
 def live_orders(raw: DataFrame, columns: Collection[str], tz: str = "UTC") -> DataFrame:
@@ -87,30 +103,55 @@ def live_orders(raw: DataFrame, columns: Collection[str], tz: str = "UTC") -> Da
     return enrich(decode(raw, columns=raw_columns(columns)), tz, only=columns)
 
 
-def start_live(report: DataFrame, path: str, checkpoint: str, mode: str = "update", **trigger) -> StreamingQuery:
-    """Keep an aggregate over a stream; each batch writes its result.
+def live_session(spark: SparkSession, partitions: int = STATE_PARTITIONS) -> SparkSession:
+    """A session for live reports, with so many partitions of state.
+
+    Groups of a report are few, and each task sends one partial row of each: a
+    state store per shuffle partition of a large job would be far too many.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", partitions)
+    return own
+
+
+def start_live(
+    report: DataFrame,
+    path: str,
+    checkpoint: str,
+    finish: Callable[[DataFrame], DataFrame] = lambda result: result,
+    **trigger,
+) -> StreamingQuery:
+    """Keep an aggregate over a stream; each batch writes its whole result.
 
     The last few results are kept, in folders that are used in turn: a query
     that never ends takes no more room, a reader has time to finish, and a
-    repeated batch overwrites what it left. `update` holds the groups that
-    changed in a batch, `complete` all of them.
+    repeated batch overwrites what it left. Results say when their query was
+    started, so that one that starts anew is not hidden by what an older one
+    left. `finish` is a step over the groups that a stream cannot take.
     """
+    started = time.time_ns()
 
     def save(result: DataFrame, batch: int) -> None:
-        slot = f"{path}/slot={batch % LIVE_SLOTS}"
-        result.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(slot)
+        stamped = finish(result).withColumns({"started": F.lit(started), "batch": F.lit(batch).cast("bigint")})
+        stamped.write.mode("overwrite").parquet(f"{path}/slot={batch % LIVE_SLOTS}")
 
-    return start(report.writeStream.outputMode(mode).foreachBatch(save), checkpoint, **trigger)
+    return start(report.writeStream.outputMode("complete").foreachBatch(save), checkpoint, **trigger)
 
 
-def read_live(spark: SparkSession, path: str) -> DataFrame:
-    """The newest result of a live aggregate."""
-    results = spark.read.parquet(path)
-    last = results.agg(F.max("batch")).scalar()
-    return results.where(F.col("batch") == last).drop("batch", "slot")
+def read_live(spark: SparkSession, path: str, report: StructType | str) -> DataFrame:
+    """The newest result of a live aggregate with the schema `report`, every group of it."""
+    columns = StructType.fromDDL(report) if isinstance(report, str) else report
+    stamps = StructType.fromDDL("started BIGINT, batch BIGINT, slot INT")
+    results = spark.read.schema(StructType([*columns.fields, *stamps.fields])).parquet(path)
+    last = results.agg(F.max(F.struct("started", "batch"))).scalar()
+    return results.where(F.struct("started", "batch") == last).select(*columns.names)
 
 
 def run_to_end(query: StreamingQuery) -> StreamingQuery:
-    """Wait for an `available_now` query; its failure is raised here."""
-    query.awaitTermination()
+    """Wait for a query; its failure is raised here, and whatever ends the wait ends the query."""
+    try:
+        query.awaitTermination()
+    finally:
+        if query.isActive:
+            query.stop()
     return query

@@ -6,8 +6,6 @@ calendar functions of DuckDB and not from arithmetic on milliseconds.
 
 from __future__ import annotations
 
-from tiffinlake.functions import picks
-
 RAW = """
 raw AS (
     SELECT 'ord-' || lpad(CAST(event_id AS VARCHAR), 10, '0') AS order_id,
@@ -36,7 +34,7 @@ raw AS (
     FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events) e
     LEFT JOIN customer ON user_id = c_custkey
     LEFT JOIN nation ON c_nationkey = n_nationkey
-    LEFT JOIN part ON p_partkey = event_id % 200
+    LEFT JOIN part ON p_partkey = event_id % (SELECT COUNT(*) FROM part)
 )"""
 
 RAW_NAMES = """order_id, "timestamp", customer_name, customer_phone, city, area, restaurant_name,
@@ -94,41 +92,40 @@ for _name, _default in {
 
 LAST_DAY = """ "timestamp" >= (SELECT max("timestamp") FROM food_orders) - 24 * 60 * 60 * 1000"""
 
-# The reports, in SQL that both engines read.
+# A sum to the cent.
+MONEY = "CAST(SUM(TRY_CAST(price AS DECIMAL(18,2))) AS DOUBLE)"
+
+# The reports, in SQL that both engines read; a report with a limit breaks ties.
 REPORTS = {
-    "q1_totals": "SELECT COUNT(*) AS total_orders, ROUND(SUM(price), 2) AS total_revenue FROM food_orders",
-    "q2_city_revenue": """
-        WITH cities AS (SELECT city, COUNT(*) AS orders, SUM(price) AS money FROM food_orders GROUP BY city)
-        SELECT city, orders, ROUND(money, 2) AS revenue, ROUND(money / orders, 2) AS avg_order_value
-        FROM cities ORDER BY revenue DESC, city LIMIT 10""",
+    "q1_totals": f"SELECT COUNT(*) AS total_orders, {MONEY} AS total_revenue FROM food_orders",
+    "q2_city_revenue": f"""
+        SELECT city, COUNT(*) AS orders, {MONEY} AS revenue, ROUND(AVG(price), 2) AS avg_order_value
+        FROM food_orders GROUP BY city ORDER BY revenue DESC, city LIMIT 10""",
     "q3_cuisine_popularity": """
-        SELECT cuisine, COUNT(price) AS orders, ROUND(SUM(price) / COUNT(price), 2) AS avg_price
+        SELECT cuisine, COUNT(*) AS orders, ROUND(AVG(price), 2) AS avg_price
         FROM food_orders GROUP BY cuisine""",
     "q4_status_share": """
         SELECT status, COUNT(*) AS count,
-               ROUND(COUNT(*) * 100 / (SELECT CAST(COUNT(*) AS DOUBLE) FROM food_orders), 2) AS pct
+               ROUND(CAST(COUNT(*) AS DOUBLE) * 100 / SUM(COUNT(*)) OVER (), 2) AS pct
         FROM food_orders GROUP BY status""",
-    "q5_payment_mix": """
-        SELECT payment_method, COUNT(order_id) AS orders, ROUND(SUM(CAST(price AS DOUBLE)), 2) AS total_revenue
+    "q5_payment_mix": f"""
+        SELECT payment_method, COUNT(*) AS orders, {MONEY} AS total_revenue
         FROM food_orders GROUP BY payment_method""",
     "q6_peak_offpeak": """
         SELECT is_peak_hour, COUNT(*) AS orders, ROUND(AVG(price), 2) AS avg_price,
                ROUND(AVG(delivery_time_mins), 1) AS avg_delivery_mins
         FROM food_orders GROUP BY is_peak_hour""",
-    "q7_top_restaurants": """
-        WITH done AS (SELECT * FROM food_orders WHERE status = 'delivered')
-        SELECT restaurant_name, COUNT(*) AS orders, ROUND(SUM(price), 2) AS total_revenue,
-               ROUND(AVG(rating), 2) AS avg_rating
-        FROM done GROUP BY restaurant_name ORDER BY total_revenue DESC, restaurant_name LIMIT 10""",
+    "q7_top_restaurants": f"""
+        SELECT restaurant_name, COUNT(*) AS orders, {MONEY} AS total_revenue, ROUND(AVG(rating), 2) AS avg_rating
+        FROM food_orders WHERE status = 'delivered'
+        GROUP BY restaurant_name ORDER BY total_revenue DESC, restaurant_name LIMIT 10""",
     "q8_value_category": """
         SELECT order_value_category, COUNT(*) AS orders, ROUND(AVG(price), 2) AS avg_price
         FROM food_orders GROUP BY order_value_category""",
     "q9_hourly_volume": "SELECT hour_of_day, COUNT(*) AS orders FROM food_orders GROUP BY hour_of_day",
     "q10_high_value_orders": """
-        WITH ranked AS (
-            SELECT *, ROW_NUMBER() OVER (ORDER BY price DESC, order_id) AS place
-            FROM food_orders WHERE status = 'delivered' AND price >= 1000)
-        SELECT restaurant_name, city, cuisine, price, rating FROM ranked WHERE place <= 10""",
+        SELECT restaurant_name, city, cuisine, price, rating FROM food_orders
+        WHERE is_high_value = 1 AND status = 'delivered' ORDER BY price DESC, order_id LIMIT 10""",
     "adhoc_sql": """
         SELECT city, status, COUNT(*) AS orders,
                ROUND(CAST(COUNT(*) AS DOUBLE) * 100 / SUM(COUNT(*)) OVER (), 2) AS pct,
@@ -137,40 +134,37 @@ REPORTS = {
         GROUP BY city, status HAVING COUNT(*) > 1""",
 }
 
-
-def _texts(values) -> str:
-    return ", ".join("'" + value.replace("'", "''") + "'" for value in values)
+LABELS = {
+    "payment_method": ("UPI", "Credit Card", "Debit Card", "Cash on Delivery", "Net Banking", "Wallet"),
+    "status": ("placed", "preparing", "out_for_delivery", "delivered", "cancelled"),
+}
+BOUNDS = {"payment_method": (40, 60, 75, 90, 95), "status": (15, 40, 55, 90)}
 
 
 def _column(*names: str) -> str:
     return f"{ORDERS} SELECT order_id, {', '.join(names)} FROM food_orders"
 
 
-def _share(percents: dict[str, int], number: str) -> str:
-    """A label by a list of a hundred entries."""
-    labels = [label for label, percent in percents.items() for _ in range(percent)]
-    return f"list_extract([{_texts(labels)}], CAST({number} AS INTEGER) + 1)"
-
+def _share(name: str, number: str) -> str:
+    """A label by the bounds that a number is below."""
+    *head, last = LABELS[name]
+    cases = " ".join(f"WHEN {number} < {bound} THEN '{label}'" for label, bound in zip(head, BOUNDS[name], strict=True))
+    return f"CASE {cases} ELSE '{last}' END"
 
-def _dishes() -> str:
-    menus = ", ".join(f"[{_texts(dishes)}]" for dishes in picks.MENUS.values())
-    return f"""
-        WITH chosen AS (SELECT event_id, CAST(event_id * 7919 % 7 AS INTEGER) AS c FROM events),
-        menus AS (SELECT *, list_extract([{menus}], c + 1) AS menu FROM chosen)
-        SELECT event_id, list_extract([{_texts(picks.MENUS)}], c + 1) AS cuisine,
-               list_aggregate(list_slice(list_concat(menu, menu), event_id % 6 + 1,
-                                         event_id % 6 + 1 + event_id // 7 % 3), 'string_agg', ', ') AS items
-        FROM menus"""
 
+# The table holds defaults for nulls.
+STORED = f"{ORDERS}, kept AS (SELECT {STORED_NAMES}, event_id, ts FROM food_orders)"
 
-SQL = {name: f"{ORDERS} SELECT * FROM ({text})" for name, text in REPORTS.items()} | {
+SQL = {name: f"{STORED} SELECT * FROM ({text.replace('FROM food_orders', 'FROM kept')})" for name, text in REPORTS.items()} | {
     "q9_last_24h": f"""{ORDERS} SELECT hour_of_day, COUNT(*) AS orders
         FROM food_orders WHERE {LAST_DAY} GROUP BY hour_of_day""",
     "live_totals": f"{ORDERS} {REPORTS['q1_totals']}",
-    "live_city_revenue": f"""{ORDERS} SELECT city, COUNT(*) AS orders, ROUND(SUM(price), 2) AS revenue,
+    "live_city_revenue": f"""{ORDERS} SELECT city, COUNT(*) AS orders, {MONEY} AS revenue,
         ROUND(AVG(price), 2) AS avg_order_value FROM food_orders GROUP BY city""",
     "live_peak_offpeak": f"{ORDERS} SELECT * FROM ({REPORTS['q6_peak_offpeak']})",
     "live_cuisine_orders": f"{ORDERS} SELECT * FROM ({REPORTS['q3_cuisine_popularity']})",
+    "live_status_share": f"{ORDERS} SELECT * FROM ({REPORTS['q4_status_share']})",
+    "live_top_restaurants": f"{ORDERS} SELECT * FROM ({REPORTS['q7_top_restaurants']})",
     "enrich_hour": _column("hour_of_day"),
     "enrich_peak": _column("is_peak_hour"),
     "enrich_local_hours": f"""
@@ -187,32 +181,33 @@ SQL = {name: f"{ORDERS} SELECT * FROM ({text})" for name, text in REPORTS.items(
     "derive_orders": f"WITH {RAW} SELECT {RAW_NAMES} FROM raw",
     "derive_picks": f"""
         SELECT event_id,
-               list_extract([{_texts(picks.CITIES)}], CAST(event_id * 7919 % 10 AS INTEGER) + 1) AS city,
-               list_extract([{_texts(picks.RESTAURANTS)}],
-                            CAST(event_id * 31 % 20 AS INTEGER) + 1) AS restaurant_name,
                CAST(1 + event_id * 5 % 6 AS INTEGER) AS quantity,
                CAST(CAST(8000 + event_id * 7919 % 172001 AS DOUBLE) / 100 AS FLOAT) AS price,
-               CAST(15 + event_id * 7 % 51 AS INTEGER) AS delivery_time_mins,
-               CAST(CAST(30 + event_id * 7919 % 21 AS DOUBLE) / 10 AS FLOAT) AS rating,
+               CAST(15 + CAST(json_extract(props, '$.k') AS INTEGER) * 7 % 51 AS INTEGER) AS delivery_time_mins,
+               CAST(CAST(30 + user_id * 7919 % 21 AS DOUBLE) / 10 AS FLOAT) AS rating,
                event_id % 10 = 0 AS is_first_order
         FROM events""",
     "derive_weighted_category": f"""
         SELECT event_id,
-               {_share(picks.PAYMENT_PERCENT, "json_extract(props, '$.k')")} AS payment_method,
-               {_share(picks.STATUS_PERCENT, "event_id * 7919 % 100")} AS status
+               {_share("payment_method", "CAST(json_extract(props, '$.k') AS INTEGER)")} AS payment_method,
+               {_share("status", "event_id * 7919 % 100")} AS status
         FROM events""",
-    "derive_items": _dishes(),
+    "derive_items": "SELECT p_partkey, array_to_string(string_split(p_name, ' '), ', ') AS items FROM part",
     "publish_batch": f"WITH {RAW} SELECT order_id AS key, {RAW_NAMES} FROM raw",
     "decode_orders": f"WITH {RAW} SELECT {RAW_NAMES} FROM raw",
     "decode_malformed": f"{DAMAGED_ORDERS} SELECT {ENRICHED_NAMES} FROM food_orders",
     "encode_envelope": f"{ORDERS} SELECT order_id AS key, {ENRICHED_NAMES} FROM food_orders",
     "conform_defaults": f"{DAMAGED_ORDERS} SELECT {STORED_NAMES} FROM food_orders",
-    "retention_1d": f"{ALL_ORDERS} WHERE {LAST_DAY}",
+    "retention_1d": f"{ORDERS} SELECT {STORED_NAMES} FROM food_orders WHERE {LAST_DAY}",
     "table_scan": f"""{ORDERS} SELECT {STORED_NAMES}, CAST(ts AS DATE) AS order_date FROM food_orders
         WHERE status = 'delivered' AND price >= 200""",
     "table_expire": f"""{ORDERS} SELECT {STORED_NAMES}, CAST(ts AS DATE) AS order_date FROM food_orders
         WHERE CAST(ts AS DATE) >= (SELECT CAST(max(ts) - INTERVAL 1 DAY AS DATE) FROM food_orders)""",
+    "table_compact": f"{ORDERS} SELECT {STORED_NAMES} FROM food_orders",
+    "catalog_table": f"""{ORDERS} SELECT CAST(ts AS DATE) AS order_date, status, COUNT(*) AS orders,
+        CAST(SUM(is_high_value) AS BIGINT) AS high_value FROM food_orders GROUP BY ALL""",
     "stream_enrich_append": ALL_ORDERS,
     "stream_ingest_table": f"{ORDERS} SELECT {STORED_NAMES} FROM food_orders",
+    "ingest_two_topics": f"{ORDERS} SELECT {STORED_NAMES} FROM food_orders",
     "stream_restart": f"{ORDERS} SELECT {STORED_NAMES} FROM food_orders",
 }
