@@ -24,7 +24,7 @@ PROFILE = 400
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 #: A text nearer than this to no language, as its score tells, is in none of them.
-LEAST_SCORE = 0.05
+LEAST_SCORE = 0.2
 _SPACE = ord("_")
 
 
