@@ -1,0 +1,85 @@
+import zlib
+
+import numpy as np
+import pytest
+from odd import empty, odd
+
+from tiffinlake.llm import quality as q
+
+
+def auc(scores, labels):
+    order = np.argsort(scores, kind="stable")
+    ranks = np.empty(len(scores))
+    ranks[order] = np.arange(len(scores))
+    ones = labels.sum()
+    return (ranks[labels == 1].sum() - ones * (ones - 1) / 2) / (ones * (len(labels) - ones))
+
+
+def test_held_out_rows_are_told_apart(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    found = q.quality(docs, labels).collect()
+    truth = dict(map(tuple, labels.select("doc_id", "quality").collect()))
+    assert len(found) == docs.count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in found)
+    tested = [(r.score, truth[r.doc_id], r.predicted) for r in found if r.held_out and r.doc_id in truth]
+    scores, labels, predicted = (np.array(x) for x in zip(*tested))
+    assert auc(scores, labels) > 0.98
+    assert (predicted == labels).mean() > 0.97
+    # Calibrated: of rows scored about p, about the share p has label 1.
+    assert abs(scores.mean() - labels.mean()) < 0.05
+
+
+def test_word_vectors_equal_plain_sums(spark):
+    texts = ["the cat sat, the dog ran", "THE cat!! 12 12", "", None, "a", "la " * 30]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    index = q.index_vectors()
+    total, count = np.zeros((q.SLOTS, q.DIMENSIONS)), np.zeros(q.SLOTS)
+    for text in texts:
+        slots, _ = q.slots_of([(text or "").encode()])
+        for i, slot in enumerate(slots):
+            for j in range(max(0, i - q.AROUND), min(len(slots), i + q.AROUND + 1)):
+                if j != i:
+                    total[slot] += index[slots[j]]
+            count[slot] += 1
+    vectors = (total - count[:, None] * total.sum(axis=0) / count.sum()) / (count[:, None] + q.PRIOR)
+    vectors /= np.sqrt((vectors**2).mean())
+    assert np.allclose(q.learn_vectors(docs).vectors, vectors, atol=1e-5)
+
+
+def test_tokens():
+    slots, begins = q.slots_of([b"ab AB ab", b"", b"ab!!12 ab", "é".encode()])
+    assert begins.tolist() == [0, 3, 3, 7, 8]
+    assert slots[0] == slots[2] == slots[3] == slots[6] and slots[0] != slots[1]
+
+
+def test_temperature_makes_probabilities():
+    random = np.random.default_rng(0)
+    logits = random.normal(0, 2, 4000)
+    labels = (random.random(4000) < 1 / (1 + np.exp(-logits))).astype(int)
+    assert q._temperature(logits * 3, labels) == pytest.approx(3, rel=0.15)
+    assert q._temperature(np.empty(0), np.empty(0)) == 1.0
+
+
+def test_network_learns_what_no_line_separates():
+    random = np.random.default_rng(0)
+    x = random.normal(size=(1500, 6))
+    y = ((x[:, 0] * x[:, 1]) > 0).astype(int)
+    network = q.fit(x[:1200], y[:1200])
+    assert ((network.score(x[1200:]) > 0.5) == y[1200:]).mean() > 0.8
+    assert q.fit(x[:0], y[:0]).score(x[:3]).tolist() == [0.5] * 3
+    assert (q.fit(x[:5], np.ones(5, int)).score(x[:3]) > 0.9).all()
+
+
+def test_odd_rows(spark):
+    docs = odd(spark)
+    labels = spark.createDataFrame(
+        [(1, 1, 0), (1, 0, 0), (2, 1, 1), (7, None, 0), (8, 7, 0), (None, 1, 0), (6, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int"
+    )
+    found = q.quality(docs, labels).collect()
+    assert len(found) == docs.count() and all(0 <= r.score <= 1 for r in found)
+    same = {r.score for r in found if r.doc_id in (3, 4, 9)}
+    assert len(same) == 1
+    assert {r.score for r in q.quality(docs, labels.limit(0)).collect()} == {0.5}
+    assert q.quality(empty(spark), labels).collect() == []

@@ -4,9 +4,9 @@ A token is a run of letters, of digits or of other characters. Each has a
 sparse random index vector, and its word vector is the sum of those of the
 tokens around it over all texts: one pass, whose sums Spark adds up. Tokens
 share a fixed number of slots by hash, so that the vectors have a known size. A
-document is the mean and the spread of its vectors; a network of two layers,
-fitted on a bounded sample of labelled rows, scores it, and a temperature fitted
-on rows apart makes the score a probability.
+document is the mean and the spread of its vectors and how far each is from the
+next; a network of two layers, fitted on a bounded sample of labelled rows,
+scores it, and a temperature fitted on rows apart makes the score a probability.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from tiffinlake.llm.langid import held_out
 from tiffinlake.llm.words import hashes_between
 
 SLOTS, DIMENSIONS, ONES = 1 << 15, 32, 4
+FEATURES = 3 * DIMENSIONS
 #: Tokens before and after that count as around.
 AROUND = 2
 #: A word vector of few tokens is drawn to the mean of all as by so many of them.
@@ -79,16 +80,20 @@ class Vectors(NamedTuple):
     vectors: np.ndarray
 
     def pool(self, values: list[bytes]) -> np.ndarray:
-        """Mean and spread of the word vectors of each text; zero for a text without tokens."""
+        """Mean, spread and mean step of the word vectors of each text; zero for a text without tokens."""
         slots, begins = slots_of(values)
         counts = np.diff(begins)
         full = np.flatnonzero(counts)
-        out = np.zeros((len(values), 2 * DIMENSIONS), np.float32)
+        out = np.zeros((len(values), FEATURES), np.float32)
         if len(full):
             own = self.vectors[slots]
             mean = np.add.reduceat(own, begins[full], axis=0) / counts[full, None]
             square = np.add.reduceat(own * own, begins[full], axis=0) / counts[full, None]
-            out[full] = np.concatenate([mean, np.sqrt(np.maximum(0, square - mean * mean))], axis=1)
+            step = np.zeros_like(own)
+            np.subtract(own[1:], own[:-1], out=step[1:])
+            step[begins[full]] = 0
+            step = np.add.reduceat(np.abs(step, out=step), begins[full], axis=0) / np.maximum(1, counts[full, None] - 1)
+            out[full] = np.concatenate([mean, np.sqrt(np.maximum(0, square - mean * mean)), step], axis=1)
         return out
 
 
@@ -224,13 +229,13 @@ def quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, thre
         .limit(most_rows)
         .toArrow()
     )
-    rows = np.array(sample.column("features").to_pylist(), np.float64).reshape(-1, 2 * DIMENSIONS)
+    rows = np.array(sample.column("features").to_pylist(), np.float64).reshape(-1, FEATURES)
     network = fit(rows, np.array(sample.column("quality").to_pylist(), np.int64))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            features = batch.column("features").flatten().to_numpy().reshape(-1, 2 * DIMENSIONS).astype(np.float64)
+            features = batch.column("features").flatten().to_numpy().reshape(-1, FEATURES).astype(np.float64)
             score = network.score(features)
             new = [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *new], ["doc_id", "held_out", "score", "predicted"])
