@@ -21,7 +21,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the shared folder: computed once, read from there on."""
+    """`df` as a table in the shared folder: computed once, read from there on.
+
+    `session.clear_scratch` deletes all of them.
+    """
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

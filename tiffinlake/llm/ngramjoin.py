@@ -307,13 +307,11 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     repeat are rows of their own. Sets are sets of 64-bit hashes.
     """
     rows, known = classes(docs, **options)
-    first = known.where("group IS NOT NULL").groupBy("group").agg(F.min("first_doc").alias("first_of_group"))
-    named = known.join(first, "group", "left").select(
-        "c1",
-        "c2",
-        F.coalesce("first_of_group", "first_doc").alias("class_id"),
-        (F.col("links") + F.col("copies") - 1).alias("n_links"),
-    )
+    grouped, alone = known.where("group IS NOT NULL"), known.where("group IS NULL")
+    first = grouped.groupBy("group").agg(F.min("first_doc").alias("class_id"))
+    named = grouped.join(first, "group").select("c1", "c2", "class_id", "links", "copies")
+    named = named.unionByName(alone.select("c1", "c2", F.col("first_doc").alias("class_id"), "links", "copies"))
+    named = named.select("c1", "c2", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     found = rows.join(named, ["c1", "c2"]).select("doc_id", "class_id", "n_links")
     bare = _without_words(docs).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return found.unionByName(bare)
