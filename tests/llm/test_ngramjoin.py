@@ -111,6 +111,14 @@ def test_components_of_a_path_and_a_star(spark):
     assert components(edges.limit(0)).collect() == []
 
 
+def test_classes_depend_on_members_only():
+    a, b = np.array([3, 5, 9], np.uint64), np.array([3, 5], np.uint64)
+    none = np.empty(0, np.uint64)
+    names = ngramjoin.class_of([a, none, b, a, none])
+    assert (names[0] == names[3]).all() and (names[0] != names[2]).all()
+    assert not names[[1, 4]].any() and not ngramjoin.class_of([none]).any()
+
+
 def test_links_by_matrix_equal_those_by_pairs():
     random = np.random.default_rng(1)
     pool = random.integers(0, 1 << 60, 400).astype(np.uint64)

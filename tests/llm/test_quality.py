@@ -83,3 +83,15 @@ def test_odd_rows(spark):
     assert len(same) == 1
     assert {r.score for r in q.quality(docs, labels.limit(0)).collect()} == {0.5}
     assert q.quality(empty(spark), labels).collect() == []
+
+
+def test_samples_are_bounded_and_the_same(spark):
+    from tiffinlake.llm.common import sampled
+
+    rows = spark.range(0, 5000, numPartitions=7)
+    first = [r.id for r in sampled(rows, 300, "id").collect()]
+    assert len(set(first)) == 300
+    assert [r.id for r in sampled(rows.repartition(3), 300, "id").collect()] == first
+    assert sampled(rows, 9000, "id").count() == 5000 and sampled(rows.limit(0), 3, "id").count() == 0
+    plan = sampled(rows, 300, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Filter (pmod" in plan

@@ -69,9 +69,14 @@ def sets_of(values: list[bytes], size: int = WORDS) -> list[np.ndarray]:
 
 def class_of(sets: list[np.ndarray]) -> np.ndarray:
     """128 bits for each set that depend on its members only."""
-    flat, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
-    sums = [np.add.reduceat(mixed(flat ^ np.uint64(salt)), starts) for salt in (0x5BD1E995, 0xC2B2AE3D27D4EB4F)]
-    return np.stack(sums, axis=1).view(np.int64)
+    out = np.zeros((len(sets), 2), np.uint64)
+    full = [i for i, s in enumerate(sets) if len(s)]
+    if full:
+        flat = np.concatenate(sets)
+        starts = np.cumsum([0, *(len(sets[i]) for i in full[:-1])])
+        for column, salt in enumerate((0x5BD1E995, 0xC2B2AE3D27D4EB4F)):
+            out[full, column] = np.add.reduceat(mixed(flat ^ np.uint64(salt)), starts)
+    return out.view(np.int64)
 
 
 def _signatures(size: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
