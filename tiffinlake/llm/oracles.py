@@ -106,4 +106,28 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 're
        CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
 FROM digests"""
 
-SQL: dict[str, str] = {"op4_line_dedup": _LINE_DEDUP, "op6_substring_dedup": _SUBSTRINGS, "op7_warc": _WARC, "op9_mix": _MIX}
+_NGRAM_JOIN = r"""
+WITH RECURSIVE split AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), grams AS (
+    SELECT DISTINCT doc_id, gram FROM (
+        SELECT doc_id, unnest(CASE WHEN len(words) >= 5
+                                   THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+                                   WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS gram
+        FROM split)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), pairs AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+    FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+    SELECT x, y FROM pairs JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
+    WHERE shared * 5 >= 4 * (s.n + t.n - shared)
+), reached AS (
+    SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x
+)
+SELECT doc_id, least(doc_id, (SELECT min(y) FROM reached WHERE x = doc_id)) AS class_id,
+       (SELECT count(*) FROM links WHERE x = doc_id) AS n_links
+FROM documents"""
+
+SQL: dict[str, str] = {"op4_line_dedup": _LINE_DEDUP, "op6_substring_dedup": _SUBSTRINGS, "op7_warc": _WARC, "op9_mix": _MIX, "op10_ngram_join": _NGRAM_JOIN}
