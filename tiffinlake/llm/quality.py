@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiffinlake.llm.common import slices, texts, written
+from tiffinlake.llm.common import sampled, slices, texts, written
 from tiffinlake.llm.langid import held_out
 from tiffinlake.llm.words import hashes_between
 
@@ -221,14 +221,8 @@ def quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, thre
         pooled(docs.select("doc_id", held_out(5, 0).alias("held_out"), "text"), learn_vectors(docs), ["doc_id", "held_out"]), "pooled"
     )
     truth = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = (
-        known.where("NOT held_out")
-        .join(truth, "doc_id")
-        .orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id", "features")
-        .select("features", "quality")
-        .limit(most_rows)
-        .toArrow()
-    )
+    labelled = known.where("NOT held_out").join(truth, "doc_id")
+    sample = sampled(labelled, most_rows, "doc_id", "features").select("features", "quality").toArrow()
     rows = np.array(sample.column("features").to_pylist(), np.float64).reshape(-1, FEATURES)
     network = fit(rows, np.array(sample.column("quality").to_pylist(), np.int64))
     kind = docs.schema["doc_id"].dataType.simpleString()
