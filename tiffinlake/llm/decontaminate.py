@@ -33,7 +33,7 @@ RUN = 5
 BLOCK_ITEMS = 4
 K1, B = 1.2, 0.75
 #: Words of items in one index, which goes to every executor; more items take more passes over the documents.
-INDEX_WORDS = 4_000_000
+INDEX_WORDS = 1_000_000
 _WORD = r"[\p{L}\p{N}_]+"
 _FIND = re.compile(r"\w+").findall
 _ANSWER = re.compile(r"(?<=[.!?\n])\s+(?=\S)")
@@ -250,7 +250,11 @@ def indexes(items: DataFrame, index_words: int = INDEX_WORDS) -> list[Index]:
     for part in range(parts if count else 0):
         mine = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         rows = sorted(mine.collect(), key=lambda r: (str(r.item_id), r.text))
-        found = [Item(r.item_id, words, question_words(r.text)) for r in rows if (words := words_of(r.text))]
+        # Equal words are one object, also in the executors.
+        once: dict[str, str] = {}
+        found = [
+            Item(r.item_id, [once.setdefault(w, w) for w in words], question_words(r.text)) for r in rows if (words := words_of(r.text))
+        ]
         if not found:
             continue
         own = mine.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).distinct()
