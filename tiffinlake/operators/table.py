@@ -43,11 +43,6 @@ def with_date(rows: DataFrame) -> DataFrame:
     return rows.withColumn(schema.DATE_COLUMN, order_date(F.col(schema.TIME_COLUMN)))
 
 
-def newest(rows: DataFrame) -> Column:
-    """The latest event time, as a scalar subquery: nothing is collected."""
-    return rows.agg(F.max(schema.TIME_COLUMN)).scalar()
-
-
 def retain(rows: DataFrame, as_of_ms: int | Column, days: int = 1) -> DataFrame:
     """Rows of the last `days` days before `as_of_ms`, by event time.
 

@@ -45,11 +45,8 @@ METRIC_DEFAULTS = {
 
 TIME_COLUMN = "timestamp"  # epoch milliseconds
 
-# The columns the table is meant to be filtered by.
-INDEXED_COLUMNS = ("city", "cuisine", "status", "payment_method", "order_value_category")
-
-# How rows are sorted within a file. The reports filter by status, so that its
-# values stand together first.
+# The columns the table is meant to be filtered by. Rows of a file
+# are sorted by them, the status first, as the reports filter by it.
 SORT_COLUMNS = ("status", "city", "cuisine", "payment_method", "order_value_category")
 
 # The partition columns of the table on disk: the UTC date of a row's time, and
