@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiffinlake.llm.common import boxed
+from tiffinlake.llm.common import boxed, sampled
 
 # The kinds in their order, and what a match of each has to be.
 KINDS = ("email", "ip", "card", "phone")
@@ -345,7 +345,7 @@ def all_spans(tagger: Tagger | None, values: list[str]) -> list[list[Span]]:
 
 
 def learn(docs: DataFrame, most_texts: int = SAMPLE_TEXTS, steps: int = STEPS) -> Tagger | None:
-    """Fit on windows of up to `most_texts` texts that have a digit or an @, first by a hash of the text.
+    """Fit on windows of up to `most_texts` texts that have a digit or an @, first by a hash of id and text.
 
     It runs as one task over that sample. None if it holds no labelled span.
     """
@@ -365,10 +365,8 @@ def learn(docs: DataFrame, most_texts: int = SAMPLE_TEXTS, steps: int = STEPS) -
             blob = pickle.dumps([w.astype(np.float32) for w in fit(windows[chosen], tags[chosen], steps).weights])
             yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["model"])
 
-    sample = (
-        docs.select("text").where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text", F.lit("pii")), "text").limit(most_texts)
-    )
-    rows = sample.coalesce(1).mapInArrow(step, "model binary").collect()
+    signed = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
+    rows = sampled(signed, most_texts, "doc_id", "text").select("text").coalesce(1).mapInArrow(step, "model binary").collect()
     return Tagger([w.astype(float) for w in pickle.loads(rows[0].model)]) if rows else None
 
 
