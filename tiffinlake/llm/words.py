@@ -8,14 +8,15 @@ inverse, which takes the place of a word in the buffer out of its hash.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 _FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
 _MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that running sums go over.
+_PART = 1 << 18
 #: A fixed random number for each byte.
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -30,24 +31,34 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values
 
 
-@lru_cache(maxsize=2)
-def _powers(factor: int, size: int) -> np.ndarray:
-    out = np.ones(size, np.uint64)
-    out[1:] = factor & _MASK
-    return np.multiply.accumulate(out)
+_powers: dict[int, np.ndarray] = {}
 
 
 def _power(factor: int, size: int) -> np.ndarray:
-    return _powers(factor, 1 << max(16, (size - 1).bit_length()))[:size]
+    """The first powers of a factor; the longest list so far is kept."""
+    if len(_powers.get(factor, ())) < size:
+        out = np.ones(1 << max(18, (size - 1).bit_length()), np.uint64)
+        out[1:] = factor & _MASK
+        _powers[factor] = np.multiply.accumulate(out)
+    return _powers[factor][:size]
 
 
 def hashes_between(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of pieces of a buffer; equal pieces have equal ones wherever they stand."""
-    codes = np.frombuffer(buffer, np.uint8)
-    running = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(_BYTES[codes] * _power(_FACTOR, len(codes)), out=running[1:])
-    inverse = _power(pow(_FACTOR, -1, 1 << 64), len(codes))
-    return mixed((running[ends] - running[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    codes, out = np.frombuffer(buffer, np.uint8), np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        # A part of the buffer at a time, so that the sums stay small; a longer piece is a part.
+        first = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, first + _PART, "right")))
+        part = codes[first : int(ends[hi - 1])]
+        begin, end = starts[lo:hi] - first, ends[lo:hi] - first
+        running = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTES[part] * _power(_FACTOR, len(part)), out=running[1:])
+        inverse = _power(_INVERSE, len(part))
+        out[lo:hi] = mixed((running[end] - running[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+        lo = hi
+    return out
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
