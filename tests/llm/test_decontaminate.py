@@ -79,6 +79,40 @@ def test_edits_are_found_and_other_text_is_not(spark):
     assert {r.doc_id for r in d.remove_contaminated(docs, items).collect()} == {3, 4}
 
 
+@pytest.mark.parametrize("edit", ["replaced", "left out", "put in"])
+def test_an_edit_anywhere_costs_only_its_own_word(spark, small, edit):
+    for index in d.indexes(items_of(spark, small)):
+        for item in index.items[::4] + [i for i in index.items if len(i.words) - i.question == 1]:
+            texts = []
+            for k in range(len(item.words)):
+                put, rest = ([] if edit == "left out" else ["zzzz"]), item.words[k + (edit != "put in") :]
+                texts.append(" ".join(["before"] * 9 + item.words[:k] + put + rest + ["behind"] * 9))
+            found = {r[0] for r in d.find(index, texts, d.THRESHOLD, d.OVERLAP) if r[1] == item.item_id}
+            assert found == set(range(len(texts))), item
+
+
+def test_edits_of_all_kinds_in_an_item_cost_their_own_words():
+    words = [f"w{i}" for i in range(40)]
+    item = d.Item(1, words, 30)
+    # Four words in a row replaced in the question, two left out of the answer, the one behind them still counts.
+    edited = words[:26] + ["x"] * 4 + words[30:37] + words[39:]
+    assert d.covered(item, ["y"] * 50 + edited + ["y"] * 50) == (26 / 30, 8 / 10)
+    assert d.covered(item, words[30:] + ["y"] * 20 + words[:30]) == (1, 1)
+    # Equal words spread over a passage, however many and in order, are no item.
+    spread = [w for word in words for w in (word, "y", "y")]
+    assert d.covered(item, spread) == (0, 0)
+    # The question does not pay for words of the answer far behind it.
+    assert d.covered(item, words[:30] + ["y"] * 30 + words[30::4])[1] == 0
+
+
+def test_another_answer_is_not_the_item():
+    item = d.Item(1, d.words_of("Who wrote the long poem about the grey sea and the mill? Ada Stone did"), 12)
+    other = d.words_of("Who wrote the long poem about the grey sea and the mill? Bob Flint did")
+    assert d.covered(item, item.words) == (1, 1)
+    assert d.covered(item, other)[0] == 1 and d.covered(item, other)[1] < d.OVERLAP
+    assert d.covered(d.Item(2, item.words[:4], 3), item.words[:3]) == (0, 0)
+
+
 def test_odd_rows(spark):
     items = spark.createDataFrame([(1, PROSE), (None, "a short one")], "item_id long, text string")
     docs = odd(spark)

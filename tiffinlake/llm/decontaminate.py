@@ -27,7 +27,7 @@ from tiffinlake.llm.common import boxed, slices, with_fields
 
 #: Share of an item's BM25 weight that a passage must hold.
 THRESHOLD = 0.6
-#: Share of the words of the question, and of the answer, that runs of 5 equal words must cover.
+#: Share of the words of the question, and of the answer, that must be found, in alignments of 5 equal words net of edits.
 OVERLAP = 0.8
 RUN = 5
 BLOCK_ITEMS = 4
@@ -185,25 +185,80 @@ def _expanded(begins: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return own, np.arange(counts.sum()) + np.repeat(begins[of] - np.cumsum(counts) + counts, counts)
 
 
-def covered(item: Item, passage: list[str], run: int = RUN) -> tuple[float, float]:
-    """Shares of the words of question and answer that runs of `run` words of the passage cover."""
-    run = min(run, len(item.words))
+def covered(item: Item, passage: list[str], run: int = RUN, overlap: float = OVERLAP) -> tuple[float, float]:
+    """Shares of the words of question and answer that are found in the passage.
+
+    A word is found if it lies in an alignment of item and passage that has
+    `run` more equal words than edits: a word replaced, left out or put in.
+    As many edits as `overlap` leaves an item so cost no other word than their
+    own, wherever they are. A part of fewer than `run` words is measured with
+    its neighbours, as no single word decides on a part. Of items so short that
+    those edits leave less than `run`, what is left is asked for. Shares below
+    `overlap` may be of runs of equal words alone.
+    """
+    count = len(item.words)
+    edits = _edits(count, overlap)
+    run = min(run, count)
     there = {tuple(passage[i : i + run]) for i in range(len(passage) - run + 1)}
-    hit = np.zeros(len(item.words), bool)
-    for i in range(len(item.words) - run + 1):
+    hit = np.zeros(count, bool)
+    for i in range(count - run + 1):
         if tuple(item.words[i : i + run]) in there:
             hit[i : i + run] = True
-    question, answer = hit[: item.question], hit[item.question :]
-    return float(question.mean()), float(answer.mean()) if len(answer) else float(question.mean())
+    part = min(RUN, count)
+    question, answer = slice(max(item.question, part)), slice(min(item.question, count - part), count)
+    if not hit.all():
+        own = set(passage)
+        known = np.array([w in own for w in item.words])
+        # No alignment has words that the passage has not.
+        if min(known[question].mean(), known[answer].mean()) >= overlap:
+            need = max(1, min(run, count - 2 * edits))
+            hit |= _aligned(item.words, passage, need, run + edits)
+    return float(hit[question].mean()), float(hit[answer].mean())
+
+
+def _edits(words: int, overlap: float) -> int:
+    """How many of the words may be missing."""
+    return int(words * (1 - overlap) + 1e-9)
+
+
+def _aligned(words: list[str], passage: list[str], need: int, most: int) -> np.ndarray:
+    """Which words are equal in a local alignment of a score of `need`: 1 for an equal word, -1 for an edit.
+
+    Up to a word and from it on a score counts as `most` at the utmost, so that
+    a long question does not pay for words far behind it.
+    """
+    places: dict[str, list[int]] = {w: [] for w in words}
+    for j, word in enumerate(passage):
+        if word in places:
+            places[word].append(j)
+    equal = [np.array(places[w], np.int64) for w in words]
+    ahead = _scores(equal, len(passage), most)
+    back = _scores([len(passage) - 1 - e[::-1] for e in reversed(equal)], len(passage), most)[::-1]
+    return np.array([bool(len(f)) and int((f + b[::-1]).max()) > need for f, b in zip(ahead, back, strict=True)])
+
+
+def _scores(equal: list[np.ndarray], length: int, most: int) -> list[np.ndarray]:
+    """Best scores of alignments that end at each word's equal places in the passage."""
+    slope = np.arange(length + 1, dtype=np.int32)
+    row, out = np.zeros(length + 1, np.int32), []
+    for at in equal:
+        new = row - 1
+        np.maximum(new[1:], row[:-1] - 1, out=new[1:])
+        new[at + 1] = np.minimum(row[at] + 1, most)
+        out.append(new[at + 1])
+        new = np.maximum.accumulate(new + slope) - slope
+        row = np.maximum(new, 0)
+    return out
 
 
 def find(index: Index, documents: list[str | None], threshold: float, overlap: float) -> list[tuple]:
     """(document, item, score, question_overlap, answer_overlap, first_word) of what is verified, best passage each.
 
-    Passages overlap by the longest item, so that one holds any whole item.
+    Passages overlap by the longest item and the words that may be put in it, so
+    that one holds any whole item.
     """
     longest = max(len(item.words) for item in index.items)
-    step = max(64, longest)
+    step = max(64, longest + _edits(longest, overlap))
     passage, term, words, firsts = [], [], [], [0]
     get = index.ids.get
     for text in documents:
@@ -228,7 +283,7 @@ def find(index: Index, documents: list[str | None], threshold: float, overlap: f
             document = int(np.searchsorted(firsts, p, "right")) - 1
             start = max(0, (int(p) - firsts[document] - 1) * step)
             item = index.items[place]
-            question, answer = covered(item, words[document][start : start + 2 * step])
+            question, answer = covered(item, words[document][start : start + 2 * step], overlap=overlap)
             found = (document, item.item_id, min(1.0, score), question, answer, start)
             if question >= overlap and answer >= overlap and found[2:5] > best.get((document, place), (0,) * 6)[2:5]:
                 best[document, place] = found
