@@ -130,4 +130,32 @@ SELECT doc_id, least(doc_id, (SELECT min(y) FROM reached WHERE x = doc_id)) AS c
        (SELECT count(*) FROM links WHERE x = doc_id) AS n_links
 FROM documents"""
 
-SQL: dict[str, str] = {"op4_line_dedup": _LINE_DEDUP, "op6_substring_dedup": _SUBSTRINGS, "op7_warc": _WARC, "op9_mix": _MIX, "op10_ngram_join": _NGRAM_JOIN}
+_FIM = """
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), numbers AS (
+    SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n,
+           CAST('0x' || substr(h, 1, 8) AS BIGINT) % (length(t) + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (length(t) + 1) AS y,
+           t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+               OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 AS plain,
+           CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 AS suffix_first
+    FROM drawn
+), cut AS (
+    SELECT *, least(x, y) AS a, greatest(x, y) AS b, substr(t, 1, least(x, y)) AS p,
+           substr(t, least(x, y) + 1, greatest(x, y) - least(x, y)) AS m, substr(t, greatest(x, y) + 1) AS s FROM numbers
+)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN suffix_first THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN a END AS prefix_chars, CASE WHEN NOT plain THEN b - a END AS middle_chars,
+       sha256(CASE WHEN plain THEN t WHEN suffix_first THEN '<S>' || s || '<P>' || p || '<M>' || m
+                   ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM cut"""
+
+SQL: dict[str, str] = {
+    "op4_line_dedup": _LINE_DEDUP,
+    "op6_substring_dedup": _SUBSTRINGS,
+    "op7_warc": _WARC,
+    "op9_mix": _MIX,
+    "op10_ngram_join": _NGRAM_JOIN,
+    "op11_fim": _FIM,
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiffinlake.llm import decontaminate, graphann, langid, linededup, mixing, ngramjoin, pii, quality, substrings, warc
+from tiffinlake.llm import decontaminate, fim, graphann, langid, linededup, mixing, ngramjoin, pii, quality, substrings, warc
 from tiffinlake.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngramjoin.near_duplicates(table(spark, folder, "documents"))
 
 
+def op11_fim(spark: SparkSession, folder: str) -> DataFrame:
+    return fim.digests(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_graph_ann": op1_graph_ann,
     "op2_langid": op2_langid,
@@ -61,4 +65,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_mix": op9_mix,
     "op10_ngram_join": op10_ngram_join,
+    "op11_fim": op11_fim,
 }
