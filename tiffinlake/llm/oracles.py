@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tiffinlake.llm import mixing
+from tiffinlake.llm import mixing, vectorcodes
 
 _LINE_DEDUP = r"""
 WITH lines AS (
@@ -151,6 +151,45 @@ SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN suffix_first THEN 'spm' ELSE
        sha256(t) AS restored_sha256
 FROM cut"""
 
+def _vector_codes(rounds: int = vectorcodes.ROUNDS) -> str:
+    """Each round as tables of its own: distances of all parts to all entries, then the floors of means."""
+    parts, entries, scale = vectorcodes.PARTS, vectorcodes.ENTRIES, vectorcodes.SCALE
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""far{n} AS (
+    SELECT v.vec_id, v.part, e.entry, CAST(sum((v.x - e.x) * (v.x - e.x)) AS BIGINT) AS far
+    FROM components v JOIN book{n} e ON v.part = e.part AND v.pos = e.pos GROUP BY ALL
+), near{n} AS (
+    SELECT vec_id, part, entry, far FROM far{n} QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY far, entry) = 1
+)""")
+        if n < rounds:
+            steps.append(f"""sums{n} AS (
+    SELECT part, entry, pos, sum(x) AS s, count(*) AS c FROM components JOIN near{n} USING (vec_id, part) GROUP BY ALL
+), book{n + 1} AS (
+    SELECT b.part, b.entry, b.pos, coalesce(CAST((s - ((s % c) + c) % c) // c AS BIGINT), b.x) AS x
+    FROM book{n} b LEFT JOIN sums{n} USING (part, entry, pos)
+)""")
+    return f"""
+WITH kept AS (
+    SELECT vec_id, embedding, label FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), placed AS (
+    SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i, len(embedding) // {parts} AS width FROM kept
+), components AS (
+    SELECT vec_id, i // width AS part, i % width AS pos, CAST(floor(CAST(x AS DOUBLE) * {scale}) AS BIGINT) AS x FROM placed
+), first AS (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < {entries}
+), book0 AS (
+    SELECT part, entry, pos, x FROM components JOIN first USING (vec_id)
+), {", ".join(steps)}, coded AS (
+    SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error
+    FROM near{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)"""
+
+
 SQL: dict[str, str] = {
     "op4_line_dedup": _LINE_DEDUP,
     "op6_substring_dedup": _SUBSTRINGS,
@@ -158,4 +197,5 @@ SQL: dict[str, str] = {
     "op9_mix": _MIX,
     "op10_ngram_join": _NGRAM_JOIN,
     "op11_fim": _FIM,
+    "op13_vector_codes": _vector_codes(),
 }
