@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiffinlake.llm import decontaminate, fim, graphann, langid, linededup, mixing, ngramjoin, pii, quality, substrings, vectorcodes, warc
+from tiffinlake.llm import brown, decontaminate, fim, graphann, langid, linededup, mixing, ngramjoin, pii, quality, substrings, vectorcodes, warc
 from tiffinlake.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_fim(spark: SparkSession, folder: str) -> DataFrame:
     return fim.digests(table(spark, folder, "documents"))
 
 
+def op12_brown_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return brown.score(table(spark, folder, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return vectorcodes.compress(table(spark, folder, "embeddings"))
 
@@ -70,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mix": op9_mix,
     "op10_ngram_join": op10_ngram_join,
     "op11_fim": op11_fim,
+    "op12_brown_lm": op12_brown_lm,
     "op13_vector_codes": op13_vector_codes,
 }

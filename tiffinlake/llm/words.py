@@ -61,15 +61,21 @@ def hashes_between(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, text after text, and where each text's words begin (one entry more than texts)."""
+def word_places(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """A buffer of all texts, where their words start and end in it, and which word each text begins with (one entry more than texts)."""
     buffer = b" ".join([*texts, b""])
     space = _SPACE[np.frombuffer(buffer, np.uint8)]
     edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
     starts = edges[::2]
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     offsets = np.concatenate(([0], np.cumsum(lengths)))
-    return hashes_between(buffer, starts, edges[1::2]), np.searchsorted(starts, offsets)
+    return buffer, starts, edges[1::2], np.searchsorted(starts, offsets)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, text after text, and where each text's words begin (one entry more than texts)."""
+    buffer, starts, ends, begins = word_places(texts)
+    return hashes_between(buffer, starts, ends), begins
 
 
 def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
