@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import tiffinlake_oracles as oracles
-from tiffinlake import schema
+from tiffinlake import schema, session
 from tiffinlake.functions.order_columns import MS_PER_DAY
+from tiffinlake.functions import picks
 from tiffinlake.operators import table
 from tiffinlake.plans import registry, reports
 from tiffinlake.plans.sql import run_sql
@@ -182,27 +183,88 @@ def test_batches_are_merged_and_no_row_changes(spark, orders, tmp_path):
     assert not os.path.exists(f"{place}/_compact")
 
 
-def test_a_merge_that_died_is_completed(spark, orders, tmp_path, monkeypatch):
-    place = str(tmp_path / "t")
+def in_four_batches(orders, place):
     for batch in range(4):
         table.write_table(orders.where(F.pmod(F.xxhash64("order_id"), F.lit(4)) == batch), place, batch, "w", rebalance=True)
+
+
+def whole(spark, place, orders):
+    back = table.read_table(spark, place).drop("order_date")
+    return back.count() == 1000 and orders.exceptAll(back).count() == 0
+
+
+def test_a_merge_that_died_is_completed(spark, orders, tmp_path, monkeypatch):
+    place = str(tmp_path / "t")
+    in_four_batches(orders, place)
     finish = table._finish
-    calls = []
 
-    def dies(spark, path):
-        calls.append(path)
-        if len(calls) == 2:
-            raise OSError("lost")
-        finish(spark, path)
+    def dies(spark, path, name):
+        raise OSError("lost")
 
     monkeypatch.setattr(table, "_finish", dies)
     with pytest.raises(OSError):
         table.compact(spark, place)
-    assert table.read_table(spark, place).count() == 1000
+    assert whole(spark, place, orders)
     monkeypatch.setattr(table, "_finish", finish)
     table.compact(spark, place)
-    back = table.read_table(spark, place).drop("order_date")
-    assert back.count() == 1000 and orders.exceptAll(back).count() == 0
+    assert whole(spark, place, orders)
+    assert glob.glob(f"{place}/_compact/*") == []
+
+
+class Unwilling:
+    """A file system whose renames or deletions fail from the n-th call on; it says False, as Hadoop's do."""
+
+    def __init__(self, fs, call, allowed):
+        self.fs, self.call, self.allowed = fs, call, allowed
+
+    def __getattr__(self, name):
+        real = getattr(self.fs, name)
+        if name != self.call:
+            return real
+
+        def counted(*args):
+            self.allowed[0] -= 1
+            return real(*args) if self.allowed[0] >= 0 else False
+
+        return counted
+
+
+@pytest.mark.parametrize("call, allowed", [("rename", 0), ("rename", 3), ("rename", 33), ("delete", 0), ("delete", 5), ("delete", 90)])
+def test_a_merge_whose_renames_or_deletions_fail_loses_nothing(spark, orders, tmp_path, monkeypatch, call, allowed):
+    place = str(tmp_path / "t")
+    in_four_batches(orders, place)
+    real, left = session.file_system, [allowed]
+
+    def unwilling(spark, path):
+        fs, at = real(spark, path)
+        return Unwilling(fs, call, left), at
+
+    monkeypatch.setattr(session, "file_system", unwilling)
+    with pytest.raises(OSError, match="could not"):
+        table.compact(spark, place)
+    monkeypatch.setattr(session, "file_system", real)
+    table.compact(spark, place)
+    assert whole(spark, place, orders)
+    assert glob.glob(f"{place}/_compact/*") == glob.glob(f"{place}/*/.writer*") == []
+    # One merged batch a date, and the last of the writer.
+    assert all(len(glob.glob(f"{date}/writer=*")) <= 2 for date in glob.glob(f"{place}/order_date=*"))
+
+
+def test_some_dates_are_merged_at_a_time(spark, orders, tmp_path, monkeypatch):
+    place = str(tmp_path / "t")
+    in_four_batches(orders, place)
+    merges = []
+    merge = table._merge
+
+    def counted(spark, path, batches):
+        merges.append({b[0] for b in batches})
+        return merge(spark, path, batches)
+
+    monkeypatch.setattr(table, "_merge", counted)
+    monkeypatch.setattr(table, "DATES_AT_ONCE", 12)
+    table.compact(spark, place)
+    assert [len(dates) for dates in merges] == [12, 12, 6]
+    assert whole(spark, place, orders)
 
 
 def test_undated_batches_expire_by_when_they_were_written(spark, tmp_path):
@@ -240,6 +302,148 @@ def test_the_status_prunes_row_groups(spark, tmp_path):
     assert len(groups) >= 10 and read < 0.45 * len(groups)
 
 
+@pytest.fixture(scope="module")
+def clustered(spark, tmp_path_factory):
+    """One date of many orders in small row groups; what stands in one indexed column says nothing about the others."""
+    place, i = str(tmp_path_factory.mktemp("clustered") / "t"), F.col("id")
+    pick = lambda salt, n: F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(n)).cast("int")
+    label = lambda salt, *labels: F.element_at(F.array(*map(F.lit, labels)), pick(salt, len(labels)) + 1)
+    rows = spark.range(0, 600_000, numPartitions=1).select(
+        F.md5(i.cast("string")).alias("order_id"), F.lit(0).cast("bigint").alias("timestamp"),
+        label(1, "placed", "preparing", "out_for_delivery", "delivered", "cancelled").alias("status"), F.concat(F.lit("city"), pick(2, 25)).alias("city"),
+        F.concat(F.lit("cuisine"), pick(3, 7)).alias("cuisine"), label(4, *picks.PAYMENT_PERCENT).alias("payment_method"),
+        label(5, "Budget", "Mid-Range", "Premium").alias("order_value_category"),
+    )
+    table.write_table(rows, place, 0, "w", row_group_bytes=1 << 18)
+    return place
+
+
+def row_groups(place, wanted):
+    """How many row groups there are, and how many hold each of the wanted values: what a reader of dictionaries reads."""
+    import pyarrow.parquet as pq
+
+    every = read = 0
+    for name in glob.glob(f"{place}/*/*/*/*.parquet"):
+        file = pq.ParquetFile(name)
+        for group in range(file.metadata.num_row_groups):
+            columns = file.read_row_group(group, columns=list(wanted)).to_pydict()
+            every += 1
+            read += all(value in set(columns[c]) for c, value in wanted.items())
+    return every, read
+
+
+def scanned(rows):
+    """Rows that the scan of files hands on; those of row groups that it skips are not among them."""
+    plan = rows._jdf.queryExecution().executedPlan()
+    assert rows.count() >= 0
+    counted = rows.groupBy().count()
+    counted.collect()
+    plan = counted._jdf.queryExecution().executedPlan()
+    if plan.nodeName().startswith("Adaptive"):
+        plan = plan.executedPlan()
+    leaves = plan.collectLeaves()
+    node = leaves.apply(0)
+    while not node.metrics().contains("numOutputRows"):
+        node = node.children().apply(0) if node.children().size() else node.plan()
+        node = node.collectLeaves().apply(0)
+    return node.metrics().apply("numOutputRows").value()
+
+
+@pytest.mark.parametrize("wanted, share", [
+    ({"city": "city3", "payment_method": "Debit Card"}, 0.35),
+    ({"city": "city3"}, 0.6), ({"payment_method": "Debit Card"}, 0.7), ({"cuisine": "cuisine1"}, 0.7), ({"order_value_category": "Budget"}, 0.85),
+    ({"status": "delivered", "city": "city3"}, 0.2), ({"cuisine": "cuisine1", "payment_method": "Debit Card", "city": "city9"}, 0.25),
+])
+def test_a_filter_on_indexed_columns_skips_row_groups(spark, clustered, wanted, share):
+    every, read = row_groups(clustered, wanted)
+    assert every >= 60 and 0 < read <= share * every
+    rows = table.read_table(spark, clustered)
+    for column, value in wanted.items():
+        rows = rows.where(F.col(column) == value)
+    assert 0 < scanned(rows.select("order_id", *wanted)) <= 1.1 * share * 600_000
+    expected = 600_000
+    for column in wanted:
+        expected /= {"status": 5, "city": 25, "cuisine": 7, "payment_method": 6, "order_value_category": 3}[column]
+    assert rows.count() == pytest.approx(expected, rel=0.1)
+
+
+def test_many_values_have_a_bloom_filter(spark, tmp_path):
+    """Where a dictionary would be too large Parquet codes values plainly; an absent one is still seen to be absent."""
+    import pyarrow.parquet as pq
+
+    i = F.col("id")
+    rows = spark.range(0, 300_000, numPartitions=1).select(
+        i.cast("string").alias("order_id"), F.lit(0).cast("bigint").alias("timestamp"), F.lit("x").alias("status"),
+        F.sha2(i.cast("string"), 256).alias("city"), F.lit("y").alias("cuisine"),
+    )
+    table.write_table(rows, str(tmp_path / "t"), 0, "w")
+    (name,) = glob.glob(f"{tmp_path}/t/*/*/*/*.parquet")
+    meta = pq.ParquetFile(name).metadata.row_group(0)
+    coded = {meta.column(c).path_in_schema: meta.column(c).encodings for c in range(meta.num_columns)}
+    assert "PLAIN" in coded["city"] and any("DICTIONARY" in e for e in coded["cuisine"])
+    stored = table.read_table(spark, str(tmp_path / "t")).select("order_id", "city")
+    first = stored.orderBy("city").first()["city"]
+    absent = first[:-1] + ("0" if first[-1] != "0" else "1") + "5"
+    assert scanned(stored.where(F.col("city") == absent)) == 0
+    assert stored.where(F.col("city") == first).count() == 1
+
+
+def test_rows_near_each_other_share_bits_of_each_column(spark):
+    rows = spark.range(0, 4096).select(*[F.pmod(F.xxhash64("id", F.lit(s)), F.lit(50)).alias(s) for s in "abc"])
+    keyed = rows.select("*", table.cluster_key(["a", "b", "c"], bits=4).alias("key"))
+    assert keyed.agg(F.max("key")).first()[0] < 1 << 12
+    assert keyed.groupBy("a", "b", "c").agg(F.countDistinct("key").alias("n")).agg(F.max("n")).first()[0] == 1
+    ordered = [tuple(r) for r in keyed.orderBy("key").select("a", "b", "c").collect()]
+    parts = [ordered[start : start + 512] for start in range(0, 4096, 512)]
+    for k in range(3):
+        assert sum(len({row[k] for row in part}) for part in parts) / len(parts) < 40
+
+
+def test_a_batch_is_made_known_by_its_writer(spark, orders, tmp_path, monkeypatch):
+    place = str(tmp_path / "t")
+    odd = orders.withColumn("timestamp", F.when(F.col("is_first_order") == 1, F.lit(None)).otherwise(F.col("timestamp")))
+    table.write_table(odd.where("price < 600"), place, 0, "w", rebalance=True)
+    assert table.create_table(spark, place, "known_orders")
+    assert spark.table("known_orders").count() == odd.where("price < 600").count()
+    table.write_table(odd.where("price >= 600"), place, 1, "w", rebalance=True)
+    table.write_table(odd.limit(3), place, 0, "other")
+    listed = []
+    monkeypatch.setattr(table, "_folders", lambda s, p, pattern, _real=table._folders: listed.append(pattern) or _real(s, p, pattern))
+    table.add_batch(spark, place, "known_orders", 1, "w")
+    assert {p for p in listed} == {"order_date=*", "writer=w/batch=1"}
+    assert spark.table("known_orders").drop("order_date", "writer", "batch").exceptAll(odd).count() == 0
+    assert spark.table("known_orders").count() == 1000
+    assert spark.table("known_orders").where("order_date is null").count() == 100
+    assert not table.create_table(spark, place, "known_orders")
+    assert spark.table("known_orders").count() == 1003
+    with pytest.raises(ValueError):
+        table.add_batch(spark, str(tmp_path / "elsewhere"), "known_orders", 1, "w")
+    spark.sql("DROP TABLE known_orders")
+
+
+def test_running_totals_by_order_at_any_partitioning(spark, settings):
+    """A moment that holds most orders, orders without a time, odd prices, one partition or many."""
+    i = F.col("id")
+    time_ms = F.when(i % 10 < 6, F.lit(5_000)).when(i % 10 == 6, F.lit(None)).otherwise(F.pmod(F.xxhash64(i), F.lit(9_000)))
+    price = F.when(i % 50 == 0, F.lit(float("nan"))).when(i % 50 == 1, F.lit(None)).otherwise((i % 977) / 7)
+    rows = spark.range(0, 20_000, numPartitions=7).select(
+        F.format_string("o%06d", i).alias("order_id"), time_ms.cast("bigint").alias("timestamp"), price.cast("float").alias("price")
+    )
+    cents = {r.order_id: r.c for r in rows.select("order_id", F.coalesce(F.col("price").try_cast("decimal(18,2)"), F.lit(0)).alias("c")).collect()}
+    ordered = sorted(((r.timestamp is not None, r.timestamp or 0, r.order_id) for r in rows.collect()))
+    expected, total = {}, 0
+    for n, (_, _, order) in enumerate(ordered, 1):
+        total += cents[order]
+        expected[order] = (n, float(total))
+    for partitions in (1, 13):
+        settings({"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+        totals = reports.running_totals_by_order(rows)
+        assert {r.order_id: (r.total_orders, r.total_revenue) for r in totals.collect()} == expected
+        plan = plan_of(totals)
+        assert "SinglePartition" not in plan and "Python" not in plan
+    assert reports.running_totals_by_order(rows.where("id < 0" if "id" in rows.columns else "order_id is null")).collect() == []
+
+
 def test_one_order_of_the_future_moves_nothing(spark, orders, stored, tmp_path):
     place = str(tmp_path / "t")
     table.write_table(orders, place, 0, "w")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 import re
 import uuid
-from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tiffinlake import schema
 from tiffinlake.functions.order_columns import MS_PER_DAY, order_date
 from tiffinlake.operators.codec import decode
-from tiffinlake.session import exists, file_system, remove
+from tiffinlake.session import exists, file_system, move, remove
 
 
 def fill_defaults(rows: DataFrame, dimension_default: str | None = None) -> DataFrame:
@@ -58,6 +58,41 @@ def retain(rows: DataFrame, as_of_ms: int | Column, days: int = 1) -> DataFrame:
     return kept
 
 
+#: Bits of each indexed column in the order of rows, of a hash with a seed that
+#: tells the labels of orders apart early.
+CLUSTER_BITS, CLUSTER_SEED = 8, 2
+
+
+def cluster_key(columns: Sequence[str], bits: int = CLUSTER_BITS) -> Column:
+    """A number by which rows with equal values in any of `columns` come near each other.
+
+    It takes the first bit of a hash of each column, then the second of each,
+    and so on. A stretch of rows in this order has few of the hashes of every
+    column, where a sort by one column after the other would scatter the values
+    of all but the first.
+    """
+    hashes = [F.xxhash64(F.col(c), F.lit(CLUSTER_SEED)) for c in columns]
+    key = F.lit(0).cast("bigint")
+    for bit in range(bits):
+        for value in hashes:
+            key = F.shiftleft(key, 1).bitwiseOR(F.shiftright(value, bit).bitwiseAND(F.lit(1)))
+    return key
+
+
+def index_options(columns: Iterable[str] = schema.INDEX_COLUMNS) -> dict[str, str]:
+    """What lets a reader skip row groups that hold no row with a value: the dictionary of a column, or else its Bloom filter.
+
+    A reader looks into a dictionary by itself if the whole column of a row
+    group is coded by it; Parquet writes the Bloom filter where it is not, with
+    as many bits as the values that turn up take.
+    """
+    options = {"parquet.bloom.filter.adaptive.enabled": "true"}
+    for column in columns:
+        options[f"parquet.enable.dictionary#{column}"] = "true"
+        options[f"parquet.bloom.filter.enabled#{column}"] = "true"
+    return options
+
+
 def write_table(
     rows: DataFrame,
     path: str,
@@ -65,6 +100,7 @@ def write_table(
     writer: str,
     rebalance: bool = False,
     max_records_per_file: int | None = None,
+    row_group_bytes: int | None = None,
 ) -> None:
     """Add a batch of rows to the table at `path`, as Parquet files by UTC date, writer and batch.
 
@@ -75,24 +111,32 @@ def write_table(
     Rows in time order need no shuffle: each task holds a few dates and writes
     a file for each. Rows in any order would leave a file per task and date;
     `rebalance` then lets AQE gather small dates in one task and split a date
-    that holds most rows over many. Sorting within a task gives narrow
-    row-group statistics on the columns the table is filtered by, the status
-    before all.
+    that holds most rows over many.
+
+    Within a file rows are sorted by status and then clustered by the other
+    indexed columns, each of which has its dictionary or a Bloom filter: a
+    filter on any of them, or on some together, skips row groups.
+    `row_group_bytes` sets how much a row group holds; small ones skip more.
     """
     if not re.fullmatch(r"[A-Za-z0-9_.-]+", writer):
         raise ValueError(f"a writer's name is part of a path: {writer!r}")
     placed = with_date(rows).withColumns({schema.WRITER_COLUMN: F.lit(writer), schema.BATCH_COLUMN: F.lit(batch).cast("bigint")})
-    _write(placed, path, rebalance, max_records_per_file)
+    _write(placed, path, rebalance, max_records_per_file, row_group_bytes)
 
 
-def _write(placed: DataFrame, path: str, rebalance: bool, max_records_per_file: int | None = None) -> None:
+def _write(
+    placed: DataFrame, path: str, rebalance: bool, max_records_per_file: int | None = None, row_group_bytes: int | None = None
+) -> None:
     if rebalance:
         placed = placed.hint("rebalance", schema.DATE_COLUMN)
-    sort = [*schema.PARTITION_COLUMNS, *(c for c in schema.SORT_COLUMNS if c in placed.columns)]
+    indexed = [c for c in schema.INDEX_COLUMNS if c in placed.columns]
+    sort = [*map(F.col, schema.PARTITION_COLUMNS), *map(F.col, indexed[:1]), cluster_key(indexed[1:]), *map(F.col, indexed[1:])]
     writer = placed.sortWithinPartitions(*sort).write.mode("overwrite").partitionBy(*schema.PARTITION_COLUMNS)
-    writer = writer.option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+    writer = writer.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").options(**index_options(indexed))
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
+    if row_group_bytes:
+        writer = writer.option("parquet.block.size", row_group_bytes)
     writer.parquet(path)
 
 
@@ -108,10 +152,12 @@ def register_view(rows: DataFrame, name: str = "food_orders") -> None:
 
 
 def create_table(spark: SparkSession, path: str, name: str = "food_orders") -> bool:
-    """Enter the table at `path` in the catalog; False if it is there already.
+    """Enter the table at `path` in the catalog, with all its batches; False if it is there already.
 
-    Called again it makes the dates and batches known that were written since.
-    A name that stands for another place or other columns is an error.
+    Called again it makes the dates and batches known that were written since,
+    by listing the folders. A writer that says what it has written (`add_batch`)
+    needs no listing. A name that stands for another place or other columns is
+    an error.
     """
     created = not spark.catalog.tableExists(name)
     if created:
@@ -121,18 +167,66 @@ def create_table(spark: SparkSession, path: str, name: str = "food_orders") -> b
             f"PARTITIONED BY ({', '.join(schema.PARTITION_COLUMNS)}) LOCATION '{place}'"
         )
     else:
-        known = spark.table(name)
-        location = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").select("data_type").first()
-        fs, wanted = file_system(spark, path)
-        there = None if location is None else file_system(spark, location[0])[1]
-        if there is None or fs.makeQualified(there).toUri() != fs.makeQualified(wanted).toUri():
-            raise ValueError(f"{name} is a table at {location and location[0]}, not at {path}")
-        if known.columns != schema.column_names(schema.FOOD_ORDERS_ON_DISK):
-            raise ValueError(f"{name} has other columns: {known.columns}")
-    spark.catalog.recoverPartitions(name)
+        _same_table(spark, path, name)
+    _add_partitions(spark, name, _batches(spark, path))
     return created
 
 
+def add_batch(spark: SparkSession, path: str, name: str, batch: int, writer: str) -> None:
+    """Make one batch of a registered table known, as a writer does once it has written it.
+
+    Only the dates of the table are listed, and on each the folder of this batch.
+    """
+    _same_table(spark, path, name)
+    _add_partitions(spark, name, _batches(spark, path, writer, batch))
+
+
+def _same_table(spark: SparkSession, path: str, name: str) -> None:
+    known = spark.table(name)
+    location = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").select("data_type").first()
+    fs, wanted = file_system(spark, path)
+    there = None if location is None else file_system(spark, location[0])[1]
+    if there is None or fs.makeQualified(there).toUri() != fs.makeQualified(wanted).toUri():
+        raise ValueError(f"{name} is a table at {location and location[0]}, not at {path}")
+    if known.columns != schema.column_names(schema.FOOD_ORDERS_ON_DISK):
+        raise ValueError(f"{name} has other columns: {known.columns}")
+
+
+def _batches(spark: SparkSession, path: str, writer: str | None = None, batch: int | None = None) -> Iterator[list[tuple[str, str, str]]]:
+    """(date, writer, batch) as the names of folders, date by date; those of one writer and batch, or all."""
+    below = f"{schema.WRITER_COLUMN}={writer or '*'}/{schema.BATCH_COLUMN}={'*' if batch is None else batch}"
+    for date in _folders(spark, path, f"{schema.DATE_COLUMN}=*"):
+        found = (s.getPath() for s in _folders(spark, date.getPath().toString(), below))
+        if rows := [(p.getParent().getParent().getName(), p.getParent().getName(), p.getName()) for p in found]:
+            yield rows
+
+
+#: Partitions that one statement adds.
+PARTITIONS_AT_ONCE = 500
+
+
+def _add_partitions(spark: SparkSession, name: str, batches: Iterable[list[tuple[str, str, str]]]) -> None:
+    """Enter batches in the catalog, some in a statement; those that are there already stay."""
+
+    def value(folder: str) -> str:
+        text = folder.partition("=")[2]
+        return "null" if text.startswith("__") else f"'{text}'"
+
+    def add(specs: list[str]) -> None:
+        spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {' '.join(specs)}")
+
+    specs = []
+    for rows in batches:
+        for row in rows:
+            specs.append(f"PARTITION ({', '.join(f'{c}={value(f)}' for c, f in zip(schema.PARTITION_COLUMNS, row, strict=True))})")
+            if len(specs) == PARTITIONS_AT_ONCE:
+                add(specs)
+                specs = []
+    if specs:
+        add(specs)
+    spark.catalog.refreshTable(name)
+
+
 def _folders(spark: SparkSession, path: str, pattern: str) -> list:
     """What lies below `path`, of folders that fit; none if there is no such path."""
     fs, place = file_system(spark, f"{path}/{pattern}")
@@ -163,57 +257,70 @@ def drop_expired(spark: SparkSession, path: str, as_of_ms: int, days: int = 1) -
 
 
 STAGE = "_compact"
+#: Dates that are merged together, and batches of them, some.
+DATES_AT_ONCE, BATCHES_AT_ONCE = 32, 2000
 
 
 def compact(spark: SparkSession, path: str, least: int = 2) -> int:
     """Merge the batches of each date that has `least` or more of them; returns how many were merged.
 
-    No row changes. The last batch of each writer stays as it is, since a
-    stream may still repeat it. Merged files are first written aside, with the
-    list of what they replace; a run that finds a finished list left by one
+    No row changes. On each date the last batch of every writer stays as it is,
+    since a stream may still repeat it. A few dates are merged at a time: their
+    folders are read, and no others. Merged files are first written aside, with
+    the list of what they replace; a run that finds a finished list left by one
     that died completes it before all else. Readers and writers of the dates
     concerned should wait meanwhile.
     """
-    _finish(spark, path)
-    rows = spark.read.schema(schema.FOOD_ORDERS_ON_DISK).parquet(path)
-    batches = [
-        (p.getParent().getParent().getName(), p.getParent().getName(), p.getName())
-        for p in (s.getPath() for s in _folders(spark, path, f"{schema.DATE_COLUMN}=*/{schema.WRITER_COLUMN}=*/{schema.BATCH_COLUMN}=*"))
-    ]
-    number = lambda b: int(b[2].partition("=")[2])
-    last = {}
-    for b in batches:
-        last[b[1]] = max(last.get(b[1], 0), number(b))
-    old = [b for b in batches if number(b) < last[b[1]] or b[1].startswith(f"{schema.WRITER_COLUMN}=compact-")]
-    counts = Counter(b[0] for b in old)
-    old = [b for b in old if counts[b[0]] >= least]
-    if not old:
-        return 0
-    name = f"compact-{uuid.uuid4().hex}"
-    replaced = spark.createDataFrame([(*b, "/".join(b)) for b in old], "d STRING, w STRING, b STRING, folder STRING")
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
-    folder = F.concat_ws("/", *(F.concat(F.lit(f"{c}="), text(c)) for c in schema.PARTITION_COLUMNS))
-    dates = {b[0].partition("=")[2] for b in old}
-    date = F.col(schema.DATE_COLUMN)
-    dated = date.isin([datetime.date.fromisoformat(d) for d in dates if not d.startswith("__")])
-    rows = rows.where(dated | date.isNull() if any(d.startswith("__") for d in dates) else dated)
-    merged = rows.join(replaced, folder == F.col("folder"), "left_semi")
-    merged = merged.withColumns({schema.WRITER_COLUMN: F.lit(name), schema.BATCH_COLUMN: F.lit(0).cast("bigint")})
-    _write(merged, f"{path}/{STAGE}/rows", rebalance=True)
-    replaced.select("folder").coalesce(1).write.mode("overwrite").text(f"{path}/{STAGE}/replaced")
-    _finish(spark, path)
-    return len(old)
-
-
-def _finish(spark: SparkSession, path: str) -> None:
-    """Put staged files in the place of what they replace, if their list is complete."""
-    if exists(spark, f"{path}/{STAGE}/replaced/_SUCCESS"):
-        for row in spark.read.text(f"{path}/{STAGE}/replaced").collect():
-            remove(spark, f"{path}/{row.value}")
-        fs, _ = file_system(spark, path)
-        for status in _folders(spark, f"{path}/{STAGE}/rows", f"{schema.DATE_COLUMN}=*/{schema.WRITER_COLUMN}=*"):
-            date = status.getPath().getParent().getName()
-            _, target = file_system(spark, f"{path}/{date}")
-            fs.mkdirs(target)
-            fs.rename(status.getPath(), target)
+    for status in _folders(spark, path, f"{STAGE}/*"):
+        _finish(spark, path, status.getPath().getName())
+    merged, group, dates = 0, [], 0
+    for batches in _batches(spark, path):
+        number = lambda b: int(b[2].partition("=")[2])
+        last = {}
+        for b in batches:
+            last[b[1]] = max(last.get(b[1], 0), number(b))
+        old = [b for b in batches if number(b) < last[b[1]] or b[1].startswith(f"{schema.WRITER_COLUMN}=compact-")]
+        if len(old) < least:
+            continue
+        group, dates = group + old, dates + 1
+        if dates == DATES_AT_ONCE or len(group) >= BATCHES_AT_ONCE:
+            merged += _merge(spark, path, group)
+            group, dates = [], 0
+    if group:
+        merged += _merge(spark, path, group)
     remove(spark, f"{path}/{STAGE}")
+    return merged
+
+
+def _merge(spark: SparkSession, path: str, batches: list[tuple[str, str, str]]) -> int:
+    name = f"compact-{uuid.uuid4().hex}"
+    stage = f"{path}/{STAGE}/{name}"
+    folders = ["/".join(b) for b in batches]
+    rows = spark.read.schema(schema.FOOD_ORDERS_ON_DISK).option("basePath", path).parquet(*(f"{path}/{f}" for f in folders))
+    rows = rows.withColumns({schema.WRITER_COLUMN: F.lit(name), schema.BATCH_COLUMN: F.lit(0).cast("bigint")})
+    _write(rows, f"{stage}/rows", rebalance=True)
+    spark.createDataFrame([(f,) for f in folders], "folder STRING").coalesce(1).write.mode("overwrite").text(f"{stage}/replaced")
+    _finish(spark, path, name)
+    return len(batches)
+
+
+def _finish(spark: SparkSession, path: str, name: str) -> None:
+    """Put merged files in the place of what they replace, if their list is complete.
+
+    Each step can be repeated, and an error in one leaves all that the next run
+    needs: what is merged is hidden beside the batches before any of these is
+    deleted, and seen once all are.
+    """
+    stage, writer = f"{path}/{STAGE}/{name}", f"{schema.WRITER_COLUMN}={name}"
+    if exists(spark, f"{stage}/replaced/_SUCCESS"):
+        replaced = [row.value for row in spark.read.text(f"{stage}/replaced").collect()]
+        for status in _folders(spark, f"{stage}/rows", f"{schema.DATE_COLUMN}=*/{writer}"):
+            place = status.getPath()
+            move(spark, place.toString(), f"{path}/{place.getParent().getName()}/.{writer}")
+        for folder in replaced:
+            remove(spark, f"{path}/{folder}")
+        for date in sorted({folder.partition("/")[0] for folder in replaced}):
+            hidden = f"{path}/{date}/.{writer}"
+            if exists(spark, hidden):
+                move(spark, hidden, f"{path}/{date}/{writer}")
+    remove(spark, stage)

@@ -46,8 +46,8 @@ METRIC_DEFAULTS = {
 TIME_COLUMN = "timestamp"  # epoch milliseconds
 
 # The columns the table is meant to be filtered by. Rows of a file
-# are sorted by them, the status first, as the reports filter by it.
-SORT_COLUMNS = ("status", "city", "cuisine", "payment_method", "order_value_category")
+# are sorted by the status, as the reports filter by it, and clustered by all.
+INDEX_COLUMNS = ("status", "city", "cuisine", "payment_method", "order_value_category")
 
 # The partition columns of the table on disk: the UTC date of a row's time, and
 # who wrote it in which batch.

@@ -60,9 +60,21 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder that is no longer needed; no error if there is none."""
+    """Delete a folder that is no longer needed; no error if there is none, but if it stays."""
     fs, place = file_system(spark, path)
-    fs.delete(place, True)
+    if not fs.delete(place, True) and fs.exists(place):
+        raise OSError(f"could not delete {path}")
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Give a folder another place on the same file system, where nothing is yet."""
+    fs, place = file_system(spark, source)
+    _, to = file_system(spark, target)
+    if fs.exists(to):
+        raise OSError(f"{target} is there already")
+    fs.mkdirs(to.getParent())
+    if not fs.rename(place, to):
+        raise OSError(f"could not move {source} to {target}")
 
 
 def clear_scratch(spark: SparkSession) -> None:
