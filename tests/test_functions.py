@@ -73,7 +73,7 @@ def keys(spark):
     return spark.range(0, 4200).withColumnRenamed("id", "k")
 
 
-@pytest.mark.parametrize("percents", [picks.STATUS_PERCENT, picks.PAYMENT_PERCENT])
+@pytest.mark.parametrize("percents", [picks.PAYMENT_PERCENT, {"a": 15, "b": 25, "c": 60}])
 def test_weighted_pick_keeps_the_weights(keys, percents):
     assert sum(percents.values()) == 100
     label = picks.weighted_pick(picks.spread(F.col("k"), 100), percents)

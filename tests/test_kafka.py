@@ -26,6 +26,31 @@ def test_source_options_of_the_table():
     assert options["kafka.security.protocol"] == "SSL"
 
 
+def test_a_batch_waits_for_messages_or_a_time():
+    options = kafka.source_options("b:9092", "t", min_offsets_per_trigger=100, max_trigger_delay="1h")
+    assert options["minOffsetsPerTrigger"] == "100" and options["maxTriggerDelay"] == "1h"
+
+
+def test_start_at_a_time():
+    options = kafka.source_options("b:9092", "t", starting_ms=1_704_067_200_000)
+    assert options["startingTimestamp"] == "1704067200000" and "startingOffsets" not in options
+    assert options["startingOffsetsByTimestampStrategy"] == "latest"
+
+
+def test_commands_pass_them_on_and_bound_a_batch(monkeypatch):
+    seen = {}
+
+    def stream_topic(spark, **options):
+        seen.update(kafka.source_options(**options))
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(kafka, "stream_topic", stream_topic)
+    place = ["--input", "kafka:b:9092/in", "--checkpoint", "/c", "--table", "/t"]
+    cli.main(["ingest", *place, "--min-offsets", "100", "--max-delay", "1h", "--start-ms", "5"], Recorder())
+    assert (seen["minOffsetsPerTrigger"], seen["maxTriggerDelay"], seen["startingTimestamp"]) == ("100", "1h", "5")
+    assert seen["maxOffsetsPerTrigger"] == str(kafka.BATCH_MESSAGES) and kafka.BATCH_MESSAGES < 1 << 30
+
+
 def test_sink_options():
     assert kafka.sink_options("b:9092", "raw") == {
         "kafka.bootstrap.servers": "b:9092",

@@ -7,18 +7,19 @@ from __future__ import annotations
 
 import argparse
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from tiffinlake import schema
 from tiffinlake.operators import table
 from tiffinlake.operators.codec import encode
 from tiffinlake.plans import reports
 from tiffinlake.plans.sql import run_sql
 from tiffinlake.session import build_session
 from tiffinlake.sources import files, kafka, orders
-from tiffinlake.streaming import jobs
+from tiffinlake.streaming import changes, jobs, progress
 
 REPORTS = {
     "totals": reports.totals,
@@ -45,6 +46,12 @@ LIVE = {
     "values": (reports.value_categories, None),
     "hours": (reports.hourly_volume, None),
 }
+# Reports whose batches write the groups that they changed: the columns they read, the groups, what names one, what is kept.
+CHANGES = {
+    "all-cities": (reports.READS[reports.by_city], reports.by_city, ["city"], lambda rows: rows),
+    "all-restaurants": (reports.READS[reports.by_restaurant], reports.by_restaurant, ["restaurant_name"], lambda rows: rows),
+    "minutes-last-day": ((schema.TIME_COLUMN,), changes.orders_per_minute, ["minute"], changes.last_day),
+}
 
 
 def kafka_place(topic: str) -> dict[str, str] | None:
@@ -70,10 +77,13 @@ def stream_from(spark: SparkSession, args: argparse.Namespace, starting_offsets:
             **place,
             starting_offsets=args.offsets or starting_offsets,
             max_offsets_per_trigger=args.max_offsets,
+            min_offsets_per_trigger=args.min_offsets,
+            max_trigger_delay=args.max_delay,
+            starting_ms=args.start_ms,
             min_partitions=args.min_partitions,
             more=kafka_options(args),
         )
-    return files.stream_topic(spark, args.input, max_bytes_per_trigger=args.max_bytes)
+    return files.stream_topic(spark, args.input, max_bytes_per_trigger=args.max_bytes, starting_ms=args.start_ms)
 
 
 def stream_to(messages: DataFrame, args: argparse.Namespace) -> DataStreamWriter:
@@ -97,37 +107,67 @@ def _trigger(args: argparse.Namespace) -> dict:
     return {"available_now": args.once, "interval": args.interval}
 
 
+def _run(spark: SparkSession, args: argparse.Namespace, begin: Callable[[], StreamingQuery]) -> None:
+    """Run a query to its end; with --progress, what its batches report is added to that table."""
+    if not args.progress:
+        jobs.run_to_end(begin())
+        return
+    with progress.ProgressLog(spark, args.progress) as log:
+        jobs.run_to_end(begin())
+        log.wait_for_all()
+
+
 def enrich(spark: SparkSession, args: argparse.Namespace) -> None:
     """Raw topic to processed topic."""
     raw = stream_from(spark, args, "latest")
-    query = jobs.start_enrichment(
+    _run(spark, args, lambda: jobs.start_enrichment(
         raw, lambda m: stream_to(m, args), args.checkpoint, args.tz, **_trigger(args)
-    )
-    jobs.run_to_end(query)
+    ))
 
 
 def ingest(spark: SparkSession, args: argparse.Namespace) -> None:
     """Processed topic to the table."""
-    processed = stream_from(spark, args, "earliest")
-    query = jobs.start_ingestion(
-        processed,
-        args.table,
-        args.checkpoint,
-        args.dimension_default,
-        args.rebalance,
-        args.max_records_per_file,
-        **_trigger(args),
-    )
-    jobs.run_to_end(query)
+    session = jobs.live_session(spark, args.state_partitions) if args.repeats_within else spark
+    if args.name:
+        table.create_table(session, args.table, args.name)
+
+    def begin(**trigger) -> StreamingQuery:
+        return jobs.start_ingestion(
+            stream_from(session, args, "earliest"),
+            args.table,
+            args.checkpoint,
+            args.dimension_default,
+            args.rebalance,
+            args.max_records_per_file,
+            args.row_group_bytes,
+            args.repeats_within,
+            args.name,
+            **(trigger or _trigger(args)),
+        )
+
+    if args.flush_rows and not kafka_place(args.input):
+        pending = lambda since: files.arrived_since(spark, args.input, since)
+        mark = f"{args.checkpoint}/flushed"
+        jobs.flush_when(pending, lambda: begin(available_now=True), mark, args.flush_rows, args.flush_seconds, spark=spark)
+    else:
+        _run(session, args, begin)
 
 
 def live(spark: SparkSession, args: argparse.Namespace) -> None:
     """A report kept up to date over the raw topic."""
+    session = jobs.live_session(spark, args.state_partitions)
+    raw = stream_from(session, args, "latest")
+    if args.name in CHANGES:
+        read, report, keys, keep = CHANGES[args.name]
+        orders_now = jobs.live_orders(raw, read, args.tz)
+        _run(session, args, lambda: changes.start_changes(
+            report(orders_now), args.output, args.checkpoint, keys, keep=keep, **_trigger(args)
+        ))
+        return
     report, finish = LIVE[args.name]
-    raw = stream_from(jobs.live_session(spark, args.state_partitions), args, "latest")
     orders_now = jobs.live_orders(raw, reports.READS[report], args.tz)
     more = {"finish": finish} if finish else {}
-    jobs.run_to_end(jobs.start_live(report(orders_now), args.output, args.checkpoint, **more, **_trigger(args)))
+    _run(session, args, lambda: jobs.start_live(report(orders_now), args.output, args.checkpoint, **more, **_trigger(args)))
 
 
 def give(result: DataFrame, args: argparse.Namespace, folder: str = "") -> None:
@@ -191,8 +231,13 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--once", action="store_true", help="take what is there and end")
         sub.add_argument("--interval", help="time between two batches, such as '1 hour'")
         sub.add_argument("--tz", default="UTC", help="zone of the hour of the day")
-        sub.add_argument("--max-offsets", type=int, help="Kafka messages in a batch at most")
-        sub.add_argument("--max-bytes", type=int, default=1 << 40, help="bytes of files in a batch at most")
+        sub.add_argument("--start-ms", type=int, help="without a checkpoint, start with what came at this time in epoch milliseconds")
+        sub.add_argument("--max-offsets", type=int, default=kafka.BATCH_MESSAGES, help="Kafka messages in a batch at most")
+        sub.add_argument("--min-offsets", type=int, help="Kafka messages that a batch waits for")
+        sub.add_argument("--max-delay", help="how long it waits for them, such as 1h")
+        sub.add_argument("--max-bytes", type=int, default=files.BATCH_BYTES, help="bytes of files in a batch at most")
+        sub.add_argument("--state-partitions", type=int, default=jobs.STATE_PARTITIONS)
+        sub.add_argument("--progress", metavar="FOLDER", help="keep what each batch reports in a table")
         sub.add_argument("--min-partitions", type=int, help="tasks that read Kafka at least")
         sub.add_argument("--kafka-option", action="append", metavar="KEY=VALUE", help="more options of the connector")
         return sub
@@ -208,10 +253,14 @@ def parser() -> argparse.ArgumentParser:
     sub = stream(ingest, "table")
     sub.add_argument("--dimension-default", help="what a null dimension is stored as")
     sub.add_argument("--max-records-per-file", type=int)
+    sub.add_argument("--row-group-bytes", type=int, help="small row groups let filters skip more")
+    sub.add_argument("--repeats-within", help="messages repeated within this time, such as '1 hour', count once")
+    sub.add_argument("--flush-rows", type=int, help="topics of files: write once so many messages wait")
+    sub.add_argument("--flush-seconds", type=float, default=3600.0, help="or one has waited for so long")
+    sub.add_argument("--name", help="a name in the catalog that new batches are made known under")
     sub.add_argument("--rebalance", action="store_true", help="for messages that are not in time order")
     sub = stream(live, "output")
-    sub.add_argument("name", choices=LIVE)
-    sub.add_argument("--state-partitions", type=int, default=jobs.STATE_PARTITIONS)
+    sub.add_argument("name", choices=[*LIVE, *CHANGES])
     now = "what to take for now, in epoch milliseconds; the clock without it"
     sub = result(report, "table")
     sub.add_argument("name", choices=[*REPORTS, "all"])

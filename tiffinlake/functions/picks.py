@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tiffinlake.functions.order_columns import mod64
 
 # What an order may hold.
-STATUS_PERCENT = {"placed": 15, "preparing": 25, "out_for_delivery": 15, "delivered": 35, "cancelled": 10}
 PAYMENT_PERCENT = {
     "UPI": 40, "Credit Card": 20, "Debit Card": 15, "Cash on Delivery": 15, "Net Banking": 5, "Wallet": 5,
 }

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiffinlake import schema
-from tiffinlake.functions import order_columns, picks
+from tiffinlake.functions import order_columns
 from tiffinlake.operators import table
 from tiffinlake.operators.codec import decode, encode
 from tiffinlake.operators.enrich import enrich, raw_columns
@@ -18,7 +18,7 @@ from tiffinlake.plans.sql import run_sql
 from tiffinlake.session import exists, remove, scratch_dir
 from tiffinlake.sources import files
 from tiffinlake.sources import orders as src
-from tiffinlake.streaming import jobs
+from tiffinlake.streaming import changes, jobs, progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,6 +127,12 @@ def q10_high_value_orders(spark, folder):
     return _report(spark, folder, reports.high_value_orders)
 
 
+@register
+def running_totals_by_order(spark, folder):
+    """The number of orders and their revenue as each order comes."""
+    return reports.running_totals_by_order(stored(spark, folder))
+
+
 # A name of their own: the caller may have a view food_orders.
 VIEW = "tiffinlake_registered_orders"
 
@@ -207,29 +213,6 @@ def derive_orders(spark, folder):
     return src.raw_orders(spark, folder)
 
 
-@register
-def derive_picks(spark, folder):
-    """The numbers of an order, from the key and the properties of its event."""
-    key = F.col("event_id")
-    return src.with_percentile(src.read(spark, folder, "events")).select(
-        key,
-        picks.bounded_int(key, *picks.QUANTITY, multiplier=5).alias("quantity"),
-        picks.bounded_real(key, *picks.PRICE, places=2).alias("price"),
-        picks.bounded_int(F.col("percentile"), *picks.DELIVERY_MINUTES, multiplier=7).alias("delivery_time_mins"),
-        picks.bounded_real(F.col("user_id"), *picks.RATING, places=1).alias("rating"),
-        picks.one_in(key, picks.FIRST_ORDER_PERCENT).alias("is_first_order"),
-    )
-
-
-@register
-def derive_weighted_category(spark, folder):
-    return src.with_percentile(src.read(spark, folder, "events")).select(
-        "event_id",
-        picks.weighted_pick(F.col("percentile"), picks.PAYMENT_PERCENT).alias("payment_method"),
-        picks.weighted_pick(picks.spread(F.col("event_id"), 100), picks.STATUS_PERCENT).alias("status"),
-    )
-
-
 @register
 def derive_items(spark, folder):
     """The words of each part's name as the list that an order gives of its dishes."""
@@ -352,6 +335,14 @@ def table_scan(spark, folder):
     return run_sql(spark, text, stored(spark, folder), VIEW)
 
 
+@register
+def table_index_scan(spark, folder):
+    """The table, filtered by two indexed columns that it is not sorted by first."""
+    city = src.read(spark, folder, "nation").agg(F.max("n_name")).first()[0]
+    rows = stored(spark, folder).where((F.col("payment_method") == "Debit Card") & (F.col("city") == city))
+    return rows.select("order_id", "city", "payment_method", "cuisine", "price", "status")
+
+
 @register
 def table_expire(spark, folder):
     """Write the table and delete the days before the retention period."""
@@ -364,7 +355,7 @@ def table_expire(spark, folder):
 def table_compact(spark, folder):
     """A table in many small batches, merged: the same rows."""
     path = scratch_dir(spark, "table")
-    rows = table.fill_defaults(food_orders(spark, folder))
+    rows = stored(spark, folder).drop(schema.DATE_COLUMN)
     for batch in range(4):
         part = rows.where(F.pmod(F.xxhash64("order_id"), F.lit(4)) == batch)
         table.write_table(part, path, batch, "parts", rebalance=True)
@@ -374,32 +365,33 @@ def table_compact(spark, folder):
 
 @register
 def catalog_table(spark, folder):
-    """The table by its name in the catalog."""
-    path = stored_path(spark, folder)
+    """The table by its name in the catalog; its second batch is made known by who wrote it."""
+    path = scratch_dir(spark, "table")
+    rows = stored(spark, folder).drop(schema.DATE_COLUMN)
     name = f"food_orders_{zlib.crc32(path.encode()):08x}"
+    later = F.col("is_first_order") == 1
+    table.write_table(rows.where(~later), path, 0, "known", rebalance=True)
     table.create_table(spark, path, name)
+    table.write_table(rows.where(later), path, 1, "known", rebalance=True)
+    table.add_batch(spark, path, name, 1, "known")
     counts = spark.table(name).groupBy(schema.DATE_COLUMN, "status")
     return counts.agg(F.count(F.lit(1)).alias("orders"), F.sum("is_high_value").alias("high_value"))
 
 
 # --- streams -----------------------------------------------------------------
 
-# A micro-batch takes no more than this, so that a job that dies after hours
-# has lost one batch and not everything. The commands have it as an option.
-BATCH_BYTES = 1 << 40
-
-
 def _stream(spark: SparkSession, topic: str) -> DataFrame:
-    return files.stream_topic(spark, topic, max_bytes_per_trigger=BATCH_BYTES)
+    return files.stream_topic(spark, topic, max_bytes_per_trigger=files.BATCH_BYTES)
 
 
-def enrich_topic(spark: SparkSession, raw: str, processed: str, checkpoint: str) -> None:
+def enrich_topic(spark: SparkSession, raw: str, processed: str, checkpoint: str, **options) -> None:
     """Stream what the raw topic holds and the checkpoint has not seen."""
     query = jobs.start_enrichment(
         _stream(spark, raw),
         lambda messages: files.stream_writer(messages, processed),
         checkpoint,
         available_now=True,
+        **options,
     )
     jobs.run_to_end(query)
 
@@ -446,6 +438,34 @@ def ingest_two_topics(spark, folder):
     return _table_rows(spark, f"{work}/table")
 
 
+@register
+def ingest_repeated_topic(spark, folder):
+    """A topic that has a tenth of its messages twice, as a producer leaves it that was not answered; they count once."""
+    work = scratch_dir(spark, "repeated")
+    raw = files.read_topic(spark, raw_topic(spark, folder))
+    again = F.pmod(F.xxhash64("key"), F.lit(10)) == 0
+    files.publish(jobs.enriched_messages(raw), f"{work}/topic")
+    files.publish(jobs.enriched_messages(raw.where(again)), f"{work}/topic")
+    ingest_topic(jobs.live_session(spark), f"{work}/topic", f"{work}/table", f"{work}/checkpoint", repeats_within="1 hour")
+    remove(spark, f"{work}/topic")
+    remove(spark, f"{work}/checkpoint")
+    return _table_rows(spark, f"{work}/table")
+
+
+@register
+def stream_progress(spark, folder):
+    """What both hops reported of their batches, added up."""
+    work = scratch_dir(spark, "progress")
+    with progress.ProgressLog(spark, f"{work}/log") as log:
+        for hop, run in (
+            ("enrichment", lambda **named: enrich_topic(spark, raw_topic(spark, folder), f"{work}/processed", f"{work}/checkpoint-1", **named)),
+            ("ingestion", lambda **named: ingest_topic(spark, f"{work}/processed", f"{work}/table", f"{work}/checkpoint-2", **named)),
+        ):
+            run(name=hop)
+            log.wait_for_all()
+    return progress.totals(progress.read_progress(spark, f"{work}/log")).select("name", "input_rows")
+
+
 @register
 def stream_restart(spark, folder):
     """Two runs on the same checkpoints; the second sees only what was added."""
@@ -475,6 +495,17 @@ def _live(
     return jobs.read_live(spark, f"{work}/out", finish(report(food_orders(spark, folder, reports.READS[report]))).schema)
 
 
+def _changes(spark: SparkSession, folder: str, report: Callable[[DataFrame], DataFrame], *keys: str) -> DataFrame:
+    """A report whose batches write the groups that they changed: the groups at the end."""
+    work = scratch_dir(spark, "live")
+    orders = jobs.live_orders(_stream(jobs.live_session(spark), raw_topic(spark, folder)), reports.READS[report])
+    result = report(orders)
+    query = changes.start_changes(result, f"{work}/out", f"{work}/checkpoint", keys, available_now=True)
+    jobs.run_to_end(query)
+    remove(spark, f"{work}/checkpoint")
+    return changes.read_changes(spark, f"{work}/out", result.schema, keys)
+
+
 @register
 def live_totals(spark, folder):
     return _live(spark, folder, reports.running_totals)
@@ -482,7 +513,7 @@ def live_totals(spark, folder):
 
 @register
 def live_city_revenue(spark, folder):
-    return _live(spark, folder, reports.by_city)
+    return _changes(spark, folder, reports.by_city, "city")
 
 
 @register
@@ -503,4 +534,15 @@ def live_status_share(spark, folder):
 
 @register
 def live_top_restaurants(spark, folder):
-    return _live(spark, folder, reports.top_restaurants)
+    return reports.top_by_revenue(_changes(spark, folder, reports.by_restaurant, "restaurant_name"))
+
+
+@register
+def live_last_24h(spark, folder):
+    """Orders per hour of the day over the last day, to the minute, with the state of that day only."""
+    work = scratch_dir(spark, "live")
+    orders = jobs.live_orders(_stream(jobs.live_session(spark), raw_topic(spark, folder)), [schema.TIME_COLUMN])
+    minutes = changes.orders_per_minute(orders)
+    jobs.run_to_end(changes.start_changes(minutes, f"{work}/out", f"{work}/checkpoint", ["minute"], keep=changes.last_day, available_now=True))
+    remove(spark, f"{work}/checkpoint")
+    return reports.hours_of_minutes(changes.last_day(changes.read_changes(spark, f"{work}/out", minutes.schema, ["minute"])))

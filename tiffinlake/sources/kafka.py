@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
+#: Messages in a micro-batch, some; the commands have it as a default.
+BATCH_MESSAGES = 20_000_000
+
 
 def source_options(
     servers: str,
@@ -16,6 +19,9 @@ def source_options(
     starting_offsets: str = "latest",
     fail_on_data_loss: bool = False,
     max_offsets_per_trigger: int | None = None,
+    min_offsets_per_trigger: int | None = None,
+    max_trigger_delay: str | None = None,
+    starting_ms: int | None = None,
     min_partitions: int | None = None,
     more: dict[str, str] | None = None,
 ) -> dict[str, str]:
@@ -23,13 +29,22 @@ def source_options(
 
     `max_offsets_per_trigger` bounds a micro-batch after a long pause, and
     `min_partitions` splits a topic partition that holds most of the messages.
+    With `min_offsets_per_trigger` a batch waits until so many messages are
+    there, but no longer than `max_trigger_delay` (such as "1h"). `starting_ms`
+    starts a query without a checkpoint at a time, in epoch milliseconds, in
+    place of `starting_offsets`; a partition without later messages starts at
+    its end.
     """
     options = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
-        "startingOffsets": starting_offsets,
+        "startingOffsets": starting_offsets if starting_ms is None else None,
+        "startingTimestamp": starting_ms,
+        "startingOffsetsByTimestampStrategy": None if starting_ms is None else "latest",
         "failOnDataLoss": str(fail_on_data_loss).lower(),
         "maxOffsetsPerTrigger": max_offsets_per_trigger,
+        "minOffsetsPerTrigger": min_offsets_per_trigger,
+        "maxTriggerDelay": max_trigger_delay,
         "minPartitions": min_partitions,
     }
     return _texts(options | (more or {}))

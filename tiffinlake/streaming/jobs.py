@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from tiffinlake.operators.codec import decode, encode
 from tiffinlake.operators.enrich import enrich, raw_columns
-from tiffinlake.operators.table import conform, write_table
+from tiffinlake.operators.table import add_batch, conform, write_table
 from tiffinlake.session import exists
 
 
@@ -68,6 +68,24 @@ def stream_name(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.text(place).first()[0]
 
 
+def without_repeats(messages: DataFrame, within: str) -> DataFrame:
+    """A stream of messages without those that have come before, no longer ago than `within` (such as "1 hour").
+
+    A producer that is not answered sends again what may have arrived. A message
+    is known by its key, the id of its order, or without a key by its value.
+    Time is that of arrival: nothing is ever too late, and what is forgotten
+    after a while lets a repetition through but loses no message.
+    """
+    marked = messages.select(
+        "*",
+        F.coalesce("key", "value").alias("_identity"),
+        F.col("key").isNull().alias("_keyless"),
+        F.current_timestamp().alias("_arrived"),
+    )
+    once = marked.withWatermark("_arrived", within).dropDuplicatesWithinWatermark(["_identity", "_keyless"])
+    return once.drop("_identity", "_keyless", "_arrived")
+
+
 def start_ingestion(
     processed: DataFrame,
     path: str,
@@ -75,6 +93,9 @@ def start_ingestion(
     dimension_default: str | None = None,
     rebalance: bool = False,
     max_records_per_file: int | None = None,
+    row_group_bytes: int | None = None,
+    repeats_within: str | None = None,
+    catalog_name: str | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Processed topic to the table at `path`.
@@ -83,19 +104,69 @@ def start_ingestion(
     checkpoint keeps, and a repetition replaces it: rows arrive exactly once,
     without a log of files that grows for ever, and expired days can be deleted
     while the stream goes on. Another stream, or the same with a new
-    checkpoint, is another writer and replaces nothing. `interval` and
-    `max_records_per_file` are the time and row thresholds of a flush.
+    checkpoint, is another writer and replaces nothing. `interval` is the time
+    threshold of a flush, `max_records_per_file` bounds a file; for a flush after
+    so many rows see `flush_when`, or `min_offsets_per_trigger` on Kafka.
+
+    With `repeats_within` messages that a producer repeated within that time
+    count once; `live_session` gives a session for the state. Batches of a table
+    that is registered as `catalog_name` are made known there as they are written.
     """
     writer = stream_name(processed.sparkSession, checkpoint)
 
     def save(rows: DataFrame, batch: int) -> None:
-        write_table(rows, path, batch, writer, rebalance, max_records_per_file)
+        write_table(rows, path, batch, writer, rebalance, max_records_per_file, row_group_bytes)
+        if catalog_name:
+            add_batch(rows.sparkSession, path, catalog_name, batch, writer)
+
+    messages = without_repeats(processed, repeats_within) if repeats_within else processed
+    return start(conform(messages, dimension_default).writeStream.foreachBatch(save), checkpoint, **trigger)
+
+
+def flush_when(
+    pending: Callable[[int], tuple[int, int | None]],
+    begin: Callable[[], StreamingQuery],
+    mark: str,
+    rows: int,
+    after_s: float,
+    poll_s: float = 5.0,
+    ended: Callable[[], bool] = lambda: False,
+    spark: SparkSession | None = None,
+) -> int:
+    """Run a query whenever `rows` messages wait, or one has waited for `after_s` seconds; returns how often it ran.
+
+    `pending` gives how many messages came after a time in epoch milliseconds,
+    and when the first of them did; `begin` starts a query that takes what is
+    there and ends. The time up to which all is taken is kept at `mark`, a
+    folder beside the checkpoint, so that waiting goes on after a restart. It
+    decides only when a query runs: what it takes is the checkpoint's to know.
+    """
+    spark = spark or SparkSession.active()
+    taken, runs = _read_mark(spark, mark), 0
+    while not ended():
+        now = time.time_ns() // 1_000_000
+        waiting, first = pending(taken)
+        if waiting >= rows or (waiting and first is not None and now - first >= after_s * 1000):
+            run_to_end(begin())
+            taken, runs = now, runs + 1
+            spark.createDataFrame([(str(taken),)], "value STRING").coalesce(1).write.mode("overwrite").text(mark)
+        else:
+            time.sleep(poll_s)
+    return runs
+
 
-    return start(conform(processed, dimension_default).writeStream.foreachBatch(save), checkpoint, **trigger)
+def _read_mark(spark: SparkSession, mark: str) -> int:
+    return int(spark.read.text(mark).first()[0]) if exists(spark, f"{mark}/_SUCCESS") else -1
 
 
 LIVE_SLOTS = 4
 STATE_PARTITIONS = 8
+# State on disk, not on the heap, so that it may have more groups than fit; a
+# batch puts its changes into the checkpoint and not all of the state.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def live_orders(raw: DataFrame, columns: Collection[str], tz: str = "UTC") -> DataFrame:
@@ -104,13 +175,15 @@ def live_orders(raw: DataFrame, columns: Collection[str], tz: str = "UTC") -> Da
 
 
 def live_session(spark: SparkSession, partitions: int = STATE_PARTITIONS) -> SparkSession:
-    """A session for live reports, with so many partitions of state.
+    """A session for streams with state, of so many partitions, kept by RocksDB.
 
     Groups of a report are few, and each task sends one partial row of each: a
     state store per shuffle partition of a large job would be far too many.
     """
     own = spark.newSession()
     own.conf.set("spark.sql.shuffle.partitions", partitions)
+    for key, value in STATE_STORE.items():
+        own.conf.set(key, value)
     return own
 
 

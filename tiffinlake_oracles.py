@@ -134,30 +134,19 @@ REPORTS = {
         GROUP BY city, status HAVING COUNT(*) > 1""",
 }
 
-LABELS = {
-    "payment_method": ("UPI", "Credit Card", "Debit Card", "Cash on Delivery", "Net Banking", "Wallet"),
-    "status": ("placed", "preparing", "out_for_delivery", "delivered", "cancelled"),
-}
-BOUNDS = {"payment_method": (40, 60, 75, 90, 95), "status": (15, 40, 55, 90)}
-
-
 def _column(*names: str) -> str:
     return f"{ORDERS} SELECT order_id, {', '.join(names)} FROM food_orders"
 
 
-def _share(name: str, number: str) -> str:
-    """A label by the bounds that a number is below."""
-    *head, last = LABELS[name]
-    cases = " ".join(f"WHEN {number} < {bound} THEN '{label}'" for label, bound in zip(head, BOUNDS[name], strict=True))
-    return f"CASE {cases} ELSE '{last}' END"
-
-
 # The table holds defaults for nulls.
 STORED = f"{ORDERS}, kept AS (SELECT {STORED_NAMES}, event_id, ts FROM food_orders)"
 
 SQL = {name: f"{STORED} SELECT * FROM ({text.replace('FROM food_orders', 'FROM kept')})" for name, text in REPORTS.items()} | {
     "q9_last_24h": f"""{ORDERS} SELECT hour_of_day, COUNT(*) AS orders
         FROM food_orders WHERE {LAST_DAY} GROUP BY hour_of_day""",
+    "running_totals_by_order": f"""{ORDERS} SELECT order_id, "timestamp", COUNT(*) OVER w AS total_orders,
+        CAST(SUM(CAST(price AS DECIMAL(18,2))) OVER w AS DOUBLE) AS total_revenue
+        FROM food_orders WINDOW w AS (ORDER BY "timestamp", order_id ROWS UNBOUNDED PRECEDING)""",
     "live_totals": f"{ORDERS} {REPORTS['q1_totals']}",
     "live_city_revenue": f"""{ORDERS} SELECT city, COUNT(*) AS orders, {MONEY} AS revenue,
         ROUND(AVG(price), 2) AS avg_order_value FROM food_orders GROUP BY city""",
@@ -179,19 +168,6 @@ SQL = {name: f"{STORED} SELECT * FROM ({text.replace('FROM food_orders', 'FROM k
         coalesce(map(['placed', 'preparing', 'out_for_delivery', 'delivered', 'cancelled'],
                      ['📥', '👨‍🍳', '🛵', '✅', '❌'])[status], '❓') AS label FROM food_orders""",
     "derive_orders": f"WITH {RAW} SELECT {RAW_NAMES} FROM raw",
-    "derive_picks": f"""
-        SELECT event_id,
-               CAST(1 + event_id * 5 % 6 AS INTEGER) AS quantity,
-               CAST(CAST(8000 + event_id * 7919 % 172001 AS DOUBLE) / 100 AS FLOAT) AS price,
-               CAST(15 + CAST(json_extract(props, '$.k') AS INTEGER) * 7 % 51 AS INTEGER) AS delivery_time_mins,
-               CAST(CAST(30 + user_id * 7919 % 21 AS DOUBLE) / 10 AS FLOAT) AS rating,
-               event_id % 10 = 0 AS is_first_order
-        FROM events""",
-    "derive_weighted_category": f"""
-        SELECT event_id,
-               {_share("payment_method", "CAST(json_extract(props, '$.k') AS INTEGER)")} AS payment_method,
-               {_share("status", "event_id * 7919 % 100")} AS status
-        FROM events""",
     "derive_items": "SELECT p_partkey, array_to_string(string_split(p_name, ' '), ', ') AS items FROM part",
     "publish_batch": f"WITH {RAW} SELECT order_id AS key, {RAW_NAMES} FROM raw",
     "decode_orders": f"WITH {RAW} SELECT {RAW_NAMES} FROM raw",
@@ -201,6 +177,8 @@ SQL = {name: f"{STORED} SELECT * FROM ({text.replace('FROM food_orders', 'FROM k
     "retention_1d": f"{ORDERS} SELECT {STORED_NAMES} FROM food_orders WHERE {LAST_DAY}",
     "table_scan": f"""{ORDERS} SELECT {STORED_NAMES}, CAST(ts AS DATE) AS order_date FROM food_orders
         WHERE status = 'delivered' AND price >= 200""",
+    "table_index_scan": f"""{ORDERS} SELECT order_id, city, payment_method, cuisine, price, status FROM food_orders
+        WHERE payment_method = 'Debit Card' AND city = (SELECT max(n_name) FROM nation)""",
     "table_expire": f"""{ORDERS} SELECT {STORED_NAMES}, CAST(ts AS DATE) AS order_date FROM food_orders
         WHERE CAST(ts AS DATE) >= (SELECT CAST(max(ts) - INTERVAL 1 DAY AS DATE) FROM food_orders)""",
     "table_compact": f"{ORDERS} SELECT {STORED_NAMES} FROM food_orders",
@@ -209,5 +187,11 @@ SQL = {name: f"{STORED} SELECT * FROM ({text.replace('FROM food_orders', 'FROM k
     "stream_enrich_append": ALL_ORDERS,
     "stream_ingest_table": f"{ORDERS} SELECT {STORED_NAMES} FROM food_orders",
     "ingest_two_topics": f"{ORDERS} SELECT {STORED_NAMES} FROM food_orders",
+    "ingest_repeated_topic": f"{ORDERS} SELECT {STORED_NAMES} FROM food_orders",
+    "stream_progress": """SELECT 'enrichment' AS name, COUNT(*) AS input_rows FROM events
+        UNION ALL SELECT 'ingestion', COUNT(*) FROM events""",
+    "live_last_24h": """SELECT CAST(hour(ts) AS INTEGER) AS hour_of_day, COUNT(*) AS orders FROM events
+        WHERE date_trunc('minute', ts) > (SELECT date_trunc('minute', max(ts)) - INTERVAL 1 DAY FROM events)
+        GROUP BY hour_of_day""",
     "stream_restart": f"{ORDERS} SELECT {STORED_NAMES} FROM food_orders",
 }
