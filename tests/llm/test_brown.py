@@ -157,8 +157,7 @@ def some_range(seed=3, words=40):
     texts = [" ".join(rng.choice(vocabulary[i % 4 :: 4], 30)).encode() for i in range(40)]
     rows = list(brown.neighbours(texts, brown.Frequent(np.empty(0, np.uint64), np.empty(0, np.uint8)), 1))
     assert len(rows) == 1
-    kinds = (np.uint64, np.uint64, np.uint8, np.uint8, np.uint8, np.uint64)
-    return brown.Range(*(np.frombuffer(a, k) for a, k in zip(rows[0][1:], kinds, strict=True))), texts
+    return brown.Range(*(np.frombuffer(a, k) for a, k in zip(rows[0][1:], brown._PART_KINDS, strict=True))), texts
 
 
 def test_a_word_goes_where_the_likelihood_is_highest():

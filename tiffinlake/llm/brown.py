@@ -17,7 +17,7 @@ frequent words of a fixed length ever come to the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,9 +38,9 @@ PASSES, ROUNDS, STEPS = 2, 2, 64
 #: Words whose classes travel with the tasks that count neighbours, at most.
 FREQUENT = 1 << 16
 #: Bytes of text to a range of the vocabulary and to a unit of reading, some.
-RANGE_BYTES, UNIT_BYTES = 16 << 20, 8 << 20
-#: Bytes of text that neighbours are counted in at a time.
-SLICE = 8 << 20
+RANGE_BYTES, UNIT_BYTES = 8 << 20, 8 << 20
+#: Bytes of text that neighbours are counted in at a time; bytes of text, or words of classes, that are read at a time.
+SLICE, READ_SLICE = 4 << 20, 1 << 20
 #: Weight of the class frequencies in a transition, as so many words seen.
 SMOOTHING = 16.0
 
@@ -55,6 +55,9 @@ _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _MARK = np.array([c < 0x80 and not chr(c).isalnum() for c in range(256)])
 _PACKED = "bucket int, words binary, counts binary, classes binary, sizes binary, ids binary, values binary"
 _NAMES = [f.split()[0] for f in _PACKED.split(", ")]
+#: Numbers in the bytes of a whole range, and of what a slice of text adds to one.
+_KINDS = (np.uint64, np.uint64, np.uint8, np.uint8, np.uint8, np.uint64)
+_PART_KINDS = (np.uint64, np.uint32, np.uint8, np.uint8, np.uint8, np.uint32)
 #: Counts of one word beyond this are looked at one by one in an exchange.
 _SMALL = 8
 
@@ -104,14 +107,21 @@ def neighbours(values: list[bytes], frequent: Frequent, buckets: int) -> Iterato
         return
     words, first, owner = np.unique(hashes_between(buffer, starts, ends), return_index=True, return_inverse=True)
     classes, known = frequent.find(words, forms(buffer, starts[first], ends[first]))
-    around = np.where(known, classes, classes.astype(np.int64) + CLASSES)[owner]
+    counts = np.bincount(owner)
+    kind = np.int32 if len(words) * _IDS < 1 << 31 else np.int64
+    around, owner = np.where(known, classes, classes + CLASSES).astype(kind)[owner], owner.astype(kind) * kind(_IDS)
     filled = begins[:-1] < begins[1:]
-    left = np.concatenate(([_END_OF_TEXT], around[:-1]))
-    right = np.concatenate((around[1:], [_END_OF_TEXT]))
-    left[begins[:-1][filled]] = right[begins[1:][filled] - 1] = _END_OF_TEXT
-    keys, values_ = np.unique(np.concatenate((owner * _IDS + left, owner * _IDS + right + _AROUND)), return_counts=True)
-    counts, sizes = np.bincount(owner), np.bincount(keys // _IDS)
-    yield from _pack(words, counts.astype(np.uint64), classes, sizes, keys % _IDS, values_, buckets)
+    keys = np.empty(2 * len(owner), kind)
+    left, right = keys[: len(owner)], keys[len(owner) :]
+    left[1:], left[begins[:-1][filled]] = around[:-1], _END_OF_TEXT
+    right[:-1], right[begins[1:][filled] - 1] = around[1:], _END_OF_TEXT
+    right += kind(_AROUND)
+    left += owner
+    right += owner
+    keys.sort()
+    edges = np.flatnonzero(np.diff(keys, prepend=-1))
+    values_, keys = np.diff(edges, append=len(keys)), keys[edges]
+    yield from _pack(words, counts, classes, np.bincount(keys // _IDS), keys % _IDS, values_, buckets)
 
 
 def _pack(words: np.ndarray, counts: np.ndarray, classes: np.ndarray, sizes: np.ndarray, ids: np.ndarray, values: np.ndarray, buckets: int):
@@ -120,10 +130,8 @@ def _pack(words: np.ndarray, counts: np.ndarray, classes: np.ndarray, sizes: np.
     edges = np.flatnonzero(np.diff(place, prepend=-1, append=buckets))
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         some = slice(int(at[lo]), int(at[hi]))
-        yield (
-            int(place[lo]), words[lo:hi].tobytes(), counts[lo:hi].astype(np.uint64).tobytes(), classes[lo:hi].astype(np.uint8).tobytes(),
-            sizes[lo:hi].astype(np.uint8).tobytes(), ids[some].astype(np.uint8).tobytes(), values[some].astype(np.uint64).tobytes(),
-        )
+        pieces = words[lo:hi], counts[lo:hi], classes[lo:hi], sizes[lo:hi], ids[some], values[some]
+        yield int(place[lo]), *(a.astype(k).tobytes() for a, k in zip(pieces, _PART_KINDS, strict=True))
 
 
 @dataclass
@@ -142,8 +150,7 @@ class Range:
         self.owner = np.repeat(np.arange(len(self.words)), self.sizes)
 
     @classmethod
-    def of(cls, table: pa.Table | pa.RecordBatch) -> Range:
-        kinds = (np.uint64, np.uint64, np.uint8, np.uint8, np.uint8, np.uint64)
+    def of(cls, table: pa.Table | pa.RecordBatch, kinds: tuple = _KINDS) -> Range:
         return cls(*(_array(table.column(c), k) for c, k in zip(_NAMES[1:], kinds, strict=True)))
 
     def merged(self) -> Range:
@@ -207,7 +214,7 @@ class Range:
             pa.array([bucket], pa.int32()),
             *(
                 pa.array([a.astype(k).tobytes()], pa.binary())
-                for a, k in zip((kept.words, kept.counts, kept.classes, kept.sizes, kept.ids, kept.values), (np.uint64, np.uint64, np.uint8, np.uint8, np.uint8, np.uint64), strict=True)
+                for a, k in zip((kept.words, kept.counts, kept.classes, kept.sizes, kept.ids, kept.values), _KINDS, strict=True)
             ),
             pa.array([kept.totals().tolist()], pa.list_(pa.int64())),
         ]
@@ -226,18 +233,18 @@ def _more(have: np.ndarray, add: np.ndarray) -> np.ndarray:
     return total * np.log(np.maximum(total, 1)) - have * np.log(np.maximum(have, 1))
 
 
-def _summed(arrays: DataFrame, column: str, size: int) -> np.ndarray:
-    """The sum of arrays of numbers: one row per task, added up by place."""
+def _summed(rows: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all batches of an array of numbers that each gives: one a task, added up by place."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            total += batch.column(0).flatten().to_numpy().reshape(-1, size).sum(axis=0)
+            total += of(batch)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], ["place", "total"])
 
     out = np.zeros(size, np.int64)
-    for place, total in arrays.select(column).mapInArrow(step, "place int, total long").groupBy("place").agg(F.sum("total")).collect():
+    for place, total in rows.mapInArrow(step, "place int, total long").groupBy("place").agg(F.sum("total")).collect():
         out[place] = total
     return out
 
@@ -276,7 +283,8 @@ def _kept(rows: DataFrame, buckets: int, documents: int, old: str | None = None)
     spark, path = rows.sparkSession, scratch_dir(rows.sparkSession, "vocabulary")
     rows.write.parquet(path)
     rows = spark.read.parquet(path)
-    totals = _summed(rows, "totals", _CELLS + 2)
+    size = _CELLS + 2
+    totals = _summed(rows.select("totals"), lambda batch: batch.column(0).flatten().to_numpy().reshape(-1, size).sum(axis=0), size)
     if old:
         remove(spark, old)
     return Vocabulary(rows.drop("totals"), path, buckets, documents, totals)
@@ -299,7 +307,7 @@ def _counted(train: DataFrame, frequent: Frequent, buckets: int, documents: int)
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _NAMES)
 
     def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([Range.of(group).merged().row(key[0].as_py())])
+        return pa.Table.from_batches([Range.of(group, _PART_KINDS).merged().row(key[0].as_py())])
 
     parts = train.select("text").mapInArrow(step, _PACKED)
     return _kept(parts.groupBy("bucket").applyInArrow(merge, f"{_PACKED}, totals array<long>"), buckets, documents)
@@ -330,13 +338,10 @@ def _frequent(known: Vocabulary, most: int) -> Frequent:
     def level(counts: np.ndarray) -> np.ndarray:
         return (16 * np.log2(counts.astype(np.float64))).astype(np.int64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1024, np.int64)
-        for batch in batches:
-            total += np.bincount(level(_array(batch.column("counts"), np.uint64)), minlength=1024)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], ["levels"])
+    def count(batch: pa.RecordBatch) -> np.ndarray:
+        return np.bincount(level(_array(batch.column("counts"), np.uint64)), minlength=1024)
 
-    levels = _summed(known.rows.select("counts").mapInArrow(count, "levels array<long>"), "levels", 1024)
+    levels = _summed(known.rows.select("counts"), count, 1024)
     beyond = np.cumsum(levels[::-1])[::-1]
     limit = int(np.argmax(beyond <= most))
 
@@ -420,7 +425,7 @@ def read_texts(docs: DataFrame, known: Vocabulary, unit_bytes: int = UNIT_BYTES)
         end = np.log10((ends + 1) / (tokens + types + 1))
         out = []
         for batch in group.to_batches():
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, "text", READ_SLICE):
                 hashes, begins = word_hashes(lowered(texts(part.column("text"))))
                 at = np.searchsorted(words, hashes)
                 seen = np.concatenate(([0], np.cumsum(counts[at] > 0)))
@@ -459,7 +464,7 @@ END, UNSEEN, STATES = CLASSES, CLASSES + 1, CLASSES + 2
 
 
 def _states(line: np.ndarray) -> np.ndarray:
-    return np.where(line == _UNSEEN, UNSEEN, line & (_ONCE - 1)).astype(np.int64)
+    return np.where(line == _UNSEEN, UNSEEN, line & (_ONCE - 1)).astype(np.int16)
 
 
 def _chain(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -467,7 +472,7 @@ def _chain(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     lines = batch.column("classes").to_pylist()
     # 0xFE stands for an end; no word has it.
     line = np.frombuffer(b"".join(b"\xfe" + x for x in lines) + b"\xfe", np.uint8)
-    states = np.where(line == 0xFE, END, _states(line))
+    states = np.where(line == 0xFE, np.int16(END), _states(line))
     once = (line[1:] & _ONCE > 0) & (line[1:] < 0xFE)
     lengths = np.fromiter((len(x) + 1 for x in lines), np.int64, len(lines))
     return states[:-1], states[1:], once, np.repeat(np.arange(len(lines)), lengths)
@@ -477,15 +482,15 @@ def transitions(read: DataFrame) -> np.ndarray:
     """Counts of (state before, state) over texts that `read_texts` gave; a word seen once counts for UNSEEN as well."""
     size = STATES * STATES
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batch: pa.RecordBatch) -> np.ndarray:
         total = np.zeros(size, np.int64)
-        for batch in batches:
-            before, state, once, _ = _chain(batch)
+        for part in slices(batch, "classes", READ_SLICE):
+            before, state, once, _ = _chain(part)
             total += np.bincount(before * STATES + state, minlength=size)
             total += np.bincount(before[once] * STATES + UNSEEN, minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], ["counts"])
+        return total
 
-    return _summed(read.select("classes").mapInArrow(step, "counts array<long>"), "counts", size).reshape(STATES, STATES)
+    return _summed(read.select("classes"), count, size).reshape(STATES, STATES)
 
 
 def log_chain(counts: np.ndarray, known: Vocabulary, smoothing: float = SMOOTHING) -> np.ndarray:
@@ -509,13 +514,13 @@ def scored(read: DataFrame, chain: np.ndarray, known: Vocabulary) -> DataFrame:
     tokens = known.tokens
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            before, state, _, row = _chain(batch)
-            score = np.bincount(row, weights=chain[before, state], minlength=batch.num_rows) + batch.column("emission").to_numpy()
-            words = batch.column("n_tokens").to_numpy()
-            columns = [batch.column(c) for c in kept[:4]]
+        for part in (part for batch in batches for part in slices(batch, "classes", READ_SLICE)):
+            before, state, _, row = _chain(part)
+            score = np.bincount(row, weights=chain[before, state], minlength=part.num_rows) + part.column("emission").to_numpy()
+            words = part.column("n_tokens").to_numpy()
+            columns = [part.column(c) for c in kept[:4]]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(np.full(batch.num_rows, tokens)), batch.column("base_score"), pa.array(score), pa.array(10 ** np.minimum(300.0, -score / words))],
+                [*columns, pa.array(np.full(part.num_rows, tokens)), part.column("base_score"), pa.array(score), pa.array(10 ** np.minimum(300.0, -score / words))],
                 [*kept[:4], "train_tokens", "base_score", "score", "perplexity"],
             )
 
