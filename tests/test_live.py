@@ -305,3 +305,27 @@ def test_a_log_that_hears_nothing_says_so(spark, tmp_path):
         log.wait_for_all(seconds=0.1)
     log.write()
     assert threading.active_count() and not os.path.exists(f"{tmp_path}/log")
+
+
+def test_commands(spark, raw, orders, tmp_path):
+    from tiffinlake import cli
+
+    place = str(tmp_path)
+
+    def live_rows(name, schema_, key):
+        cli.main(["live", name, "--input", raw, "--output", f"{place}/{name}", "--checkpoint", f"{place}/c-{name}", "--once", "--state-partitions", "2"], spark)
+        return changes.read_changes(spark, f"{place}/{name}", schema_, [key])
+
+    cities = live_rows("all-cities", "city STRING, orders BIGINT, revenue DOUBLE, avg_order_value DOUBLE", "city")
+    assert sorted(cities.collect()) == sorted(reports.by_city(orders).collect())
+    minutes = changes.last_day(live_rows("minutes-last-day", "minute BIGINT, orders BIGINT", "minute"))
+    times = [r["timestamp"] for r in orders.select("timestamp").collect()]
+    assert minutes.agg(F.sum("orders")).first()[0] == sum(expected_hours(times, 2**60).values())
+    files.publish(jobs.enriched_messages(files.read_topic(spark, raw)), f"{place}/processed")
+    files.publish(jobs.enriched_messages(files.read_topic(spark, raw)), f"{place}/processed")
+    os.makedirs(f"{place}/table")
+    cli.main(["ingest", "--input", f"{place}/processed", "--table", f"{place}/table", "--checkpoint", f"{place}/c", "--once", "--rebalance",
+              "--repeats-within", "1 hour", "--state-partitions", "2", "--name", "command_orders", "--progress", f"{place}/log"], spark)
+    assert spark.table("command_orders").count() == 1000
+    assert progress.read_progress(spark, f"{place}/log").agg(F.sum("input_rows")).first()[0] == 2000
+    spark.sql("DROP TABLE command_orders")

@@ -30,6 +30,17 @@ def test_scratch_is_below_shared_places_only():
     assert not hasattr(session, "tempfile")
 
 
+@pytest.mark.parametrize("master, refused", [("local", False), ("local[8]", False), ("yarn", True), ("spark://m:7077", True), ("local-cluster[2,1,1024]", True)])
+def test_a_warehouse_on_one_machine_is_no_shared_folder(master, refused):
+    fake = Fake(**{"spark.sql.warehouse.dir": "file:/w"})
+    fake.sparkContext = type("Context", (), {"master": master})
+    if refused:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.scratch_root(fake)
+    else:
+        assert session.scratch_root(fake) == "file:/w/_scratch"
+
+
 def test_a_topic_that_has_gone_is_published_again(spark, small):
     path = registry.raw_topic(spark, small)
     assert registry.raw_topic(spark, small) == path

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -35,12 +36,16 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by `spark.checkpoint.dir`, or else one below the warehouse.
 
     Both are places that every executor reaches, and the same on a cluster and
-    on one machine.
+    on one machine. A warehouse on the disk of one machine is none on a cluster:
+    that is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith("file:") and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError(f"{warehouse} is on one machine: set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/_scratch"
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
