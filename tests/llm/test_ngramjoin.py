@@ -128,3 +128,29 @@ def test_links_by_matrix_equal_those_by_pairs():
         for j, b in enumerate(sets):
             both = len(np.intersect1d(a, b))
             assert links[i, j] == (i != j and both * 2 >= len(a) + len(b) - both)
+
+
+def test_candidates_are_what_buckets_connect(spark):
+    """Chains, a large group of many overlapping buckets, lone classes: the components of the graph with all edges."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [int(b) for b in rng.integers(0, 40, 6)]) for i in range(300)]
+    rows += [(1000 + i, [10_000 + i, 10_001 + i]) for i in range(60)]
+    rows += [(2000 + i, [20_000 + i]) for i in range(20)]
+    rows += [(-5 - i, [30_000 + i % 3, 40_000 + i]) for i in range(30)]
+    known = spark.createDataFrame(rows, "c1 long, buckets array<long>")
+    found = {r.c1: r.component for r in ngramjoin.candidates(known).collect()}
+    holders = defaultdict(list)
+    for c, buckets in rows:
+        for b in set(buckets):
+            holders[b].append(c)
+    stars = [(c, min(members)) for members in holders.values() for c in members if c != min(members)]
+    plain = components(spark.createDataFrame(stars, "a long, b long")).collect()
+    groups = defaultdict(set)
+    for r in plain:
+        groups[r.component].add(r.node)
+    mine = defaultdict(set)
+    for c, component in found.items():
+        mine[component].add(c)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, groups.values()))
+    assert not any(c in found for c in range(2000, 2020))
+    assert ngramjoin.candidates(known.where("c1 between 2000 and 2019")).collect() == []

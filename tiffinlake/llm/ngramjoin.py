@@ -250,6 +250,27 @@ def _units(members: DataFrame, similarity: Fraction, cell: int) -> DataFrame:
     return whole.unionByName(paired.select(*members.columns, unit.alias("unit"), side.alias("side")))
 
 
+def candidates(known: DataFrame) -> DataFrame:
+    """(c1, component) of the classes that share a bucket with another; `component` is the same for all that buckets connect.
+
+    Each class goes to the smallest one that it meets in any of its buckets,
+    and on to where that one goes. In a large group most end up at a few
+    classes, and only these, where they still meet in a bucket, are the edges
+    that are left: a row for each, and not one for each class and bucket.
+    """
+    dealt = known.select("c1", F.explode("buckets").alias("bucket"))
+    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.min("c1").alias("centre")).where("classes > 1")
+    near = written(dealt.join(shared, "bucket").groupBy("c1").agg(F.min("centre").alias("head")), "heads")
+    # The head has a row of its own, being in the bucket.
+    beyond = near.select(F.col("c1").alias("head"), F.col("head").alias("top"))
+    tops = written(near.join(beyond, "head").select("c1", "top"), "tops")
+    met = known.select("c1", "buckets").join(tops, "c1").select(F.explode("buckets").alias("bucket"), "top").distinct()
+    first = met.groupBy("bucket").agg(F.min("top").alias("first"), F.count(F.lit(1)).alias("tops")).where("tops > 1")
+    edges = met.join(first, "bucket").where("top <> first").select(F.col("top").alias("a"), F.col("first").alias("b")).distinct()
+    joined = tops.join(components(edges).withColumnRenamed("node", "top"), "top", "left")
+    return joined.select("c1", F.coalesce("component", "top").alias("component"))
+
+
 def classes(
     docs: DataFrame, size: int = WORDS, similarity: Fraction = SIMILARITY, recall: float = RECALL, cell: int = CELL
 ) -> tuple[DataFrame, DataFrame]:
@@ -276,10 +297,7 @@ def classes(
         ),
         "classes",
     )
-    dealt = known.select("c1", F.explode("buckets").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.min("c1").alias("centre")).where("classes > 1")
-    stars = dealt.join(shared, "bucket").where("c1 <> centre").select(F.col("c1").alias("a"), F.col("centre").alias("b"))
-    members = known.join(components(stars).withColumnRenamed("node", "c1"), "c1")
+    members = known.join(candidates(known), "c1")
     units = _units(members.select("component", "c1", "c2", "n", "copies", "_k1"), similarity, cell)
     compared = written(
         docs.select(row_key("doc_id", "text")[0], "text")
