@@ -393,10 +393,10 @@ def test_rows_near_each_other_share_bits_of_each_column(spark):
     keyed = rows.select("*", table.cluster_key(["a", "b", "c"], bits=4).alias("key"))
     assert keyed.agg(F.max("key")).first()[0] < 1 << 12
     assert keyed.groupBy("a", "b", "c").agg(F.countDistinct("key").alias("n")).agg(F.max("n")).first()[0] == 1
-    ordered = [tuple(r) for r in keyed.orderBy("key").select("a", "b", "c").collect()]
-    parts = [ordered[start : start + 512] for start in range(0, 4096, 512)]
-    for k in range(3):
-        assert sum(len({row[k] for row in part}) for part in parts) / len(parts) < 40
+    # Rows that share the first bit of each column have about half of the values of each.
+    near = keyed.groupBy(F.shiftright("key", 9)).agg(*[F.countDistinct(c).alias(c) for c in "abc"]).collect()
+    assert len(near) == 8
+    assert all(sum(r[c] for r in near) / 8 == 25 for c in "abc")
 
 
 def test_a_batch_is_made_known_by_its_writer(spark, orders, tmp_path, monkeypatch):
