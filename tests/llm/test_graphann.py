@@ -71,6 +71,52 @@ def test_copies_near_copies_and_ties(spark):
         assert [i for _, i, _ in exact[q]] == [i for _, i in best]
 
 
+@pytest.mark.parametrize("lengths", ["even", "one long", "one very long", "huge", "all octaves"])
+def test_recall_whatever_the_lengths(spark, lengths):
+    """Random directions, which no graph has an easy time with."""
+    random = np.random.default_rng(11)
+    x = random.normal(size=(4000, 64))
+    x *= random.uniform(0.5, 1.5, (4000, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    if lengths.startswith("one"):
+        x[77] *= 100 if lengths == "one long" else 10_000
+    elif lengths == "huge":
+        x *= 1e20
+    elif lengths == "all octaves":
+        x *= 2.0 ** random.integers(-60, 60, (4000, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = found(g.nearest(vectors))
+    exact = np.array([v for _, v in rows])
+    right = 0
+    for q in range(0, 4000, 20):
+        scores = exact @ exact[q]
+        scores[q] = -np.inf
+        assert [r for _, _, r in got[q]] == list(range(1, 21))
+        right += len({i for _, i, _ in got[q]} & set(np.lexsort((np.arange(4000), -scores))[:20].tolist()))
+    assert right >= 0.9 * 200 * 20
+
+
+def test_a_shard_holds_one_octave(spark):
+    rows = [(i, [float(2.0**k), 0.0, float(2.0**k) * (i % 2)]) for i, k in enumerate([-1000, -3, 0, 0, 5, 500, 1023] * 20)]
+    points = spark.createDataFrame(rows, "point long, vector array<double>")
+    placed, shards = g.dealt(points, 10)
+    held = placed.collect()
+    assert len(held) == 140 and {r.shard for r in held} <= set(range(shards))
+    for shard in range(shards):
+        norms = [math.hypot(*(x / max(map(abs, r.vector)) for x in r.vector)) * max(map(abs, r.vector)) / 2 for r in held if r.shard == shard]
+        assert not norms or max(norms) <= 2 * min(norms)
+
+
+def test_a_graph_travels_once(spark):
+    """Of the rows that are exploded none is a graph."""
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(100)], "vec_id long, embedding array<double>")
+    points = g.points_of(g.usable(vectors), 21)
+    index = g.build(points, 20).cache()
+    asked = points.select(F.col("point").alias("query"), "vector")
+    plan = g.search(index, asked, 5, block_queries=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "FlatMapCoGroups" not in plan
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [

@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by inner product: robust-pruned directed graphs, one for each shard.
 
-Equal vectors are one point. Points are dealt to shards by hash, and the graph
-of a shard is built by insertion: a greedy search over the graph so far
+Equal vectors are one point. Points are dealt to shards by the octave of their
+length and then by hash, so that no vector of a shard is more than twice as
+long as another. The graph of a shard is built by insertion: a greedy search over the graph so far
 proposes neighbours, and pruning keeps those that no kept one is nearer to by
 the factor ALPHA, so that edges point in diverse directions. A query walks the
 graph of each shard with a beam and scores what it meets exactly; the best of
 all shards are its neighbours. Shards have a bounded size and queries come in
-bounded blocks: a task holds one of each.
+bounded blocks: a task holds one graph, and the blocks stream past it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiffinlake.llm.common import written
@@ -25,7 +26,7 @@ NEAREST = 20
 SHARD_POINTS, BLOCK_QUERIES = 8_192, 4_096
 DEGREE, ALPHA = 32, 1.15
 #: Points that a search keeps while building and while querying.
-BUILD_BEAM, BEAM = 64, 160
+BUILD_BEAM, BEAM = 64, 256
 #: Points inserted together, and expanded together.
 INSERTED, EXPANDED = 256, 4
 
@@ -54,7 +55,11 @@ def points_of(sound: DataFrame, most: int) -> DataFrame:
 
 
 def _raised(x: np.ndarray) -> np.ndarray:
-    """One more component each, so that all have one length: nearest is then largest inner product with a query that has 0 there."""
+    """One more component each, so that all have one length: nearest is then largest inner product with a query that has 0 there.
+
+    All are divided by the largest component before anything is squared.
+    """
+    x = x / np.abs(x).max()
     square = np.einsum("nd,nd->n", x, x)
     return np.concatenate([x, np.sqrt(np.maximum(0.0, square.max() - square))[:, None]], axis=1)
 
@@ -199,13 +204,32 @@ class Graph:
         return np.where(np.isfinite(far), ids, -1)[:, :beam]
 
 
-def _array(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+def _array(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(column[0].as_py(), kind)
 
 
+def octave(vector: Column) -> Column:
+    """The power of two below the length of a vector that is not zero; no square overflows."""
+    largest = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
+    squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + (x.cast("double") / largest) * (x.cast("double") / largest))
+    return F.floor(F.log2(largest) + F.log2(squares) / 2).cast("int")
+
+
+def dealt(points: DataFrame, shard_points: int) -> tuple[DataFrame, int]:
+    """Points with their `shard`, and how many shards there are. Octaves are at most some 2,100."""
+    leveled = points.select(octave(F.col("vector")).alias("octave"), "point", "vector")
+    first, rows = 0, []
+    for level, count in sorted(leveled.groupBy("octave").count().collect()):
+        shards = -(-count // shard_points)
+        rows.append((level, first, shards))
+        first += shards
+    levels = points.sparkSession.createDataFrame(rows, "octave int, first int, shards int")
+    shard = (F.col("first") + F.pmod(F.xxhash64("point"), F.col("shards"))).cast("int").alias("shard")
+    return leveled.join(F.broadcast(levels), "octave").select(shard, "point", "vector"), first
+
+
 def build(points: DataFrame, shard_points: int = SHARD_POINTS) -> DataFrame:
     """The index: for each shard one row of arrays, its ids, vectors, edges and starts."""
-    shards = max(1, -(-points.count() // shard_points))
 
     def step(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         group = group.sort_by("point")
@@ -215,48 +239,68 @@ def build(points: DataFrame, shard_points: int = SHARD_POINTS) -> DataFrame:
         return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([p.tobytes()], pa.binary()) for p in parts)], names)
 
     names = [f.split()[0] for f in _INDEX.split(", ")]
-    dealt = points.select(F.pmod(F.xxhash64("point"), F.lit(shards)).cast("int").alias("shard"), "point", "vector")
-    return dealt.groupBy("shard").applyInArrow(step, _INDEX)
+    placed, shards = dealt(points, shard_points)
+    # A shard takes long and is small: each has a task of its own.
+    return placed.repartitionByRange(max(1, shards), "shard").groupBy("shard").applyInArrow(step, _INDEX)
 
 
 def search(index: DataFrame, queries: DataFrame, most: int, beam: int = BEAM, block_queries: int = BLOCK_QUERIES) -> DataFrame:
-    """(query, point, score): the `most` best points found for each of (query, vector). Ties go to smaller points."""
+    """(query, point, score): the `most` best points found for each of (query, vector). Ties go to smaller points.
+
+    A graph travels once; each block of queries goes to every shard.
+    """
     shards, blocks = index.count(), max(1, -(-queries.count() // block_queries))
 
     def pack(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         vectors = group.column("vector").combine_chunks().flatten().to_numpy().astype(np.float64)
         parts = [group.column("query").to_numpy(), vectors]
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([p.tobytes()], pa.binary()) for p in parts)], ["block", "queries", "asked"])
-
-    def step(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], ["query", "point", "score"])
-        ids, starts = _array(left.column("ids"), np.int64), _array(left.column("starts"), np.int64)
-        vectors = _array(left.column("vectors"), np.float64).reshape(len(ids), -1)
-        names, asked = _array(right.column("queries"), np.int64), _array(right.column("asked"), np.float64)
-        asked = asked.reshape(len(names), -1)
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([p.tobytes()], pa.binary()) for p in parts)], ["block", "ids", "vectors"])
+
+    def graph_of(row: pa.RecordBatch) -> tuple[Graph, np.ndarray, np.ndarray]:
+        ids = _array(row.column("ids"), np.int64)
+        vectors = _array(row.column("vectors"), np.float64).reshape(len(ids), -1)
         graph = Graph.__new__(Graph)
-        graph.x, graph.starts = _raised(vectors).astype(np.float32), starts
-        graph.edges = _array(left.column("neighbours"), np.int32).reshape(len(ids), -1)
-        found = graph.walk(np.concatenate([asked, np.zeros((len(asked), 1))], axis=1).astype(np.float32), beam)
+        graph.x, graph.starts = _raised(vectors).astype(np.float32), _array(row.column("starts"), np.int64)
+        graph.edges = _array(row.column("neighbours"), np.int32).reshape(len(ids), -1)
+        return graph, ids, vectors
+
+    def answer(graph: Graph, ids: np.ndarray, vectors: np.ndarray, names: np.ndarray, asked: np.ndarray) -> pa.RecordBatch:
+        scaled = asked / np.abs(asked).max(axis=1, keepdims=True)
+        scaled /= np.sqrt(np.einsum("qd,qd->q", scaled, scaled))[:, None]
+        found = graph.walk(np.concatenate([scaled, np.zeros((len(asked), 1))], axis=1).astype(np.float32), beam)
         out = []
         for at in range(0, len(asked), 256):
             near = found[at : at + 256]
             scores = np.where(near >= 0, np.einsum("qsd,qd->qs", vectors[near], asked[at : at + 256]), -np.inf)
-            order = np.lexsort((ids[near], -scores))[:, :most]
+            order = np.lexsort((ids[near], -scores, near < 0))[:, :most]
             near, scores = np.take_along_axis(near, order, 1), np.take_along_axis(scores, order, 1)
-            real = np.isfinite(scores)
+            real = near >= 0
             out.append((np.repeat(names[at : at + 256], real.sum(axis=1)), ids[near[real]], scores[real]))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query", "point", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query", "point", "score"])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                if row.column("block")[0].as_py() < 0:
+                    graph = graph_of(row)
+                elif graph is not None:
+                    names = _array(row.column("ids"), np.int64)
+                    yield answer(*graph, names, _array(row.column("vectors"), np.float64).reshape(len(names), -1))
 
     packed = (
         queries.select(F.pmod(F.xxhash64("query", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), "query", "vector")
         .groupBy("block")
-        .applyInArrow(pack, "block int, queries binary, asked binary")
+        .applyInArrow(pack, "block int, ids binary, vectors binary")
     )
-    mine = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = packed.withColumn("shard", F.explode(F.array_distinct(F.sequence(F.lit(0), F.lit(max(0, shards - 1))))))
-    hits = mine.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(step, _HITS)
+    nothing = F.lit(None).cast("binary")
+    graphs = index.select("shard", F.lit(-1).alias("block"), "ids", "vectors", "neighbours", "starts")
+    every = F.explode(F.sequence(F.lit(0), F.lit(max(0, shards - 1)))).alias("shard")
+    asked = packed.select(every, "block", "ids", "vectors", nothing.alias("neighbours"), nothing.alias("starts"))
+    # The graph of a shard comes first, its blocks after it.
+    streams = graphs.unionByName(asked).repartitionByRange(max(1, shards), "shard").sortWithinPartitions("shard", "block")
+    hits = streams.mapInArrow(step, _HITS)
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "point"))
     return hits.withColumn("nth", nth).where(F.col("nth") <= most)
 
