@@ -345,8 +345,9 @@ def table_index_scan(spark, folder):
 
 @register
 def table_expire(spark, folder):
-    """Write the table and delete the days before the retention period."""
-    path = write_stored(spark, folder)
+    """Write the table once more and delete the days before the retention period."""
+    path = scratch_dir(spark, "table")
+    table.write_table(stored(spark, folder).drop(schema.DATE_COLUMN), path, 0, "copied", rebalance=True)
     table.drop_expired(spark, path, newest_ms(spark, folder))
     return table.read_table(spark, path)
 
