@@ -209,10 +209,15 @@ def _array(column: pa.Array, kind: type) -> np.ndarray:
 
 
 def octave(vector: Column) -> Column:
-    """The power of two below the length of a vector that is not zero; no square overflows."""
+    """The power of two below the length of a vector that is not zero; no square overflows or vanishes."""
     largest = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
-    squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + (x.cast("double") / largest) * (x.cast("double") / largest))
-    return F.floor(F.log2(largest) + F.log2(squares) / 2).cast("int")
+
+    def scaled(power: int) -> Column:
+        unit = F.lit(2.0**-power)
+        squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + (x.cast("double") * unit) * (x.cast("double") * unit))
+        return F.floor(F.log2(squares) / 2) + power
+
+    return F.when(largest > 2.0**400, scaled(600)).when(largest < 2.0**-400, scaled(-600)).otherwise(scaled(0)).cast("int")
 
 
 def dealt(points: DataFrame, shard_points: int) -> tuple[DataFrame, int]:
