@@ -86,7 +86,8 @@ def index_options(columns: Iterable[str] = schema.INDEX_COLUMNS) -> dict[str, st
     group is coded by it; Parquet writes the Bloom filter where it is not, with
     as many bits as the values that turn up take.
     """
-    options = {"parquet.bloom.filter.adaptive.enabled": "true"}
+    # Two sizes to choose from: each takes its memory for every file that is open.
+    options = {"parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.candidates.number": "2"}
     for column in columns:
         options[f"parquet.enable.dictionary#{column}"] = "true"
         options[f"parquet.bloom.filter.enabled#{column}"] = "true"
