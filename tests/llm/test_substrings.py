@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 from odd import documents, empty, odd
+from pyspark.sql import functions as F
 
 from tiffinlake.llm import substrings
 from tiffinlake.llm.words import run_hashes, word_hashes
@@ -62,6 +63,40 @@ def test_shifted_overlapping_and_periodic_repeats(spark, monkeypatch, pack):
     assert result(substrings.digests(docs)) == expected
 
 
+def test_ids_of_any_type_in_their_order(spark):
+    passage = " ".join(f"p{k}" for k in range(25))
+    rows = [("b", f"one {passage}"), ("aa", f"{passage} two"), (None, passage), ("", "short"), ("Z" * 30, f"x {passage} y"), ("b", f"one {passage}")]
+    for kind in ("string", "binary"):
+        docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        found = {(None if r.doc_id is None else str(r.doc_id if kind == "string" else r.doc_id.decode())): r.n_removed for r in substrings.digests(docs).collect()}
+        assert found == {"": 0, "Z" * 30: 0, "aa": 25, "b": 25, None: 25}
+    docs = spark.createDataFrame([(2.5, passage), (-1.0, passage)], "doc_id double, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.digests(docs).collect()} == {-1.0: 0, 2.5: 25}
+
+
+def test_a_bucket_is_as_large_at_any_size(spark, monkeypatch):
+    """Twice the rows in twice the buckets: the largest group stays, and the result is right."""
+    largest = {}
+    for count in (400, 800):
+        random = np.random.default_rng(count)
+        rows = [(i, " ".join(f"v{x}" for x in random.integers(0, 1 << 40, 60))) for i in range(count)]
+        rows += [(count + i, rows[i][1]) for i in range(0, 20)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        docs.persist()
+        size = sum(len(t) for _, t in rows)
+        assert substrings.buckets_for(docs, 8_000) == -(-size // 8_000) > 8
+        buckets = substrings.buckets_for(docs, 8_000)
+        keyed = docs.select("doc_id", *substrings.row_key("doc_id", "text"), "text")
+        packed = keyed.select("_k1", "text").mapInArrow(substrings._anchors(20, buckets), substrings._PACKED)
+        sizes = packed.groupBy("bucket").agg(F.sum(F.octet_length("hashes")).alias("n")).agg(F.max("n")).first()[0]
+        largest[count] = sizes
+        monkeypatch.setattr(substrings.with_repeats, "__defaults__", (20, 8_000))
+        assert result(substrings.digests(docs)) == brute_force(rows, 20)
+        monkeypatch.undo()
+        docs.unpersist()
+    assert largest[800] < 1.3 * largest[400]
+
+
 def test_any_long_match_shares_an_anchor():
     for a in range(substrings.PERIOD):
         for b in range(substrings.PERIOD):

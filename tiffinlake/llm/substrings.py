@@ -10,7 +10,9 @@ and its first occurrence found; the others are repeats.
 Both rounds shuffle hashes in packed arrays, one row for each bucket of hashes
 and some two million entries. Entries that are equal within these are settled
 before the shuffle and one of them is sent, so that a passage of a third of all
-documents puts no more into its bucket than any other does.
+documents puts no more into its bucket than any other does. There are as many
+buckets as the counted bytes of text ask for, so that a bucket, which a task
+holds in memory, is as large at any size of the corpus.
 """
 
 from __future__ import annotations
@@ -23,14 +25,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from tiffinlake.llm.common import boxed, row_key, slices, texts, with_fields
+from tiffinlake.llm.common import boxed, row_key, slices, texts, with_fields, written
 from tiffinlake.llm.words import run_hashes, word_hashes
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Entries that a task packs at a time.
 PACK = 2_000_000
+#: Bytes of text for each bucket: some 3 million anchors, and 11 million windows if all of them are repeats.
+BUCKET_BYTES = 64 << 20
 
 _PACKED = "bucket int, origin long, direct boolean, docs binary, counts binary, hashes binary, seen binary, places binary"
 _NAMES = [part.split()[0] for part in _PACKED.split(", ")]
@@ -242,7 +247,7 @@ def _windows(window: int, buckets: int) -> Step:
                     np.add.at(near, start + np.minimum(at + 1, np.maximum(0, end - start - window + 1)), -1)
                 doc, place, length = _positions(begins)
                 at = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (place + window <= length))
-                ids = pc.fill_null(part.column("doc_id").cast(pa.int64()), (1 << 63) - 1).to_numpy()
+                ids = pc.fill_null(part.column("_order"), (1 << 63) - 1).to_numpy()
                 docs = np.stack([part.column("_k1").to_numpy(), ids, part.column("_k2").to_numpy()], axis=1)
                 yield from pack.add(docs, doc[at], place[at], run_hashes(words, window)[at])
         yield from pack.flush()
@@ -257,19 +262,40 @@ def _repeated_windows(group: pa.Table) -> pa.Table:
     return _returned(group, docs, doc, place, origin, after)
 
 
-def with_repeats(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
+def buckets_for(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """One for each `bucket_bytes` of all texts, and at least one for each partition of a shuffle."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
+
+
+def _ordered(keyed: DataFrame) -> DataFrame:
+    """`keyed` with `_order`, a number in the order of doc_id and null for none.
+
+    An integer is its own number. Ids of other types are sorted in ranges and
+    numbered on from where a range begins, in a table, as ranges may differ if
+    they are drawn again.
+    """
+    if isinstance(keyed.schema["doc_id"].dataType, IntegralType):
+        return keyed.withColumn("_order", F.col("doc_id").cast("long"))
+    ids = keyed.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct().orderBy("_id")
+    numbered = written(ids.withColumn("_order", F.monotonically_increasing_id()), "substring-ids")
+    return keyed.join(numbered, keyed.doc_id == numbered._id, "left").drop("_id")
+
+
+def with_repeats(keyed: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """`keyed` with `starts`, where the repeated windows of each document begin: arrays of (_k2, places).
 
     `keyed` has doc_id, the key of the row and text. A window is a repeat if
     the same words start earlier, by doc_id and place; a null id comes last.
-    Rows equal in id and text are one document, and rows that share an id only
-    are compared by place. Windows are compared by 64 bits of hash and the
-    bucket. The rows should be read from a table: a task that is run again has
-    to see them in the same order.
+    Ids may be of any type that has an order. Rows equal in id and text are one
+    document, and rows that share an id only are compared by place. Windows are
+    compared by 64 bits of hash and the bucket. The rows should be read from a
+    table: a task that is run again has to see them in the same order. The
+    texts are read once more to count their bytes.
     """
     if window < PERIOD:
         raise ValueError(f"a window has {PERIOD} words or more")
-    buckets = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets_for(keyed, bucket_bytes)
 
     def settled(packed: DataFrame, name: str, settle: Callable[[pa.Table], pa.Table]) -> DataFrame:
         found = packed.groupBy("bucket").applyInArrow(settle, _RETURNED)
@@ -278,7 +304,7 @@ def with_repeats(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
 
     anchors = settled(keyed.select("_k1", "text").mapInArrow(_anchors(window, buckets), _PACKED), "anchors", _repeated_anchors)
     # The same columns by the same key in both joins: the texts are shuffled once.
-    around = keyed.join(anchors.hint("merge"), "_k1").select("doc_id", "_k1", "_k2", "text", F.col("anchors.places").alias("anchors"))
+    around = _ordered(keyed).join(anchors.hint("merge"), "_k1").select("_order", "_k1", "_k2", "text", F.col("anchors.places").alias("anchors"))
     starts = settled(around.mapInArrow(_windows(window, buckets), _PACKED), "starts", _repeated_windows)
     return keyed.join(starts.hint("merge"), "_k1", "left")
 
