@@ -26,6 +26,10 @@ def plain(text):
     return sorted(found, key=lambda s: (s[0], pii.KINDS.index(s[2])))
 
 
+def random_of(seed):
+    return random.Random(seed)
+
+
 def mine(text):
     return [(s.start, s.end, s.kind) for s in pii.base_spans(text)]
 
@@ -65,13 +69,17 @@ def test_best_tags_equal_trying_all():
     r = np.random.default_rng(2)
     tagger = pii.Tagger.random()
     tagger.weights[6] = r.normal(0, 1, (pii.TAGS, pii.TAGS))
-    scores = r.normal(0, 2, (4, pii.TAGS))
+    scores, shorter = r.normal(0, 2, (4, pii.TAGS)), r.normal(0, 2, (3, pii.TAGS))
     change = tagger.weights[6] + pii._allowed()
 
-    def score(path):
+    def score(path, scores):
         return (0 if path[0] % 2 or not path[0] else -1e4) + sum(scores[t, k] for t, k in enumerate(path)) + sum(change[a, b] for a, b in zip(path, path[1:]))
 
-    assert tuple(tagger.best(scores)) == max(product(range(pii.TAGS), repeat=4), key=score)
+    both = np.zeros((2, 4, pii.TAGS), np.float32)
+    both[0, :3], both[1] = shorter, scores
+    found = tagger.best(both, np.array([3, 4]))
+    assert tuple(found[1]) == max(product(range(pii.TAGS), repeat=4), key=lambda p: score(p, scores))
+    assert tuple(found[0, :3]) == max(product(range(pii.TAGS), repeat=3), key=lambda p: score(p, shorter))
 
 
 @pytest.fixture(scope="module")
@@ -110,6 +118,36 @@ def test_spans_across_windows_are_whole(tagger, prefix):
         assert all(abs(a.start - b.start) <= 2 for a, b in zip(found, base)), (shift, found, base)
 
 
+def awkward(pick):
+    parts = ["4111 1111 1111 1111 ", "a.b@c.de ", "+1 (692) 555-7565 ", "10.0.0.1/", "7" * 50, "and on and on " * 9, "12.5.2020 ", "é" * 40, "@", "x" * 70]
+    return "".join(pick.choice(parts) for _ in range(pick.randint(0, 60)))
+
+
+def test_texts_blocks_and_groups_find_what_each_text_alone_does(tagger, monkeypatch):
+    pick = random_of(3)
+    values = ["", *(awkward(pick) for _ in range(60)), "1" * 5000, "9 " * 3000 + "a.b@c.de", "5" * 64, "@"]
+    alone = [pii.network_spans(tagger, [v])[0] for v in values]
+    assert pii.network_spans(tagger, values) == alone and any(alone)
+    monkeypatch.setattr(pii, "GROUP_CELLS", 40)
+    assert pii.network_spans(tagger, values) == alone
+    # Whole stretches at once.
+    monkeypatch.setattr(pii, "BLOCK", 1 << 20)
+    assert pii.network_spans(tagger, values) == alone
+    for value, spans in zip(values, alone):
+        assert all(0 <= s.start < s.end <= len(value) for s in spans)
+
+
+def test_memory_of_a_long_text_of_digits(tagger):
+    import tracemalloc
+
+    value = "".join(random_of(4).choice("0123456789") for _ in range(1 << 20))
+    tracemalloc.start()
+    pii.network_spans(tagger, [value])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < (100 << 20) + 20 * len(value)
+
+
 def test_all_documents(spark, small, tagger):
     docs, rows = documents(spark, small)
     found = {r.doc_id: r for r in pii.digests(docs).collect()}

@@ -4,8 +4,10 @@ The patterns find the base spans. Their matches in a bounded sample of texts
 are the labelled spans that the network learns from; it then reads each text in
 overlapping windows. The scores of all windows of a stretch of text are merged,
 nearer to a window's middle counting more, and the best tags of the stretch are
-found in one pass over all of it, so that a span across windows is one span.
-What the network finds is added where no base span lies.
+found in one pass over all of it, so that a span across windows is one span. A
+long stretch is decoded in blocks of 1,024 characters that reach 256 into their
+neighbours, and all stretches of a slice of texts together. What the network
+finds is added where no base span lies.
 
 All kinds of data here hold a digit or an @, so that windows without either
 have no span and are not read.
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiffinlake.llm.common import boxed, sampled
+from tiffinlake.llm.common import boxed, sampled, slices
 
 # The kinds in their order, and what a match of each has to be.
 KINDS = ("email", "ip", "card", "phone")
@@ -43,6 +45,10 @@ STEPS, BATCH, RATE = 400, 48, 0.02
 MARGIN = 0.5
 #: Shortest span that the network may add.
 SHORTEST = 7
+#: Cells, of a stride each, that are decoded at once of a long stretch, how far blocks reach into others, and cells read at a time.
+BLOCK, MARGIN_CELLS, GROUP_CELLS = 32, 8, 8_192
+#: Bytes of text that are tagged at a time, or a single longer text.
+TAGGED_BYTES = 1 << 20
 
 TAGS = 1 + 2 * len(KINDS)
 _CHARS = 98
@@ -113,19 +119,18 @@ def char_ids(text: str) -> np.ndarray:
     """Each printable ASCII character by itself, white space, other letters and digits, anything else."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     out = np.where((codes >= 32) & (codes < 127), codes - 32, np.where(codes < 32, 95, np.where(codes >= 192, 96, 97)))
-    return out.astype(np.int64)
+    return out.astype(np.int8)
 
 
-def windows_of(text: str) -> np.ndarray:
+def windows_of(ids: np.ndarray) -> np.ndarray:
     """Where windows with a digit or an @ begin, a stride apart."""
-    ids = char_ids(text)
-    at = np.flatnonzero(((ids >= 16) & (ids < 26)) | (ids == 32))
-    cells = np.unique(at // STRIDE)
+    signs = ((ids >= 16) & (ids < 26)) | (ids == 32)
+    cells = np.flatnonzero(np.logical_or.reduceat(signs, np.arange(0, len(ids), STRIDE))) if len(ids) else np.empty(0, np.int64)
     return np.unique(np.concatenate((cells, cells[cells > 0] - 1))) * STRIDE if len(cells) else cells
 
 
 def _windowed(ids: np.ndarray, starts: np.ndarray, fill: int) -> np.ndarray:
-    padded = np.concatenate((ids, np.full(WINDOW + STRIDE, fill)))
+    padded = np.concatenate((ids, np.full(WINDOW + STRIDE, fill, ids.dtype)))
     return padded[starts[:, None] + np.arange(WINDOW)]
 
 
@@ -258,19 +263,35 @@ class Tagger:
         d_out = np.einsum("tbh,tbk->hk", both, d_emitted)
         return float((total - gold).mean()), [t_a, t_b, i_a, i_b, d_out, d_emitted.sum(axis=(0, 1)), d_change / batch, d_first / batch]
 
-    def best(self, scores: np.ndarray) -> np.ndarray:
-        """The best tags of one stretch: (time, tag) -> (time,)."""
-        change = self.weights[6] + _allowed()
-        top = self.weights[7] + np.where(np.arange(TAGS) % 2, 0, np.where(np.arange(TAGS), _NEVER, 0)) + scores[0]
-        came = np.zeros((len(scores), TAGS), np.int64)
-        for t in range(1, len(scores)):
-            through = top[:, None] + change
-            came[t] = through.argmax(axis=0)
-            top = through.max(axis=0) + scores[t]
-        path = [int(top.argmax())]
-        for t in range(len(scores) - 1, 0, -1):
-            path.append(int(came[t][path[-1]]))
-        return np.array(path[::-1])
+    def best(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The best tags of stretches, all of them a character at a time: (stretch, time, tag) -> (stretch, time).
+
+        A stretch has `lengths` characters; what is behind them is 0.
+        """
+        change = (self.weights[6] + _allowed()).astype(np.float32)
+        first = (self.weights[7] + np.where(np.arange(TAGS) % 2, 0, np.where(np.arange(TAGS), _NEVER, 0))).astype(np.float32)
+        # The longest first: those that go on at a time are the first ones.
+        order = np.argsort(-lengths, kind="stable")
+        scores, lengths = scores[order], lengths[order]
+        count, time, _ = scores.shape
+        going = np.searchsorted(-lengths, -np.arange(time), side="left")
+        top = first + scores[:, 0]
+        came = np.zeros((time, count, TAGS), np.int8)
+        for t in range(1, time):
+            n = going[t]
+            through = top[:n, :, None] + change
+            came[t, :n] = through.argmax(axis=1)
+            top[:n] = through.max(axis=1) + scores[:n, t]
+            top[:n] -= top[:n].max(axis=1, keepdims=True)
+        path = np.zeros((count, time), np.int8)
+        now = top.argmax(axis=1)
+        for t in range(time - 1, -1, -1):
+            n = going[t]
+            path[:n, t] = now[:n]
+            now[:n] = came[t, np.arange(n), now[:n]]
+        out = np.empty_like(path)
+        out[order] = path
+        return out
 
 
 def fit(windows: np.ndarray, tags: np.ndarray, steps: int = STEPS, seed: int = 5) -> Tagger:
@@ -290,42 +311,119 @@ def fit(windows: np.ndarray, tags: np.ndarray, steps: int = STEPS, seed: int = 5
     return tagger
 
 
-_MIDDLE = 1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
+_MIDDLE = (1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(np.float32)[:, None]
+
+
+def _merged(tagger: Tagger, ids: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """(cell, character, tag): scores of cells, of a stride each, from the windows of which they are a half.
+
+    A window is two cells; `cells` are in order, and a window begins at each
+    but the last of a run and at no other.
+    """
+    runs = np.flatnonzero(np.diff(cells, append=-9) == 1)
+    read = tagger.scores(_windowed(ids, cells[runs] * STRIDE, 95))
+    out, weight = np.zeros((len(cells), STRIDE, TAGS), np.float32), np.zeros((len(cells), STRIDE, 1), np.float32)
+    for half, at in ((slice(0, STRIDE), runs), (slice(STRIDE, WINDOW), runs + 1)):
+        out[at] += read[:, half] * _MIDDLE[half]
+        weight[at] += _MIDDLE[half]
+    return out / np.maximum(weight, 1)
+
+
+def _blocks(cells: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Begin and end of each block of cells, and of what it decides on, as places in `cells`.
+
+    A stretch of more than BLOCK cells is cut into blocks that reach MARGIN_CELLS
+    into their neighbours, by where their best paths have long met.
+    """
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(cells) > 1) + 1, [len(cells)]))
+    for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        for own in range(begin, end, BLOCK):
+            stop = min(own + BLOCK, end)
+            yield max(begin, own - MARGIN_CELLS), min(end, stop + MARGIN_CELLS), own, stop
+
+
+def _decoded(tagger: Tagger, scores: np.ndarray, blocks: list[tuple[int, int, int, int]], ends: np.ndarray) -> list[np.ndarray]:
+    """The best tags of what each block decides on. ends: characters in each cell."""
+    longest = max(hi - lo for lo, hi, _, _ in blocks)
+    grid = np.zeros((len(blocks), longest * STRIDE, TAGS), np.float32)
+    lengths = np.empty(len(blocks), np.int64)
+    for i, (lo, hi, _, _) in enumerate(blocks):
+        grid[i, : (hi - lo) * STRIDE] = scores[lo:hi].reshape(-1, TAGS)
+        lengths[i] = ends[lo:hi].sum()
+    tags = tagger.best(grid, lengths)
+    return [tags[i, (own - lo) * STRIDE : (own - lo) * STRIDE + int(ends[own:stop].sum())] for i, (lo, _, own, stop) in enumerate(blocks)]
+
+
+def _gains(scores: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    return scores[np.arange(len(tags)), tags] - scores[:, 0]
 
 
 def network_spans(tagger: Tagger, values: list[str]) -> list[list[Span]]:
-    """What the network finds in each of some texts: the windows of all of them are read together."""
-    starts = [windows_of(v) for v in values]
-    if not sum(map(len, starts)):
-        return [[] for _ in values]
-    read = tagger.scores(np.concatenate([_windowed(char_ids(v), s, 95) for v, s in zip(values, starts, strict=True) if len(s)]))
-    out, row = [], 0
-    for value, own in zip(values, starts, strict=True):
-        spans: list[Span] = []
-        # A stretch: windows of which each overlaps the next.
-        for part in np.split(own, np.flatnonzero(np.diff(own) >= WINDOW) + 1):
-            if not len(part):
-                continue
-            begin = int(part[0])
-            length = min(len(value), int(part[-1]) + WINDOW) - begin
-            merged, weight = np.zeros((length + WINDOW, TAGS)), np.zeros(length + WINDOW)
-            for start in part:
-                at = int(start) - begin
-                merged[at : at + WINDOW] += read[row] * _MIDDLE[:, None]
-                weight[at : at + WINDOW] += _MIDDLE
-                row += 1
-            scores = merged[:length] / weight[:length, None]
-            tags = tagger.best(scores)
-            heads = np.flatnonzero(tags % 2)
-            for head in heads:
-                tail = int(head) + 1
-                while tail < length and tags[tail] == tags[head] + 1:
-                    tail += 1
-                gain = (scores[np.arange(head, tail), tags[head:tail]] - scores[head:tail, 0]).mean()
-                if tail - head >= SHORTEST and gain >= MARGIN:
-                    spans.append(Span(begin + int(head), begin + tail, KINDS[(int(tags[head]) - 1) // 2], False))
-        out.append(spans)
-    return out
+    """What the network finds in each of some texts: windows and stretches of all of them are read together.
+
+    Some GROUP_CELLS cells are read at a time, so that memory beyond the texts
+    and a few bytes a character is bounded, however long a text is.
+    """
+    ids = [char_ids(v) for v in values]
+    found: list[list[Span]] = [[] for _ in values]
+    # Texts behind one another, a gap of cells between them, so that one pass reads all.
+    begins = np.cumsum([0, *(len(i) // STRIDE + 4 for i in ids)]) * STRIDE
+    joined = np.full(int(begins[-1]) + WINDOW, 95, np.int8)
+    ends = np.zeros(int(begins[-1]) // STRIDE + 2, np.int64)
+    starts = []
+    for own, begin in zip(ids, begins[:-1].tolist(), strict=True):
+        joined[begin : begin + len(own)] = own
+        cell = begin // STRIDE
+        ends[cell : cell + len(own) // STRIDE] = STRIDE
+        ends[cell + len(own) // STRIDE] = len(own) % STRIDE
+        starts.append(windows_of(own) + begin)
+    heads = np.concatenate([*starts, np.empty(0, np.int64)]).astype(np.int64) // STRIDE
+    if not len(heads):
+        return found
+    # A window's second half may lie behind the text.
+    cells = np.unique(np.concatenate((heads, heads + 1)))
+    length = ends[cells]
+    tags, gains = np.zeros((len(cells), STRIDE), np.int8), np.zeros((len(cells), STRIDE), np.float32)
+    todo: list[tuple[int, int, int, int]] = []
+
+    def settle() -> None:
+        low, high = min(b[0] for b in todo), max(b[1] for b in todo)
+        # A window more on either side, if there is one, gives cells at the borders both their halves.
+        first, last = max(0, low - 1), min(len(cells), high + 1)
+        scores = _merged(tagger, joined, cells[first:last])
+        moved = [tuple(x - first for x in b) for b in todo]
+        # Blocks of like length share a matrix.
+        moved.sort(key=lambda b: b[1] - b[0])
+        sized = np.array([b[1] - b[0] for b in moved])
+        for part in np.split(np.arange(len(moved)), np.flatnonzero(np.diff(np.ceil(np.log2(sized)))) + 1):
+            own = [moved[i] for i in part]
+            for (_, _, begin, stop), best in zip(own, _decoded(tagger, scores, own, length[first:last]), strict=True):
+                at = slice(first + begin, first + stop)
+                tags[at].reshape(-1)[: len(best)] = best
+                gains[at].reshape(-1)[: len(best)] = _gains(scores[begin:stop].reshape(-1, TAGS)[: len(best)], best)
+        todo.clear()
+
+    for block in _blocks(cells):
+        if todo and block[1] - todo[0][0] > GROUP_CELLS:
+            settle()
+        todo.append(block)
+    settle()
+    tags, gains = tags.ravel(), gains.ravel()
+    marks = np.flatnonzero(tags % 2)
+    # A span goes on to where the tags do, into the next cell if there is no gap.
+    goes_on = np.zeros(len(tags), bool)
+    goes_on[:-1] = (tags[1:] > 0) & (tags[1:] % 2 == 0) & (tags[1:] == tags[:-1] + tags[:-1] % 2)
+    goes_on[STRIDE - 1 :: STRIDE] &= np.diff(cells, append=-9) == 1
+    stops = np.flatnonzero(~goes_on)
+    tails = stops[np.searchsorted(stops, marks)] + 1
+    sums = np.add.reduceat(np.append(gains, 0), np.stack([marks, tails], axis=1).ravel())[::2] if len(marks) else []
+    for head, tail, gain in zip(marks.tolist(), tails.tolist(), sums, strict=True):
+        if tail - head >= SHORTEST and gain / (tail - head) >= MARGIN:
+            place = int(cells[head // STRIDE]) * STRIDE + head % STRIDE
+            text = int(np.searchsorted(begins, place, side="right")) - 1
+            start = place - int(begins[text])
+            found[text].append(Span(start, start + tail - head, KINDS[(int(tags[head]) - 1) // 2], False))
+    return found
 
 
 def all_spans(tagger: Tagger | None, values: list[str]) -> list[list[Span]]:
@@ -354,8 +452,10 @@ def learn(docs: DataFrame, most_texts: int = SAMPLE_TEXTS, steps: int = STEPS) -
         windows, tags = [], []
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                starts = windows_of(text)[:: max(1, len(windows_of(text)) // 50)]
-                windows.append(_windowed(char_ids(text), starts, 95))
+                ids = char_ids(text)
+                starts = windows_of(ids)
+                starts = starts[:: max(1, len(starts) // 50)]
+                windows.append(_windowed(ids, starts, 95))
                 tags.append(_windowed(tags_of(len(text), base_spans(text)), starts, 0))
         windows, tags = np.concatenate([*windows, np.zeros((0, WINDOW), np.int64)]), np.concatenate([*tags, np.zeros((0, WINDOW), np.int64)])
         # A window may begin within a span: there its first tag is that of a beginning.
@@ -380,9 +480,10 @@ def find(docs: DataFrame, tagger: Tagger | None, keep: list[str]) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None if shared.value is None else Tagger(shared.value)
         for batch in batches:
-            found = all_spans(own, [t or "" for t in batch.column("text").to_pylist()])
-            lists = pa.array([[s._asdict() for s in spans] for spans in found], pa.list_(span))
-            yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, lists], [*keep, "spans"])
+            for part in slices(batch, "text", TAGGED_BYTES):
+                found = all_spans(own, [t or "" for t in part.column("text").to_pylist()])
+                lists = pa.array([[s._asdict() for s in spans] for spans in found], pa.list_(span))
+                yield pa.RecordBatch.from_arrays([*part.select(keep).columns, lists], [*keep, "spans"])
 
     return narrow.mapInArrow(step, f"{kinds}, spans array<struct<start:int,end:int,kind:string,base:boolean>>")
 
