@@ -38,6 +38,21 @@ def test_parts_of_the_items_find_the_same(spark, small):
     whole = sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in d.matches(docs, items).collect())
     parts = sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in d.matches(docs, items, index_words=200).collect())
     assert whole == parts
+    assert d.parts_of(items, 200)[0] > 1
+    kept = [sorted(r.doc_id for r in d.remove_contaminated(docs, items, index_words=n).collect()) for n in (d.INDEX_WORDS, 200)]
+    assert kept[0] == kept[1] and len(kept[0]) == docs.count() - len({r[0] for r in whole})
+
+
+def test_an_index_is_built_when_it_is_asked_for(spark, small):
+    """One part after another, in a task each, and all items in one of them."""
+    items = items_of(spark, small)
+    parts = d.indexes(items, 200)
+    first = next(parts)
+    count = d.parts_of(items, 200)
+    assert count[0] > 1 and sum(len(i.words) for i in first.items) < 600
+    found = [i.item_id for i in first.items] + [i.item_id for index in parts for i in index.items]
+    assert sorted(found) == sorted(r.item_id for r in items.where("text IS NOT NULL").distinct().collect())
+    assert count[1] == len(found)
 
 
 @pytest.mark.parametrize("threshold", [0.2, 0.35, 0.5])
@@ -123,3 +138,5 @@ def test_odd_rows(spark):
     assert d.matches(empty(spark), items).collect() == []
     assert d.matches(docs, items.limit(0)).collect() == []
     assert d.remove_contaminated(docs, items.limit(0)).count() == docs.count()
+    by_part = d.remove_contaminated(docs, items, index_words=4)
+    assert by_part.schema == docs.schema and sorted(map(str, by_part.collect())) == sorted(map(str, clean.collect()))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tiffinlake.session import scratch_dir
+from tiffinlake.session import remove, scratch_dir
 
 #: Bytes of text that a step in numpy works on at a time.
 SLICE_BYTES = 4 << 20
@@ -20,12 +22,34 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_left: ContextVar[list[str] | None] = ContextVar("_left", default=None)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, the tables that operators have left within it: its results have to be written by then."""
+    token = _left.set([])
+    try:
+        yield
+        for path in _left.get():
+            remove(spark, path)
+    finally:
+        _left.reset(token)
+
+
+def leave(path: str) -> str:
+    """Note a table in the shared folder for `released`."""
+    if _left.get() is not None:
+        _left.get().append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder: computed once, read from there on.
 
-    `session.clear_scratch` deletes all of them.
+    `released` or `session.clear_scratch` deletes it.
     """
-    path = scratch_dir(df.sparkSession, name)
+    path = leave(scratch_dir(df.sparkSession, name))
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -13,6 +13,7 @@ question and answer each.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiffinlake.llm.common import boxed, slices, with_fields
+from tiffinlake.llm.common import boxed, row_key, slices, with_fields, written
 
 #: Share of an item's BM25 weight that a passage must hold.
 THRESHOLD = 0.6
@@ -290,34 +291,45 @@ def find(index: Index, documents: list[str | None], threshold: float, overlap: f
     return list(best.values())
 
 
-def indexes(items: DataFrame, index_words: int = INDEX_WORDS) -> list[Index]:
+def _known(items: DataFrame) -> DataFrame:
+    return items.select("item_id", "text").where(F.col("text").rlike(_WORD)).distinct()
+
+
+def parts_of(items: DataFrame, index_words: int = INDEX_WORDS) -> tuple[int, int, float]:
+    """How many indexes the items take, how many items there are, and their mean number of words."""
+    words = _known(items).select(F.regexp_count("text", F.lit(_WORD)).alias("n"))
+    total, count = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    return (-(-total // index_words), count, total / count) if count else (0, 0, 0.0)
+
+
+def indexes(items: DataFrame, index_words: int = INDEX_WORDS) -> Iterator[Index]:
     """Indexes over parts of the items of up to some `index_words` words each. Statistics are of all items.
 
     Null texts and texts without words are no items. Items equal in id and text
-    are one. Parts are read one by one and are as large as an index may be.
+    are one. Each part is built in a task, and the next one when it is asked
+    for, so that the driver holds no more than one.
     """
-    known = items.select("item_id", "text").where(F.col("text").rlike(_WORD)).distinct()
-    sized = known.withColumn("n", F.regexp_count("text", F.lit(_WORD)))
-    total, count = sized.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    parts = max(1, -(-total // index_words))
-    out = []
+    known = _known(items)
+    parts, count, mean = parts_of(items, index_words)
     terms = known.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    for part in range(parts if count else 0):
-        mine = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        rows = sorted(mine.collect(), key=lambda r: (str(r.item_id), r.text))
+
+    def build(mine: pa.Table, frequencies: pa.Table) -> pa.Table:
         # Equal words are one object, also in the executors.
         once: dict[str, str] = {}
-        found = [
-            Item(r.item_id, [once.setdefault(w, w) for w in words], question_words(r.text)) for r in rows if (words := words_of(r.text))
-        ]
-        if not found:
-            continue
-        own = mine.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).distinct()
-        frequent = dict(map(tuple, terms.join(own, "term", "left_semi").collect()))
+        rows = sorted(zip(mine["item_id"].to_pylist(), mine["text"].to_pylist(), strict=True), key=lambda r: (str(r[0]), r[1]))
+        found = [Item(i, [once.setdefault(w, w) for w in words], question_words(t)) for i, t in rows if (words := words_of(t))]
+        frequent = dict(zip(frequencies["term"].to_pylist(), frequencies["n"].to_pylist(), strict=True))
         for word in {w for item in found for w in item.words}:
             frequent.setdefault(word, 1)
-        out.append(Index(found, frequent, count, total / count))
-    return out
+        blobs = [pickle.dumps(Index(found, frequent, count, mean))] if found else []
+        return pa.table({"built": pa.array(blobs, pa.binary())})
+
+    for part in range(parts):
+        mine = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).withColumn("part", F.lit(part))
+        own = mine.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).distinct()
+        frequent = terms.join(own, "term", "left_semi").withColumn("part", F.lit(part))
+        for row in mine.groupBy("part").cogroup(frequent.groupBy("part")).applyInArrow(build, "built binary").collect():
+            yield pickle.loads(row.built)
 
 
 def _terms(text: Column) -> Column:
@@ -338,10 +350,12 @@ def matches(
 
 
 def _search(docs: DataFrame, keep: list[str], items: DataFrame, threshold: float, overlap: float, index_words: int) -> DataFrame:
+    """Matches with the columns `keep`. With more than one index each pass is written and its broadcast released."""
     spark = docs.sparkSession
     fields = "score double, question_overlap double, answer_overlap double, first_word long"
     schema = with_fields(docs.select(*keep), f"item_id {items.schema['item_id'].dataType.simpleString()}, {fields}")
     found = spark.createDataFrame([], schema)
+    parts, _, _ = parts_of(items, index_words)
     for index in indexes(items, index_words):
         shared = spark.sparkContext.broadcast(index)
 
@@ -356,24 +370,34 @@ def _search(docs: DataFrame, keep: list[str], items: DataFrame, threshold: float
                             [*head.columns, *map(pa.array, columns[1:])], [f.name for f in schema.fields]
                         )
 
-        found = found.unionByName(docs.mapInArrow(step, schema))
+        own = docs.mapInArrow(step, schema)
+        if parts > 1:
+            own = written(own, "item-matches")
+            shared.unpersist(blocking=True)
+        found = found.unionByName(own)
     return found
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """`docs` without the rows that hold a test item; all columns, other rows untouched."""
-    for index in indexes(items, options.get("index_words", INDEX_WORDS)):
+def remove_contaminated(
+    docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, index_words: int = INDEX_WORDS
+) -> DataFrame:
+    """`docs` without the rows that hold a test item; all columns, other rows untouched.
+
+    A single index filters the rows as they are read. Of several, each notes the
+    keys of the rows it finds, and these go at the end.
+    """
+    parts, _, _ = parts_of(items, index_words)
+    if parts > 1:
+        keyed = boxed(docs, "text", *row_key("doc_id", "text"))
+        found = _search(keyed.select("_k1", "_k2", "text"), ["_k1", "_k2"], items, threshold, overlap, index_words)
+        return keyed.join(found.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_anti").select("_row.*")
+    for index in indexes(items, index_words):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text", 1 << 20):
-                    rows = find(
-                        shared.value,
-                        part.column("text").to_pylist(),
-                        options.get("threshold", THRESHOLD),
-                        options.get("overlap", OVERLAP),
-                    )
+                    rows = find(shared.value, part.column("text").to_pylist(), threshold, overlap)
                     clean = np.ones(part.num_rows, bool)
                     clean[[r[0] for r in rows]] = False
                     yield part.select(["_row"]).filter(pa.array(clean))

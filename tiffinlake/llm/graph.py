@@ -7,6 +7,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiffinlake.llm.common import leave
 from tiffinlake.session import remove, scratch_dir
 
 
@@ -20,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     many edges.
     """
     spark = edges.sparkSession
-    place = scratch_dir(spark, "components")
+    place = leave(scratch_dir(spark, "components"))
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{place}/{name}")
