@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tiffinlake.llm import decontaminate, langid, linededup, mixing, ngramjoin
-from tiffinlake.llm.common import table
+from tiffinlake.llm.common import released, table
 from tiffinlake.session import remove, scratch_dir
 
 
@@ -53,11 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what a stage has left is deleted once the next has written its own."""
+    """All stages; what a stage has left is deleted once the next has written its own, its other tables once it has itself."""
     docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch_dir(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with released(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         if last:
             remove(spark, last)
         docs, last = spark.read.parquet(path), path
