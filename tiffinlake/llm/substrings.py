@@ -268,18 +268,18 @@ def buckets_for(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
 
 
-def _ordered(keyed: DataFrame) -> DataFrame:
-    """`keyed` with `_order`, a number in the order of doc_id and null for none.
+def _ordered(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Rows of `keyed` with `_order`, a number in the order of doc_id and null for none.
 
     An integer is its own number. Ids of other types are sorted in ranges and
     numbered on from where a range begins, in a table, as ranges may differ if
-    they are drawn again.
+    they are drawn again; with these the rows are shuffled once more.
     """
     if isinstance(keyed.schema["doc_id"].dataType, IntegralType):
-        return keyed.withColumn("_order", F.col("doc_id").cast("long"))
+        return rows.withColumn("_order", F.col("doc_id").cast("long"))
     ids = keyed.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct().orderBy("_id")
     numbered = written(ids.withColumn("_order", F.monotonically_increasing_id()), "substring-ids")
-    return keyed.join(numbered, keyed.doc_id == numbered._id, "left").drop("_id")
+    return rows.join(numbered, rows.doc_id == numbered._id, "left").drop("_id")
 
 
 def with_repeats(keyed: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -304,7 +304,8 @@ def with_repeats(keyed: DataFrame, window: int = WINDOW, bucket_bytes: int = BUC
 
     anchors = settled(keyed.select("_k1", "text").mapInArrow(_anchors(window, buckets), _PACKED), "anchors", _repeated_anchors)
     # The same columns by the same key in both joins: the texts are shuffled once.
-    around = _ordered(keyed).join(anchors.hint("merge"), "_k1").select("_order", "_k1", "_k2", "text", F.col("anchors.places").alias("anchors"))
+    near = keyed.join(anchors.hint("merge"), "_k1").select("doc_id", "_k1", "_k2", "text", F.col("anchors.places").alias("anchors"))
+    around = _ordered(near, keyed)
     starts = settled(around.mapInArrow(_windows(window, buckets), _PACKED), "starts", _repeated_windows)
     return keyed.join(starts.hint("merge"), "_k1", "left")
 
